@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, pieces, private_data, setsketch, token_files, toxicity, urls
+from . import anisotropic, chat, decontamination, pieces, private_data, setsketch, token_files, toxicity, urls
 from .storage import materialise, scratch_path
 
 #: Fixed values: (verdict, rule) of the url query, and host labels that put a host on its block list.
@@ -53,6 +53,11 @@ def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, private_data.KINDS), F.sha2(private_data.span_text(F.col("base_spans")), 256).alias("base_sha256"), private_data.span_text(F.col("spans")).alias("spans"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return anisotropic.search(*anisotropic.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -79,13 +84,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": url_verdicts,
         "op6_private_data": private_spans,
         "op7_chat_prefix_target": chat_examples,
+        "op8_anisotropic_search": nearest_vectors,
         "op9_decontamination": contaminated,
         "op10_setsketch": near_duplicate_components,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL, "op7_chat_prefix_target": CHAT_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+    return {"op5_url_filter": URL_SQL, "op7_chat_prefix_target": CHAT_SQL, "op8_anisotropic_search": NEAREST_SQL, "op9_decontamination": DECONTAMINATION_SQL}
 
 
 URL_SQL = f"""
@@ -125,6 +131,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM parts GROUP BY conv_id
 """
 
+#: Sums run from the first component to the last, as the operator's do, so scores agree to the last bit.
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, x -> x * x), (x, y) -> x + y)) AS size FROM v),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(q.e, c.e), x -> x[1] * x[2]), (x, y) -> x + y) / (q.size * c.size) AS score
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5
+"""
+
 DECONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
