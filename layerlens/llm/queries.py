@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, chat, decontamination, pieces, private_data, setsketch, token_files, toxicity, urls
+from . import anisotropic, chat, decontamination, passages, pieces, private_data, setsketch, token_files, toxicity, urls
 from .storage import materialise, scratch_path
 
 #: Fixed values: (verdict, rule) of the url query, and host labels that put a host on its block list.
@@ -20,6 +20,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage (43 words or more, 80 % alike) that another document has."""
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    out = passages.repeats(_read(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.concat_ws(",", F.transform("spans", span)))
+
+
 def sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), end_id=2)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -78,6 +85,7 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_passage_chains": repeated_passages,
         "op2_sentencepiece": sentencepiece_roundtrip,
         "op3_toxicity": toxic_scores,
         "op4_token_files": token_id_files,
