@@ -38,6 +38,10 @@ LEAST_DOCS, LEAST_EVIDENCE, RUN = 3, 0.7, 512
 Z = 1.64
 
 
+class NothingToLearn(ValueError):
+    """There is no toxic or no clean labelled row."""
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out."""
     return F.crc32(doc_id.cast("string")) % 4
@@ -270,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sizes = {(r["toxic"], r["fits"]): r["n"] for r in rows.groupBy("toxic", "fits").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = (sizes.get((y, False), 0) for y in (1, 0))
     if not (n_toxic and n_clean):
-        raise ValueError("no toxic or no clean labelled rows to train on")
+        raise NothingToLearn("no toxic or no clean labelled rows to train on")
     counted = rows.where(~F.col("fits"))
     toxic = _document_counts(counted.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "h").limit(MAX_LEXICON).collect()
     keys = np.sort(np.array([r["h"] for r in toxic], dtype=np.int64).view(np.uint64))
