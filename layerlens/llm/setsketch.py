@@ -13,11 +13,14 @@ register with a probability close to their Jaccard similarity.
 3. In each bucket every node is paired with one centre.  Register comparisons
    and set sizes give the likelihood of the similarity, jointly for both orders
    of each register; pairs whose maximum lies far under the threshold go.
-4. The rest is verified on the full sets; links join components.  First each
-   node's likeliest centre, then its other centres, then - only in buckets that
-   still hold several components - all pairs across components, blockwise on
-   sketches.  Pairs within one component are never looked at, so large groups of
-   near copies cost little more than their size, and no pair is capped away.
+4. The rest is verified on the full sets; links join components.  First every
+   node is paired with its buckets' centres; then, in buckets that still hold
+   several components, with the node that most estimates put over the threshold
+   (copies of one text are further from each other than from it); then, only
+   where several components are left, all pairs across components are compared,
+   blockwise on sketches.  Pairs within one component are never looked at, so
+   large groups of near copies cost little more than their size, and no pair is
+   capped away.
 
 Null texts and texts without words have empty sets and are linked with nothing.
 A set of a text shorter than a shingle is its whole sequence.  Rows may repeat
@@ -147,8 +150,8 @@ def read_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, node binary, sketch binary")
 
 
-def _node_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """node and a text with that set, for the wanted nodes; sets are named again, which is cheaper than keeping texts."""
+def _node_texts(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """node and a text with that set, for the wanted nodes (node, first): only rows with a wanted first id are named again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -157,12 +160,15 @@ def _node_texts(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> Dat
             full = np.flatnonzero(n > 0)
             yield pa.RecordBatch.from_arrays([pa.array([names[i].tobytes() for i in full.tolist()], pa.binary()), batch.column(0).take(pa.array(full))], ["node", "text"])
 
-    named = docs.select(F.col(text).alias("text")).mapInArrow(run, "node binary, text string")
-    return named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = materialise(wanted, "wanted")
+    firsts = wanted.select("first").distinct()
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    named = rows.join(firsts, F.col("key").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(run, "node binary, text string")
+    return named.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` with 100 * intersection >= percent * union of their full sets."""
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` with 100 * intersection >= percent * union of the full sets of their ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_u"):
@@ -176,8 +182,6 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, size: int, percent: int
             union = np.bincount(rows, minlength=n) - both
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(100 * both >= percent * union))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = materialise(_node_texts(docs, text, size, wanted), "node-texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u binary, v binary")
 
@@ -196,34 +200,91 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u binary, v binary, estimate double")
 
 
-def _across(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs across components in the buckets of ``members`` (bucket, node, component), whose estimate is ``least`` or more."""
+def _group_starts(table: pa.Table) -> np.ndarray:
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = False
+    for c in ("bucket", "i", "k"):
+        x = table.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _close(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Rows bucket, i, k, part, node, component of the nodes in the buckets of ``members`` (bucket, band, node, component) that have a pair across components of an estimate of ``least`` or more, in the pair's first bucket; i and k are the blocks that meet."""
     blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(blocks, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each block meets every other block of its bucket, and itself, once
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), F.col("own").alias("part"), "node", "component", "n_shingles", "sketch")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), F.col("own").alias("part"), "band", "node", "component", "n_shingles", "sketch")
 
-    def compare(table: pa.Table) -> pa.Table:
-        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(table.num_rows, -1)
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of neighbouring rows of one group, then of rows two apart, and so on, for all groups at once."""
+        n = table.num_rows
+        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(n, -1)
         size, part = table.column("n_shingles").to_numpy(), table.column("part").to_numpy()
+        both = table.column("i").to_numpy() == table.column("k").to_numpy()
         component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
-        i, k = table.column("i")[0].as_py(), table.column("k")[0].as_py()
-        us, vs, both = [], [], i == k
-        right = np.arange(table.num_rows) if both else np.flatnonzero(part == k)
-        for a in range(table.num_rows) if both else np.flatnonzero(part == i).tolist():
-            others = right[(component[right] != component[a]) & ((right > a) if both else True)]
-            for at in range(0, len(others), 1024):
-                some = others[at : at + 1024]
-                j = likeliest((registers[a] > registers[some]).sum(axis=1), (registers[a] < registers[some]).sum(axis=1), np.full(len(some), size[a], dtype=float), size[some])
-                near = some[j >= least]
-                us += [a] * len(near)
-                vs += near.tolist()
+        at = _group_starts(table)
+        room = np.repeat(np.append(at[1:], n), np.diff(np.append(at, n))) - np.arange(n)  # rows left in the group
+        need = registers.shape[1] * (least - 0.03)  # two sets agree in a register as often as they are similar
+        band, found, rows, d = table.column("band").to_numpy(), np.zeros(n, dtype=bool), np.arange(n), 1
+        while len(rows := rows[room[rows] > d]):
+            u = rows[(component[rows] != component[rows + d]) & (both[rows] | (part[rows] != part[rows + d]))]
+            for a in range(0, len(u), 4096):
+                x = u[a : a + 4096]
+                x = x[(registers[x] == registers[x + d]).sum(axis=1) >= need]
+                if len(x):
+                    j = likeliest((registers[x] > registers[x + d]).sum(axis=1), (registers[x] < registers[x + d]).sum(axis=1), size[x].astype(float), size[x + d])
+                    x = x[j >= least]
+                    first = (registers[x] == registers[x + d]).reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                    x = x[first == band[x]]
+                    found[x] = found[x + d] = True
+            d += 1
+        out = table.select(["bucket", "i", "k", "part", "node", "component"]).filter(pa.array(found)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups (of two blocks at most) go on; the last one of a batch waits for the next."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            cut = int(_group_starts(table)[-1])
+            if cut:
+                yield compare(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield compare(held)
+
+    return rows.repartition("bucket", "i", "k").sortWithinPartitions("bucket", "i", "k").mapInArrow(groups, "bucket long, i int, k int, part int, node binary, component binary")
+
+
+def _linked(close: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links u, v across components among the rows of ``close``, by full sets; of a group as many as join what they join."""
+
+    def link(table: pa.Table) -> pa.Table:
+        rows, hashes = row_sets(Words(table.column("text"), SPACED), size)
+        names, hashes = np.unique(hashes, return_inverse=True)
+        n, part = np.bincount(rows, minlength=table.num_rows), table.column("part").to_numpy()
+        at, marks, us, vs = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(names), dtype=np.int64), [], []
+        both = table.column("i")[0].as_py() == table.column("k")[0].as_py()
+        component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+        for a in range(table.num_rows - 1):
+            marks[hashes[at[a] : at[a + 1]]] = 1
+            shared = np.add.reduceat(marks[hashes[at[a + 1] :]], at[a + 1 : -1] - at[a + 1])
+            marks[hashes[at[a] : at[a + 1]]] = 0
+            near = a + 1 + np.flatnonzero(100 * shared >= percent * (n[a] + n[a + 1 :] - shared))
+            for b in near.tolist():
+                if component[a] != component[b] and (both or part[a] != part[b]):
+                    us.append(a)
+                    vs.append(b)
+                    component[component == component[b]] = component[a]
         node = table.column("node")
         return pa.table({"u": node.take(pa.array(us, pa.int64())), "v": node.take(pa.array(vs, pa.int64()))})
 
-    pairs = rows.groupBy("bucket", "i", "k").applyInArrow(compare, "u binary, v binary")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return close.join(texts, "node").groupBy("bucket", "i", "k").applyInArrow(link, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,28 +297,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         for batch in batches:
             names = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1))
             node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([node, pa.array(names.ravel().view(np.int64))], ["node", "bucket"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(names.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["node", "bucket", "band"])
 
-    banded = nodes.select("node", "sketch").mapInArrow(buckets, "node binary, bucket long")
+    banded = nodes.select("node", "sketch").mapInArrow(buckets, "node binary, bucket long, band int")
     shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(banded.join(shared, "bucket"), "members")
     stars = materialise(_estimate(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), nodes, least), "stars")
-    best = stars.groupBy("u").agg(F.max_by("v", F.struct("estimate", "v")).alias("v"))
-    links = materialise(verify(best, docs, text, size, percent), "links")
+    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    stored = lambda names: _node_texts(docs, key, text, size, nodes.select("node", "first").join(names, "node", "left_semi"))
+    texts = materialise(stored(ends(stars).distinct()), "node-texts")
+    links = materialise(verify(stars, texts, size, percent), "links")
     found = connected_components(links)
-
-    def component(df: DataFrame, c: str) -> DataFrame:
-        own = found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-        return df.join(own, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-
-    rest = component(component(stars.join(best, ["u", "v"], "left_anti"), "u"), "v").where("_u <> _v").select("u", "v")
-    links = materialise(links.union(verify(rest, docs, text, size, percent)), "links")
-    found = connected_components(links)
-    named = component(members.where("n > 2").select("bucket", "node"), "node").withColumnRenamed("_node", "component")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    open_ = _across(materialise(named.join(mixed, "bucket", "left_semi"), "mixed"), nodes, least).join(tested, ["u", "v"], "left_anti")
-    more = materialise(verify(materialise(open_, "across"), docs, text, size, percent), "links")
+
+    def mixed() -> DataFrame:
+        """Nodes and components in the buckets that hold several."""
+        named = members.where("n > 2").select("bucket", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+        return materialise(named.join(several, "bucket", "left_semi"), "mixed")
+
+    def add_texts(names: DataFrame) -> None:
+        """Store texts of nodes that have none yet."""
+        nonlocal texts
+        missing = names.distinct().join(texts.select("node"), "node", "left_anti")
+        if not missing.isEmpty():
+            texts = texts.union(materialise(stored(missing), "node-texts"))
+
+    near = ends(stars.where(F.col("estimate") >= percent / 100)).groupBy("node").agg(F.count(F.lit(1)).alias("near"))
+    open_ = mixed()
+    hubs = open_.join(near, "node", "left").groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("near", F.lit(0)), "node")).alias("hub"))
+    pairs = open_.join(hubs, "bucket").where(F.col("component") != F.col("hub.component")).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+    pairs = materialise(_estimate(pairs.join(tested, ["u", "v"], "left_anti"), nodes, least), "hubs")
+    add_texts(ends(pairs))
+    more = materialise(verify(pairs, texts, size, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = connected_components(links)
+        open_ = mixed()
+    close = materialise(_close(open_, nodes, least), "close")
+    add_texts(close.select("node"))
+    more = materialise(_linked(close, texts, size, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.union(more))
     named = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
