@@ -1,0 +1 @@
+"""Layered-graph motif analytics on PySpark DataFrames."""
