@@ -9,6 +9,7 @@ of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,15 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C1B
-_STEP = 1 << 22
+_STEP = 1 << 20
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers outlive tasks, and an executor's limit counts them all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _class(separators: bytes) -> np.ndarray:
@@ -81,6 +90,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = _STEP) -
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+    release()
 
 
 class Words:

@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import release
+
 #: Bytes of text in a block and in one of its document payloads, a single longer document aside.
 BLOCK_BYTES, PAYLOAD_BYTES = 24 << 20, 2 << 20
 MARK = "▁"
@@ -116,6 +118,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
                 block, size, keys, numbers, seen = block + 1, 0, [], [], _Numbered()
     if keys:
         yield close()
+    del keys, numbers, seen
+    release()
 
 
 def _check(words: list[str], flat: int) -> int:
@@ -169,7 +173,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 known[c] = np.array(ids, dtype=np.uint32)
             ids = [known[c] for c in chunks]
             out.append(pack(ranks, np.array([len(x) for x in ids], dtype=np.uint32), planes(np.concatenate(ids))))
-        return pa.table({"block": table.column("block"), "check": table.column("check"), "ids": pa.array(out, pa.binary())})
+        ids = pa.array(out, pa.binary())
+        del known, out
+        release()
+        return pa.table({"block": table.column("block"), "check": table.column("check"), "ids": ids})
 
     def join_back(docs: pa.Table, chunks: pa.Table) -> pa.Table:
         """Ids and decoded texts of the documents of one block."""

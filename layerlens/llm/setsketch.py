@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import SPACED, U, Words, gram_hash, mix, slices
+from .bytewords import SPACED, U, Words, gram_hash, mix, release, slices
 from .components import connected_components
 from .storage import materialise
 
@@ -257,6 +257,7 @@ def _close(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             held = table.slice(cut)
         if held is not None:
             yield compare(held)
+        release()
 
     return rows.repartition("bucket", "i", "k").sortWithinPartitions("bucket", "i", "k").mapInArrow(groups, "bucket long, i int, k int, part int, node binary, component binary")
 
