@@ -143,12 +143,12 @@ FROM parts GROUP BY conv_id
 NEAREST_SQL = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
-u AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, x -> x * x), (x, y) -> x + y)) AS size FROM v),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) AS size FROM v),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_reduce(list_transform(list_zip(q.e, c.e), x -> x[1] * x[2]), (x, y) -> x + y) / (q.size * c.size) AS score
+         list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda x, y: x + y) / (q.size * c.size) AS score
   FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
