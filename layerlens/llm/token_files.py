@@ -16,6 +16,7 @@ their text; null ids come first.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,37 +28,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytewords import _VALUES, _powers, mix, slices, text_buffer
+from .storage import lowest_hashes
+
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 #: Bytes of text in a block, a single longer document aside; distinct words a worker remembers.
-BLOCK_TEXT, CACHE_WORDS = 8 << 20, 1_000_000
+BLOCK_TEXT, CACHE_WORDS = 2 << 20, 400_000
+#: Classes of bytes.  Texts with any other byte are encoded whole by the tokenizer.
+SPACE, LETTER, DIGIT, MARK, LEAD, TRAIL, OTHER = range(7)
+CLASS = np.full(256, OTHER, dtype=np.uint8)
+CLASS[list(b"\t\n\x0b\x0c\r ")] = SPACE
+CLASS[[c for c in range(0x21, 0x7F)]] = MARK
+CLASS[list(b"0123456789")] = DIGIT
+CLASS[[c for c in range(0x80) if chr(c).isalpha()]] = LETTER
+CLASS[0x80:0xC0] = TRAIL
+CLASS[0xC3] = LEAD
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
 class WordIds(dict):
-    """Little-endian ids of a word, encoded by the tokenizer when first met.
-
-    The tokenizer drops white space before it merges, and its added tokens have
-    none, so a text's ids are its words' ids in order.
-    """
+    """Ids of a word by its hash, encoded by the tokenizer when first met."""
 
     def __init__(self, path: str, kind: str):
         super().__init__()
         self.path, self.kind = path, kind
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        encode = tokenizer(self.path).encode_batch_fast
-        for a in range(0, len(new), 20_000):
-            for w, e in zip(new[a : a + 20_000], encode(new[a : a + 20_000], add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype=self.kind).tobytes()
+    def learn(self, names: list[int], words: list[str]) -> None:
+        """Encode words, many at a time: between spaces each is one word to the tokenizer."""
+        t = tokenizer(self.path)
+        runs = [(names[a : a + 256], words[a : a + 256]) for a in range(0, len(names), 256)]
+        for a in range(0, len(runs), 32):
+            some = runs[a : a + 32]
+            for (own, _), e in zip(some, t.encode_batch([" ".join(w) for _, w in some], add_special_tokens=False)):
+                raw, width = np.array(e.ids, dtype=self.kind).tobytes(), np.dtype(self.kind).itemsize
+                cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(own) + 1)) * width).tolist()
+                for h, x, y in zip(own, cuts, cuts[1:]):
+                    self[h] = raw[x:y]
 
 
 @lru_cache(maxsize=4)
@@ -65,18 +78,76 @@ def word_ids(path: str, kind: str) -> WordIds:
     return WordIds(path, kind)
 
 
-def split_words(text: str) -> list[str]:
-    """Words of a text; only ASCII white space parts them, which normalising can neither make nor join."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def plain_rows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Rows whose words this module can part as the tokenizer does: ASCII and Latin-1 letters, digits, ASCII marks and white space, no apostrophe before a letter, no control string."""
+    n = len(data)
+    bad = kind == OTHER
+    lead, trail = kind == LEAD, kind == TRAIL
+    bad[1:] |= trail[1:] & (~lead[:-1] | (data[1:] == 0x97) | (data[1:] == 0xB7))
+    if n:
+        bad[0] |= trail[0]
+        word = (kind == LETTER) | lead
+        bad[:-1] |= (data[:-1] == 0x27) & word[1:] | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    upto = np.concatenate([[0], np.cumsum(bad)])
+    return upto[offsets[1:]] == upto[offsets[:-1]]
+
+
+def encode_block(column: pa.Array, path: str, kind: str, end_id: int) -> list[bytes]:
+    """Serialized ids of each text, with the end id; null counts as empty.
+
+    The tokenizer lower-cases, parts runs of letters, single digits and runs of
+    marks, drops white space and merges inside these only.  So a text's ids are
+    its words' ids in order, and each distinct word is encoded once.
+    """
+    data, offsets = text_buffer(column)
+    n, cache, end = len(data), word_ids(path, kind), np.array([end_id], dtype=kind)
+    classes = CLASS[data]
+    plain = plain_rows(data, offsets, classes)
+    trail = classes == TRAIL
+    classes[trail | (classes == LEAD)] = LETTER
+    first = classes != SPACE
+    first[1:] &= (classes[1:] != classes[:-1]) | (classes[1:] == DIGIT)
+    edges = offsets[1:-1]
+    edges = edges[edges < n]
+    first[edges] = classes[edges] != SPACE
+    start = np.flatnonzero(first)
+    # a word ends where the next begins or white space follows
+    stops = np.flatnonzero((classes == SPACE) | first)
+    stop = np.append(stops, n)[np.searchsorted(stops, start, side="right")] if len(start) else start
+    low = data.copy()
+    low[(data >= 0x41) & (data <= 0x5A)] += 32
+    low[trail & (data <= 0x9E)] += 32
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[low] * up[:n], out=sums[1:])
+    h = mix((sums[stop] - sums[start]) * down[start])
+    own = np.repeat(plain, np.diff(np.searchsorted(start, offsets)))
+    start, stop, h = start[own], stop[own], h[own]
+    names, at, which = np.unique(h, return_index=True, return_inverse=True)
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+    hashes = names.tolist()
+    new = [i for i, x in enumerate(hashes) if x not in cache]
+    raw = low.tobytes()
+    cache.learn([hashes[i] for i in new], [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), stop[at[new]].tolist())])
+    pieces = [cache[x] for x in hashes]
+    width = end.itemsize
+    many = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // width
+    flat, place = np.frombuffer(b"".join(pieces), dtype=kind), np.cumsum(many) - many
+    count = many[which]
+    upto = np.cumsum(count)
+    ids = flat[np.repeat(place[which] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+    cuts = (np.concatenate([[0], upto])[np.searchsorted(start, offsets)] * width).tolist()
+    tail, out = end.tobytes(), []
+    odd = [column[i].as_py() or "" for i in np.flatnonzero(~plain).tolist()]
+    whole = iter(tokenizer(path).encode_batch_fast(odd, add_special_tokens=False) if odd else [])
+    for ok, a, b in zip(plain.tolist(), cuts, cuts[1:]):
+        out.append((ids[a:b] if ok else np.array(next(whole).ids, dtype=kind).tobytes()) + tail)
+    return out
 
 
 def encode_texts(texts: list[str], path: str, kind: str, end_id: int) -> list[bytes]:
-    """Serialized ids of each text, with the end id."""
-    cache, end = word_ids(path, kind), np.array([end_id], dtype=kind).tobytes()
-    split = [split_words(t) for t in texts]
-    cache.learn({w for words in split for w in words})
-    look = cache.__getitem__
-    return [b"".join(map(look, words)) + end for words in split]
+    return encode_block(pa.array(texts, pa.string()), path, kind, end_id)
 
 
 def id_kind(path: str, end_id: int) -> str:
@@ -85,7 +156,7 @@ def id_kind(path: str, end_id: int) -> str:
 
 def train_dictionary(docs: DataFrame, path: str, kind: str, end_id: int, key: str, text: str) -> bytes:
     """Dictionary from a bounded sample; empty if the sample is too small to train on."""
-    chosen = docs.select(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.xxhash64(key, text).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    chosen = lowest_hashes(docs.select(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.xxhash64(key, text).alias("h")), "h", SAMPLE_DOCS)
     samples = [x[:SAMPLE_BYTES] for x in encode_texts([r["text"] for r in chosen.collect()], path, kind, end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -116,28 +187,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key:
     width = np.dtype(kind).itemsize
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, part, block, first = _compressor(shared.value).compress, TaskContext.get().partitionId(), 0, 0
-        keys, texts, size = [], [], 0
-
-        def close() -> pa.RecordBatch:
-            raw = encode_texts(texts, path, kind, end_id)
+        squeeze, part, first = _compressor(shared.value).compress, TaskContext.get().partitionId(), 0
+        for block, batch in enumerate(slices(batches, "text", BLOCK_TEXT)):
+            raw = encode_block(batch.column(1), path, kind, end_id)
             frames, counts = [squeeze(x) for x in raw], [len(x) // width for x in raw]
-            row = {"part": part, "block": block, "first_token": first, "tokens": sum(counts), "n_docs": len(keys), "dictionary_hash": mark, "id_bytes": width, "doc_ids": keys, "frame_ends": np.cumsum([len(f) for f in frames]).tolist(), "token_counts": counts, "frames": b"".join(frames)}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py() or ""
-                keys.append(k)
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_TEXT:
-                    done = close()
-                    yield done
-                    block, first = block + 1, first + done.column("tokens")[0].as_py()
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield close()
+            row = {"part": part, "block": block, "first_token": first, "tokens": sum(counts), "n_docs": len(raw), "dictionary_hash": mark, "id_bytes": width, "doc_ids": batch.column(0).to_pylist(), "frame_ends": np.cumsum([len(f) for f in frames]).tolist(), "token_counts": counts, "frames": b"".join(frames)}
+            first += row["tokens"]
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("tokens", pa.int64()), ("n_docs", pa.int32()), ("dictionary_hash", pa.string()), ("id_bytes", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("frame_ends", pa.list_(pa.int64())), ("token_counts", pa.list_(pa.int64())), ("frames", pa.binary())])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -67,3 +67,12 @@ def test_wrong_dictionary_is_an_error(spark, odd):
         spark.read.parquet(f"{folder}/{t}").write.parquet(f"{other}/{t}")
     with pytest.raises(Exception, match="another dictionary"):
         token_files.read_token_files(spark, other).collect()
+
+
+def test_words_are_parted_as_the_tokenizer_does():
+    rng, t = __import__("random").Random(4), Tokenizer.from_file(WORDS)
+    parts = ["a", "Bc", "é", "ÀÉ", "ß", "ÿ", "×", "÷", "1", "23", ".", ",", "...", "'", "'s", "don't", "<|", "|>", "<|endoftext|>", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x00", "\xa0", "\x85", "-", "$%", "œ", "İ", "é", "’", "日", "º", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    got = token_files.encode_texts(texts, WORDS, "<u2", 2)
+    for text, raw in zip(texts, got):
+        assert np.frombuffer(raw, dtype="<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
