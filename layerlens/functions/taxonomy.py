@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Place codes by super-region, and names of super-regions.
@@ -61,3 +61,8 @@ def place_counts(neurons: DataFrame) -> DataFrame:
     known = neurons.where(F.col("grp").isNotNull() & (F.col("grp") != "NO_CONS")).groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
     parts = known.withColumn("t", tokens(F.col("grp")))
     return parts.select(F.explode("t").alias("place"), (F.col("c") / F.size("t")).alias("w")).groupBy("place").agg(F.sum("w").alias("n"))
+
+
+def place_table(spark: SparkSession) -> DataFrame:
+    """place, region, name of all known places."""
+    return spark.createDataFrame([(p, r, NAMES[r]) for r, places in PLACES.items() for p in places], "place string, region string, name string")

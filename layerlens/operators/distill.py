@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signature import node_label
+from ..functions.signature import node_label, normalise_label
 
 TOP_SIGNATURE, TOP_WAIST, TOP_GLOBAL, TOP_WAIST_SIGNATURE = 200, 20, 1000, 10
 
@@ -57,6 +57,15 @@ def top_rows(motifs: DataFrame, n: int = 1000, min_count: int | None = None) ->
     return top(motifs if min_count is None else motifs.where(F.col("motif_count") >= min_count), n)
 
 
+def with_signature(motifs: DataFrame, wanted: str) -> DataFrame:
+    """Motifs of one signature (an old name counts as the new one); an unknown one is an error that lists those there are."""
+    rows = motifs.withColumn("signature", normalise_label(F.col("signature")))
+    found = rows.where(normalise_label(F.lit(wanted)) == F.col("signature"))
+    if found.isEmpty():
+        raise ValueError(f"no motif has signature {wanted}; there are {sorted(r[0] for r in rows.select('signature').distinct().collect())}")
+    return found
+
+
 def share(df: DataFrame, value: str, name: str = "share", *keys: str) -> DataFrame:
     """Add value / sum of value (of the same keys)."""
     total = F.sum(value).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))

@@ -71,14 +71,14 @@ def thresholds(graph: Graph) -> DataFrame:
 
 
 def categories(graph: Graph, column: str) -> DataFrame:
-    """category, lvl of every node with a level, for ``super_class``, ``superregion`` or ``group``; nodes without a category are left out."""
+    """root_id, category, lvl of every node with a level, for ``super_class``, ``superregion`` or ``group``; nodes without a category are left out."""
     rows = graph.levels.where(F.col("y_level").isNotNull()).select("root_id", F.col("y_level").alias("lvl"))
     if column == "super_class":
         names = graph.classification.select("root_id", F.col("super_class").alias("category"))
     else:
         known = graph.neurons.where(F.col("grp").isNotNull() & (F.col("grp") != "NO_CONS"))
         names = known.select("root_id", (super_region(F.col("grp")) if column == "superregion" else F.col("grp")).alias("category"))
-    return rows.join(names, "root_id").where(F.col("category").isNotNull()).select("category", "lvl")
+    return rows.join(names, "root_id").where(F.col("category").isNotNull()).select("root_id", "category", "lvl")
 
 
 def coherence(rows: DataFrame, least: float = 0.05) -> DataFrame:
@@ -122,3 +122,15 @@ def granularity(graph: Graph) -> DataFrame:
         return out.withColumn("granularity", F.lit(column)).join(mutual_information(rows).select(key, "nmi"), "granularity")
 
     return reduce(DataFrame.unionByName, map(one, ("super_class", "superregion", "group")))
+
+
+def null_reference(rows: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
+    """rep, purity (weighted by size), nmi of n copies whose levels are dealt anew among all nodes."""
+    from .nulls import permuted
+
+    def one(rep: int) -> DataFrame:
+        drawn = permuted(rows, "lvl", seed + rep, ["root_id"])
+        purity = coherence(drawn).agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("purity"))
+        return purity.withColumn("rep", F.lit(rep)).join(mutual_information(drawn).select(F.lit(rep).alias("rep"), "nmi"), "rep")
+
+    return reduce(DataFrame.unionByName, map(one, range(n)))

@@ -126,3 +126,12 @@ def rewired_by_order(edges: DataFrame, levels: DataFrame, seed: int = 42, tries:
     rows = rows.withColumn("place", place).groupBy("post", "d", "place").agg(F.min("j").alias("j"))
     rows = numbered(rows, draw(seed + 2, "post", "place"), "post").where(F.col("rank") < F.col("d"))
     return rows.join(order, "place").select("pre", "post")
+
+
+def mixing(edges: DataFrame, rounds: tuple[int, ...] = (1, 5, 10, 20), seed: int = 42) -> DataFrame:
+    """rounds, kept: share of the edges that are still there after so many rounds of swaps."""
+    total, now, rows = edges.count(), edges, []
+    for before, after in zip((0, *rounds), rounds):
+        now = swapped(now, after - before, seed + 1000 * before)
+        rows.append((after, now.join(edges, ["pre", "post"], "left_semi").count() / max(1, total)))
+    return edges.sparkSession.createDataFrame(rows, "rounds int, kept double")

@@ -102,3 +102,9 @@ def census(graph: Graph, least: int = 200) -> DataFrame:
     totals = profile(signature_counts(neighbour_counts(edges))).groupBy("area").agg(F.sum("n").alias("total"))
     out = sizes.join(edges.groupBy("area").agg(F.count(F.lit(1)).alias("n_edges")), "area").join(totals, "area")
     return out.withColumn("per_node", F.col("total") / F.col("n_nodes"))
+
+
+def flat_areas(enriched: DataFrame, least: float = 0.01, limit: float = 0.35) -> DataFrame:
+    """area, deviation: areas whose common signatures all lie within ``limit`` of the expected share (natural logarithm)."""
+    rows = enriched.where((F.col("share") >= least) & (F.col("enrichment") > 0))
+    return rows.groupBy("area").agg(F.max(F.abs(F.log("enrichment"))).alias("deviation")).where(F.col("deviation") < limit)

@@ -138,6 +138,7 @@ add("edges_sum_min_syn", lambda g: graph.edges_summed(g, 5), S.q(S.VIEWS, "SELEC
 add("edges_syn_all", graph.edges_summed, S.q(S.VIEWS, "SELECT * FROM esyn"))
 add("superregion_map", lambda g: g.neurons.where("grp IS NOT NULL AND grp <> 'NO_CONS'").select("grp").distinct().select("grp", taxonomy.super_region(F.col("grp")).alias("region"), taxonomy.super_region_label(taxonomy.super_region(F.col("grp"))).alias("label"), taxonomy.macro_area(F.col("grp")).alias("macro")),
     S.q(S.VIEWS, "SELECT DISTINCT grp, array_to_string(r, '.') AS region, array_to_string(list_transform(r, lambda x: CASE x WHEN 'OL' THEN 'Optic Lobe' WHEN 'AL' THEN 'Antennal Lobe' WHEN 'MB' THEN 'Mushroom Body' ELSE 'Lateral Horn' END), ' + ') AS label, substring(regexp_extract(grp, '^[^._]+'), 1, 3) AS macro FROM region"))
+add("place_table", lambda g: taxonomy.place_table(g.neurons.sparkSession))
 add("neuropil_counts", lambda g: rd(taxonomy.place_counts(g.neurons)), S.q(S.VIEWS, "SELECT place, round(SUM(w), 6) AS n FROM (SELECT unnest(string_split(grp, '.')) AS place, 1.0::DOUBLE / len(string_split(grp, '.')) AS w FROM region) GROUP BY place"))
 # metagraph and flows
 add("metanodes", lambda g: Run(g).sizes, S.q(S.work(), "SELECT area, lvl, n FROM sizes"))
@@ -265,6 +266,7 @@ add("within_area_profile", lambda g: rd(_profiles(g)), S.q(S.VIEWS + S.WITHIN, "
 _ENRICHED = "SELECT *, share / nullif(expected, 0) AS enrichment FROM shares JOIN (SELECT signature, SUM(n) / SUM(SUM(n)) OVER () AS expected FROM prof GROUP BY 1) USING (signature)"
 add("within_area_enrichment", lambda g: rd(within_area.enrichment(_profiles(g))), S.q(S.VIEWS + S.WITHIN, S.rounded(_ENRICHED, "share", "expected", "enrichment")))
 add("within_area_characteristic", lambda g: rd(within_area.characteristic(within_area.enrichment(_profiles(g)))), S.q(S.VIEWS + S.WITHIN, f"SELECT area, signature, round(share, 6) AS share, round(enrichment, 6) AS enrichment FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY round(enrichment, 9) DESC, signature) AS k FROM ({_ENRICHED}) WHERE share >= 0.01) WHERE k = 1"))
+add("within_area_flat", lambda g: rd(within_area.flat_areas(within_area.enrichment(_profiles(g)))), S.q(S.VIEWS + S.WITHIN, f"SELECT area, round(MAX(abs(ln(enrichment))), 6) AS deviation FROM ({_ENRICHED}) WHERE share >= 0.01 AND enrichment > 0 GROUP BY 1 HAVING MAX(abs(ln(enrichment))) < 0.35"))
 add("within_area_census", lambda g: rd(within_area.census(g, 20)), S.q(S.VIEWS + S.WITHIN, "SELECT m.area, m.n AS n_nodes, k.n AS n_edges, t.n AS total, round(t.n / m.n, 6) AS per_node FROM (SELECT area, COUNT(*) AS n FROM mem GROUP BY 1) m JOIN (SELECT area, COUNT(*) AS n FROM ae GROUP BY 1) k USING (area) JOIN (SELECT area, SUM(n) AS n FROM prof GROUP BY 1) t USING (area) WHERE m.n >= 20"))
 # paths
 add("paths_levels", lambda g: (lambda p: paths.total_paths(paths.path_counts(p[0], p[1], HOPS), p[2]))(_paths(g)), S.q(S.VIEWS + S.PATHS, "SELECT h, SUM(n) AS n FROM a WHERE v IN (SELECT v FROM tgt) GROUP BY h"))
@@ -294,6 +296,8 @@ add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), 3))
 add("null_block", lambda g: nulls.block_rewired(Run(g).edges, Run(g).nodes))
 add("null_alignment", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, 2))
 add("null_label_perm", _label_null)
+add("null_levels", lambda g: levels.null_reference(levels.categories(g, "group"), 3))
+add("null_mixing", lambda g: nulls.mixing(graph.edges_binary(g), (1, 2)))
 add("null_indegree", lambda g: nulls.rewired_by_order(paths.forward_edges(g), g.levels.select("root_id", F.col("y_level").alias("lvl"))))
 add("validation_blocks", lambda g: _null_counts(g, "B"))
 add("validation_alignment", lambda g: _null_counts(g, "C"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerlens.functions import signature, statistics, taxonomy
-from layerlens.operators import compare, distill, graph, motifs, nulls, paths, patterns, sweep, within_area
+from layerlens.operators import compare, distill, graph, levels, motifs, nulls, paths, patterns, sweep, within_area
 from layerlens.plans import analyses
 from layerlens.sources import artefacts
 from layerlens.sources.graph_tables import Graph, read_csv_graph
@@ -237,6 +237,24 @@ def test_statistics(spark):
     assert abs(rho - 0.316228) < 1e-6
 
 
+def test_null_levels_and_mixing(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i % 2 + 1) for i in range(200)], "root_id long, category string, lvl int")
+    got = levels.null_reference(rows, 2).collect()
+    assert all(0.5 <= r["purity"] < 0.65 and 0 <= r["nmi"] < 0.1 for r in got) and len(got) == 2
+    assert levels.mutual_information(rows).first()["nmi"] == 1.0 and {r["purity"] for r in levels.coherence(rows).collect()} == {1.0}
+    rng = random.Random(1)
+    df = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b and rng.random() < 0.2], "pre long, post long")
+    kept = [r["kept"] for r in nulls.mixing(df, (1, 4)).collect()]
+    assert 1 > kept[0] > kept[1]
+
+
+def test_signature_filter(spark):
+    df = spark.createDataFrame([("FF->FB", 1), ("LAT->LAT", 2)], "signature string, n int")
+    assert [r["n"] for r in distill.with_signature(df, "FWD->BWD").collect()] == [1]
+    with pytest.raises(ValueError, match="LAT->LAT"):
+        distill.with_signature(df, "BWD->BWD")
+
+
 def test_labels_and_places(spark):
     df = spark.createDataFrame([("FF->lat", "FB", 1, "lateral"), ("FB->FF", "FBX", 2, "pure_FF")], "signature string, area string, n_FF int, hourglass_type string")
     rows = signature.normalise_labels(df).collect()
