@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lowest_hashes
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS, SAMPLE_SPANS, PRECISION = 3000, 100, 0.99
 
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> di
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64())))], ["kind", "y", "fold", "x"])
 
     order = F.xxhash64(text)
-    sample = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")).orderBy("h", "text").limit(SAMPLE_TEXTS)
+    sample = lowest_hashes(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")), "h", SAMPLE_TEXTS)
     rows = sample.mapInArrow(examples, "kind int, y int, fold boolean, x array<double>").collect()
     models = {}
     for kind in range(len(KINDS)):
