@@ -212,21 +212,22 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> di
             out = []
             for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = base_spans(t)[:SAMPLE_SPANS]
-                known, fold = set(base), h % 4 == 0
-                out += [(s[0], 1, fold, features(t, s)) for s in base]
-                out += [(s[0], 1, fold, features(u, s)) for b in base for u, s in disguised(t, b)]
+                known = set(base)
+                out += [(s[0], 1, h, features(t, s)) for s in base]
+                out += [(s[0], 1, h, features(u, s)) for b in base for u, s in disguised(t, b)]
                 touching = [s for s in candidates(t)[:SAMPLE_SPANS] if s not in known and not any(s[0] == k[0] and s[1] < k[2] and k[1] < s[2] for k in base)]
-                out += [(s[0], 0, fold, features(t, s)) for s in touching]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64())))], ["kind", "y", "fold", "x"])
+                out += [(s[0], 0, h, features(t, s)) for s in touching]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "y", "h", "x"])
 
     order = F.xxhash64(text)
     sample = lowest_hashes(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")), "h", SAMPLE_TEXTS)
-    rows = sample.mapInArrow(examples, "kind int, y int, fold boolean, x array<double>").collect()
+    rows = sample.mapInArrow(examples, "kind int, y int, h long, x array<double>").collect()
     models = {}
     for kind in range(len(KINDS)):
         own = [r for r in rows if r["kind"] == kind]
         x, y = np.array([r["x"] for r in own], dtype=float), np.array([r["y"] for r in own], dtype=float)
-        held = np.array([r["fold"] for r in own], dtype=bool)
+        texts = np.array([r["h"] for r in own], dtype=np.int64)
+        held = np.isin(texts, np.unique(texts)[::4])  # every fourth text that has the kind
         if len(own) < 20 or min(y[held].sum(), y[~held].sum()) < 3:
             continue
         trees = Trees().fit(x[~held], y[~held])
