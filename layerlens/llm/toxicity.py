@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _VALUES, ALNUM, U, Words, _powers, mix, slices
+from .storage import lowest_hashes
 
 MAX_TOXIC, MAX_CLEAN, MAX_LEXICON, FIT_TOXIC, FIT_CLEAN = 12_000, 36_000, 200_000, 1_500, 4_500
 #: Prefix lengths in bytes that count as evidence beside the whole word.
@@ -267,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 2)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(key)
-    chosen = [marked.where(F.col("toxic") == y).select(F.col(key).alias("_key"), "toxic", order.alias("h")).orderBy("h").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    chosen = [lowest_hashes(marked.where(F.col("toxic") == y).select(F.col(key).alias("_key"), "toxic", order.alias("h")), "h", n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = chosen[0].union(chosen[1])  # at most MAX_TOXIC + MAX_CLEAN ids
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key")
     rows = rows.select("text", "toxic", "h", (fold(F.col("_key")) == 3).alias("fits"))
@@ -296,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(words.at), pa.int64()), pa.array([x.tolist() for x in own], pa.list_(pa.int64())), pa.array([evidence[a:b].tolist() for a, b in zip(cuts, cuts[1:])], pa.list_(pa.float64()))], ["toxic", "words", "at", "evidence"])
 
     fitted = rows.where("fits") if sizes.get((1, True)) and sizes.get((0, True)) else rows
-    parts = [fitted.where(F.col("toxic") == y).orderBy("h").limit(n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
+    parts = [lowest_hashes(fitted.where(F.col("toxic") == y), "h", n) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     found = [r for part in parts for r in part.select("text", "toxic").mapInArrow(tokens, "toxic int, words long, at array<long>, evidence array<double>").collect()]
     y = np.array([r["toxic"] for r in found], dtype=float)
     n_words = np.array([r["words"] for r in found], dtype=np.int64)
