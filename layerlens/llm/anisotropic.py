@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import lowest_hashes, materialise
 
 SUB, CENTRES, SAMPLE, QUERY_BLOCK, THRESHOLD = 2, 16, 20_000, 8192, 0.2
 #: Scan scores scored exactly before the bound is applied.
@@ -165,7 +165,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         return rows.withColumns({"codes": F.lit(b""), "reach": F.lit(0.0)}), None, 0
     dims = sizes["n"]
     rows = rows.where(F.size("vector") == dims)
-    chosen = rows.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample).select(F.col("vector").cast("array<double>").alias("v")).collect()
+    chosen = lowest_hashes(rows.select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64("vec_id", "vector").alias("h")), "h", sample).collect()
     book = fit_codebook(unit(matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.float64())), dims)))
     shared = vectors.sparkSession.sparkContext.broadcast(book)  # 16 centres a subspace
 
