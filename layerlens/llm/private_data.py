@@ -3,13 +3,15 @@
 1. Base spans follow fixed patterns with validators (email, ip, card, phone) and
    always stay.
 2. Generators propose more spans, overlapping freely: written-out emails
-   (``name (at) host dot org``), spaced or bracketed numbers of many shapes.
+   (``name (at) host dot org``) with every end of the domain, and numbers of many
+   shapes from every digit group to every later one whose digits fit the kind.
 3. For each kind, gradient-boosted trees over format and context features give a
    probability.  Nobody labels spans here, so positives are the base spans of a
    sample and disguised copies of them set in their own surroundings; negatives
    are the sample's other candidates.  A Platt curve on held-out documents
    calibrates, and the threshold is the lowest with the wanted precision there.
-4. Candidates over the threshold that overlap no stronger span are added.
+4. Candidates over the threshold that overlap no stronger span are added, and
+   so is what the fixed patterns find in the text left between them.
 
 The model is fitted on at most ``SAMPLE_TEXTS`` documents of lowest hash and
 ``SAMPLE_SPANS`` candidates of each.  All rows are judged with whole texts.
@@ -20,6 +22,7 @@ no spans; without base spans in the sample nothing is added.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .storage import lowest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_TEXTS, SAMPLE_SPANS, PRECISION = 3000, 100, 0.99
+SAMPLE_TEXTS, SAMPLE_SPANS, PRECISION, CHUNK = 3000, 100, 0.99, 4096
 
 # Fixed patterns of the base spans.  Runs hold every number span whole, so the rest need not scan the text.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -42,10 +45,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Generators.
-AT_DOT = re.compile(r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?", re.I)
-SPELLED = re.compile(r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[A-Za-z0-9-]{1,63})+", re.I)
-QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?\.\x20?|\x20)[0-9]{1,3}(?:\x20?\.\x20?|\x20)[0-9]{1,3}(?:\x20?\.\x20?|\x20)[0-9]{1,3}(?![0-9])")
-NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])+")
+MARK = re.compile(r"@|\(at\)|\[at\]|(?<=\x20)at(?=\x20)", re.I)
+LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
+NEXT_LABEL = re.compile(r"(?:\.|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[A-Za-z0-9-]{1,63}", re.I)
+MAX_LOCAL, MAX_DOMAIN = 64, 400
+GROUP = re.compile(r"[0-9]+")
+QUAD_GAP = re.compile(r"\x20?\.\x20?|\x20")
+NUMBER_GAP = re.compile(r"[\x20().-]{1,2}")
+MORE_LEFT, MORE_RIGHT = re.compile(r"[0-9][\x20().-]{0,2}\Z"), re.compile(r"[\x20().-]{0,2}[0-9]")
+SIZES = {2: (12, 19), 3: (7, 15)}  # digits of the numbers proposed
 NEAR = {"email": re.compile(r"mail|contact|write|@", re.I), "ip": re.compile(r"\bip\b|addr|host|server", re.I), "card": re.compile(r"card|visa|pay|credit|konto", re.I), "phone": re.compile(r"tel|phone|call|fax|mobil", re.I)}
 REFUSED = re.compile(r"token|key|id|hash|version|=|#|\$", re.I)
 
@@ -89,30 +97,50 @@ def base_spans(text: str) -> list[Span]:
     return [s for spans in out for s in spans]
 
 
-def candidates(text: str) -> list[Span]:
-    """High-recall spans of each kind; they may overlap."""
-    out = []
-    low = text.lower()
-    if AT_DOT.search(text) or "(at)" in low or "[at]" in low or "@" in text:
-        marks = [m.start() for m in re.finditer(r"@|\(at\)|\[at\]|\x20at\x20", low)]
-        for mark, last in zip(marks, [0, *marks]):  # each mark has its own surroundings, so the search stays linear
-            a = max(last, mark - 66)
-            if m := SPELLED.search(text, a, mark + 400):
-                out.append((0, m.start(), m.end()))
+def _spelled(text: str) -> Iterator[Span]:
+    """Emails of any spelling: for each mark the local part before it, up to each end of the domain after it."""
+    for mark in MARK.finditer(text):
+        a, b = mark.span()
+        if mark.group()[0] in "aA":  # the word stands between blanks
+            a, b = a - 1, b + 1
+        a, b = a - (text[a - 1 : a] == " "), b + (text[b : b + 1] == " ")
+        low = max(0, a - MAX_LOCAL)
+        own = text[low + len(text[low:a].rstrip(LOCAL)) : a].lstrip(".")
+        found = LABEL.match(text, b) if own else None
+        while found and (found := NEXT_LABEL.match(text, found.end())) and found.end() <= b + MAX_DOMAIN:
+            yield 0, a - len(own), found.end()
+
+
+def _numbers(text: str) -> Iterator[Span]:
+    """Numbers from every digit group of a run to every later one; at most 19 digits are looked at, so this is linear."""
     for run in RUN.finditer(text):
-        part = run.group()
-        if sum(map(str.isdigit, part)) < 4:
+        groups = [m.span() for m in GROUP.finditer(text, run.start(), run.end())]
+        if sum(b - a for a, b in groups) < 4:
             continue
-        start = run.start() - (run.start() > 0 and text[run.start() - 1] == "(")
-        part = text[start : run.end()]
-        out += [(1, start + m.start(), start + m.end()) for m in QUAD.finditer(part)]
-        for m in NUMBER.finditer(part):
-            n = len(_digits(m.group()))
-            if 12 <= n <= 19:
-                out.append((2, start + m.start(), start + m.end()))
-            if 7 <= n <= 15:
-                out.append((3, start + m.start(), start + m.end()))
-    return sorted(set(out))
+        gaps = [text[b:a] for (_, b), (a, _) in zip(groups, groups[1:])]
+        for i, (start, _) in enumerate(groups):
+            if all(b - a <= 3 for a, b in groups[i : i + 4]) and len(groups) >= i + 4 and all(map(QUAD_GAP.fullmatch, gaps[i : i + 3])):
+                yield 1, start, groups[i + 3][1]
+            lead = start - (text[start - 1 : start] in ("+", "("))
+            n = 0
+            for k in range(i, len(groups)):
+                a, b = groups[k]
+                n += b - a
+                if n > 19 or (k > i and not NUMBER_GAP.fullmatch(gaps[k - 1])):
+                    break
+                for kind, (least, most) in SIZES.items():
+                    if least <= n <= most:
+                        yield kind, lead, b
+
+
+def _proposed(text: str) -> Iterator[Span]:
+    yield from _spelled(text)
+    yield from _numbers(text)
+
+
+def candidates(text: str) -> list[Span]:
+    """High-recall spans of each kind; they may overlap."""
+    return sorted(set(_proposed(text)))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -128,21 +156,59 @@ def features(text: str, span: Span) -> list[float]:
         float(kind == 2 and luhn(digits)), float(kind == 1 and all(int(g[:4] or 0) <= 255 for g in re.findall(r"[0-9]+", own))),
         float(left[-1:].isalnum()), float(right[:1].isalnum()), float(left[-1:] in "\"'=/#$"), float(bool(near.search(left))), float(bool(REFUSED.search(left[-10:]))), float(digits[:1] == "0"),
         float(len(set(digits))),
+        float(kind > 0 and bool(MORE_LEFT.search(left[-3:]))), float(bool((MORE_RIGHT if kind else NEXT_LABEL).match(text, b))),
     ]
 
 
-def disguised(text: str, span: Span) -> list[tuple[str, Span]]:
-    """A base span rewritten as people hide it, in its own surroundings."""
+def disguised(text: str, span: Span) -> list[tuple[str, list[Span]]]:
+    """A base span rewritten as people hide it, or set beside other numbers, in its own surroundings."""
     kind, a, b = span
     own, left, right = text[a:b], text[max(0, a - 40) : a], text[b : b + 40]
     digits = _digits(own)
-    forms = {
-        0: [own.replace("@", " (at) "), own.replace("@", " [at] ").replace(".", " [dot] "), own.replace("@", " at ").replace(".", " dot ")],
-        1: [own.replace(".", " . "), own.replace(".", " ")],
-        2: [" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))],
-        3: [own.lstrip("+"), f"({digits[1:4]}) {digits[4:7]}-{digits[7:]}", f"{digits[1:4]}-{digits[4:7]}-{digits[7:]}"],
+    spaced = " ".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    local = f"({digits[1:4]}) {digits[4:7]}-{digits[7:]}"
+    forms = {  # what is of the kind, and what stands between
+        0: [[own.replace("@", " (at) ")], [own.replace("@", " at ")], [own.replace("@", " [at] ").replace(".", " [dot] ")], [own.replace("@", " at ").replace(".", " dot ")]],
+        1: [[own.replace(".", " . ")], [own.replace(".", " ")]],
+        2: [[spaced], [".".join(digits[i : i + 4] for i in range(0, len(digits), 4))], [own, " ", own], [spaced, " ", spaced], [own, " 12 27"], ["", "2024-01-05 ", own]],
+        3: [[own.lstrip("+")], [local], [f"{digits[1:4]}-{digits[4:7]}-{digits[7:]}"], [own, " 2024-01-05"], [local, " 2024-01-05"], ["", "2024-01-05 ", local]],
     }[kind]
-    return [(left + f + right, (kind, len(left), len(left) + len(f))) for f in forms]
+    out = []
+    for parts in forms:
+        ends = [len(left)]
+        for part in parts:
+            ends.append(ends[-1] + len(part))
+        out.append((left + "".join(parts) + right, [(kind, ends[i], ends[i + 1]) for i in range(0, len(parts), 2) if parts[i]]))
+    return out
+
+
+def _alone(text: str, span: Span) -> bool:
+    """Whether the span would be a base span if it stood alone."""
+    own = text[span[1] : span[2]]
+    return (span[0], 0, len(own)) in base_spans(own)
+
+
+def _overlaps(span: Span, others: list[Span]) -> bool:
+    return any(span[0] == k and span[1] < b and a < span[2] for k, a, b in others)
+
+
+def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
+    """kind, whether it is one, features: the base spans and their disguised copies, against other candidates and what overlaps a copy."""
+    base = base_spans(text)
+    proposed = candidates(text)
+    for kind in range(len(KINDS)):
+        own = [s for s in base if s[0] == kind][:SAMPLE_SPANS]
+        for s in own:
+            yield kind, 1, features(text, s)
+            for copy, true in disguised(text, s):
+                for t in true:
+                    yield kind, 1, features(copy, t)
+                for c in candidates(copy):
+                    if c not in true and _overlaps(c, true) and not _alone(copy, c):
+                        yield kind, 0, features(copy, c)
+        others = (s for s in proposed if s[0] == kind and not _overlaps(s, base) and not _alone(text, s))
+        for s in itertools.islice(others, SAMPLE_SPANS):
+            yield kind, 0, features(text, s)
 
 
 class Trees:
@@ -207,21 +273,14 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> dict[int, tuple]:
     """kind: (trees, slope, offset, threshold) from a bounded sample."""
 
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                base = base_spans(t)[:SAMPLE_SPANS]
-                known = set(base)
-                out += [(s[0], 1, h, features(t, s)) for s in base]
-                out += [(s[0], 1, h, features(u, s)) for b in base for u, s in disguised(t, b)]
-                touching = [s for s in candidates(t)[:SAMPLE_SPANS] if s not in known and not any(s[0] == k[0] and s[1] < k[2] and k[1] < s[2] for k in base)]
-                out += [(s[0], 0, h, features(t, s)) for s in touching]
+            out = [(kind, y, h, x) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, y, x in examples(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "y", "h", "x"])
 
     order = F.xxhash64(text)
     sample = lowest_hashes(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")), "h", SAMPLE_TEXTS)
-    rows = sample.mapInArrow(examples, "kind int, y int, h long, x array<double>").collect()
+    rows = sample.mapInArrow(learn, "kind int, y int, h long, x array<double>").collect()
     models = {}
     for kind in range(len(KINDS)):
         own = [r for r in rows if r["kind"] == kind]
@@ -243,25 +302,38 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> di
 def judge(text: str, models: dict[int, tuple]) -> tuple[list[Span], list[Span]]:
     """Base spans and added spans of a text."""
     base = base_spans(text)
-    known = set(base)
-    open_ = [s for s in candidates(text) if s not in known and s[0] in models]
-    if not open_:
-        return base, []
-    taken, scored = sorted((a, b) for _, a, b in base), []
-    for kind in {s[0] for s in open_}:
-        trees, slope, offset, threshold = models[kind]
-        own = [s for s in open_ if s[0] == kind]
-        p = 1 / (1 + np.exp(-(slope * trees.score(np.array([features(text, s) for s in own])) + offset)))
-        scored += [(-q, s) for q, s in zip(p.tolist(), own) if q >= threshold]
-    added: list[Span] = []
-    for _, s in sorted(scored):
-        at = bisect.bisect_left(taken, (s[1], s[1]))
-        if (at == len(taken) or taken[at][0] >= s[2]) and (at == 0 or max(b for _, b in taken[max(0, at - 4) : at]) <= s[1]):
-            bisect.insort(taken, (s[1], s[2]))
-            added.append(s)
+    known, scored = set(base), []
+    open_ = (s for s in _proposed(text) if s not in known and s[0] in models)
+    while chunk := list(itertools.islice(open_, CHUNK)):
+        for kind in {s[0] for s in chunk}:
+            trees, slope, offset, threshold = models[kind]
+            own = [s for s in chunk if s[0] == kind]
+            p = 1 / (1 + np.exp(-(slope * trees.score(np.array([features(text, s) for s in own])) + offset)))
+            scored += [(-q, k, a, -b) for q, (k, a, b) in zip(p.tolist(), own) if q >= threshold]
+    taken, added = sorted((a, b) for _, a, b in base), []
+    for _, kind, a, b in sorted(scored):  # of equals the first, then the longest
+        b = -b
+        at = bisect.bisect_left(taken, (a, a))
+        if (at == len(taken) or taken[at][0] >= b) and (at == 0 or max(y for _, y in taken[max(0, at - 4) : at]) <= a):
+            bisect.insort(taken, (a, b))
+            added.append((kind, a, b))
+    more = added
+    while more:  # an added span may have hidden its neighbour from the fixed patterns
+        more = base_spans(_without(text, base + added))
+        added = added + more
     return base, added
 
 
+def _without(text: str, spans: list[Span]) -> str:
+    """The text with spans blotted out in place."""
+    out, low = [], 0
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if b > low:
+            out += [text[low : max(a, low)], "\x00" * (b - max(a, low))]
+            low = b
+    return "".join(out) + text[low:]
+
+
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 

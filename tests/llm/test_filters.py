@@ -107,6 +107,38 @@ def test_private_data(spark, sf, odd, empty):
     assert private_data.fit(empty) == {} and private_data.find_private_data(empty, {}).count() == 0
 
 
+def cut_candidates(text):
+    return {(k, text[a:b]) for k, a, b in private_data.candidates(text)}
+
+
+def test_candidates_inside_runs():
+    """Spans start and end at every digit group, and at every end of a domain."""
+    assert {(2, "7536784127813050"), (2, "4845168114407329")} <= cut_candidates("pay 7536784127813050 4845168114407329 now")
+    assert (2, "4111111111111111") in cut_candidates("4111111111111111 12 27")
+    assert {(3, "(974) 555-3436"), (3, "555-3436")} <= cut_candidates("call (974) 555-3436 2024-01-05")
+    assert {(1, "1 2 3 4"), (1, "2 3 4 5")} == cut_candidates("1 2 3 4 5")
+    assert cut_candidates("to name at host.tld please") == {(0, "name at host.tld")}
+    assert cut_candidates("\u0130\u0130 jo (AT) a dot b.org") == {(0, "jo (AT) a dot b"), (0, "jo (AT) a dot b.org")}
+
+
+def test_private_data_side_by_side(spark):
+    """Neighbours do not hide each other, and nothing that the fixed patterns know is left after redaction."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    models = private_data.fit(docs)
+    for text, found in [
+        ("pay 7536784127813050 4845168114407329 now", ["7536784127813050", "4845168114407329"]),
+        ("2353820953013749 4550997810720808", ["4550997810720808"]),
+        ("card 4111111111111111 12 27 ok", ["4111111111111111"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("call (974) 555-3436 2024-01-05 ok", ["(974) 555-3436"]),
+        ("write to name at host.tld please", ["name at host.tld"]),
+    ]:
+        base, added = private_data.judge(text, models)
+        assert base == [] and [text[a:b] for _, a, b in sorted(added, key=lambda s: s[1])] == found
+    redacted = [r["redacted"] for r in private_data.find_private_data(docs, models).where("size(spans) > 0").collect()]
+    assert not [t for t in redacted if naive_spans(t)]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
