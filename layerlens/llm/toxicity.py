@@ -12,8 +12,8 @@ evidence, all documents of a batch at once.  The marginals give offending
 offsets, and their sum and maximum, with the number of words, the score.
 
 Training reads at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled
-rows (lowest hashes); every row is scored, with its whole text.  Null texts
-count as empty; empty texts get the score of a text without evidence.  A
+rows (lowest hashes), weighted to the classes' shares among all of them; every row
+is scored, with its whole text.  Null texts count as empty; empty texts get the score of a text without evidence.  A
 document that is labelled twice counts as toxic if one label says so; null
 labels are ignored.
 """
@@ -308,7 +308,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     tags = (np.repeat(y, np.diff(chain.at)) * (chain.evidence >= LEAST_EVIDENCE)) if len(flat) else np.zeros(0)
     model.weights = fit_crf(chain, tags)
     x = document_features(chain, forward_backward(chain, model.weights)[1], n_words)
-    total = {label: sum(n for (t, _), n in sizes.items() if t == label) for label in (0, 1)}
+    copies = docs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    labelled = copies.join(marked.select(F.col(key).alias("_key"), "toxic"), "_key").groupBy("toxic").agg(F.sum("n").alias("n"))
+    total = {r["toxic"]: r["n"] for r in labelled.collect()}  # of all labelled rows, so the bounds do not move the prior
     share = {label: total[label] / max(1, int((y == label).sum())) for label in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
     model.calibration = fit_logistic(x, y, weight * len(y) / weight.sum())

@@ -155,6 +155,21 @@ def test_toxicity_held_out(spark):
     assert got[2]["toxic_score"] == got[3]["toxic_score"] < 0.3
 
 
+@pytest.mark.parametrize("bounds", [(12_000, 36_000), (150, 200)])
+def test_toxicity_prior(spark, monkeypatch, bounds):
+    """The calibration sees the classes in the shares of all labelled rows, whether or not the bounds are met."""
+    d, seen = "/root/testdata/sf0.1", []
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    fit = toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", bounds[0])
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", bounds[1])
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y, w: seen.append(w[y == 1].sum() / w.sum()) or fit(x, y, w))
+    toxicity.train(docs, labels)
+    marked = {r[0]: r[1] for r in labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic")).collect() if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    own = [marked[r[0]] for r in docs.select("doc_id").collect() if r[0] in marked]
+    assert abs(seen[0] - np.mean(own)) < 1e-9
+
+
 def test_toxicity_odd_inputs(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(25)] + [(None, 1), (1, None), (1, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
