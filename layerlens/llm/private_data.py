@@ -13,15 +13,17 @@
 4. Candidates over the threshold that overlap no stronger span are added, and
    so is what the fixed patterns find in the text left between them.
 
-The model is fitted on at most ``SAMPLE_TEXTS`` documents of lowest hash and
-``SAMPLE_SPANS`` candidates of each.  All rows are judged with whole texts.
+The model is fitted on at most ``SAMPLE_TEXTS`` distinct texts with a base span
+of each kind, and as many of any kind, those of lowest hash in the whole table,
+and ``SAMPLE_SPANS`` candidates of each.  All rows are judged with whole texts.
 Offsets are in code points, ends exclusive.  Null texts count as empty and have
-no spans; without base spans in the sample nothing is added.
+no spans; a kind with too few base spans in the table gets no more.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import math
 import re
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import lowest_hashes
+from .storage import lowest_hashes, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS, SAMPLE_SPANS, PRECISION, CHUNK = 3000, 100, 0.99, 4096
@@ -278,9 +280,24 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> di
             out = [(kind, y, h, x) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, y, x in examples(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["kind", "y", "h", "x"])
 
-    order = F.xxhash64(text)
-    sample = lowest_hashes(docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), order.alias("h")), "h", SAMPLE_TEXTS)
-    rows = sample.mapInArrow(learn, "kind int, y int, h long, x array<double>").collect()
+    most, common = SAMPLE_TEXTS, len(KINDS)
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind, h: a task's lowest text hashes of each kind, and of all texts; copies count once."""
+        held: list[set[int]] = [set() for _ in range(common + 1)]
+        for batch in batches:
+            for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kind in {common, *(s[0] for s in base_spans(t))}:
+                    held[kind].add(h)
+            held = [set(sorted(x)[:most]) if len(x) > 2 * most else x for x in held]
+        out = [(kind, h) for kind, x in enumerate(held) for h in sorted(x)[:most]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64())], ["kind", "h"])
+
+    texts = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    found = materialise(texts.mapInArrow(lowest, "kind int, h long"), "private-sample")
+    chosen = [lowest_hashes(found.where(F.col("kind") == kind).select("h").distinct(), "h", most) for kind in range(common + 1)]
+    sample = texts.join(F.broadcast(functools.reduce(DataFrame.union, chosen).distinct()), "h").dropDuplicates(["h"]).select("text", "h")
+    rows = sorted(sample.mapInArrow(learn, "kind int, y int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["kind"], r["y"], r["x"]))
     models = {}
     for kind in range(len(KINDS)):
         own = [r for r in rows if r["kind"] == kind]

@@ -139,6 +139,16 @@ def test_private_data_side_by_side(spark):
     assert not [t for t in redacted if naive_spans(t)]
 
 
+def test_private_data_rare_kind(spark, monkeypatch):
+    """A kind in one text of a hundred is learnt from the whole table, also beside a large group of copies."""
+    monkeypatch.setattr(private_data, "SAMPLE_TEXTS", 40)
+    texts = [f"note {i} of page {i * 7} and 12 34 {i} more" for i in range(4000)] + [f"host {i % 200}.7.{i}.9 was item {i}" for i in range(40)] + ["copy 5 of 6"] * 2000
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    models = private_data.fit(docs)
+    assert set(models) == {1}
+    assert private_data.judge("host 10 . 7 . 3 . 9 was", models)[1] == [(1, 5, 19)]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
