@@ -297,12 +297,14 @@ def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> di
     found = materialise(texts.mapInArrow(lowest, "kind int, h long"), "private-sample")
     chosen = [lowest_hashes(found.where(F.col("kind") == kind).select("h").distinct(), "h", most) for kind in range(common + 1)]
     sample = texts.join(F.broadcast(functools.reduce(DataFrame.union, chosen).distinct()), "h").dropDuplicates(["h"]).select("text", "h")
-    rows = sorted(sample.mapInArrow(learn, "kind int, y int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["kind"], r["y"], r["x"]))
+    rows = sample.mapInArrow(learn, "kind int, y int, h long, x array<double>").toArrow().combine_chunks()  # columns, as rows would fill the driver
+    kinds, labels, hashes = (rows.column(c).to_numpy() for c in ("kind", "y", "h"))
+    flat = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
     models = {}
     for kind in range(len(KINDS)):
-        own = [r for r in rows if r["kind"] == kind]
-        x, y = np.array([r["x"] for r in own], dtype=float), np.array([r["y"] for r in own], dtype=float)
-        texts = np.array([r["h"] for r in own], dtype=np.int64)
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.lexsort((*flat[own].T, labels[own], hashes[own]))]
+        x, y, texts = flat[own], labels[own].astype(float), hashes[own]
         held = np.isin(texts, np.unique(texts)[::4])  # every fourth text that has the kind
         if len(own) < 20 or min(y[held].sum(), y[~held].sum()) < 3:
             continue
