@@ -10,17 +10,22 @@ register with a probability close to their Jaccard similarity.
    about ``registers * log(registers)`` steps beside one for each element.
 2. Bands of registers name buckets.  With 40 bands of 5 a pair at 0.8 shares
    none with a probability of 1e-7.
-3. In each bucket every node is paired with one centre.  Register comparisons
-   and set sizes give the likelihood of the similarity, jointly for both orders
-   of each register; pairs whose maximum lies far under the threshold go.
-4. The rest is verified on the full sets; links join components.  First every
-   node is paired with its buckets' centres; then, in buckets that still hold
-   several components, with the node that most estimates put over the threshold
-   (copies of one text are further from each other than from it); then, only
-   where several components are left, all pairs across components are compared,
-   blockwise on sketches.  Pairs within one component are never looked at, so
-   large groups of near copies cost little more than their size, and no pair is
-   capped away.
+3. A node's degree is the sum of its buckets' sizes.  In each bucket every node is
+   paired with the hub, the node of largest degree (copies of one text are further
+   from each other than from it).  Register comparisons and set sizes give the
+   likelihood of the similarity, jointly for both orders of each register; pairs
+   whose maximum lies far under the threshold go.
+4. The rest is verified on the full sets; links join components.  Then, only in
+   buckets that hold several components, all pairs across components are compared,
+   blockwise on sketches, and those that may be links on full sets.  Pairs within
+   one component are never looked at, so large groups of near copies cost little
+   more than their size, and no pair is capped away.
+
+Hot keys: buckets of more than one in ``SHARE`` nodes are found in a sample of
+names (which only spreads work, and decides nothing), so their number is bounded;
+their rows are dealt by bucket and node, and their hubs' sketches and texts are
+repeated as often as they are dealt.  Nodes and components of as many rows get
+their results by a broadcast of as bounded a size.
 
 Null texts and texts without words have empty sets and are linked with nothing.
 A set of a text shorter than a shingle is its whole sequence.  Rows may repeat
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import SPACED, U, Words, gram_hash, mix, release, slices
@@ -43,8 +48,10 @@ from .storage import materialise
 
 BASE, SCALE, BANDS, ROWS = 1.001, 30.0, 40, 5
 REGISTERS = BANDS * ROWS
-#: Nodes in a block of the blockwise comparison; standard deviations under the threshold at which an estimate still counts.
-BLOCK, MARGIN = 2048, 5.5
+#: Nodes and shingles in a block of the blockwise comparison; standard deviations under the threshold at which an estimate still counts.
+BLOCK, WEIGHT, MARGIN = 512, 1 << 20, 5.5
+#: A key with more than one in ``SHARE`` of all rows is hot; rows that are never worth splitting; names that the search for hot buckets looks at.
+SHARE, ROOM, SAMPLE = 1000, 256, 20_000
 
 
 def row_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +171,11 @@ def _node_texts(docs: DataFrame, key: str, text: str, size: int, wanted: DataFra
     firsts = wanted.select("first").distinct()
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     named = rows.join(firsts, F.col("key").eqNullSafe(F.col("first")), "left_semi").select("text").mapInArrow(run, "node binary, text string")
-    return named.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return named.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node"), "node", "left_semi")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` with 100 * intersection >= percent * union of the full sets of their ``texts`` (node, text)."""
+def verify(pairs: DataFrame, texts: DataFrame, hubs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` (v a hub) with 100 * intersection >= percent * union of the full sets of their ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_u"):
@@ -182,22 +189,47 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             union = np.bincount(rows, minlength=n) - both
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(100 * both >= percent * union))
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u binary, v binary")
+    side = lambda rows, c: rows.withColumnsRenamed({"node": c, "text": f"text_{c}"})
+    both = _dealt(pairs.select("u", "v").join(side(texts, "u"), "u"), hubs).join(side(_repeated(texts, hubs), "v"), ["v", "salt"])
+    return both.mapInArrow(run, "u binary, v binary")
 
 
-def _estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs with their estimate, those of ``least`` or more."""
+def _dealt(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs with a salt that spreads those of a hot hub (``hubs``: node, spread)."""
+    found = pairs.join(F.broadcast(hubs.withColumnRenamed("node", "v")), "v", "left")
+    return found.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("u"), "spread"), F.lit(0))).drop("spread")
+
+
+def _repeated(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows of nodes, those of hot hubs once for each salt."""
+    found = rows.join(F.broadcast(hubs), "node", "left")
+    return found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+
+
+def _estimate(pairs: DataFrame, nodes: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs u, v (v a hub), those of an estimate of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("sketch_u", "sketch_v"))
             sizes = [batch.column(c).to_numpy() for c in ("n_u", "n_v")]
             j = likeliest((a > b).sum(axis=1), (a < b).sum(axis=1), *sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(j)], ["u", "v", "estimate"]).filter(pa.array(j >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(j >= least))
+        release()
 
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u binary, v binary, estimate double")
+    side = lambda rows, c: rows.withColumnsRenamed({"node": c, "n_shingles": f"n_{c}", "sketch": f"sketch_{c}"})
+    own = nodes.select("node", "n_shingles", "sketch")
+    one = pairs.groupBy("u").agg(F.collect_set("v").alias("vs")).join(side(own, "u"), "u")  # a node is in ``BANDS`` buckets
+    both = _dealt(one.withColumn("v", F.explode("vs")).drop("vs"), hubs).join(side(_repeated(own, hubs), "v"), ["v", "salt"])
+    return both.mapInArrow(run, "u binary, v binary")
+
+
+def _with(rows: DataFrame, values: DataFrame, key: str, spread: str, most: float) -> DataFrame:
+    """Rows with the ``value`` of their key, if any.  Keys with ``n`` over ``most`` (few, as n adds up to the rows) are broadcast and their rows dealt by ``spread``, so that no key's rows meet."""
+    large = F.broadcast(values.where(F.col("n") > most).select(F.col(key), F.col("value").alias("_large")))
+    other = values.where(F.col("n") <= most).select(F.col(key), F.lit(0).cast("long").alias("_salt"), F.col("value").alias("_other"))
+    found = rows.join(large, key, "left").withColumn("_salt", F.when(F.col("_large").isNull(), F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(spread), 1) + 1))
+    return found.join(other, [key, "_salt"], "left").withColumn("value", F.coalesce("_large", "_other")).drop("_salt", "_large", "_other")
 
 
 def _group_starts(table: pa.Table) -> np.ndarray:
@@ -209,37 +241,59 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _close(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Rows bucket, i, k, part, node, component of the nodes in the buckets of ``members`` (bucket, band, node, component) that have a pair across components of an estimate of ``least`` or more, in the pair's first bucket; i and k are the blocks that meet."""
-    blocks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each block meets every other block of its bucket, and itself, once
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), F.col("own").alias("part"), "band", "node", "component", "n_shingles", "sketch")
+def _close(members: DataFrame, nodes: DataFrame, least: float, most: float) -> DataFrame:
+    """Rows bucket, i, k, part, node, component of the nodes in the buckets of ``members`` (bucket, node, n_shingles, component) that have a pair across components of an estimate of ``least`` or more, in the pair's first bucket; i and k are the blocks that meet."""
+    each = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    each = each.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / WEIGHT)))
+    mixed = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("blocks", F.struct("n", "component")).alias("whole"),
+                                       F.sum("w").alias("w"), F.max_by("n", F.struct("n", "component")).alias("n_main"), F.max_by("w", F.struct("n", "component")).alias("w_main")).where("components > 1")
+    rest = F.ceil(F.greatest((F.col("n") - F.col("n_main")) / BLOCK, (F.col("w") - F.col("w_main")) / WEIGHT))
+    mixed = materialise(mixed.select("bucket", "n", F.struct("main", "whole", rest.alias("rest")).alias("value")), "mixed")
+    rows = _with(members, mixed, "bucket", "node", most).where("value IS NOT NULL")
+    # blocks of the bucket's largest component come after the others' and meet only those; every other block meets all blocks, and itself, once
+    main, rest, whole = F.col("component") == F.col("value.main"), F.col("value.rest"), F.col("value.whole")
+    rows = rows.withColumn("own", F.when(main, rest + F.pmod(F.xxhash64("node"), whole)).otherwise(F.pmod(F.xxhash64("node"), rest)))
+    rows = rows.withColumn("meets", F.when(main, rest).otherwise(rest + whole)).select("bucket", "node", "component", "own", "meets")
+    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("k"), F.col("own").cast("int").alias("part"), "node", "component", "n_shingles", "sketch")
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        """Pairs of neighbouring rows of one group, then of rows two apart, and so on, for all groups at once."""
-        n = table.num_rows
-        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(n, -1)
-        size, part = table.column("n_shingles").to_numpy(), table.column("part").to_numpy()
-        both = table.column("i").to_numpy() == table.column("k").to_numpy()
+        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(table.num_rows, -1)
+        size, part = table.column("n_shingles").to_numpy().astype(float), table.column("part").to_numpy()
+        bucket, i, k = (table.column(c).to_numpy() for c in ("bucket", "i", "k"))
         component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
         at = _group_starts(table)
-        room = np.repeat(np.append(at[1:], n), np.diff(np.append(at, n))) - np.arange(n)  # rows left in the group
-        need = registers.shape[1] * (least - 0.03)  # two sets agree in a register as often as they are similar
-        band, found, rows, d = table.column("band").to_numpy(), np.zeros(n, dtype=bool), np.arange(n), 1
-        while len(rows := rows[room[rows] > d]):
-            u = rows[(component[rows] != component[rows + d]) & (both[rows] | (part[rows] != part[rows + d]))]
-            for a in range(0, len(u), 4096):
-                x = u[a : a + 4096]
-                x = x[(registers[x] == registers[x + d]).sum(axis=1) >= need]
-                if len(x):
-                    j = likeliest((registers[x] > registers[x + d]).sum(axis=1), (registers[x] < registers[x + d]).sum(axis=1), size[x].astype(float), size[x + d])
-                    x = x[j >= least]
-                    first = (registers[x] == registers[x + d]).reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    x = x[first == band[x]]
-                    found[x] = found[x + d] = True
-            d += 1
+        band = (band_keys(registers[at]).view(np.int64) == bucket[at, None]).argmax(axis=1)
+        need = REGISTERS * (least - 0.03)  # two sets agree in a register as often as they are similar
+        found, us, vs = np.zeros(table.num_rows, dtype=bool), [], []
+
+        def estimate() -> None:
+            x, y = np.concatenate(us), np.concatenate(vs)
+            j = likeliest((registers[x] > registers[y]).sum(axis=1), (registers[x] < registers[y]).sum(axis=1), size[x], size[y])
+            found[x[j >= least]] = found[y[j >= least]] = True
+            us.clear()
+            vs.clear()
+
+        for a, b, own in zip(at.tolist(), np.append(at[1:], table.num_rows).tolist(), band.tolist()):
+            rows = np.arange(a, b)
+            if i[a] == k[a]:
+                sides = ((x, rows[x - a + 1 :]) for x in range(a, b - 1))
+            else:
+                one, other = rows[part[a:b] == i[a]], rows[part[a:b] == k[a]]
+                few, many = (one, other) if len(one) < len(other) else (other, one)
+                sides = ((x, many) for x in few.tolist())
+            for x, others in sides:
+                others = others[component[others] != component[x]]
+                same = registers[others] == registers[x]
+                # each pair once: in the first of its buckets
+                near = (same.sum(axis=1) >= need) & ~same[:, : own * ROWS].reshape(len(others), own, ROWS).all(axis=2).any(axis=1)
+                if near.any():
+                    vs.append(others[near])
+                    us.append(np.full(len(vs[-1]), x))
+                    if len(us) >= 256:
+                        estimate()
+        if us:
+            estimate()
         out = table.select(["bucket", "i", "k", "part", "node", "component"]).filter(pa.array(found)).combine_chunks()
         return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
 
@@ -263,7 +317,7 @@ def _close(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _linked(close: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links u, v across components among the rows of ``close``, by full sets; of a group as many as join what they join."""
+    """Components u, v with a link between them among the rows of ``close``, by full sets; of a group as many as join what it joins."""
 
     def link(table: pa.Table) -> pa.Table:
         rows, hashes = row_sets(Words(table.column("text"), SPACED), size)
@@ -282,66 +336,67 @@ def _linked(close: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     us.append(a)
                     vs.append(b)
                     component[component == component[b]] = component[a]
-        node = table.column("node")
-        return pa.table({"u": node.take(pa.array(us, pa.int64())), "v": node.take(pa.array(vs, pa.int64()))})
+        names = table.column("component")
+        return pa.table({"u": names.take(pa.array(us, pa.int64())), "v": names.take(pa.array(vs, pa.int64()))})
+
+    return close.join(texts, "node").groupBy("bucket", "i", "k").applyInArrow(link, "u binary, v binary")
 
-    return close.join(texts, "node").groupBy("bucket", "i", "k").applyInArrow(link, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+def _crowded(banded: DataFrame, total: int) -> DataFrame:
+    """bucket, guess (of its size) and spread (parts to deal it to) of buckets that may be hot; at most ``BANDS * SAMPLE / 10`` rows, from names that say nothing of texts."""
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = banded.where(F.xxhash64("node") < F.lit(int(2.0**64 * share - 2.0**63) if share < 1 else (1 << 63) - 1))
+    counts = sample.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(10, SAMPLE * share / SHARE / 2))
+    guess = F.ceil(F.col("n") / share)
+    rows = counts.select("bucket", guess.alias("guess"), F.ceil(guess / max(ROOM, total / SHARE)).alias("spread")).toArrow()
+    return banded.sparkSession.createDataFrame(rows)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id that links reach, its own included) and kept of every row."""
     least = least_estimate(percent / 100)
     sets = materialise(read_sets(docs, key, text, size), "sets")
-    nodes = materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = sets.where(F.col("node").isNotNull()).groupBy("node")
+    nodes = materialise(nodes.agg(F.min("key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "nodes")
+    total = sets.count()
+    most = max(ROOM, total / SHARE)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1))
             node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([node, pa.array(names.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["node", "bucket", "band"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(names.ravel().view(np.int64))], ["node", "bucket"])
+        release()
 
-    banded = nodes.select("node", "sketch").mapInArrow(buckets, "node binary, bucket long, band int")
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(banded.join(shared, "bucket"), "members")
-    stars = materialise(_estimate(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), nodes, least), "stars")
-    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    banded = nodes.select("node", "sketch").mapInArrow(buckets, "node binary, bucket long")
+    crowded = _crowded(banded, total)
+    rows = banded.join(F.broadcast(crowded), "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), "spread"), F.lit(0)))
+    rows = rows.withColumn("n", F.coalesce("guess", F.count(F.lit(1)).over(Window.partitionBy("bucket", "salt")))).where("n > 1")
+    rows = rows.withColumn("degree", F.sum("n").over(Window.partitionBy("node")))
+    members = materialise(rows.select("bucket", "salt", "node", "n", "degree", "spread"), "members")
+    # the hub of a bucket dealt to several parts is that of all parts
+    tops = members.where("spread IS NOT NULL").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.first("spread").alias("spread")).toArrow()
+    tops = docs.sparkSession.createDataFrame(tops)
+    hubs = tops.groupBy(F.col("hub").alias("node")).agg(F.max("spread").alias("spread"))
+    order = Window.partitionBy("bucket", "salt").orderBy(F.desc("degree"), F.desc("node")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = members.withColumn("top", F.first("node").over(order)).join(F.broadcast(tops.select("bucket", "hub")), "bucket", "left")
+    pairs = pairs.select(F.col("node").alias("u"), F.coalesce("hub", "top").alias("v")).where("u <> v")
+    stars = materialise(_estimate(pairs, nodes, hubs, least), "stars")
     stored = lambda names: _node_texts(docs, key, text, size, nodes.select("node", "first").join(names, "node", "left_semi"))
-    texts = materialise(stored(ends(stars).distinct()), "node-texts")
-    links = materialise(verify(stars, texts, size, percent), "links")
-    found = connected_components(links)
-    tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-    def mixed() -> DataFrame:
-        """Nodes and components in the buckets that hold several."""
-        named = members.where("n > 2").select("bucket", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        return materialise(named.join(several, "bucket", "left_semi"), "mixed")
-
-    def add_texts(names: DataFrame) -> None:
-        """Store texts of nodes that have none yet."""
-        nonlocal texts
-        missing = names.distinct().join(texts.select("node"), "node", "left_anti")
-        if not missing.isEmpty():
-            texts = texts.union(materialise(stored(missing), "node-texts"))
-
-    near = ends(stars.where(F.col("estimate") >= percent / 100)).groupBy("node").agg(F.count(F.lit(1)).alias("near"))
-    open_ = mixed()
-    hubs = open_.join(near, "node", "left").groupBy("bucket").agg(F.max_by(F.struct("node", "component"), F.struct(F.coalesce("near", F.lit(0)), "node")).alias("hub"))
-    pairs = open_.join(hubs, "bucket").where(F.col("component") != F.col("hub.component")).select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-    pairs = materialise(_estimate(pairs.join(tested, ["u", "v"], "left_anti"), nodes, least), "hubs")
-    add_texts(ends(pairs))
-    more = materialise(verify(pairs, texts, size, percent), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        found = connected_components(links)
-        open_ = mixed()
-    close = materialise(_close(open_, nodes, least), "close")
-    add_texts(close.select("node"))
-    more = materialise(_linked(close, texts, size, percent), "links")
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
-    named = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
-    out = sets.select("key", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    texts = materialise(stored(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node-texts")
+    found = connected_components(verify(stars, texts, hubs, size, percent))
+    named = nodes.select("node", "first", "n_shingles", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialise(named, "named")
+    open_ = members.where("n > 2").select("bucket", "node").join(named.select("node", "n_shingles", "component"), "node")
+    close = materialise(_close(open_, nodes, least, most), "close")
+    missing = close.select("node").distinct().join(texts.select("node"), "node", "left_anti")
+    texts = texts.union(materialise(stored(missing), "node-texts"))
+    merged = connected_components(_linked(close, texts, size, percent)).select(F.col("component").alias("value"), F.col("node").alias("component"))
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    merged = materialise(merged.join(sizes, "component"), "merged")
+    named = materialise(_with(named, merged, "component", "node", most).withColumn("component", F.coalesce("value", "component")).drop("value"), "named")
+    smallest = materialise(named.groupBy("component").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1"), "smallest")
+    ids = _with(named, smallest, "component", "node", most).select("node", F.col("copies").alias("n"), F.coalesce("value", "first").alias("value"))
+    out = _with(sets.select("key", "n_shingles", "node"), materialise(ids, "ids"), "node", "key", most)
+    own = F.coalesce("value", "key")
+    return out.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))
