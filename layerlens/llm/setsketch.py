@@ -44,12 +44,12 @@ from pyspark.sql import functions as F
 
 from .bytewords import SPACED, U, Words, gram_hash, mix, release, slices
 from .components import connected_components
-from .storage import materialise
+from .storage import join_values, materialise
 
 BASE, SCALE, BANDS, ROWS = 1.001, 30.0, 40, 5
 REGISTERS = BANDS * ROWS
 #: Nodes and shingles in a block of the blockwise comparison; standard deviations under the threshold at which an estimate still counts.
-BLOCK, WEIGHT, MARGIN = 512, 1 << 20, 5.5
+BLOCK, WEIGHT, MARGIN = 256, 1 << 20, 5.5
 #: A key with more than one in ``SHARE`` of all rows is hot; rows that are never worth splitting; names that the search for hot buckets looks at.
 SHARE, ROOM, SAMPLE = 1000, 256, 20_000
 
@@ -224,14 +224,6 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, hubs: DataFrame, least: float)
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def _with(rows: DataFrame, values: DataFrame, key: str, spread: str, most: float) -> DataFrame:
-    """Rows with the ``value`` of their key, if any.  Keys with ``n`` over ``most`` (few, as n adds up to the rows) are broadcast and their rows dealt by ``spread``, so that no key's rows meet."""
-    large = F.broadcast(values.where(F.col("n") > most).select(F.col(key), F.col("value").alias("_large")))
-    other = values.where(F.col("n") <= most).select(F.col(key), F.lit(0).cast("long").alias("_salt"), F.col("value").alias("_other"))
-    found = rows.join(large, key, "left").withColumn("_salt", F.when(F.col("_large").isNull(), F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(spread), 1) + 1))
-    return found.join(other, [key, "_salt"], "left").withColumn("value", F.coalesce("_large", "_other")).drop("_salt", "_large", "_other")
-
-
 def _group_starts(table: pa.Table) -> np.ndarray:
     new = np.ones(table.num_rows, dtype=bool)
     new[1:] = False
@@ -249,7 +241,7 @@ def _close(members: DataFrame, nodes: DataFrame, least: float, most: float) -> D
                                        F.sum("w").alias("w"), F.max_by("n", F.struct("n", "component")).alias("n_main"), F.max_by("w", F.struct("n", "component")).alias("w_main")).where("components > 1")
     rest = F.ceil(F.greatest((F.col("n") - F.col("n_main")) / BLOCK, (F.col("w") - F.col("w_main")) / WEIGHT))
     mixed = materialise(mixed.select("bucket", "n", F.struct("main", "whole", rest.alias("rest")).alias("value")), "mixed")
-    rows = _with(members, mixed, "bucket", "node", most).where("value IS NOT NULL")
+    rows = join_values(members, mixed, ["bucket"], "node", most).where("value IS NOT NULL")
     # blocks of the bucket's largest component come after the others' and meet only those; every other block meets all blocks, and itself, once
     main, rest, whole = F.col("component") == F.col("value.main"), F.col("value.rest"), F.col("value.whole")
     rows = rows.withColumn("own", F.when(main, rest + F.pmod(F.xxhash64("node"), whole)).otherwise(F.pmod(F.xxhash64("node"), rest)))
@@ -394,9 +386,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     merged = connected_components(_linked(close, texts, size, percent)).select(F.col("component").alias("value"), F.col("node").alias("component"))
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     merged = materialise(merged.join(sizes, "component"), "merged")
-    named = materialise(_with(named, merged, "component", "node", most).withColumn("component", F.coalesce("value", "component")).drop("value"), "named")
+    named = materialise(join_values(named, merged, ["component"], "node", most).withColumn("component", F.coalesce("value", "component")).drop("value"), "named")
     smallest = materialise(named.groupBy("component").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1"), "smallest")
-    ids = _with(named, smallest, "component", "node", most).select("node", F.col("copies").alias("n"), F.coalesce("value", "first").alias("value"))
-    out = _with(sets.select("key", "n_shingles", "node"), materialise(ids, "ids"), "node", "key", most)
+    ids = join_values(named, smallest, ["component"], "node", most).select("node", F.col("copies").alias("n"), F.coalesce("value", "first").alias("value"))
+    out = join_values(sets.select("key", "n_shingles", "node"), materialise(ids, "ids"), ["node"], "key", most)
     own = F.coalesce("value", "key")
     return out.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))

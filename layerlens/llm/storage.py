@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a /tmp folder only where that is unset (tests)."""
+    """Folder under ``spark.checkpoint.dir``; a local folder only where that is unset and all tasks run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/layerlens-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/layerlens-{spark.sparkContext.applicationId}"
 
@@ -41,3 +44,17 @@ def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_values(rows: DataFrame, values: DataFrame, keys: list[str], spread: str, most: float) -> DataFrame:
+    """``rows`` with the ``value`` of their keys, if any.
+
+    Keys with ``n`` over ``most`` in ``values`` are broadcast and their rows dealt
+    by ``spread``, so that no key's rows meet; as n adds up to at most the rows,
+    such keys are few where ``most`` is a fixed share of them.
+    """
+    large = F.broadcast(values.where(F.col("n") > most).select(*keys, F.struct("value").alias("_large")))
+    other = values.where(F.col("n") <= most).select(*keys, F.lit(0).cast("long").alias("_salt"), F.col("value").alias("_other"))
+    salt = F.when(F.col("_large").isNull(), F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(spread), 1) + 1)
+    found = rows.join(large, keys, "left").withColumn("_salt", salt).join(other, [*keys, "_salt"], "left")
+    return found.withColumn("value", F.coalesce("_large.value", "_other")).drop("_salt", "_large", "_other")
