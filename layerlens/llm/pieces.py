@@ -13,6 +13,9 @@ documents:
 What is shuffled are packed payloads: a block's documents as chunk numbers (most
 frequent first) and, for each bucket, its chunks once.
 
+Texts are decoded by chunk and joined by blanks, which equals decoding all ids
+of a document at once for models that pass ``check_model``.
+
 Null texts count as empty; an empty text has only the end id.  Rows may repeat,
 each is encoded.  An empty table gives an empty result.
 """
@@ -36,6 +39,8 @@ from .bytewords import release
 
 #: Bytes of text in a block and in one of its document payloads, a single longer document aside.
 BLOCK_BYTES, PAYLOAD_BYTES = 24 << 20, 2 << 20
+#: Buckets for each shuffle partition, so that a bucket stays small where a partition is not.
+SPREAD = 8
 MARK = "▁"
 
 
@@ -130,7 +135,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     """``key``, ids array<int> and decoded string of every row of ``docs``; ``end_id`` closes the ids and is not decoded."""
     check_model(model)
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     mark_id = processor(model).piece_to_id(MARK)
 
