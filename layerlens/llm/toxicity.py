@@ -12,10 +12,14 @@ evidence, all documents of a batch at once.  The marginals give offending
 offsets, and their sum and maximum, with the number of words, the score.
 
 Training reads at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled
-rows (lowest hashes), weighted to the classes' shares among all of them; every row
-is scored, with its whole text.  Null texts count as empty; empty texts get the score of a text without evidence.  A
-document that is labelled twice counts as toxic if one label says so; null
-labels are ignored.
+rows (lowest hashes), weighted to the classes' shares among all of them; of their
+third fold at most ``FIT_TOXIC`` and ``FIT_CLEAN`` rows fit the field and the
+calibration.  The evidence holds every feature of that sample that is strong.
+Every row is scored, with its whole text; equal texts, rows that repeat, get equal
+scores.  Null texts count as empty; empty texts get the score of a text without
+evidence.  A document that is labelled twice counts as toxic if one label says so;
+null labels are ignored.  An empty table is scored to an empty result and has
+nothing to learn from (``NothingToLearn``).
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _VALUES, ALNUM, U, Words, _powers, mix, slices
-from .storage import lowest_hashes
+from .storage import lowest_hashes, materialise
 
-MAX_TOXIC, MAX_CLEAN, MAX_LEXICON, FIT_TOXIC, FIT_CLEAN = 12_000, 36_000, 200_000, 1_500, 4_500
+MAX_TOXIC, MAX_CLEAN, FIT_TOXIC, FIT_CLEAN = 12_000, 36_000, 1_500, 4_500
 #: Prefix lengths in bytes that count as evidence beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_EVIDENCE, RUN = 3, 0.7, 512
@@ -271,18 +275,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = [lowest_hashes(marked.where(F.col("toxic") == y).select(F.col(key).alias("_key"), "toxic", order.alias("h")), "h", n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = chosen[0].union(chosen[1])  # at most MAX_TOXIC + MAX_CLEAN ids
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key")
-    rows = rows.select("text", "toxic", "h", (fold(F.col("_key")) == 3).alias("fits"))
+    rows = materialise(rows.select("text", "toxic", "h", (fold(F.col("_key")) == 3).alias("fits")), "labelled")
     sizes = {(r["toxic"], r["fits"]): r["n"] for r in rows.groupBy("toxic", "fits").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = (sizes.get((y, False), 0) for y in (1, 0))
     if not (n_toxic and n_clean):
         raise NothingToLearn("no toxic or no clean labelled rows to train on")
     counted = rows.where(~F.col("fits"))
-    toxic = _document_counts(counted.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "h").limit(MAX_LEXICON).collect()
-    keys = np.sort(np.array([r["h"] for r in toxic], dtype=np.int64).view(np.uint64))
-    clean = _document_counts(counted.where("toxic = 0"), spark.sparkContext.broadcast(keys)).collect()
+    toxic = _document_counts(counted.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS).select("h", "n").toArrow()
+    keys = np.sort(toxic.column("h").to_numpy().view(np.uint64))
+    clean = _document_counts(counted.where("toxic = 0"), spark.sparkContext.broadcast(keys)).select("h", "n").toArrow()
     p, d = np.zeros(len(keys)), np.zeros(len(keys))
     for counts, found in ((p, toxic), (d, clean)):
-        counts[np.searchsorted(keys, np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))] = [r["n"] for r in found]
+        counts[np.searchsorted(keys, found.column("h").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
     bound = _lower_bound(p, d, n_toxic, n_clean)
     strong = bound >= LEAST_EVIDENCE
     model = Model(keys[strong], bound[strong], np.zeros(7), np.zeros(5))
@@ -319,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Add toxic_score (0 to 1) and toxic_spans (code points, of tokens with a marginal of ``threshold`` or more) to ``docs``; columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LEXICON features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # strong features of the bounded sample
     rows = docs.drop("toxic_score", "toxic_spans")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
