@@ -36,11 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import release
+from .storage import text_buckets
 
 #: Bytes of text in a block and in one of its document payloads, a single longer document aside.
 BLOCK_BYTES, PAYLOAD_BYTES = 24 << 20, 2 << 20
-#: Buckets for each shuffle partition, so that a bucket stays small where a partition is not.
-SPREAD = 8
 MARK = "▁"
 
 
@@ -134,8 +133,7 @@ def _check(words: list[str], flat: int) -> int:
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", end_id: int | None = None) -> DataFrame:
     """``key``, ids array<int> and decoded string of every row of ``docs``; ``end_id`` closes the ids and is not decoded."""
     check_model(model)
-    spark = docs.sparkSession
-    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = text_buckets(docs, text)  # buckets stay small however many blocks there are
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     mark_id = processor(model).piece_to_id(MARK)
 

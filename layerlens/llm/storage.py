@@ -46,6 +46,12 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_buckets(docs: DataFrame, text: str, each: int = 32 << 20) -> int:
+    """Number of buckets that hold about ``each`` bytes of text, one for each shuffle partition at least."""
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def join_values(rows: DataFrame, values: DataFrame, keys: list[str], spread: str, most: float) -> DataFrame:
     """``rows`` with the ``value`` of their keys, if any.
 
