@@ -71,11 +71,11 @@ def _shuffled(x: Column, size: Column, seed: int, *keys: str) -> Column:
     return (x * F.get(usable, F.lit(0)) + shift) % size
 
 
-def block_rewired(edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
-    """Edges (pre, post, sa, sl, da, dl) dealt anew in each block of two metanodes: as many, uniform among its pairs, without repeats.
+def block_rewired(edges: DataFrame, nodes: DataFrame, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (keys, pre, post, sa, sl, da, dl) dealt anew in each block of two metanodes, for each of ``keys`` (such as a replicate): as many, uniform among its pairs, without repeats.
 
     Sparse blocks draw pairs and keep the first distinct ones; blocks that are over half full rank all their pairs."""
-    block = ["sa", "sl", "da", "dl"]
+    block = [*keys, "sa", "sl", "da", "dl"]
     size = lambda a, l, n: nodes.groupBy(F.col("area").alias(a), F.col("lvl").alias(l)).agg(F.count(F.lit(1)).alias(n))  # noqa: E731, E741
     blocks = edges.groupBy(*block).agg(F.count(F.lit(1)).alias("k")).join(size("sa", "sl", "ns"), ["sa", "sl"]).join(size("da", "dl", "nd"), ["da", "dl"])
     total = F.col("ns") * F.col("nd")
@@ -90,24 +90,25 @@ def block_rewired(edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFra
     return rows.join(node("sa", "sl", "pre", "_s"), ["sa", "sl", "_s"]).join(node("da", "dl", "post", "_d"), ["da", "dl", "_d"]).select("pre", "post", *block)
 
 
-def swapped(edges: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """Distinct edges (pre, post) after rounds of swaps a>b, c>d to a>d, c>b: degrees stay, no loops and no repeats arise.
+def swapped(edges: DataFrame, rounds: int = 20, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct edges (keys, pre, post) after rounds of swaps a>b, c>d to a>d, c>b within the same ``keys`` (such as a replicate): degrees stay, no loops and no repeats arise.
 
     A round pairs edges at random and accepts a swap if both new edges are new and no other pair proposes them."""
-    edges = edges.select("pre", "post")
+    own, pair = [*keys, "pre", "post"], [*keys, "_bucket", "_pair"]
+    edges = edges.select(own)
+    edge = lambda a, b: F.struct(F.col(a).alias("pre"), F.col(b).alias("post"))
     for r in range(rounds):
-        rows = edges.withColumn("_x", draw(seed + r, "pre", "post")).withColumn("_bucket", F.floor(F.col("_x") * 4096).cast("int"))
-        n = F.row_number().over(Window.partitionBy("_bucket").orderBy("_x", "pre", "post")) - 1
+        rows = edges.withColumn("_x", draw(seed + r, *own)).withColumn("_bucket", F.floor(F.col("_x") * 4096).cast("int"))
+        n = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_x", "pre", "post")) - 1
         rows = rows.withColumns({"_pair": F.floor(n / 2).cast("int"), "_side": n % 2})
-        one, two = (rows.where(F.col("_side") == s).select("_bucket", "_pair", F.col("pre").alias(a), F.col("post").alias(b)) for s, a, b in ((0, "a", "b"), (1, "c", "d")))
-        both = one.join(two, ["_bucket", "_pair"]).where("a <> c AND b <> d AND a <> d AND c <> b")
-        new = both.select("_bucket", "_pair", F.explode(F.array(F.struct(F.col("a").alias("pre"), F.col("d").alias("post")), F.struct(F.col("c").alias("pre"), F.col("b").alias("post")))).alias("e")).select("_bucket", "_pair", "e.*")
-        clash = new.join(edges.withColumn("_old", F.lit(1)), ["pre", "post"], "left").groupBy("pre", "post").agg(F.count(F.lit(1)).alias("_n"), F.max("_old").alias("_old"), F.collect_list(F.struct("_bucket", "_pair")).alias("_by"))
-        refused = clash.where("_n > 1 OR _old IS NOT NULL").select(F.explode("_by").alias("x")).select("x.*").distinct()
-        done = cut(both.join(refused, ["_bucket", "_pair"], "left_anti").select("a", "b", "c", "d"))
-        old = done.select(F.col("a").alias("pre"), F.col("b").alias("post")).union(done.select("c", "d"))
-        fresh = done.select(F.col("a").alias("pre"), F.col("d").alias("post")).union(done.select("c", "b"))
-        edges = cut(edges.join(old, ["pre", "post"], "left_anti").union(fresh))
+        one, two = (rows.where(F.col("_side") == s).select(*pair, F.col("pre").alias(a), F.col("post").alias(b)) for s, a, b in ((0, "a", "b"), (1, "c", "d")))
+        both = one.join(two, pair).where("a <> c AND b <> d AND a <> d AND c <> b")
+        new = both.select(*pair, F.explode(F.array(edge("a", "d"), edge("c", "b"))).alias("e")).select(*pair, "e.*")
+        clash = new.join(edges.withColumn("_old", F.lit(1)), own, "left").groupBy(own).agg(F.count(F.lit(1)).alias("_n"), F.max("_old").alias("_old"), F.collect_list(F.struct("_bucket", "_pair")).alias("_by"))
+        refused = clash.where("_n > 1 OR _old IS NOT NULL").select(*keys, F.explode("_by").alias("x")).select(*keys, "x.*").distinct()
+        done = cut(both.join(refused, pair, "left_anti").select(*keys, "a", "b", "c", "d"))
+        moves = lambda x, y: done.select(*keys, F.explode(F.array(edge(*x), edge(*y))).alias("e")).select(*keys, "e.*")  # noqa: B023, E731
+        edges = cut(edges.join(moves("ab", "cd"), own, "left_anti").union(moves("ad", "cb")))
     return edges
 
 

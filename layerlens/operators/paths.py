@@ -59,36 +59,84 @@ def centrality(a: DataFrame, b: DataFrame, hops: int) -> DataFrame:
     return a.join(right, "v").where(F.col("h") + F.col("h2") <= hops).groupBy("v").agg(F.sum(F.col("n") * F.col("n2")).alias("p"))
 
 
+#: Candidates that one job follows exactly: nodes that paths are told apart by, and ends of the flat network.
+FOLLOWED, FOLLOWED_ENDS = 40, 400
+
+
+def _greedy(groups: list[tuple[tuple, float]], first: dict, bound: float, enough, name) -> list[tuple]:
+    """Picks (node, gain) of the greedy cover, as far as they are certain.
+
+    ``groups``: sets of candidates and the weight of what touches just those;
+    ``bound``: the most that a node outside the candidates can weigh now, and so
+    later, as weights only fall.  A pick is certain over the bound; the first one
+    is the largest of all."""
+    weight, of = dict(first), {c: [] for c in first}
+    for n, (members, _) in enumerate(groups):
+        for c in members:
+            of[c].append(n)
+    alive, out = [True] * len(groups), []
+    while weight:
+        best = min(weight, key=lambda c: (-weight[c], name(c)))
+        gain = weight.pop(best)
+        if gain <= 0 or (out and gain <= bound):
+            break
+        out.append((best, gain))
+        for n in of[best]:
+            if alive[n]:
+                alive[n] = False
+                for c in groups[n][0]:
+                    if c in weight:
+                        weight[c] -= groups[n][1]
+        if enough(gain):
+            break
+    return out
+
+
+def _path_groups(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, candidates: list[int]) -> list[tuple[tuple, float]]:
+    """Numbers of paths by the set of candidates on them; a path has hops + 1 nodes, so sets are few."""
+    bits = F.broadcast(edges.sparkSession.createDataFrame([(v, 1 << n) for n, v in enumerate(candidates)], "v long, bit long"))
+    with_bit = lambda df: df.join(bits, "v", "left").withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("bit", F.lit(0).cast("long")))).drop("bit")
+    now = with_bit(sources.select("v", F.lit(1.0).alias("n"), F.lit(0).cast("long").alias("bits")))
+    out = [now.join(targets, "v", "left_semi")]
+    for _ in range(hops):
+        now = with_bit(now.join(edges.withColumnRenamed("pre", "v"), "v").select(F.col("post").alias("v"), "n", "bits")).groupBy("v", "bits").agg(F.sum("n").alias("n"))
+        out.append(now.join(targets, "v", "left_semi"))
+    rows = reduce(DataFrame.unionByName, out).where("bits <> 0").groupBy("bits").agg(F.sum("n").alias("n")).collect()
+    return [(tuple(v for n, v in enumerate(candidates) if r["bits"] >> n & 1), r["n"]) for r in rows]
+
+
 def tau_core(edges: DataFrame, sources: DataFrame, targets: DataFrame, tau: float = 0.9, hops: int = 5, max_core: int = 300) -> DataFrame:
     """rank, v, centrality, marginal, coverage, reached: nodes of largest centrality (ties: smallest id), each chosen after the paths of those before are gone.
 
-    A job for each node of the core; only the chosen ids and totals are on the driver.
+    A job counts paths by which of the ``FOLLOWED`` most central nodes they touch,
+    which is enough to choose on for as long as the best of them beats every other
+    node; then the chosen ones are taken out and the rest is counted anew.  Only
+    these nodes, their sets and totals are on the driver.
     """
     chosen: list[tuple] = []
-    whole, covered = None, 0.0
-    while covered < tau and len(chosen) <= max_core:
+    edges, sources, targets = cut(edges), cut(sources), cut(targets)
+    whole = total_paths(path_counts(edges, sources, hops), targets).agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()["n"]
+    covered = 0.0
+    while whole and covered < tau and len(chosen) < max_core:
         gone = [r[1] for r in chosen]
         keep = lambda df, c: df.where(~F.col(c).isin(gone)) if gone else df  # noqa: B023, E731
-        left = keep(keep(edges, "pre"), "post")
-        a, b = path_counts(left, keep(sources, "v"), hops), path_counts(left, keep(targets, "v"), hops, backward=True)
-        p = centrality(a, b, hops)
-        # every path has one last node, so paths into targets are all paths
-        rest = total_paths(a, keep(targets, "v")).agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()["n"]
-        if whole is None:
-            whole = rest
-            if not whole:
-                break
-        if chosen:
-            now = 1 - rest / whole
-            chosen[-1] = (*chosen[-1][:3], now - covered, now)
-            covered = now
-        if covered >= tau or len(chosen) == max_core:
-            break
-        best = p.orderBy(F.desc("p"), "v").first()
-        if best is None or best["p"] <= 0:
+        left, first, last = keep(keep(edges, "pre"), "post"), keep(sources, "v"), keep(targets, "v")
+        p = centrality(path_counts(left, first, hops), path_counts(left, last, hops, backward=True), hops)
+        best = p.where("p > 0").orderBy(F.desc("p"), "v").limit(FOLLOWED + 1).collect()
+        if not best:
             break
-        chosen.append((len(chosen) + 1, best["v"], best["p"], 0.0, 0.0))
-    rows = [(*r, bool(r[4] >= tau)) for r in chosen]
+        bound = best[FOLLOWED]["p"] if len(best) > FOLLOWED else 0.0
+        central = {r["v"]: r["p"] for r in best[:FOLLOWED]}
+        room, total = max_core - len(chosen), [covered, 0]
+
+        def enough(gain: float) -> bool:
+            total[0], total[1] = total[0] + gain / whole, total[1] + 1  # noqa: B023
+            return total[0] >= tau - 1e-12 or total[1] >= room  # noqa: B023
+
+        for v, gain in _greedy(_path_groups(left, first, last, hops, list(central)), central, bound, enough, lambda v: v):
+            covered += gain / whole
+            chosen.append((len(chosen) + 1, v, gain, gain / whole, covered))
+    rows = [(*r, bool(r[4] >= tau - 1e-12)) for r in chosen]
     return edges.sparkSession.createDataFrame(rows, "rank int, v long, centrality double, marginal double, coverage double, reached boolean")
 
 
@@ -102,8 +150,12 @@ def pair_weights(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops:
 
 
 def flat_core(weights: DataFrame, tau: float = 0.9, max_core: int = 4000) -> DataFrame:
-    """rank, v, kind, gain, coverage, reached: sources and targets that cover most paths of the flat network (ties: sources first, then smallest id)."""
+    """rank, v, kind, gain, coverage, reached: sources and targets that cover most paths of the flat network (ties: sources first, then smallest id).
+
+    A job sums the weights by which of the ``FOLLOWED_ENDS`` heaviest ends they have, as ``tau_core`` does."""
     chosen: list[tuple] = []
+    weights = cut(weights)
+    spark = weights.sparkSession
     whole, covered = weights.agg(F.sum("w").alias("n")).first()["n"] or 0.0, 0.0
     while whole and covered < tau and len(chosen) < max_core:
         gone = {k: [r[1] for r in chosen if r[2] == k] for k in ("source", "target")}
@@ -111,21 +163,33 @@ def flat_core(weights: DataFrame, tau: float = 0.9, max_core: int = 4000) -> Dat
         for k, c in (("source", "s"), ("target", "t")):
             left = left.where(~F.col(c).isin(gone[k])) if gone[k] else left
         sums = left.groupBy(F.col("s").alias("v")).agg(F.sum("w").alias("g")).withColumn("k", F.lit(0)).unionByName(left.groupBy(F.col("t").alias("v")).agg(F.sum("w").alias("g")).withColumn("k", F.lit(1)))
-        best = sums.orderBy(F.desc("g"), "k", "v").first()
-        if best is None or best["g"] <= 0:
+        best = sums.where("g > 0").orderBy(F.desc("g"), "k", "v").limit(FOLLOWED_ENDS + 1).collect()
+        if not best:
             break
-        covered += best["g"] / whole
-        chosen.append((len(chosen) + 1, best["v"], ("source", "target")[best["k"]], best["g"], covered))
-    rows = [(*r, bool(r[4] >= tau)) for r in chosen]
-    return weights.sparkSession.createDataFrame(rows, "rank int, v long, kind string, gain double, coverage double, reached boolean")
+        bound = best[FOLLOWED_ENDS]["g"] if len(best) > FOLLOWED_ENDS else 0.0
+        heavy = {(r["k"], r["v"]): r["g"] for r in best[:FOLLOWED_ENDS]}
+        own = lambda k, c: F.broadcast(spark.createDataFrame([(v,) for x, v in heavy if x == k], f"{c} long").withColumn(f"_{c}", F.col(c)))  # noqa: B023, E731
+        rows = left.join(own(0, "s"), "s", "left").join(own(1, "t"), "t", "left").groupBy("_s", "_t").agg(F.sum("w").alias("w")).collect()
+        groups = [(tuple((k, v) for k, v in ((0, r["_s"]), (1, r["_t"])) if v is not None), r["w"]) for r in rows]
+        room, total = max_core - len(chosen), [covered, 0]
+
+        def enough(gain: float) -> bool:
+            total[0], total[1] = total[0] + gain / whole, total[1] + 1  # noqa: B023
+            return total[0] >= tau - 1e-12 or total[1] >= room  # noqa: B023
+
+        for (k, v), gain in _greedy(groups, heavy, bound, enough, lambda c: c):
+            covered += gain / whole
+            chosen.append((len(chosen) + 1, v, ("source", "target")[k], gain, covered))
+    rows = [(*r, bool(r[4] >= tau - 1e-12)) for r in chosen]
+    return spark.createDataFrame(rows, "rank int, v long, kind string, gain double, coverage double, reached boolean")
 
 
 def hourglass_curve(core: DataFrame, flat: DataFrame, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)) -> DataFrame:
     """tau, core, flat, h = 1 - core / flat: sizes at which each core first covers tau; null where it never does."""
-    size = lambda df, name: F.min(F.when(F.col("coverage") >= F.col("tau"), F.col("rank"))).alias(name)
+    size = lambda df, name: F.min(F.when(F.col("coverage") >= F.col("tau") - 1e-12, F.col("rank"))).alias(name)
     grid = core.sparkSession.createDataFrame([(t,) for t in taus], "tau double")
-    own = grid.join(core, F.col("coverage") >= F.col("tau"), "left").groupBy("tau").agg(size(core, "core"))
-    other = grid.join(flat, F.col("coverage") >= F.col("tau"), "left").groupBy("tau").agg(size(flat, "flat"))
+    own = grid.join(core, F.col("coverage") >= F.col("tau") - 1e-12, "left").groupBy("tau").agg(size(core, "core"))
+    other = grid.join(flat, F.col("coverage") >= F.col("tau") - 1e-12, "left").groupBy("tau").agg(size(flat, "flat"))
     return own.join(other, "tau").withColumn("h", 1 - F.col("core") / F.col("flat"))
 
 

@@ -1,4 +1,11 @@
-"""Bow-ties of five distinct nodes inside each area, by signature, in closed form from nine counts a node."""
+"""Bow-ties of five distinct nodes inside each area, by signature, in closed form from nine counts a node.
+
+A node's neighbours fall into nine disjoint classes: at a lower, the same or a
+higher level, and only sending to it, only receiving from it, or both.  Two
+senders are drawn from the classes that send; what is left of the classes that
+receive, less the mutual neighbours already drawn, is where two receivers come
+from.  So all five nodes differ by construction.
+"""
 
 from __future__ import annotations
 
@@ -32,45 +39,57 @@ def reciprocal(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.join(back, [*keys, "pre", "post"], "left_semi")
 
 
+PLACES = ("low", "level", "high")
+#: Direction of an edge from, and to, a neighbour at each place.
+SENDS = dict(zip(PLACES, ("FWD", "LAT", "BWD")))
+RECEIVES = dict(zip(PLACES, ("BWD", "LAT", "FWD")))
+
+
 def neighbour_counts(edges: DataFrame) -> DataFrame:
-    """area, i and nine counts: in-neighbours below, level with and above i (pF, pL, pB), out-neighbours above, level with and below it (qF, qL, qB), mutual ones below, level, above (rF, rL, rB)."""
-    mutual = reciprocal(edges, "area").select("area", "pre", "post", F.lit(True).alias("mutual"))
-    rows = edges.join(mutual, ["area", "pre", "post"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
-    ends = F.array(F.struct(F.col("post").alias("i"), F.col("l_post").alias("own"), F.col("l_pre").alias("other"), F.lit(True).alias("into")), F.struct(F.col("pre").alias("i"), F.col("l_pre").alias("own"), F.col("l_post").alias("other"), F.lit(False).alias("into")))
-    rows = rows.select("area", "mutual", F.explode(ends).alias("x")).select("area", "mutual", "x.*")
-    low, level, high, into = F.col("other") < F.col("own"), F.col("other") == F.col("own"), F.col("other") > F.col("own"), F.col("into")
-    n = lambda c, name: F.count_if(c).cast("double").alias(name)
-    return rows.groupBy("area", "i").agg(
-        n(into & low, "pF"), n(into & level, "pL"), n(into & high, "pB"), n(~into & high, "qF"), n(~into & level, "qL"), n(~into & low, "qB"),
-        n(into & F.col("mutual") & low, "rF"), n(into & F.col("mutual") & level, "rL"), n(into & F.col("mutual") & high, "rB"))
+    """area, i and the sizes of the nine classes of its neighbours: from_*, to_* and both_* for each of ``PLACES``."""
+    ends = F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(f"l_{i}").alias("own"), F.col(f"l_{j}").alias("other"), F.lit(w).alias("way")) for i, j, w in (("post", "pre", 1), ("pre", "post", 2))))
+    pairs = edges.select("area", F.explode(ends).alias("x")).select("area", "x.*").groupBy("area", "i", "j", "own", "other").agg(F.sum("way").alias("way"))
+    place = F.when(F.col("other") < F.col("own"), "low").when(F.col("other") > F.col("own"), "high").otherwise("level")
+    size = lambda way, at: F.count_if((F.col("way") == way) & (F.col("place") == at)).cast("double")
+    return pairs.withColumn("place", place).groupBy("area", "i").agg(*(size(w, at).alias(f"{name}_{at}") for w, name in ((1, "from"), (2, "to"), (3, "both")) for at in PLACES))
 
 
-def _pairs(side: str) -> dict[str, Column]:
-    f, l, b = (F.col(f"{side}{c}") for c in "FLB")  # noqa: E741
-    two = lambda x: x * (x - 1) / 2
-    return {"FWD": two(f), "LAT": two(l), "BWD": two(b), "mix": f * l + f * b + l * b}
+def _branch(a: str, b: str) -> str:
+    return a if a == b else "mix"
 
 
-def _with_one(side: str, branch: str, own: str) -> Column:
-    """Pairs of a branch signature that hold one given neighbour of class ``own``."""
-    same = F.col(f"{side}{own}")
-    others = sum((F.col(f"{side}{c}") for c in "FLB" if c != own), F.lit(0.0))
-    if branch == "mix":
-        return others
-    return F.greatest(same - 1, F.lit(0.0)) if branch[0] == own else F.lit(0.0)
+def _sender_pairs() -> dict[tuple[str, ...], dict[str, Column]]:
+    """Number of pairs of senders by the places of the mutual ones among them, and by branch."""
+    kinds = [(name, at) for name in ("from", "both") for at in PLACES]
+    out: dict[tuple[str, ...], dict[str, Column]] = {}
+    for n, (x, p) in enumerate(kinds):
+        for y, q in kinds[n:]:
+            one, two = F.col(f"{x}_{p}"), F.col(f"{y}_{q}")
+            ways = one * (one - 1) / 2 if (x, p) == (y, q) else one * two
+            used = tuple(at for name, at in ((x, p), (y, q)) if name == "both")
+            own, branch = out.setdefault(used, {}), _branch(SENDS[p], SENDS[q])
+            own[branch] = own[branch] + ways if branch in own else ways
+    return out
+
+
+def _receiver_pairs(used: tuple[str, ...]) -> dict[str, Column]:
+    """Number of pairs of receivers by branch when mutual neighbours at the places ``used`` are taken."""
+    left = {at: F.col(f"to_{at}") + F.col(f"both_{at}") - used.count(at) for at in PLACES}
+    out = {RECEIVES[at]: n * (n - 1) / 2 for at, n in left.items()}
+    low, level, high = left.values()
+    return out | {"mix": low * level + level * high + low * high}
 
 
 def signature_counts(counts: DataFrame) -> DataFrame:
-    """area, i and the 16 counts: pairs in times pairs out, less the choices that use a mutual neighbour on both sides."""
-    into, out = _pairs("p"), _pairs("q")
-    twice = {("FWD", "BWD"): _pairs("r")["FWD"], ("LAT", "LAT"): _pairs("r")["LAT"], ("BWD", "FWD"): _pairs("r")["BWD"], ("mix", "mix"): _pairs("r")["mix"]}
-    other = {"F": "B", "L": "L", "B": "F"}  # a mutual neighbour below is forward on the way in, backward on the way out
-    columns = []
-    for a in BRANCHES:
-        for b in BRANCHES:
-            shared = sum((F.col(f"r{c}") * _with_one("p", a, c) * _with_one("q", b, other[c]) for c in "FLB"), F.lit(0.0))
-            columns.append(F.greatest(into[a] * out[b] - shared + twice.get((a, b), F.lit(0.0)), F.lit(0.0)).alias(f"{a}->{b}"))
-    return counts.select("area", "i", *columns)
+    """area, i and the 16 counts."""
+    total = {s: F.lit(0.0) for s in SIGNATURES}
+    for used, senders in _sender_pairs().items():
+        receivers = _receiver_pairs(used)
+        for a, ways in senders.items():
+            for b, rest in receivers.items():
+                # without senders of the kind there is nothing left to count
+                total[f"{a}->{b}"] += F.when(ways > 0, ways * rest).otherwise(0.0)
+    return counts.select("area", "i", *(total[s].alias(s) for s in SIGNATURES))
 
 
 def profile(per_node: DataFrame) -> DataFrame:
@@ -80,8 +99,15 @@ def profile(per_node: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy("area")), F.lit(0.0)))
 
 
-def enrichment(areas: DataFrame) -> DataFrame:
-    """Add expected (the signature's share of all areas together) and the ratio of the area's share to it."""
+def enrichment(areas: DataFrame, null: DataFrame | None = None) -> DataFrame:
+    """Add expected and the ratio of the area's share to it.
+
+    Expected is the mean share of the same area and signature over the replicates
+    of ``null`` (area, signature, value), if given, else the signature's share of
+    all areas together."""
+    if null is not None:
+        expected = null.groupBy("area", "signature").agg(F.avg("value").alias("expected"))
+        return areas.join(expected, ["area", "signature"]).withColumn("enrichment", F.col("share") / F.nullif("expected", F.lit(0.0)))
     total = areas.groupBy("signature").agg(F.sum("n").alias("_n"))
     whole = total.withColumn("expected", F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).select("signature", "expected")
     return areas.join(whole, "signature").withColumn("enrichment", F.col("share") / F.nullif("expected", F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,18 +68,35 @@ def _profiles(g: Graph) -> DataFrame:
     return within_area.profile(within_area.signature_counts(within_area.neighbour_counts(edges)))
 
 
-def _core(g: Graph, n: int = 4) -> DataFrame:
+#: Replicates of every null, and rounds of swaps (a round proposes one swap for each two edges).
+REPLICATES, ROUNDS = 20, 20
+
+
+def _core(g: Graph, edges: DataFrame | None = None, tau: float = 0.9) -> DataFrame:
     e, s, t = _paths(g)
-    return paths.tau_core(e, s, t, tau=0.9, hops=HOPS, max_core=n)
+    return paths.tau_core(e if edges is None else edges, s, t, tau=tau, hops=HOPS)
 
 
-def _flat(g: Graph, n: int = 6) -> DataFrame:
+def _flat(g: Graph, edges: DataFrame | None = None, tau: float = 0.9) -> DataFrame:
     e, s, t = _paths(g)
-    return paths.flat_core(paths.pair_weights(e, s, t, HOPS), tau=0.9, max_core=n)
+    return paths.flat_core(paths.pair_weights(e if edges is None else edges, s, t, HOPS), tau=tau)
 
 
-def _label_null(g: Graph, n: int = 5) -> DataFrame:
-    """Observed signature shares of areas against levels dealt anew."""
+def _curve_null(g: Graph, n: int = 3, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """tau, rep (-1: the graph itself), core, flat, h, p: the hourglass curve against graphs whose nodes keep their in-degrees and draw predecessors anew; p counts replicates with an h as large."""
+    edges, order = _paths(g)[0], g.levels.select("root_id", F.col("y_level").alias("lvl"))
+    out = []
+    for rep in range(-1, n):
+        own = cut(edges if rep < 0 else nulls.rewired_by_order(edges, order, seed=42 + rep))
+        out.append(paths.hourglass_curve(_core(g, own, max(taus)), _flat(g, own, max(taus)), taus).withColumn("rep", F.lit(rep)))
+    rows = cut(reduce(DataFrame.unionByName, out))
+    seen = rows.where("rep < 0").select("tau", F.col("h").alias("_h"))
+    null = rows.where("rep >= 0").join(seen, "tau").groupBy("tau").agg(((1 + F.count_if(F.col("h") >= F.col("_h"))) / (1 + F.count("h"))).alias("p"))
+    return rows.join(null, "tau", "left")
+
+
+def _label_null_shares(g: Graph, n: int = REPLICATES) -> DataFrame:
+    """area, rep, signature, value: signature shares of areas with their levels dealt anew."""
     members = within_area.membership(g)
     drawn = nulls.permuted_levels(members, n)
     ends = lambda key, name: drawn.select("rep", "area", F.col("root_id").alias(key), F.col("lvl").alias(name))
@@ -86,35 +104,46 @@ def _label_null(g: Graph, n: int = 5) -> DataFrame:
     edges = plain.join(ends("pre", "l_pre"), ["area", "pre"]).join(ends("post", "l_post"), ["rep", "area", "post"])
     cell = F.concat_ws("|", F.col("rep").cast("string"), "area")
     found = within_area.profile(within_area.signature_counts(within_area.neighbour_counts(edges.withColumn("area", cell).drop("rep"))))
-    null = found.select(F.regexp_extract("area", r"^(\d+)\|(.*)$", 2).alias("area"), F.regexp_extract("area", r"^(\d+)\|", 1).cast("int").alias("rep"), "signature", F.col("share").alias("value"))
+    return found.select(F.regexp_extract("area", r"^(\d+)\|(.*)$", 2).alias("area"), F.regexp_extract("area", r"^(\d+)\|", 1).cast("int").alias("rep"), "signature", F.col("share").alias("value"))
+
+
+def _label_null(g: Graph) -> DataFrame:
+    """Observed signature shares of areas against levels dealt anew."""
+    null = _label_null_shares(g)
     return compare.empirical(_profiles(g).select("area", "signature", F.col("share").alias("observed")), null, ["area", "signature"])
 
 
-def _null_counts(g: Graph, which: str, n: int = 2) -> DataFrame:
-    """Counts of the 3 largest motifs of each waist against a null: A swaps, B blocks, C alignment."""
+def _null_counts(g: Graph, which: str, n: int = REPLICATES) -> DataFrame:
+    """Counts of the 3 largest motifs of each waist against a null of n replicates: A swaps, B blocks, C alignment."""
     run = Run(g)
-    top = cut(run.top_patterns(3))
+    top, edges = cut(run.top_patterns(3)), cut(run.edges)
     if which == "C":
-        flows = [nulls.aligned(f, run.nodes, n, seed) for f, seed in ((motifs.flow_in(run.edges), 1), (motifs.flow_out(run.edges), 2))]
-        out = None
-        members = run.nodes.select(F.col("root_id").alias("i"), F.col("area").alias("bottleneck_area"), F.col("lvl").alias("bottleneck_level"))
-        rows = nulls.replicates(top, n).join(members, ["bottleneck_area", "bottleneck_level"]).withColumn("p", F.lit(1).cast("long"))
-        for e in ("fan_in_0", "fan_in_1", "fan_out_0", "fan_out_1"):
-            flow = flows["out" in e].select("rep", "i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), "v")
-            rows = rows.join(flow, ["rep", "i", f"{e}_area", f"{e}_level"]).withColumn("p", F.col("p") * F.col("v")).drop("v")
-        out = rows.groupBy("structure_str", "rep").agg(F.sum("p").alias("value"))
+        flows = [nulls.aligned(f, run.nodes, n, seed) for f, seed in ((motifs.flow_in(edges), 1), (motifs.flow_out(edges), 2))]
     else:
-        out = None
-        for rep in range(n):
-            if which == "A":
-                drawn = graph.between_metanodes(graph.with_ends(nulls.swapped(run.edges, 2, seed=42 + 100 * rep), run.nodes))
-            else:
-                drawn = nulls.block_rewired(run.edges, run.nodes, seed=42 + 100 * rep)
-            own = motifs.recount(cut(drawn), run.nodes, top).select("structure_str", F.lit(rep).alias("rep"), F.col("recounted").alias("value"))
-            out = own if out is None else out.unionByName(own)
-    every = nulls.replicates(top.select("structure_str", "signature"), n).join(out, ["structure_str", "rep"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    found = compare.empirical(top.select("structure_str", "signature", F.col("motif_count").alias("observed")), every, ["structure_str", "signature"])
-    return compare.q_values(found)
+        if which == "A":
+            drawn = graph.between_metanodes(graph.with_ends(nulls.swapped(nulls.replicates(edges, n), ROUNDS, keys=("rep",)), run.nodes))
+        else:
+            drawn = cut(nulls.block_rewired(nulls.replicates(edges, n), run.nodes, keys=("rep",)))
+        flows = [drawn.groupBy("rep", F.col(i).alias("i"), F.col(a).alias("area"), F.col(l).alias("lvl")).agg(F.count(F.lit(1)).alias("v")) for i, a, l in (("post", "sa", "sl"), ("pre", "da", "dl"))]  # noqa: E741
+    members = run.nodes.select(F.col("root_id").alias("i"), F.col("area").alias("bottleneck_area"), F.col("lvl").alias("bottleneck_level"))
+    rows = nulls.replicates(top, n).join(members, ["bottleneck_area", "bottleneck_level"]).withColumn("p", F.lit(1).cast("long"))
+    for e in ("fan_in_0", "fan_in_1", "fan_out_0", "fan_out_1"):
+        flow = flows["out" in e].select("rep", "i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), "v")
+        rows = rows.join(flow, ["rep", "i", f"{e}_area", f"{e}_level"]).withColumn("p", F.col("p") * F.col("v")).drop("v")
+    out = rows.groupBy("structure_str", "rep").agg(F.sum("p").alias("value"))
+    return nulls.replicates(top.select("structure_str", "signature", F.col("motif_count").alias("observed")), n).join(out, ["structure_str", "rep"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def _validation(g: Graph, which: str) -> DataFrame:
+    every = _null_counts(g, which)
+    keys = ["structure_str", "signature"]
+    return compare.q_values(compare.empirical(every.select(*keys, "observed").distinct(), every.select(*keys, "rep", "value"), keys))
+
+
+def _validation_signatures(g: Graph, which: str) -> DataFrame:
+    """signature, n, median, least and most ratio of real to mean null counts of its motifs, and share of them with q under 0.05."""
+    rows = _validation(g, which)
+    return rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("ratio"), F.min("ratio").alias("least"), F.max("ratio").alias("most"), F.avg((F.col("q") < 0.05).cast("double")).alias("significant"))
 
 
 #: name: (query, SQL or None)
@@ -273,7 +302,8 @@ add("paths_levels", lambda g: (lambda p: paths.total_paths(paths.path_counts(p[0
 add("path_centrality", _central, S.q(S.VIEWS + S.PATHS, "SELECT v, p FROM cen"))
 add("tau_core", _core)
 add("flat_core", _flat)
-add("hscore_curve", lambda g: paths.hourglass_curve(_core(g), _flat(g), (0.01, 0.05, 0.1, 0.9)))
+add("hscore_curve", lambda g: paths.hourglass_curve(_core(g, tau=0.95), _flat(g, tau=0.95)))
+add("hscore_random", _curve_null)
 add("core_by_group", lambda g: paths.core_by_group(_core(g), g))
 # comparison
 add("micro_macro", lambda g: rd(compare.ranked(_both(g))).withColumns({c: F.col(c).cast("long") for c in ("rank_micro", "rank_macro")}), S.q(S.bowtie() + S.PATHS + S.BOTH, "SELECT area, lvl, micro, macro, rank() OVER (ORDER BY micro DESC) AS rank_micro, rank() OVER (ORDER BY macro DESC) AS rank_macro FROM two"))
@@ -292,16 +322,21 @@ add("hom_diamond", lambda g: patterns.diamond_count(graph.edges_binary(g)), S.q(
 add("hom_triangle_brute", lambda g: patterns.brute_count(graph.edges_binary(g), ((0, 1), (1, 2), (2, 0)), 3), S.q(S.VIEWS, "SELECT COUNT(*)::DOUBLE AS n FROM ebin a JOIN ebin b ON a.post = b.pre JOIN ebin c ON b.post = c.pre AND c.post = a.pre"))
 add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession))
 # nulls
-add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), 3))
+add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), ROUNDS))
 add("null_block", lambda g: nulls.block_rewired(Run(g).edges, Run(g).nodes))
 add("null_alignment", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, 2))
 add("null_label_perm", _label_null)
 add("null_levels", lambda g: levels.null_reference(levels.categories(g, "group"), 3))
-add("null_mixing", lambda g: nulls.mixing(graph.edges_binary(g), (1, 2)))
+add("null_mixing", lambda g: nulls.mixing(graph.edges_binary(g)))
 add("null_indegree", lambda g: nulls.rewired_by_order(paths.forward_edges(g), g.levels.select("root_id", F.col("y_level").alias("lvl"))))
-add("validation_blocks", lambda g: _null_counts(g, "B"))
-add("validation_alignment", lambda g: _null_counts(g, "C"))
-add("validation_swaps", lambda g: _null_counts(g, "A", 1))
+add("validation_blocks", lambda g: _validation(g, "B"))
+add("validation_alignment", lambda g: _validation(g, "C"))
+add("validation_swaps", lambda g: _validation(g, "A"))
+add("validation_signatures", lambda g: _validation_signatures(g, "B"))
+_null_enriched = lambda g: within_area.enrichment(_profiles(g), _label_null_shares(g))
+add("within_area_null_enrichment", lambda g: rd(_null_enriched(g)))
+add("within_area_null_characteristic", lambda g: rd(within_area.characteristic(_null_enriched(g))))
+add("within_area_null_flat", lambda g: rd(within_area.flat_areas(_null_enriched(g))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

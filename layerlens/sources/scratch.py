@@ -1,13 +1,27 @@
-"""Lineage is cut by checkpoints in the folder that all executors share."""
+"""Lineage is cut by tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where that is unset and all tasks run in this process (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in ``spark.checkpoint.dir``; a /tmp folder only where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/layerlens-checkpoints")
-    return df.checkpoint()
+    """``df`` written once and read back: what follows neither computes it again nor loses it with an executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/layerlens-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
