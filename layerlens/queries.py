@@ -167,7 +167,8 @@ add("edges_sum_min_syn", lambda g: graph.edges_summed(g, 5), S.q(S.VIEWS, "SELEC
 add("edges_syn_all", graph.edges_summed, S.q(S.VIEWS, "SELECT * FROM esyn"))
 add("superregion_map", lambda g: g.neurons.where("grp IS NOT NULL AND grp <> 'NO_CONS'").select("grp").distinct().select("grp", taxonomy.super_region(F.col("grp")).alias("region"), taxonomy.super_region_label(taxonomy.super_region(F.col("grp"))).alias("label"), taxonomy.macro_area(F.col("grp")).alias("macro")),
     S.q(S.VIEWS, "SELECT DISTINCT grp, array_to_string(r, '.') AS region, array_to_string(list_transform(r, lambda x: CASE x WHEN 'OL' THEN 'Optic Lobe' WHEN 'AL' THEN 'Antennal Lobe' WHEN 'MB' THEN 'Mushroom Body' ELSE 'Lateral Horn' END), ' + ') AS label, substring(regexp_extract(grp, '^[^._]+'), 1, 3) AS macro FROM region"))
-add("place_table", lambda g: taxonomy.place_table(g.neurons.sparkSession))
+add("place_table", lambda g: taxonomy.place_table(g.neurons.sparkSession),
+    "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', '{taxonomy.NAMES[r]}')" for r, places in taxonomy.PLACES.items() for p in places) + ") t(place, region, name)")
 add("neuropil_counts", lambda g: rd(taxonomy.place_counts(g.neurons)), S.q(S.VIEWS, "SELECT place, round(SUM(w), 6) AS n FROM (SELECT unnest(string_split(grp, '.')) AS place, 1.0::DOUBLE / len(string_split(grp, '.')) AS w FROM region) GROUP BY place"))
 # metagraph and flows
 add("metanodes", lambda g: Run(g).sizes, S.q(S.work(), "SELECT area, lvl, n FROM sizes"))
