@@ -12,9 +12,11 @@
    residual length could still reach the k-th best.  Residual lengths bound the
    error, so the answer is that of brute force, whatever the codebooks.
 
-The index is scanned where it lies: queries go out in blocks of ``QUERY_BLOCK``
-(broadcast, of bounded size), each task keeps k rows a query, and these are
-merged by query.  More queries take more passes.
+The index is scanned where it lies: queries are written once, dealt into blocks of
+about ``QUERY_BLOCK``, and go out a block at a time (broadcast, of bounded size).
+Each task keeps k rows a query, and these are written; then the block leaves driver
+and executors, so neither holds more than one.  The written rows are merged by
+query.  More queries take more passes.
 
 Ids name rows: null ids, and vectors that are null, zero, of another length than
 ``dims`` (the most frequent length) or hold null or non-finite components take no
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +168,8 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         return rows.withColumns({"codes": F.lit(b""), "reach": F.lit(0.0)}), None, 0
     dims = sizes["n"]
     rows = rows.where(F.size("vector") == dims)
-    chosen = lowest_hashes(rows.select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64("vec_id", "vector").alias("h")), "h", sample).collect()
-    book = fit_codebook(unit(matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.float64())), dims)))
+    chosen = lowest_hashes(rows.select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64("vec_id", "vector").alias("h")), "h", sample).toArrow().combine_chunks()
+    book = fit_codebook(unit(matrix(chosen.column("v").chunk(0), dims)))
     shared = vectors.sparkSession.sparkContext.broadcast(book)  # 16 centres a subspace
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,18 +193,21 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(index: DataFrame, book: Codebook | None, dims: int, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k nearest."""
     spark, schema = index.sparkSession, "query_id long, query long, vec_id long, score double"
-    asked = usable(queries, key, vector).where(F.size("vector") == dims).select("vec_id", F.col("vector").cast("array<double>").alias("vector")).distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK)) if book else 0
-    found = spark.createDataFrame([], schema)
-
+    if book is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = materialise(usable(queries, key, vector).where(F.size("vector") == dims).select("vec_id", F.col("vector").cast("array<double>").alias("vector")).distinct(), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == block).collect()
-        if not rows:
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        raw = matrix(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), dims)
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), raw))
-        own = index.mapInArrow(_scan(shared, book, dims, k), schema)
-        found = own if block == 0 else found.unionByName(own.withColumn("query", F.col("query") + F.lit(block << 32)))
+        raw = matrix(rows.column("vector").chunk(0), dims)
+        shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), raw))
+        own = index.mapInArrow(_scan(shared, book, dims, k), schema).withColumn("query", F.col("query") + F.lit(block << 32))
+        found.append(materialise(own, "nearest"))
+        shared.destroy()  # what it gave is written, so no task asks for it again
+    found = reduce(DataFrame.unionByName, found, spark.createDataFrame([], schema))
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
