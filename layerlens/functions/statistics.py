@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb, erfc, exp, lgamma, log, sqrt
+from math import atan2, comb, cos, erfc, exp, lgamma, log, pi, sin, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +64,30 @@ def normal_tail(z: float) -> float:
     return erfc(z / sqrt(2)) / 2
 
 
-def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """n, statistic, z of the signed ranks of a - b (zeros left out, ties share ranks); p by ``two_sided(z)``."""
+def student(t: float, freedom: int) -> float:
+    """Two-sided p of Student's t with a whole number of degrees of freedom: the finite sum over powers of cos(atan(t / sqrt(freedom)))."""
+    angle = atan2(abs(t), sqrt(freedom))
+    square, first = cos(angle) ** 2, freedom % 2
+    term, total = (cos(angle) if first else 1.0), 0.0
+    for n in range(first, freedom - 1, 2):
+        total += term
+        term *= square * (n + 1) / (n + 2)
+    inside = 2 / pi * (angle + sin(angle) * total) if first else sin(angle) * total
+    return min(1.0, max(0.0, 1 - inside))
+
+
+def wilcoxon(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """keys, n, statistic, z of the signed ranks of a - b (zeros left out, ties share ranks; keys without a difference have no row); p by ``two_sided(z)``."""
     from ..operators.compare import mean_ranks
 
-    rows = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
-    ranked = mean_ranks(rows, "size", "r")
-    ties = rows.groupBy("size").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("ties")).withColumn("_one", F.lit(1))
+    rows = pairs.select(*keys, (F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
+    ranked = mean_ranks(rows, "size", "r", *keys)
+    ties = rows.groupBy(*keys, "size").agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy(*keys).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("ties")).withColumn("_one", F.lit(1))
     up, down = (F.coalesce(F.sum(F.when(c, F.col("r"))), F.lit(0.0)) for c in (F.col("d") > 0, F.col("d") < 0))
-    out = ranked.agg(F.count(F.lit(1)).cast("double").alias("n"), up.alias("up"), down.alias("down")).withColumn("_one", F.lit(1)).join(ties, "_one")
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), up.alias("up"), down.alias("down")).withColumn("_one", F.lit(1)).join(ties, ["_one", *keys])
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2) / 24)
     statistic = F.least("up", "down")
-    return out.select("n", statistic.alias("statistic"), ((statistic - F.col("n") * (F.col("n") + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"))
+    return out.select(*keys, "n", statistic.alias("statistic"), ((statistic - F.col("n") * (F.col("n") + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"))
 
 
 def two_sided(z: float | None) -> float:

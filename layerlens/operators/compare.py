@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import statistics
+
 
 def side_by_side(micro: DataFrame, macro: DataFrame, keys: list[str]) -> DataFrame:
     """keys, micro, macro: all nodes of either table, absent values 0."""
@@ -40,6 +42,22 @@ def spearman(both: DataFrame) -> DataFrame:
     return rows.agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def overlap_test(overlap: DataFrame) -> dict[str, float]:
+    """shared and p_overlap (hypergeometric) of ``top_overlap``."""
+    o = overlap.first()
+    best = min(o["k"], o["n"])
+    return {"shared": o["shared"], "p_overlap": statistics.hypergeometric_tail(o["shared"], o["n"], best, best)}
+
+
+def spearman_test(rho: DataFrame) -> dict[str, float]:
+    """rho and p_rho (Student's t; 1 without a correlation, 0 for a perfect one) of ``spearman``."""
+    r = rho.first()
+    value, freedom = r["rho"], r["n"] - 2
+    if value is None or freedom < 1:
+        return {"rho": value, "p_rho": 1.0}
+    return {"rho": value, "p_rho": statistics.student(value * (freedom / (1 - value * value)) ** 0.5, freedom) if abs(value) < 1 else 0.0}
+
+
 def q_values(df: DataFrame, p: str = "p", name: str = "q") -> DataFrame:
     """Add step-up q-values of all rows: the least of p * m / rank over this and larger p, 1 at most."""
     one = Window.partitionBy(F.lit(1))

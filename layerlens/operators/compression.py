@@ -37,13 +37,17 @@ def histogram(df: DataFrame, value: str = "compression", edges: tuple[int, ...]
 def realised(edges: DataFrame, nodes: DataFrame, patterns: DataFrame, k_in: int = 2, k_out: int = 2) -> DataFrame:
     """For each pattern: recounted, n_active, n_eff, n_periphery_real (distinct nodes that touch an active waist node, by branch) and compression_real."""
     ins, outs = [f"fan_in_{n}" for n in range(k_in)], [f"fan_out_{n}" for n in range(k_out)]
+    end = lambda e: F.struct(F.col(f"{e}_area").alias("area"), F.col(f"{e}_level").alias("lvl"))
+    listed = lambda ends: patterns.select(F.explode(F.array(*map(end, ends))).alias("x")).select("x.area", "x.lvl").distinct()
     members = nodes.select(F.col("root_id").alias("i"), F.col("area").alias("bottleneck_area"), F.col("lvl").alias("bottleneck_level"))
     rows = patterns.select("structure_str", "bottleneck_area", "bottleneck_level", *(f"{e}_{c}" for e in [*ins, *outs] for c in ("area", "level"))).join(members, ["bottleneck_area", "bottleneck_level"])
-    into = edges.select(F.col("post").alias("i"), F.col("pre").alias("other"), F.col("sa").alias("area"), F.col("sl").alias("lvl"))
-    out = edges.select(F.col("pre").alias("i"), F.col("post").alias("other"), F.col("da").alias("area"), F.col("dl").alias("lvl"))
+    # only edges at metanodes of the patterns; flows are grouped once a side
+    into = edges.select(F.col("post").alias("i"), F.col("pre").alias("other"), F.col("sa").alias("area"), F.col("sl").alias("lvl")).join(listed(ins), ["area", "lvl"], "left_semi")
+    out = edges.select(F.col("pre").alias("i"), F.col("post").alias("other"), F.col("da").alias("area"), F.col("dl").alias("lvl")).join(listed(outs), ["area", "lvl"], "left_semi")
+    flows = [side.groupBy("i", "area", "lvl").agg(F.count(F.lit(1)).alias("v")) for side in (into, out)]
     active = rows.withColumn("p", F.lit(1).cast("long"))
     for e in [*ins, *outs]:
-        flow = (into if e in ins else out).groupBy("i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level")).agg(F.count(F.lit(1)).alias("v"))
+        flow = flows[e in outs].select("i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), "v")
         active = active.join(flow, ["i", f"{e}_area", f"{e}_level"]).withColumn("p", F.col("p") * F.col("v")).drop("v")
     counts = active.groupBy("structure_str").agg(F.sum("p").alias("recounted"), F.count(F.lit(1)).alias("n_active"), (F.sum("p").cast("double") * F.sum("p").cast("double") / F.sum(F.col("p").cast("double") * F.col("p").cast("double"))).alias("n_eff"))
     branches = [F.struct(F.lit(n).alias("branch"), F.lit(e in ins).alias("inward"), F.col(f"{e}_area").alias("area"), F.col(f"{e}_level").alias("lvl")) for n, e in enumerate([*ins, *outs])]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.signature import node_label, normalise_label
 
 TOP_SIGNATURE, TOP_WAIST, TOP_GLOBAL, TOP_WAIST_SIGNATURE = 200, 20, 1000, 10
+#: Up to this rank Spark cuts a window's groups before they are shuffled (default of ``spark.sql.optimizer.windowGroupLimitThreshold``).
+GROUP_LIMIT = 1000
 
 
 def with_waist(motifs: DataFrame) -> DataFrame:
@@ -40,8 +42,18 @@ def top(motifs: DataFrame, n: int, *keys: str, value: str = "motif_count") -> Da
     order = [F.desc(value), F.asc("structure_str")]
     if not keys:
         return motifs.orderBy(*order).limit(n)
-    ranked = motifs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    best = lambda df, *by: df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    if n > GROUP_LIMIT:
+        # few keys would sort all rows in as many tasks: take the best of each key's parts first
+        parts = int(motifs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        motifs = best(motifs.withColumn("_part", F.pmod(F.xxhash64("structure_str"), F.lit(parts))), *keys, "_part").drop("_part")
+    return best(motifs, *keys)
+
+
+def top_summary(motifs: DataFrame) -> DataFrame:
+    """hourglass_type (null: all), n, least, most and median count of a list of motifs."""
+    rows = motifs.groupingSets([["hourglass_type"], []], "hourglass_type")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("motif_count").alias("least"), F.max("motif_count").alias("most"), F.median("motif_count").alias("median"))
 
 
 def summary(motifs: DataFrame, window: str, **parameters: int) -> DataFrame:

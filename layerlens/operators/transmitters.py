@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import statistics
 from ..functions.signature import direction
 from ..sources.graph_tables import Graph
 
@@ -107,15 +108,47 @@ def kinds_by_signature(parts: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.col("mass") / F.sum("mass").over(Window.partitionBy("signature")))
 
 
-def within_waist(parts: DataFrame) -> DataFrame:
-    """type_a, type_b, n_waists, mean_delta: for waists that have both signatures, the difference of their mass-weighted excitatory shares of fan-in."""
+def direction_tests(ratio: DataFrame) -> dict[str, float]:
+    """Tests of direction against excitation on ``ratio_by_direction``: chi-square over all directions, Fisher's over forward and backward."""
+    n = {r["direction"]: (r["n_e"], r["n_i"]) for r in ratio.collect()}  # three rows
+    cell = lambda d: n.get(d, (0, 0))
+    chi, freedom, p = statistics.chi_square([list(cell(d)) for d in ("FWD", "LAT", "BWD")])
+    odds, p_fisher = statistics.fisher(*cell("FWD"), *cell("BWD"))
+    return {"chi2": chi, "freedom": freedom, "p_chi2": p, "odds": odds, "p_fisher": p_fisher}
+
+
+def waist_shares(parts: DataFrame) -> DataFrame:
+    """area, lvl (the waist), type (signature), e (mass-weighted excitatory share of the fan-in), mass."""
     from ..functions.signature import branch
 
     ins = [direction(F.col(f"l{n}"), F.col("lvl")) for n in range(2)]
     outs = [direction(F.col("lvl"), F.col(f"m{n}")) for n in range(2)]
     excitatory = ((F.col("nt0") == "E").cast("int") + (F.col("nt1") == "E").cast("int")) / 2.0
-    rows = parts.groupBy("area", "lvl", F.concat_ws("->", branch(ins), branch(outs)).alias("type")).agg((F.sum(excitatory * F.col("motif_count")) / F.sum("motif_count")).alias("e"))
+    return parts.groupBy("area", "lvl", F.concat_ws("->", branch(ins), branch(outs)).alias("type")).agg((F.sum(excitatory * F.col("motif_count")) / F.sum("motif_count")).alias("e"), F.sum("motif_count").alias("mass"))
+
+
+def waist_pairs(rows: DataFrame) -> DataFrame:
+    """area, lvl, type_a, ea, type_b, eb of waists that have both signatures; ``rows``: ``waist_shares``."""
     a = rows.select("area", "lvl", F.col("type").alias("type_a"), F.col("e").alias("ea"))
     b = rows.select("area", "lvl", F.col("type").alias("type_b"), F.col("e").alias("eb"))
-    both = a.join(b, ["area", "lvl"]).where("type_a < type_b")
-    return both.groupBy("type_a", "type_b").agg(F.count(F.lit(1)).alias("n_waists"), F.avg(F.col("ea") - F.col("eb")).alias("mean_delta"))
+    return a.join(b, ["area", "lvl"]).where("type_a < type_b")
+
+
+def within_waist(parts: DataFrame) -> DataFrame:
+    """type_a, type_b, n_waists, mean_delta: for waists that have both signatures, the difference of their mass-weighted excitatory shares of fan-in."""
+    return waist_pairs(waist_shares(parts)).groupBy("type_a", "type_b").agg(F.count(F.lit(1)).alias("n_waists"), F.avg(F.col("ea") - F.col("eb")).alias("mean_delta"))
+
+
+def paired_tests(parts: DataFrame) -> DataFrame:
+    """type_a, type_b, n, statistic, z: signed ranks of the differences within waists."""
+    return statistics.wilcoxon(waist_pairs(waist_shares(parts)), "ea", "eb", "type_a", "type_b")
+
+
+def excitation_gap(parts: DataFrame) -> DataFrame:
+    """One row: raw (mass-weighted excitatory share of fan-in, forward less backward motifs), n and parity (the mean difference in waists that have both); null without such motifs."""
+    rows = waist_shares(parts).where(F.col("type").isin("FWD->FWD", "BWD->BWD"))
+    of = lambda t, x: F.sum(F.when(F.col("type") == t, x))
+    share = lambda t: of(t, F.col("e") * F.col("mass")) / of(t, F.col("mass"))
+    raw = rows.agg((share("FWD->FWD") - share("BWD->BWD")).alias("raw")).withColumn("_one", F.lit(1))
+    pairs = waist_pairs(rows).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("eb") - F.col("ea")).alias("parity")).withColumn("_one", F.lit(1))
+    return raw.join(pairs, "_one").drop("_one")

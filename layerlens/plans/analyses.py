@@ -68,12 +68,8 @@ def transmitter_report(g: Graph, least_score: float = 0.5, glut_excitatory: bool
     edges = transmitters.directed_edges(g, least_score, glut_excitatory)
     ratio, paired = transmitters.ratio_by_direction(edges), transmitters.stratified(edges, strat_min)
     tables = {"by_direction": transmitters.by_direction(edges), "ratio": ratio, "stratified": paired, "kitagawa": transmitters.kitagawa(edges), "by_group": transmitters.by_group(g, least_score)}
-    n = {r["direction"]: (r["n_e"], r["n_i"]) for r in ratio.collect()}  # three rows
-    cell = lambda d: n.get(d, (0, 0))
-    chi, freedom, p = statistics.chi_square([list(cell(d)) for d in ("FWD", "LAT", "BWD")])
-    odds, p_fisher = statistics.fisher(*cell("FWD"), *cell("BWD"))
     w = statistics.wilcoxon(paired, "fracE_FWD", "fracE_BWD").first()
-    return tables, {"chi2": chi, "freedom": freedom, "p_chi2": p, "odds": odds, "p_fisher": p_fisher, "n_groups": w["n"], "wilcoxon": w["statistic"], "p_wilcoxon": statistics.two_sided(w["z"])}
+    return tables, {**transmitters.direction_tests(ratio), "n_groups": w["n"], "wilcoxon": w["statistic"], "p_wilcoxon": statistics.two_sided(w["z"])}
 
 
 def core_report(g: Graph, tau: float = 0.9, least: int = 5, routing: str = "levels", hops: int = 5, sources: tuple[str, ...] = paths.SOURCES, targets: tuple[str, ...] = paths.TARGETS, max_core: int = 300, max_flat_core: int = 4000) -> dict[str, DataFrame]:
@@ -85,11 +81,9 @@ def core_report(g: Graph, tau: float = 0.9, least: int = 5, routing: str = "leve
 
 
 def micro_macro_report(both: DataFrame, keys: list[str], k: int = 20) -> tuple[dict[str, DataFrame], dict[str, float]]:
-    """Ranks side by side; overlap of the k best with its hypergeometric p, and Spearman's rho with p by the t approximation's normal limit."""
+    """Ranks side by side; overlap of the k best with its hypergeometric p, and Spearman's rho with p by Student's t."""
     overlap, rho = compare.top_overlap(both, keys, k), compare.spearman(both)
-    o, r = overlap.first(), rho.first()
-    z = (r["rho"] or 0.0) * max(r["n"] - 1, 0) ** 0.5
-    return {"ranks": compare.ranked(both), "overlap": overlap, "spearman": rho}, {"shared": o["shared"], "p_overlap": statistics.hypergeometric_tail(o["shared"], o["n"], min(k, o["n"]), min(k, o["n"])), "rho": r["rho"], "p_rho": statistics.two_sided(z)}
+    return {"ranks": compare.ranked(both), "overlap": overlap, "spearman": rho}, {**compare.overlap_test(overlap), **compare.spearman_test(rho)}
 
 
 def check_values(spark: SparkSession, claimed: dict[str, float], found: dict[str, float], tolerance: float = 0.0) -> DataFrame:

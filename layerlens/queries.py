@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import oracles as S
-from .functions import signature, taxonomy
+from .functions import signature, statistics, taxonomy
 from .operators import compare, compression, distill, graph, levels, motifs, nulls, paths, patterns, sweep, transmitters, within_area
 from .sources.graph_tables import Graph, order_graph
 from .sources.scratch import cut
@@ -208,6 +208,7 @@ add("top_per_waist_signature", lambda g: _short(distill.top(Run(g).motifs(), dis
 add("top_per_type", lambda g: _short(distill.top(Run(g).motifs(), 2000, "hourglass_type")), S.motif(_TOP.format("hourglass_type", 2000)))
 add("top_global", lambda g: _short(distill.top(Run(g).motifs(), distill.TOP_GLOBAL)), S.motif("SELECT structure_str, motif_count, signature FROM mot ORDER BY motif_count DESC, structure_str LIMIT 1000"))
 add("top_filtered", lambda g: _short(distill.top_rows(Run(g).motifs(), 100, 3)), S.motif("SELECT structure_str, motif_count, signature FROM mot WHERE motif_count >= 3 ORDER BY motif_count DESC, structure_str LIMIT 100"))
+add("top_summary", lambda g: distill.top_summary(distill.top_rows(Run(g).motifs(), 100, 3)), S.motif("SELECT hourglass_type, COUNT(*) AS n, MIN(motif_count) AS least, MAX(motif_count) AS most, median(motif_count)::DOUBLE AS median FROM (SELECT * FROM mot WHERE motif_count >= 3 ORDER BY motif_count DESC, structure_str LIMIT 100) GROUP BY GROUPING SETS ((hourglass_type), ())"))
 add("summary", lambda g: distill.summary(Run(g).motifs(), WINDOW, k_in=2, k_out=2, max_jump=1, min_count=1),
     S.motif("SELECT COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level) AS n_waist, COUNT(DISTINCT signature) AS n_signatures, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level || '|' || signature) AS n_cells, '1-2-3' AS \"window\", 2 AS k_in, 2 AS k_out, 1 AS max_jump, 1 AS min_count FROM mot"))
 # compression
@@ -218,7 +219,7 @@ add("compression_hist", lambda g: compression.histogram(_nominal(g)),
     S.motif(f"SELECT low, high, COUNT(c) AS n FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in zip(compression.EDGES, compression.EDGES[1:]))}) b(low, high) LEFT JOIN (SELECT compression AS c FROM ({_NOMINAL})) ON c >= low AND (c < high OR (high = 1000000000 AND c <= high)) GROUP BY ALL"))
 add("compression_top", lambda g: _nominal(g).withColumn("r", F.round("compression", 9)).transform(lambda d: distill.top(d.where("n_waist >= 3"), 5, "signature", value="r")).select("signature", "structure_str"),
     S.motif(f"SELECT signature, structure_str FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY round(compression, 9) DESC, structure_str) AS k FROM ({_NOMINAL}) WHERE n_waist >= 3) WHERE k <= 5"))
-_real = lambda g: (lambda r: compression.realised(r.edges, r.nodes, r.top_patterns(3)))(Run(g))
+_real = lambda g: (lambda r: compression.realised(r.edges, r.nodes, cut(r.top_patterns(3))))(Run(g))
 _REAL = """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 3),
 act AS (SELECT t.*, w.root_id AS i, a.v * b.v * c.v * d.v AS p FROM top t JOIN work w ON w.area = bottleneck_area AND w.lvl = bottleneck_level
   JOIN fin a ON a.i = w.root_id AND a.area = fan_in_0_area AND a.lvl = fan_in_0_level JOIN fin b ON b.i = w.root_id AND b.area = fan_in_1_area AND b.lvl = fan_in_1_level
@@ -266,6 +267,25 @@ add("nt_kind_by_signature", lambda g: rd(transmitters.kinds_by_signature(Run(g).
     S.q(S.work() + ",\n" + S.side("fout", "pout", 2, "d", "m") + S.DECOMPOSED, f"SELECT *, round(mass::DOUBLE / SUM(mass) OVER (PARTITION BY signature), 6) AS share FROM (SELECT signature, CASE WHEN 'U' IN (nt0, nt1) THEN 'with_U' WHEN nt0 = 'E' AND nt1 = 'E' THEN 'all_E' WHEN nt0 = 'I' AND nt1 = 'I' THEN 'all_I' ELSE 'mixed' END AS kind, SUM(motif_count)::BIGINT AS mass FROM {_SIGNED} GROUP BY ALL)"))
 add("nt_within_waist", lambda g: rd(transmitters.within_waist(Run(g).parts())),
     S.q(S.work() + ",\n" + S.side("fout", "pout", 2, "d", "m") + S.DECOMPOSED + f", t AS (SELECT area, lvl, signature, SUM(((nt0 = 'E')::INT + (nt1 = 'E')::INT) / 2.0::DOUBLE * motif_count) / SUM(motif_count) AS e FROM {_SIGNED} GROUP BY ALL)", "SELECT a.signature AS type_a, b.signature AS type_b, COUNT(*) AS n_waists, round(AVG(a.e - b.e), 6) AS mean_delta FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature < b.signature GROUP BY ALL"))
+_PARTS = S.work() + ",\n" + S.side("fout", "pout", 2, "d", "m") + S.DECOMPOSED + f", t AS (SELECT area, lvl, signature, SUM(((nt0 = 'E')::INT + (nt1 = 'E')::INT) / 2.0::DOUBLE * motif_count) / SUM(motif_count) AS e, SUM(motif_count) AS mass FROM {_SIGNED} GROUP BY ALL)"
+_RANKED = """SELECT {keys}, COUNT(*)::DOUBLE AS n, least(coalesce(SUM(r) FILTER (d > 0), 0), coalesce(SUM(r) FILTER (d < 0), 0)) AS statistic, COUNT(*) AS m, SUM(t * t - 1) AS ties
+  FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (COUNT(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS r, COUNT(*) OVER (PARTITION BY {keys}, abs(d))::DOUBLE AS t FROM ({pairs}) WHERE d <> 0) GROUP BY ALL"""
+_RANKS = "SELECT {keys}, n, statistic, round((statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM (" + _RANKED + ")"
+add("nt_paired_tests", lambda g: rd(transmitters.paired_tests(Run(g).parts())), S.q(_PARTS, _RANKS.format(keys="type_a, type_b", pairs="SELECT a.signature AS type_a, b.signature AS type_b, a.e - b.e AS d FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature < b.signature")))
+_GAPS = ("1-2-3", "2-3-4", "3-4-5")
+add("nt_gap_by_window", lambda g: rd(reduce(DataFrame.unionByName, (transmitters.excitation_gap(Run(g, window=w).parts()).withColumn("window", F.lit(w)) for w in _GAPS))),
+    " UNION ALL ".join("SELECT * FROM (" + S.q(S.work(window=f"({w.replace('-', ',')})") + _PARTS[len(S.work()):], f"SELECT round((SELECT SUM(e * mass) / SUM(mass) FROM t WHERE signature = 'FWD->FWD') - (SELECT SUM(e * mass) / SUM(mass) FROM t WHERE signature = 'BWD->BWD'), 6) AS raw, COUNT(*) AS n, round(AVG(b.e - a.e), 6) AS parity, '{w}' AS \"window\" FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature = 'BWD->BWD' AND b.signature = 'FWD->FWD'") + ")" for w in _GAPS))
+_row = lambda g, values, schema: g.neurons.sparkSession.createDataFrame([tuple(float(v) for v in values.values())], schema)
+add("nt_direction_tests", lambda g: rd(_row(g, transmitters.direction_tests(transmitters.ratio_by_direction(_edges(g))), "chi2 double, freedom double, p_chi2 double, odds double, p_fisher double")),
+    S.q(S.VIEWS + S.NT + """, k AS (SELECT direction, COUNT(*) FILTER (nt = 'E')::DOUBLE AS e, COUNT(*) FILTER (nt = 'I')::DOUBLE AS i FROM de GROUP BY 1),
+s AS (SELECT SUM(e) AS se, SUM(i) AS si, SUM(e + i) AS n FROM k),
+c AS (SELECT SUM((e - (e + i) * se / n) * (e - (e + i) * se / n) / ((e + i) * se / n) + (i - (e + i) * si / n) * (i - (e + i) * si / n) / ((e + i) * si / n)) AS chi2, COUNT(*) - 1.0::DOUBLE AS freedom FROM k, s WHERE e + i > 0),
+f AS (SELECT SUM(e) FILTER (direction = 'FWD') AS a, SUM(i) FILTER (direction = 'FWD') AS b, SUM(e) FILTER (direction = 'BWD') AS c, SUM(i) FILTER (direction = 'BWD') AS d FROM k),
+xs AS (SELECT f.*, unnest(range(greatest(0, a - d)::BIGINT, least(a + b, a + c)::BIGINT + 1))::DOUBLE AS x FROM f),
+h AS (SELECT a, x, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM xs)""",
+        "SELECT round(chi2, 6) AS chi2, freedom, round(exp(-chi2 / 2), 6) AS p_chi2, round(a * d / (b * c), 6) AS odds, round(least(1, (SELECT SUM(p) FROM h WHERE p <= (SELECT p FROM h WHERE x = a) * (1 + 1e-7))), 6) AS p_fisher FROM c, f"))
+add("nt_group_test", lambda g: rd(statistics.wilcoxon(transmitters.stratified(_edges(g), 20), "fracE_FWD", "fracE_BWD")),
+    S.q(S.VIEWS + S.NT, "SELECT n, statistic, z FROM (" + _RANKS.format(keys="one", pairs="SELECT 1 AS one, fe / f - be / b AS d FROM (SELECT grp, COUNT(*) FILTER (direction = 'FWD') AS f, COUNT(*) FILTER (direction = 'BWD') AS b, COUNT(*) FILTER (direction = 'FWD' AND nt = 'E') AS fe, COUNT(*) FILTER (direction = 'BWD' AND nt = 'E') AS be FROM dg GROUP BY 1) WHERE f >= 20 AND b >= 20") + ")"))
 # sweep
 _shapes = lambda g, k: (lambda r: sweep.pure_shapes(r.edges, r.nodes, k))(Run(g))
 
@@ -311,6 +331,11 @@ add("micro_macro", lambda g: rd(compare.ranked(_both(g))).withColumns({c: F.col(
 add("topk_overlap", lambda g: rd(compare.top_overlap(_both(g), ["area", "lvl"], 10)),
     S.q(S.bowtie() + S.PATHS + S.BOTH, "SELECT (SELECT COUNT(*) FROM (SELECT area, lvl FROM two ORDER BY micro DESC, area, lvl LIMIT 10) JOIN (SELECT area, lvl FROM two ORDER BY macro DESC, area, lvl LIMIT 10) USING (area, lvl)) AS shared, COUNT(*) AS n, 10 AS k, round(100.0::DOUBLE / COUNT(*), 6) AS expected FROM two"))
 add("spearman", lambda g: rd(compare.spearman(_both(g))), S.q(S.bowtie() + S.PATHS + S.BOTH, "SELECT round(corr(a, b), 6) AS rho, COUNT(*) AS n FROM (SELECT rank() OVER (ORDER BY micro) + (COUNT(*) OVER (PARTITION BY micro) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY macro) + (COUNT(*) OVER (PARTITION BY macro) - 1) / 2.0::DOUBLE AS b FROM two)"))
+_LOG_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+add("topk_overlap_test", lambda g: rd(_row(g, compare.overlap_test(compare.top_overlap(_both(g), ["area", "lvl"], 10)), "shared double, p_overlap double")),
+    S.q(S.bowtie() + S.PATHS + S.BOTH + ", o AS (SELECT (SELECT COUNT(*) FROM (SELECT area, lvl FROM two ORDER BY micro DESC, area, lvl LIMIT 10) JOIN (SELECT area, lvl FROM two ORDER BY macro DESC, area, lvl LIMIT 10) USING (area, lvl))::DOUBLE AS shared, COUNT(*)::DOUBLE AS n FROM two)",
+        f"SELECT shared, round((SELECT SUM(exp({_LOG_CHOOSE.format('10', 'x')} + {_LOG_CHOOSE.format('(n - 10)', '(10 - x)')} - {_LOG_CHOOSE.format('n', '10')})) FROM (SELECT unnest(range(shared::BIGINT, 11))::DOUBLE AS x) WHERE n - 20 + x >= 0), 6) AS p_overlap FROM o"))
+add("spearman_test", lambda g: rd(_row(g, compare.spearman_test(compare.spearman(_both(g))), "rho double, p_rho double")))
 add("bh_qvalues", lambda g: rd(compare.q_values(Run(g).sizes.select("area", "lvl", (1.0 / (F.col("n") + 1)).alias("p"))), 9),
     S.q(S.work(), "SELECT area, lvl, round(p, 9) AS p, round(least(MIN(p * m / r) OVER (ORDER BY p DESC, r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 9) AS q FROM (SELECT area, lvl, p, COUNT(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM (SELECT area, lvl, 1.0::DOUBLE / (n + 1) AS p FROM sizes))"))
 # patterns

@@ -231,6 +231,10 @@ def test_statistics(spark):
     rows = spark.createDataFrame([(1.0, 0.0), (2.0, 0.5), (3.0, 4.0), (5.0, 2.0), (4.0, 4.0), (1.5, 0.25)], "a double, b double")
     w = statistics.wilcoxon(rows, "a", "b").first()
     assert (w["n"], w["statistic"]) == (5.0, 1.5)
+    keyed = rows.crossJoin(spark.createDataFrame([("u",), ("v",)], "k string"))
+    assert sorted(tuple(r) for r in statistics.wilcoxon(keyed, "a", "b", "k").collect()) == [("u", *w), ("v", *w)]
+    assert statistics.wilcoxon(rows.limit(0), "a", "b").first()["n"] == 0 and statistics.wilcoxon(keyed.limit(0), "a", "b", "k").count() == 0
+    assert [round(statistics.student(t, n), 5) for t, n in ((2, 10), (-2, 5), (0, 3), (12.7062, 1), (4.30265, 2))] == [0.07339, 0.10194, 1.0, 0.05, 0.05]
     q = {r["p"]: r["q"] for r in compare.q_values(spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.5,)], "p double")).collect()}
     assert {k: round(v, 6) for k, v in q.items()} == {0.01: 0.04, 0.03: 0.053333, 0.04: 0.053333, 0.5: 0.5}
     rho = compare.spearman(spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 1.0), (4.0, 9.0)], "micro double, macro double")).first()["rho"]
@@ -295,3 +299,11 @@ def test_reports(spark, sf):
     assert {r["passed"] for r in analyses.check_values(spark, {"a": 1.0}, {"a": 1.0}).collect()} == {True}
     core = analyses.core_report(g, tau=0.2, hops=2, max_core=3, max_flat_core=3)
     assert core["core"].count() >= 1 and core["curve"].count() == 6
+
+
+def test_top_of_few_keys_and_summary(spark):
+    rows = [("ab"[i % 2], (i * 7919) % 997, f"s{i:05d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "hourglass_type string, motif_count long, structure_str string").repartition(3)
+    want = sorted(r for t in "ab" for r in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[1], r[2]))[:1500])
+    assert sorted(map(tuple, distill.top(df, 1500, "hourglass_type").collect())) == want
+    assert {r["hourglass_type"]: r["n"] for r in distill.top_summary(df).collect()} == {"a": 3000, "b": 3000, None: 6000}
