@@ -10,8 +10,10 @@ window by the shingle's offset in it (positional bound), drops places that
 leave the document (length bound) and verifies the run word by word.
 
 Both passes are narrow: documents are never shuffled.  Only benchmark windows
-are broadcast, in blocks of at most ``MAX_WINDOWS``; a larger benchmark takes
-more passes, each adding to the hits of the one before.
+are broadcast, in blocks of about ``MAX_WINDOWS`` by the hash of item and words,
+so a long item spreads over them too; a larger benchmark takes more passes, each
+adding to the hits of the one before.  A block reaches the driver as Arrow
+columns and stays in arrays.
 
 Words are compared by 64-bit hashes, all words of a window one by one.  Null
 texts have no words; items without words are skipped; items with equal ids
@@ -30,44 +32,44 @@ from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, gram_hash, slices
 
-#: Windows that one broadcast holds, about 100 bytes each.
+#: Windows of ten words that one block holds; other windows count by their words.
 MAX_WINDOWS = 1_000_000
 SHINGLE = 5
 
 
 class Windows:
-    """Windows of a block of items, by number: word hashes, items, shingles."""
-
-    def __init__(self, rows: list[tuple[int, bytes, list[int]]]):
-        self.items = sorted({i for _, _, items in rows for i in items})
-        where = {x: n for n, x in enumerate(self.items)}
-        self.words = [np.frombuffer(w, dtype=np.uint64) for _, w, _ in rows]
-        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+    """Distinct windows of a block, by number: word hashes, items and shingles, all in arrays."""
+
+    def __init__(self, rows: pa.Table):
+        """``rows``: words (binary, 8 bytes a word) and owners (list of item ids)."""
+        words, owners = rows.column("words").cast(pa.large_binary()).combine_chunks(), rows.column("owners").combine_chunks()
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        self.length = np.diff(at) // 8
+        self.flat = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint64) if len(words) else np.zeros(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
-        self.flat = np.concatenate(self.words) if rows else np.zeros(0, np.uint64)
-        owners = [[where[i] for i in items] for _, _, items in rows]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([o for own in owners for o in own], dtype=np.int64)
-        shingles: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # size: (hash, window, offset)
-        for n, w in enumerate(self.words):
-            k = min(SHINGLE, len(w))
-            for offset, h in enumerate(gram_hash([w[i : len(w) - k + 1 + i] for i in range(k)]).tolist()):
-                shingles[k].append((h, n, offset))
-        self.shingles = {k: tuple(np.array(c, dtype=t) for c, t in zip(zip(*v), (np.uint64, np.int64, np.int64))) for k, v in shingles.items()}
+        self.owner_at = np.concatenate([[0], np.cumsum(owners.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.items, self.owner = np.unique(owners.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        cut: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)  # size: hashes, windows, offsets
+        for length in np.unique(self.length).tolist():
+            own, k = np.flatnonzero(self.length == length), min(SHINGLE, length)
+            for offset in range(length - k + 1):
+                h = gram_hash([self.flat[self.first[own] + offset + i] for i in range(k)])
+                cut[k].append((h, own.astype(np.int32), np.full(len(own), offset, dtype=np.int32)))
+        self.shingles = {k: tuple(np.concatenate(c) for c in zip(*v)) for k, v in cut.items()}
         self.known = {k: np.unique(v[0]) for k, v in self.shingles.items()}
         self.prefix: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def rank(self, frequency: dict[int, dict[int, int]]) -> None:
-        """Keep each window's rarest shingle; ties go to the smaller hash, then the first place."""
+    def rank(self, frequency: dict[int, np.ndarray]) -> None:
+        """Keep each window's rarest shingle by the frequencies of the known ones; ties go to the smaller hash, then the first place."""
         for k, (h, window, offset) in self.shingles.items():
-            df = np.array([frequency.get(k, {}).get(x, 0) for x in h.tolist()], dtype=np.int64)
+            df = frequency[k][np.searchsorted(self.known[k], h)]
             order = np.lexsort((offset, h, df, window))
             chosen = order[np.concatenate([[True], np.diff(window[order]) != 0])]
             chosen = chosen[df[chosen] > 0]  # a shingle that no document has rules its windows out
             chosen = chosen[np.argsort(h[chosen], kind="stable")]
             keys, at = np.unique(h[chosen], return_index=True)
-            self.prefix[k] = (keys, np.concatenate([at, [len(chosen)]]), window[chosen], offset[chosen])
-        self.shingles = {}
+            self.prefix[k] = (keys, np.concatenate([at, [len(chosen)]]), window[chosen].astype(np.int64), offset[chosen].astype(np.int64))
+        self.shingles, self.known = {}, {}
 
 
 def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +100,12 @@ def benchmark_windows(benchmark: DataFrame, window: int, item: str = "item_id",
     return benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), text).mapInArrow(cut, "item long, size int, words binary")
 
 
-def _shingle_frequency(docs: DataFrame, text: str, shared) -> dict[int, dict[int, int]]:
-    """Number of documents with each benchmark shingle; at most a row for each of these."""
+def _shingle_frequency(docs: DataFrame, text: str, known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Number of documents with each of the ``known`` shingles, which are broadcast; at most a row for each comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.known
+        known = shared.value
         totals = {k: np.zeros(len(v), dtype=np.int64) for k, v in known.items()}
         for batch in slices(batches, "text"):
             words = Words(batch.column(0), ALNUM)
@@ -116,9 +119,12 @@ def _shingle_frequency(docs: DataFrame, text: str, shared) -> dict[int, dict[int
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(known[k][some].view(np.int64)), pa.array(n[some])], ["k", "h", "n"])
 
-    out: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]][r["h"] % (1 << 64)] = r["n"]
+    found = docs.select(F.col(text).alias("text")).mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow()
+    size, h, n = (found.column(c).to_numpy() for c in ("k", "h", "n"))
+    out = {k: np.zeros(len(v), dtype=np.int64) for k, v in known.items()}
+    for k, keys in known.items():
+        own = size == k
+        out[k][np.searchsorted(keys, h[own].astype(np.int64).view(np.uint64))] = n[own]
     return out
 
 
@@ -133,19 +139,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     """Add n_words, n_hit, items (array, ascending), n_items and contaminated to ``docs``; columns of these names are replaced."""
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, window)
-    total = windows.count()
-    blocks = max(1, -(-total // MAX_WINDOWS))
+    total = windows.agg(F.sum("size").alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // (10 * MAX_WINDOWS)))
     rows = docs.drop("n_words", "n_hit", "hit_words", "items", "n_items", "contaminated")
     rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_words": F.lit(b""), "items": F.array().cast("array<long>")})
     for block in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        found = own.distinct().collect()
-        by_words: dict[bytes, list[int]] = defaultdict(list)
-        for r in found:
-            by_words[bytes(r["words"])].append(r["item"])
-        held = Windows([(0, w, items) for w, items in sorted(by_words.items())])
-        first = spark.sparkContext.broadcast(held)
-        held.rank(_shingle_frequency(docs, text, first))
+        own = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
+        held = Windows(own.groupBy("words").agg(F.collect_set("item").alias("owners")).toArrow())
+        held.rank(_shingle_frequency(docs, text, held.known))
         rows = rows.mapInArrow(_probe(text, spark.sparkContext.broadcast(held)), rows.schema)
     return rows.drop("hit_words").withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
@@ -177,13 +178,13 @@ def _probe(text: str, shared):
                     wins.append(v)
             start, win = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, wins))
             hit = _covered(start, start + held.length[win] if len(win) else start, n)
-            pairs = np.unique(row[start] * (len(held.words) + 1) + win) if len(win) else win
-            doc, win = pairs // (len(held.words) + 1), pairs % (len(held.words) + 1)
+            pairs = np.unique(row[start] * (len(held.length) + 1) + win) if len(win) else win
+            doc, win = pairs // (len(held.length) + 1), pairs % (len(held.length) + 1)
             many = held.owner_at[win + 1] - held.owner_at[win]
             owner = held.owner[np.repeat(held.owner_at[win] - (np.cumsum(many) - many), many) + np.arange(many.sum())] if len(win) else win
             pairs = np.unique(np.repeat(doc, many) * (len(held.items) + 1) + owner) if len(owner) else owner
             at = np.searchsorted(pairs // (len(held.items) + 1), np.arange(batch.num_rows + 1))
-            ids = np.array(held.items, dtype=np.int64)[pairs % (len(held.items) + 1)] if len(pairs) else pairs
+            ids = held.items[pairs % (len(held.items) + 1)] if len(pairs) else pairs
             bits, lists, hits = (batch.column(c).to_pylist() for c in ("hit_words", "items", "n_hit"))
             for r in np.unique(doc).tolist():
                 own = np.packbits(hit[words.at[r] : words.at[r + 1]])
