@@ -7,11 +7,14 @@ within hash buckets and adding the sizes of the buckets before.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
 
+#: Fewest hash buckets that a numbering is split over; there are four for each shuffle partition.
 BUCKETS = 64
 
 
@@ -22,7 +25,8 @@ def draw(seed: int, *columns: str | Column) -> Column:
 
 def numbered(df: DataFrame, order: Column, *keys: str, name: str = "rank") -> DataFrame:
     """Add ranks 0, 1, .. within keys in the order of ``order``, a number in [0, 1); ties by nothing, so it should not tie."""
-    rows = df.withColumn("_order", order).withColumn("_bucket", F.floor(F.col("_order") * BUCKETS).cast("int"))
+    buckets = max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.withColumn("_order", order).withColumn("_bucket", F.floor(F.col("_order") * buckets).cast("int"))
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -129,10 +133,10 @@ def rewired_by_order(edges: DataFrame, levels: DataFrame, seed: int = 42, tries:
     return rows.join(order, "place").select("pre", "post")
 
 
-def mixing(edges: DataFrame, rounds: tuple[int, ...] = (1, 5, 10, 20), seed: int = 42) -> DataFrame:
-    """rounds, kept: share of the edges that are still there after so many rounds of swaps."""
+def mixing(edges: DataFrame, rounds: tuple[int, ...] = (1, 5, 10, 20), seed: int = 42, measure: Callable[[DataFrame], float | None] | None = None) -> DataFrame:
+    """rounds, kept, measured: share of the edges that are still there after so many rounds of swaps, and ``measure`` of the edges then."""
     total, now, rows = edges.count(), edges, []
     for before, after in zip((0, *rounds), rounds):
         now = swapped(now, after - before, seed + 1000 * before)
-        rows.append((after, now.join(edges, ["pre", "post"], "left_semi").count() / max(1, total)))
-    return edges.sparkSession.createDataFrame(rows, "rounds int, kept double")
+        rows.append((after, now.join(edges, ["pre", "post"], "left_semi").count() / max(1, total), measure(now) if measure else None))
+    return edges.sparkSession.createDataFrame(rows, "rounds int, kept double, measured double")

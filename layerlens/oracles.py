@@ -133,3 +133,19 @@ hl{name} AS (SELECT -SUM(cy / n * log2(cy / n)) AS h FROM (SELECT SUM(c) AS cy,
 
 def rounded(body: str, *columns: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns)}) FROM ({body.strip()})"
+
+#: Connected patterns of 3 and 4 nodes: all sets of arcs, each under its least relabelling.
+CATALOGUE = """WITH ks(k) AS (VALUES (3), (4)),
+arcs AS (SELECT k, a, b, row_number() OVER (PARTITION BY k ORDER BY a, b) - 1 AS i FROM ks, range(4) x(a), range(4) y(b) WHERE a <> b AND a < k AND b < k),
+masks AS (SELECT k, m FROM ks, range(1, 4096) t(m) WHERE m < (1 << (k * (k - 1)))),
+es AS (SELECT k, m, a, b FROM masks JOIN arcs USING (k) WHERE (m >> i) & 1 = 1),
+perms AS (SELECT k, [x.v, y.v, z.v, w.v] AS p FROM ks, range(4) x(v), range(4) y(v), range(4) z(v), range(4) w(v) WHERE x.v < k AND y.v < k AND z.v < k AND len(list_distinct([x.v, y.v, z.v, w.v])) = 4),
+texts AS (SELECT k, m, p, string_agg(p[a + 1] || '>' || p[b + 1], ';' ORDER BY p[a + 1], p[b + 1]) AS t FROM es JOIN perms USING (k) GROUP BY k, m, p),
+kinds AS (SELECT k, pattern, MIN(m) AS m FROM (SELECT k, m, MIN(t) AS pattern FROM texts GROUP BY k, m) GROUP BY ALL),
+arc AS (SELECT k, pattern, a, b FROM kinds JOIN es USING (k, m)),
+lines AS (SELECT k, pattern, a, b FROM arc UNION SELECT k, pattern, b, a FROM arc),
+near AS (SELECT * FROM lines UNION SELECT k, pattern, x, x FROM kinds, range(4) r(x)),
+whole AS (SELECT k, pattern FROM near o JOIN near p USING (k, pattern) JOIN near q USING (k, pattern) WHERE o.a = 0 AND p.a = o.b AND q.a = p.b GROUP BY ALL HAVING COUNT(DISTINCT q.b) = k),
+degrees AS (SELECT k, pattern, SUM(d) / 2 AS n, MAX(d) AS top FROM (SELECT k, pattern, a, COUNT(*) AS d FROM lines GROUP BY ALL) GROUP BY ALL)
+SELECT pattern, k AS nodes, bit_count(m)::INT AS edges, CASE WHEN n <> k - 1 THEN 'cyclic' WHEN top <= 2 THEN 'path' WHEN top = k - 1 THEN 'star' ELSE 'tree' END AS shape,
+  CASE WHEN n = k - 1 THEN 1 WHEN n = 6 THEN 3 ELSE 2 END AS treewidth, n = k - 1 AS factorises FROM kinds JOIN whole USING (k, pattern) JOIN degrees USING (k, pattern)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +13,9 @@ from pyspark.sql.types import DoubleType
 from . import oracles as S
 from .functions import signature, statistics, taxonomy
 from .operators import compare, compression, distill, graph, levels, motifs, nulls, paths, patterns, sweep, transmitters, within_area
-from .sources.graph_tables import Graph, order_graph
-from .sources.scratch import cut
+from .sources.artefacts import load_table, write_summary, write_table
+from .sources.graph_tables import Graph, order_graph, read_csv_table
+from .sources.scratch import cut, shared_folder
 
 WINDOW, DEEP, HOPS = "1-2-3", "3-4-5", 3
 Query = Callable[[Graph], DataFrame]
@@ -113,27 +115,48 @@ def _label_null(g: Graph) -> DataFrame:
     return compare.empirical(_profiles(g).select("area", "signature", F.col("share").alias("observed")), null, ["area", "signature"])
 
 
+def _flows(edges: DataFrame, *keys: str) -> list[DataFrame]:
+    """Flows into and out of nodes, for each of ``keys`` (such as a replicate)."""
+    return [edges.groupBy(*keys, F.col(i).alias("i"), F.col(a).alias("area"), F.col(l).alias("lvl")).agg(F.count(F.lit(1)).alias("v")) for i, a, l in (("post", "sa", "sl"), ("pre", "da", "dl"))]  # noqa: E741
+
+
+def _pattern_counts(run: Run, top: DataFrame, flows: list[DataFrame]) -> DataFrame:
+    """structure_str, rep, value: counts of the motifs ``top`` (with rep) in replicates of the flows in and out; motifs without any are left out."""
+    members = run.nodes.select(F.col("root_id").alias("i"), F.col("area").alias("bottleneck_area"), F.col("lvl").alias("bottleneck_level"))
+    rows = top.join(members, ["bottleneck_area", "bottleneck_level"]).withColumn("p", F.lit(1).cast("long"))
+    for e in ("fan_in_0", "fan_in_1", "fan_out_0", "fan_out_1"):
+        flow = flows["out" in e].select("rep", "i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), "v")
+        rows = rows.join(flow, ["rep", "i", f"{e}_area", f"{e}_level"]).withColumn("p", F.col("p") * F.col("v")).drop("v")
+    return rows.groupBy("structure_str", "rep").agg(F.sum("p").alias("value"))
+
+
 def _null_counts(g: Graph, which: str, n: int = REPLICATES) -> DataFrame:
     """Counts of the 3 largest motifs of each waist against a null of n replicates: A swaps, B blocks, C alignment."""
     run = Run(g)
     top, edges = cut(run.top_patterns(3)), cut(run.edges)
     if which == "C":
         flows = [nulls.aligned(f, run.nodes, n, seed) for f, seed in ((motifs.flow_in(edges), 1), (motifs.flow_out(edges), 2))]
+    elif which == "A":
+        flows = _flows(graph.between_metanodes(graph.with_ends(nulls.swapped(nulls.replicates(edges, n), ROUNDS, keys=("rep",)), run.nodes)), "rep")
     else:
-        if which == "A":
-            drawn = graph.between_metanodes(graph.with_ends(nulls.swapped(nulls.replicates(edges, n), ROUNDS, keys=("rep",)), run.nodes))
-        else:
-            drawn = cut(nulls.block_rewired(nulls.replicates(edges, n), run.nodes, keys=("rep",)))
-        flows = [drawn.groupBy("rep", F.col(i).alias("i"), F.col(a).alias("area"), F.col(l).alias("lvl")).agg(F.count(F.lit(1)).alias("v")) for i, a, l in (("post", "sa", "sl"), ("pre", "da", "dl"))]  # noqa: E741
-    members = run.nodes.select(F.col("root_id").alias("i"), F.col("area").alias("bottleneck_area"), F.col("lvl").alias("bottleneck_level"))
-    rows = nulls.replicates(top, n).join(members, ["bottleneck_area", "bottleneck_level"]).withColumn("p", F.lit(1).cast("long"))
-    for e in ("fan_in_0", "fan_in_1", "fan_out_0", "fan_out_1"):
-        flow = flows["out" in e].select("rep", "i", F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), "v")
-        rows = rows.join(flow, ["rep", "i", f"{e}_area", f"{e}_level"]).withColumn("p", F.col("p") * F.col("v")).drop("v")
-    out = rows.groupBy("structure_str", "rep").agg(F.sum("p").alias("value"))
+        flows = _flows(cut(nulls.block_rewired(nulls.replicates(edges, n), run.nodes, keys=("rep",))), "rep")
+    out = _pattern_counts(run, nulls.replicates(top, n), flows)
     return nulls.replicates(top.select("structure_str", "signature", F.col("motif_count").alias("observed")), n).join(out, ["structure_str", "rep"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
+def _mixing(g: Graph) -> DataFrame:
+    """rounds, kept, ratio: how far swaps have mixed the graph: edges still there, and the median ratio of swapped to real counts of the 3 largest motifs of each waist."""
+    run = Run(g)
+    top, edges = nulls.replicates(cut(run.top_patterns(3)), 1), cut(run.edges)
+
+    def ratio(drawn: DataFrame) -> float | None:
+        between = graph.between_metanodes(graph.with_ends(drawn, run.nodes)).withColumn("rep", F.lit(0))
+        counts = top.join(_pattern_counts(run, top, _flows(between, "rep")), ["structure_str", "rep"], "left")
+        return counts.agg(F.median(F.coalesce("value", F.lit(0)) / F.col("motif_count")).alias("r")).first()["r"]
+
+    return nulls.mixing(edges.select("pre", "post"), measure=ratio).withColumnRenamed("measured", "ratio")
+
+
 def _validation(g: Graph, which: str) -> DataFrame:
     every = _null_counts(g, which)
     keys = ["structure_str", "signature"]
@@ -154,6 +177,10 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
     REGISTRY[name] = (query, sql)
 
 
+def oracle_of(name: str) -> str | None:
+    return REGISTRY[name][1]
+
+
 # tables and edges
 add("neurons_view", lambda g: g.neurons, S.q(S.VIEWS, "SELECT * FROM neurons"))
 add("levels_view", lambda g: rd(g.levels, 9), S.q(S.VIEWS, S.rounded("SELECT * FROM levels", "score", digits=9)))
@@ -335,7 +362,9 @@ _LOG_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
 add("topk_overlap_test", lambda g: rd(_row(g, compare.overlap_test(compare.top_overlap(_both(g), ["area", "lvl"], 10)), "shared double, p_overlap double")),
     S.q(S.bowtie() + S.PATHS + S.BOTH + ", o AS (SELECT (SELECT COUNT(*) FROM (SELECT area, lvl FROM two ORDER BY micro DESC, area, lvl LIMIT 10) JOIN (SELECT area, lvl FROM two ORDER BY macro DESC, area, lvl LIMIT 10) USING (area, lvl))::DOUBLE AS shared, COUNT(*)::DOUBLE AS n FROM two)",
         f"SELECT shared, round((SELECT SUM(exp({_LOG_CHOOSE.format('10', 'x')} + {_LOG_CHOOSE.format('(n - 10)', '(10 - x)')} - {_LOG_CHOOSE.format('n', '10')})) FROM (SELECT unnest(range(shared::BIGINT, 11))::DOUBLE AS x) WHERE n - 20 + x >= 0), 6) AS p_overlap FROM o"))
-add("spearman_test", lambda g: rd(_row(g, compare.spearman_test(compare.spearman(_both(g))), "rho double, p_rho double")))
+add("spearman_test", lambda g: rd(_row(g, compare.spearman_test(compare.spearman(_both(g))), "rho double, p_rho double")),
+    S.q(S.bowtie() + S.PATHS + S.BOTH + ", rk AS (SELECT rank() OVER (ORDER BY micro) + (COUNT(*) OVER (PARTITION BY micro) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY macro) + (COUNT(*) OVER (PARTITION BY macro) - 1) / 2.0::DOUBLE AS b FROM two), r AS (SELECT corr(a, b) AS rho, COUNT(*)::DOUBLE - 2 AS f FROM rk), t AS (SELECT *, abs(rho) * sqrt(f / (1 - rho * rho)) AS t FROM r)",
+        "SELECT round(rho, 6) AS rho, round(1 - 2 * exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) * t / 6000 * (SELECT SUM(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 2000, 2) / f, -(f + 1) / 2)) FROM range(2001) s(i)), 6) AS p_rho FROM t"))
 add("bh_qvalues", lambda g: rd(compare.q_values(Run(g).sizes.select("area", "lvl", (1.0 / (F.col("n") + 1)).alias("p"))), 9),
     S.q(S.work(), "SELECT area, lvl, round(p, 9) AS p, round(least(MIN(p * m / r) OVER (ORDER BY p DESC, r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 9) AS q FROM (SELECT area, lvl, p, COUNT(*) OVER () AS m, row_number() OVER (ORDER BY p) AS r FROM (SELECT area, lvl, 1.0::DOUBLE / (n + 1) AS p FROM sizes))"))
 # patterns
@@ -346,14 +375,14 @@ add("hom_bowtie", _tree(((0, 2), (1, 2), (2, 3), (2, 4)), 5), S.q(S.VIEWS, "SELE
 add("hom_reciprocal", _tree(((0, 1), (1, 0), (1, 2)), 3), S.q(S.VIEWS, "SELECT COUNT(*)::DOUBLE AS n FROM ebin a JOIN ebin b ON a.pre = b.post AND a.post = b.pre JOIN ebin c ON c.pre = a.post"))
 add("hom_diamond", lambda g: patterns.diamond_count(graph.edges_binary(g)), S.q(S.VIEWS, "SELECT SUM(n::DOUBLE * n) AS n FROM (SELECT a.pre, b.post, COUNT(*) AS n FROM ebin a JOIN ebin b ON a.post = b.pre GROUP BY ALL)"))
 add("hom_triangle_brute", lambda g: patterns.brute_count(graph.edges_binary(g), ((0, 1), (1, 2), (2, 0)), 3), S.q(S.VIEWS, "SELECT COUNT(*)::DOUBLE AS n FROM ebin a JOIN ebin b ON a.post = b.pre JOIN ebin c ON b.post = c.pre AND c.post = a.pre"))
-add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession))
+add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession), S.CATALOGUE)
 # nulls
 add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), ROUNDS))
 add("null_block", lambda g: nulls.block_rewired(Run(g).edges, Run(g).nodes))
 add("null_alignment", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, 2))
 add("null_label_perm", _label_null)
 add("null_levels", lambda g: levels.null_reference(levels.categories(g, "group"), 3))
-add("null_mixing", lambda g: nulls.mixing(graph.edges_binary(g)))
+add("null_mixing", _mixing)
 add("null_indegree", lambda g: nulls.rewired_by_order(paths.forward_edges(g), g.levels.select("root_id", F.col("y_level").alias("lvl"))))
 add("validation_blocks", lambda g: _validation(g, "B"))
 add("validation_alignment", lambda g: _validation(g, "C"))
@@ -363,6 +392,72 @@ _null_enriched = lambda g: within_area.enrichment(_profiles(g), _label_null_shar
 add("within_area_null_enrichment", lambda g: rd(_null_enriched(g)))
 add("within_area_null_characteristic", lambda g: rd(within_area.characteristic(_null_enriched(g))))
 add("within_area_null_flat", lambda g: rd(within_area.flat_areas(_null_enriched(g))))
+# what nulls leave as it is
+_DEGREES = "SELECT v, SUM(i)::BIGINT AS n_in, SUM(o)::BIGINT AS n_out FROM (SELECT post AS v, 1 AS i, 0 AS o FROM {0} UNION ALL SELECT pre, 0, 1 FROM {0}) GROUP BY v"
+_ends = lambda e: e.select(F.explode(F.array(*(F.struct(F.col(v).alias("v"), F.lit(i).alias("i"), F.lit(o).alias("o")) for v, i, o in (("post", 1, 0), ("pre", 0, 1)))))).select("col.*")
+add("null_edge_swap_degrees", lambda g: _ends(nulls.swapped(graph.edges_binary(g), ROUNDS).distinct()).groupBy("v").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")), S.q(S.VIEWS, _DEGREES.format("ebin")))
+add("null_block_sizes", lambda g: graph.metagraph_edges(nulls.block_rewired(Run(g).edges, Run(g).nodes).distinct()), S.q(S.work(), "SELECT * FROM meta"))
+_waist = lambda g: Run(g).nodes.select(F.col("root_id").alias("i"), F.col("area").alias("wa"), F.col("lvl").alias("wl"))
+add("null_alignment_values", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, 2).join(_waist(g), "i").groupBy("rep", "wa", "wl", "area", "lvl", "v").agg(F.count_distinct("i").alias("n")),
+    S.q(S.work(), "SELECT rep::INT AS rep, w.area AS wa, w.lvl AS wl, fin.area, fin.lvl, v, COUNT(*) AS n FROM fin JOIN work w ON w.root_id = fin.i, range(2) r(rep) GROUP BY ALL"))
+add("null_label_levels", lambda g: nulls.permuted_levels(within_area.membership(g), 2).groupBy("rep", "area", "lvl").agg(F.count_distinct("root_id").alias("n")), S.q(S.VIEWS + S.AREA, "SELECT rep::INT AS rep, area, lvl, COUNT(*) AS n FROM mem, range(2) r(rep) GROUP BY ALL"))
+add("null_indegree_degrees", lambda g: REGISTRY["null_indegree"][0](g).distinct().join(g.levels.select(F.col("root_id").alias("pre"), F.col("y_level").alias("a")), "pre").join(g.levels.select(F.col("root_id").alias("post"), F.col("y_level").alias("b")), "post").where("a < b").groupBy("post").agg(F.count(F.lit(1)).alias("n")),
+    S.q(S.VIEWS + S.PATHS, "SELECT post, COUNT(*) AS n FROM fe GROUP BY post"))
+
+
+# sources and sinks: written to the shared folder and read back
+def _place(g: Graph) -> tuple[SparkSession, str]:
+    spark = g.neurons.sparkSession
+    return spark, f"{shared_folder(spark)}/layerlens-artefacts-{uuid.uuid4().hex}"
+
+
+def _from_csv(g: Graph, table: str, rows: DataFrame, gzip: bool = False) -> DataFrame:
+    spark, root = _place(g)
+    return read_csv_table(spark, write_table(rows, root, WINDOW, table, "csv", gzip), table)
+
+
+def _appended(g: Graph) -> DataFrame:
+    spark, root = _place(g)
+    for odd in (0, 1):
+        path = write_table(g.classification.where(F.col("root_id") % 2 == odd), root, WINDOW, "classification", "csv", append=odd == 1)
+    return read_csv_table(spark, path, "classification")
+
+
+def _by_key(g: Graph) -> DataFrame:
+    spark, root = _place(g)
+    write_table(Run(g).motifs(), root, WINDOW, "motifs", partition_by=["signature"])
+    return distill.by_signature(load_table(spark, root, WINDOW, "motifs"))
+
+
+def _as_csv(g: Graph) -> DataFrame:
+    (spark, root), rows = _place(g), distill.by_waist(Run(g).motifs())
+    write_table(rows, root, WINDOW, "by_waist", "csv", gzip=True)
+    return load_table(spark, root, WINDOW, "by_waist", "csv", rows.schema)
+
+
+def _as_json(g: Graph) -> DataFrame:
+    (spark, root), rows = _place(g), REGISTRY["summary"][0](g)
+    return spark.read.schema(rows.schema).json(write_summary(rows, root, WINDOW))
+
+
+def _old_artefact(g: Graph) -> DataFrame:
+    spark, root = _place(g)
+    old = F.regexp_replace(F.regexp_replace(F.regexp_replace("signature", "FWD", "FF"), "BWD", "FB"), "LAT", "lat")
+    write_table(distill.by_signature(Run(g).motifs()).withColumn("signature", old), root, WINDOW, "by_signature")
+    return load_table(spark, root, WINDOW, "by_signature")
+
+
+add("csv_scan", lambda g: _from_csv(g, "neurons", g.neurons.withColumnRenamed("grp", "group")), S.q(S.VIEWS, "SELECT * FROM neurons"))
+add("csv_projection", lambda g: _from_csv(g, "connections", g.connections.select(F.lit("x").alias("other"), "syn_count", "neuropil", "post_root_id", "pre_root_id")).select("pre_root_id", "syn_count"), S.q(S.VIEWS, "SELECT pre_root_id, syn_count::INT AS syn_count FROM connections"))
+add("csv_parts", lambda g: _from_csv(g, "connections", g.connections.repartition(16)).groupBy("neuropil").agg(F.count(F.lit(1)).alias("n"), F.sum("syn_count").alias("syn")), S.q(S.VIEWS, "SELECT neuropil, COUNT(*) AS n, SUM(syn_count)::BIGINT AS syn FROM connections GROUP BY 1"))
+add("csv_gzip", lambda g: _from_csv(g, "levels", g.levels, True), S.q(S.VIEWS, "SELECT root_id, score, y_level FROM levels"))
+add("csv_append", _appended, S.q(S.VIEWS, "SELECT * FROM classification"))
+add("sink_per_key", _by_key, oracle_of("agg_signature"))
+add("csv_table", _as_csv, oracle_of("agg_waist"))
+add("json_summary", _as_json, oracle_of("summary"))
+add("catalog_old_labels", _old_artefact, oracle_of("agg_signature"))
+add("waist_labels", lambda g: (lambda label: Run(g).sizes.select(label.alias("waist"), *(c.alias(n) for c, n in zip(signature.parse_node_label(label), ("area", "lvl")))))(signature.node_label(F.col("area"), F.col("lvl"))), S.q(S.work(), "SELECT area || 'L' || lvl AS waist, area, lvl FROM sizes"))
+add("signature_filter", lambda g: distill.by_waist(distill.with_signature(cut(Run(g).motifs()), "mix->FF")), S.motif("SELECT bottleneck_area || 'L' || bottleneck_level AS waist, COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, MAX(motif_count) AS mass_max FROM mot WHERE signature = 'mix->FWD' GROUP BY ALL"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
