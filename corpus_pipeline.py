@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerlens.llm import decontamination, pieces, private_data, setsketch, toxicity
-from layerlens.llm.storage import materialise
+from layerlens.llm.storage import discarding, materialise
 
 #: A document with this toxicity score or more goes.
 TOXIC = 0.3
@@ -74,8 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each stage's result is written and read again."""
+    """Apply all stages to ``documents``; each stage's result is written and read again, and the tables that led to it are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with discarding():
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import lowest_hashes, materialise
+from .storage import discarding, lowest_hashes, materialise
 
 SUB, CENTRES, SAMPLE, QUERY_BLOCK, THRESHOLD = 2, 16, 20_000, 8192, 0.2
 #: Scan scores scored exactly before the bound is applied.
@@ -190,6 +190,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
+@discarding()
 def search(index: DataFrame, book: Codebook | None, dims: int, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k nearest."""
     spark, schema = index.sparkSession, "query_id long, query long, vec_id long, score double"
@@ -205,7 +206,7 @@ def search(index: DataFrame, book: Codebook | None, dims: int, queries: DataFram
         raw = matrix(rows.column("vector").chunk(0), dims)
         shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), raw))
         own = index.mapInArrow(_scan(shared, book, dims, k), schema).withColumn("query", F.col("query") + F.lit(block << 32))
-        found.append(materialise(own, "nearest"))
+        found.append(materialise(own, "nearest", keep=True))
         shared.destroy()  # what it gave is written, so no task asks for it again
     found = reduce(DataFrame.unionByName, found, spark.createDataFrame([], schema))
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import lowest_hashes, materialise
+from .storage import discarding, lowest_hashes, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS, SAMPLE_SPANS, PRECISION, CHUNK = 3000, 100, 0.99, 4096
@@ -272,6 +272,7 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+@discarding()
 def fit(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> dict[int, tuple]:
     """kind: (trees, slope, offset, threshold) from a bounded sample."""
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import SPACED, U, Words, gram_hash, mix, release, slices
 from .components import connected_components
-from .storage import join_values, materialise
+from .storage import discarding, join_values, materialise
 
 BASE, SCALE, BANDS, ROWS = 1.001, 30.0, 40, 5
 REGISTERS = BANDS * ROWS
@@ -346,8 +346,18 @@ def _crowded(banded: DataFrame, total: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id that links reach, its own included) and kept of every row."""
-    least = least_estimate(percent / 100)
     sets = materialise(read_sets(docs, key, text, size), "sets")
+    most = max(ROOM, sets.count() / SHARE)
+    with discarding():
+        ids = materialise(_classes(docs, sets, size, percent, key, text), "ids", keep=True)
+    out = join_values(sets.select("key", "n_shingles", "node"), ids, ["node"], "key", most)
+    own = F.coalesce("value", "key")
+    return out.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, sets: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """node, n (rows with the node's set) and value (smallest id that links reach) of every set."""
+    least = least_estimate(percent / 100)
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node")
     nodes = materialise(nodes.agg(F.min("key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "nodes")
     total = sets.count()
@@ -388,7 +398,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     merged = materialise(merged.join(sizes, "component"), "merged")
     named = materialise(join_values(named, merged, ["component"], "node", most).withColumn("component", F.coalesce("value", "component")).drop("value"), "named")
     smallest = materialise(named.groupBy("component").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).where("n > 1"), "smallest")
-    ids = join_values(named, smallest, ["component"], "node", most).select("node", F.col("copies").alias("n"), F.coalesce("value", "first").alias("value"))
-    out = join_values(sets.select("key", "n_shingles", "node"), materialise(ids, "ids"), ["node"], "key", most)
-    own = F.coalesce("value", "key")
-    return out.select(F.col("key").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("key") == own, F.lit(True)).alias("kept"))
+    return join_values(named, smallest, ["component"], "node", most).select("node", F.col("copies").alias("n"), F.coalesce("value", "first").alias("value"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +27,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; the result has no lineage to redo."""
+#: Tables that the innermost ``discarding`` block wrote: session, path, whether to keep.
+_WRITTEN: ContextVar[list[tuple[SparkSession, str, bool]] | None] = ContextVar("written", default=None)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; the result has no lineage to redo.  ``keep`` outlives a ``discarding`` block."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append((spark, path, keep))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Delete what ``materialise`` wrote inside once the block ends well, but for kept tables, which a block around it then holds.
+
+    What is read after the block has to be written inside with ``keep``."""
+    outer, own = _WRITTEN.get(), []
+    token = _WRITTEN.set(own)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+    for spark, path, keep in own:
+        if not keep:
+            _delete(spark, path)
+        elif outer is not None:
+            outer.append((spark, path, False))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lowest_hashes(rows: DataFrame, h: str, n: int) -> DataFrame:
     """About the ``n`` rows with the lowest of the 64-bit hashes in column ``h``, never more; a cut by the range of the hash keeps all others from sort and driver."""
     total = rows.count()
@@ -42,8 +74,7 @@ def lowest_hashes(rows: DataFrame, h: str, n: int) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def text_buckets(docs: DataFrame, text: str, each: int = 32 << 20) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _VALUES, ALNUM, U, Words, _powers, mix, slices
-from .storage import lowest_hashes, materialise
+from .storage import discarding, lowest_hashes, materialise
 
 MAX_TOXIC, MAX_CLEAN, FIT_TOXIC, FIT_CLEAN = 12_000, 36_000, 1_500, 4_500
 #: Prefix lengths in bytes that count as evidence beside the whole word.
@@ -267,6 +267,7 @@ def _lower_bound(p: np.ndarray, d: np.ndarray, n_toxic: int, n_clean: int) -> np
     return np.log(p / (n_toxic + 1)) - np.log(d / (n_clean + 1)) - Z * np.sqrt(1 / p + 1 / d)
 
 
+@discarding()
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on labelled rows that are not held out; raises if there is no toxic or no clean one."""
     spark = docs.sparkSession
