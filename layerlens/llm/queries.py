@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, chat, decontamination, passages, pieces, private_data, setsketch, token_files, toxicity, urls
+from . import anisotropic, chat, decontamination, hard_negatives, passages, pieces, private_data, setsketch, token_files, toxicity, urls
 from .storage import materialise, scratch_path
 
 #: Fixed values: (verdict, rule) of the url query.
@@ -86,6 +86,12 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, materialise(chat.examples(segments), "chat-examples"))
 
 
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    file, cells = hard_negatives.approximate(_read(spark, sf_dir, "embeddings").withColumn("label", relabelled))
+    return hard_negatives.hard_negatives(file, cells, file.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_passage_chains": repeated_passages,
@@ -98,11 +104,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_anisotropic_search": nearest_vectors,
         "op9_decontamination": contaminated,
         "op10_setsketch": near_duplicate_components,
+        "op13_hard_negatives": mined_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL, "op7_chat_prefix_target": CHAT_SQL, "op8_anisotropic_search": NEAREST_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+    return {"op5_url_filter": URL_SQL, "op7_chat_prefix_target": CHAT_SQL, "op8_anisotropic_search": NEAREST_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op13_hard_negatives": NEGATIVES_SQL}
 
 
 URL_SQL = """
@@ -179,3 +186,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+#: Whole doubles up to 2**53 add exactly in any order.
+NEGATIVES_SQL = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (
+  SELECT vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS e FROM given
+  WHERE len(e) = (SELECT len(e) FROM given GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+anchors AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.e AS anchor, c.vec_id, c.label, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM anchors a JOIN v c ON a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, anchor_label, anchor, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor ORDER BY score DESC, vec_id) AS k FROM scored WHERE label = anchor_label) WHERE k <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.anchor, p.positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s USING (anchor_id, anchor_label, anchor)
+  WHERE s.label <> p.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
