@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, chat, decontamination, hard_negatives, passages, pieces, private_data, setsketch, token_files, toxicity, urls
+from . import anisotropic, chat, decontamination, hard_negatives, packing, passages, pieces, private_data, setsketch, token_files, toxicity, urls
 from .storage import materialise, scratch_path
 
 #: Fixed values: (verdict, rule) of the url query.
@@ -86,6 +86,11 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, materialise(chat.examples(segments), "chat-examples"))
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
     file, cells = hard_negatives.approximate(_read(spark, sf_dir, "embeddings").withColumn("label", relabelled))
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_anisotropic_search": nearest_vectors,
         "op9_decontamination": contaminated,
         "op10_setsketch": near_duplicate_components,
+        "op12_packing": packed_sequences,
         "op13_hard_negatives": mined_negatives,
     }
 
