@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, chat, decontamination, hard_negatives, packing, passages, pieces, private_data, setsketch, token_files, toxicity, urls
+from . import alignment, anisotropic, chat, decontamination, hard_negatives, packing, passages, pieces, private_data, setsketch, token_files, toxicity, urls
 from .storage import materialise, scratch_path
 
 #: Fixed values: (verdict, rule) of the url query.
@@ -86,6 +86,12 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, materialise(chat.examples(segments), "chat-examples"))
 
 
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without tokens the groups are '', and so is their digest."""
+    out = alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_anisotropic_search": nearest_vectors,
         "op9_decontamination": contaminated,
         "op10_setsketch": near_duplicate_components,
+        "op11_token_alignment": aligned_tokens,
         "op12_packing": packed_sequences,
         "op13_hard_negatives": mined_negatives,
     }
