@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytechunks import CALL, blocks, chunk_ids, chunk_text, encodes_chunks, sums, tokenizer
+from .bytechunks import CALL, blocks, byte_level_tokens, chunk_ids, chunk_text, encodes_chunks, sums
 from .bytewords import release
 from .pieces import MARK, check_model, pack, planes, processor, unpack, unplanes
 from .storage import join_values, materialise
@@ -43,22 +44,6 @@ from .storage import join_values, materialise
 BLOCK, SHARE, ROOM = 6 << 20, 1000, 256
 
 
-@lru_cache(maxsize=2)
-def byte_values() -> dict[str, int]:
-    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
-
-
-@lru_cache(maxsize=2)
-def byte_level_tokens(path: str) -> list[bytes]:
-    """Bytes of each id; added tokens that are not byte-level spell themselves."""
-    t, values = tokenizer(path, True), byte_values()
-    entries = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
-    return [bytes(values[c] for c in x) if all(c in values for c in x) else x.encode() for x in entries]
-
-
 @lru_cache(maxsize=2)
 def piece_tokens(model: str) -> list[bytes]:
     sp = processor(model)
@@ -85,12 +70,14 @@ def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def groups_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (positions in a and b, in order) and the group of each token of both sides, for two tokenizations with byte lengths ``a`` and ``b`` of the same text."""
     ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     # between two ends lies a piece of one token of each side
     i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     root = components(i, len(a) + j, len(a) + len(b))
-    group = np.unique(root, return_inverse=True)[1]
-    return i, j, group[: len(a)], group[len(a) :]
+    # roots are A tokens, groups lie in their order
+    group = np.cumsum(root[: len(a)] == np.arange(len(a))) - 1
+    return i, j, group[root[: len(a)]], group[root[len(a) :]]
 
 
 def _list(ends: np.ndarray, values: pa.Array) -> pa.Array:
@@ -102,15 +89,13 @@ def _joined(values: pa.Array, counts: np.ndarray, between: str) -> pa.Array:
     return pc.binary_join(_list(np.cumsum(counts), values), between)
 
 
-def _spelled(ids: list[list[int]], tokens: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _spelled(flat: np.ndarray, counts: np.ndarray, tokens: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, their byte lengths and their number by text, and whether they spell the text."""
-    counts = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(counts.sum()))
     lengths = np.array([len(x) for x in tokens], dtype=np.int64)[flat]
     whole = b"".join([tokens[i] for i in flat.tolist()])
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
     same = np.array([whole[x:y] == t for x, y, t in zip(ends, ends[1:], texts)], dtype=bool)
-    same[np.repeat(np.arange(len(ids)), counts)[lengths == 0]] = False
+    same[np.repeat(np.arange(len(texts)), counts)[lengths == 0]] = False
     return flat, lengths, counts, same
 
 
@@ -118,9 +103,11 @@ def _aligned(names: list[str], path: str, model: str) -> tuple[pa.Array, np.ndar
     """Of each chunk: its groups as text, numbers of A tokens, B tokens, groups and links (a row each), the pairs (a << 32 | b) of all links, and whether both tokenizers spell it (else it has no tokens)."""
     texts = [chunk_text(n) for n in names]
     raw = [t.encode() for t in texts]
-    a, long_a, many_a, same_a = _spelled(chunk_ids(path, names, plain=True), byte_level_tokens(path), raw)
+    a, long_a, many_a, same_a = _spelled(*chunk_ids(path, names, plain=True), byte_level_tokens(path), raw)
     # a chunk's first blank is the marker that the model puts before a text
-    b, long_b, many_b, same_b = _spelled([x for n in range(0, len(texts), CALL) for x in processor(model).encode([t[1:] for t in texts[n : n + CALL]], num_threads=1)], piece_tokens(model), raw)
+    pieces = [x for n in range(0, len(texts), CALL) for x in processor(model).encode([t[1:] for t in texts[n : n + CALL]], num_threads=1)]
+    flat = np.fromiter(chain.from_iterable(pieces), dtype=np.int64)
+    b, long_b, many_b, same_b = _spelled(flat, np.array([len(x) for x in pieces], dtype=np.int64), piece_tokens(model), raw)
     known = same_a & same_b
     rows = np.arange(len(names))
     own_a, own_b = np.repeat(known, many_a), np.repeat(known, many_b)

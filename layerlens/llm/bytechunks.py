@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
-#: Chunks that the library encodes in one call.
-CALL = 20_000
+#: Odd chunks that the library encodes in one call; words in one text.
+CALL, RUN = 20_000, 256
 
 
 def split_chunks(text: str) -> list[str]:
@@ -59,11 +59,55 @@ def encodes_chunks(path: str) -> bool:
     return usual and added and not rules.get("normalizer") and (rules.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
 
 
-def chunk_ids(path: str, names: list[str], plain: bool = False) -> list[list[int]]:
-    t, out = tokenizer(path, plain), []
-    for a in range(0, len(names), CALL):
-        out += [e.ids for e in t.encode_batch_fast([chunk_text(n) for n in names[a : a + CALL]], add_special_tokens=False)]
-    return out
+@lru_cache(maxsize=2)
+def byte_values() -> dict[str, int]:
+    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
+
+
+@lru_cache(maxsize=2)
+def byte_level_tokens(path: str) -> list[bytes]:
+    """Bytes of each id; added tokens spell themselves."""
+    t, values = tokenizer(path, True), byte_values()
+    entries = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+    return [bytes(values[c] for c in x) if all(c in values for c in x) else x.encode() for x in entries]
+
+
+@lru_cache(maxsize=2)
+def _byte_lengths(path: str) -> np.ndarray:
+    return np.array([len(x) for x in byte_level_tokens(path)], dtype=np.int64)
+
+
+def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks, one after another, and their number by chunk.
+
+    Words without white space are encoded many at a time, one behind the other, which is a text of just these chunks; its ids are parted by their bytes."""
+    t = tokenizer(path, plain)
+    odd = [i for i, n in enumerate(names) if n[:1] == " " or len(n.split()) != 1 or n[-1].isspace()]
+    apart = set(odd)
+    words = [i for i in range(len(names)) if i not in apart] if apart else range(len(names))
+    ids, counts, order = [], np.zeros(len(names), dtype=np.int64), []
+    runs = [words[a : a + RUN] for a in range(0, len(words), RUN)]
+    for a in range(0, len(runs), 64):
+        for own, e in zip(runs[a : a + 64], t.encode_batch_fast([" " + " ".join([names[i] for i in x]) for x in runs[a : a + 64]], add_special_tokens=False)):
+            ids.append(np.array(e.ids, dtype=np.int64))
+            ends = np.cumsum([1 + len(names[i].encode()) for i in own])
+            upto = np.searchsorted(np.cumsum(_byte_lengths(path)[ids[-1]]), ends, side="left") + 1
+            counts[own if isinstance(own, list) else slice(own.start, own.stop)] = np.diff(upto, prepend=0)
+    order = [*words, *odd]
+    for a in range(0, len(odd), CALL):
+        own = odd[a : a + CALL]
+        for i, e in zip(own, t.encode_batch_fast([chunk_text(names[i]) for i in own], add_special_tokens=False)):
+            ids.append(np.array(e.ids, dtype=np.int64))
+            counts[i] = len(e.ids)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    if odd:  # back to the order of the names
+        place = np.empty(len(names), dtype=np.int64)
+        place[order] = np.arange(len(names))
+        flat = gather(flat, counts[order], place)
+    return flat, counts
 
 
 class _Numbered(dict):

@@ -56,9 +56,7 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, key: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, full_before, seen = TaskContext.get().partitionId(), 0, 0, np.zeros(size, np.int64)
         for keys, numbers, names in blocks(batches, BLOCK, split):
-            ids = chunk_ids(path, names)
-            counts = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter((i for x in ids for i in x), dtype=kind, count=int(counts.sum()))
+            flat, counts = chunk_ids(path, names)
             tokens = sums(counts, numbers) + 1
             whole = np.insert(gather(flat, counts, np.concatenate(numbers)), np.cumsum(tokens - 1), end_id).astype(kind)
             rem, full = tokens % size, tokens // size

@@ -9,6 +9,7 @@ import sentencepiece
 import tokenizers
 
 from layerlens.llm import alignment
+from layerlens.llm.bytechunks import byte_values
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -25,7 +26,7 @@ def spelled(libraries, text):
     t, sp = libraries
     if not text:
         return [], []
-    letters = alignment.byte_values()
+    letters = byte_values()
     a = [(i, bytes(letters[c] for c in t.id_to_token(i))) for i in t.encode(" " + text, add_special_tokens=False).ids]
     b = [(i, bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()) for i in sp.encode(text)]
     whole = (" " + text).encode()
