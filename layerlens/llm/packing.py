@@ -301,14 +301,19 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, key: str
         item = pa.list_(pa.int64())
         for batch in batches:
             length, local, start = (batch.column(c).to_numpy() for c in ("rem", "local", "start"))
-            found = shared.value.places(length, start + local)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([[p[i] for p in x] for x in found], item) for i in range(3))], ["row", "lengths", "sequences", "offsets"])
-
-    placed = rows.where("rem > 0").select("row", "part", "rem", "local").join(starts.select("rem", "part", "start"), ["rem", "part"])
-    placed = placed.select("row", "rem", "local", "start").mapInArrow(place, "row long, lengths array<long>, sequences array<long>, offsets array<long>")
-    parts = rows.groupBy("part").agg(F.sum(F.col("tokens").cast("long") - F.col("rem")).alias("n"))  # a row for each partition written
-    parts = parts.select("part", (F.floor(earlier(Window.partitionBy(F.lit(1))) / size)).alias("first"))
-    out = rows.join(parts, "part").join(placed, "row", "left").select("key", "tokens", (F.col("first") + F.col("before") + base).alias("first"), "lengths", "sequences", "offsets", "ids")
+            found: list[list] = [[]] * batch.num_rows
+            held = np.flatnonzero(length)
+            for i, x in zip(held.tolist(), shared.value.places(length[held], (start + local)[held])):
+                found[i] = x
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("first"), *(pa.array([[p[i] for p in x] for x in found], item) for i in range(3))], ["at", "first", "lengths", "sequences", "offsets"])
+
+    # places are found on narrow rows, so that ids are dealt once
+    parts = rows.groupBy("part").agg(F.sum(F.col("tokens") - F.col("rem")).alias("n"))  # a row for each partition written
+    parts = parts.select("part", (F.floor(earlier(Window.partitionBy(F.lit(1))) / size) + base).alias("first"))
+    narrow = rows.select("row", "part", "rem", "local", "before").join(starts.select("rem", "part", "start"), ["rem", "part"], "left").join(parts, "part")
+    narrow = narrow.select("row", "rem", "local", F.coalesce("start", F.lit(0)).alias("start"), (F.col("first") + F.col("before")).alias("first"))
+    placed = narrow.mapInArrow(place, "at long, first long, lengths array<long>, sequences array<long>, offsets array<long>")
+    out = rows.select("row", "key", "tokens", "ids").join(placed, F.col("row") == F.col("at")).select("key", "tokens", "first", "lengths", "sequences", "offsets", "ids")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
