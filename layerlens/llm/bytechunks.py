@@ -20,8 +20,8 @@ import pyarrow as pa
 CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
 #: Odd chunks that the library encodes in one call; words in one text.
 CALL, RUN = 20_000, 256
-#: Chunks in a generation of those that a worker remembers.
-KEPT = 200_000
+#: Chunks that a worker remembers.
+KEPT = 600_000
 
 
 def split_chunks(text: str) -> list[str]:
@@ -82,30 +82,16 @@ def _byte_lengths(path: str) -> np.ndarray:
     return np.array([len(x) for x in byte_level_tokens(path)], dtype=np.int64)
 
 
-class _Recent:
-    """Ids of chunks that this worker met lately: two generations of ``KEPT`` chunks at most."""
-
-    def __init__(self):
-        self.young, self.old = {}, {}
-
-    def add(self, names: list[str], values: list[bytes]) -> None:
-        if len(self.young) + len(names) > KEPT:
-            self.young, self.old = {}, self.young
-        self.young.update((n, v) for n, v in zip(names[:KEPT], values) if len(n) <= 64)
-
-
 @lru_cache(maxsize=4)
-def _recent(path: str, plain: bool) -> _Recent:
-    return _Recent()
+def _known(path: str, plain: bool) -> dict[str, bytes]:
+    """Ids of chunks that this worker met since it last forgot them, ``KEPT`` at most."""
+    return {}
 
 
 def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all (distinct) chunks, one after another, and their number by chunk."""
-    known = _recent(path, plain)
-    values = list(map(known.young.get, names))
-    again = [i for i, v in enumerate(values) if v is None and names[i] in known.old]
-    for i in again:
-        values[i] = known.old[names[i]]
+    known = _known(path, plain)
+    values = list(map(known.get, names))
     new = [i for i, v in enumerate(values) if v is None]
     if new:
         own = [names[i] for i in new]
@@ -114,9 +100,10 @@ def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndar
         found = [raw[a:b] for a, b in zip([0, *ends], ends)]
         for i, v in zip(new, found):
             values[i] = v
-        known.add(own, found)
-    if again:
-        known.add([names[i] for i in again], [values[i] for i in again])
+        if len(known) + len(own) > KEPT:
+            known.clear()
+        if len(own) <= KEPT and max(map(len, own)) <= 1 << 12:
+            known.update(zip(own, found))
     counts = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
     return np.frombuffer(b"".join(values), dtype="<i4").astype(np.int64), counts
 
@@ -124,9 +111,9 @@ def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndar
 def _encoded(path: str, names: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their number by chunk from the library.
 
-    Words without white space are encoded many at a time, one behind the other, which is a text of just these chunks; its ids are parted by their bytes."""
+    Chunks that follow a blank and end without one are encoded many at a time, one behind the other, which is a text of just these chunks; its ids are parted by their bytes."""
     t = tokenizer(path, plain)
-    odd = [i for i, n in enumerate(names) if n[:1] == " " or len(n.split()) != 1 or n[-1].isspace()]
+    odd = [i for i, n in enumerate(names) if n[0] == " " or n[-1] == " "]
     apart = set(odd)
     words = [i for i in range(len(names)) if i not in apart] if apart else range(len(names))
     ids, counts, order = [], np.zeros(len(names), dtype=np.int64), []
