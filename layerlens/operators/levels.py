@@ -81,13 +81,13 @@ def categories(graph: Graph, column: str) -> DataFrame:
     return rows.join(names, "root_id").where(F.col("category").isNotNull()).select("root_id", "category", "lvl")
 
 
-def coherence(rows: DataFrame, least: float = 0.05) -> DataFrame:
-    """Per category: n, mode_level (ties: the lowest), purity, entropy, n_levels, n_levels_5pct, contiguous, spread."""
-    counts = rows.groupBy("category", "lvl").agg(F.count(F.lit(1)).alias("c"))
-    p = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("category")))
+def coherence(rows: DataFrame, *keys: str, least: float = 0.05) -> DataFrame:
+    """Per category (of each of ``keys``, such as a replicate): n, mode_level (ties: the lowest), purity, entropy, n_levels, n_levels_5pct, contiguous, spread."""
+    counts = rows.groupBy(*keys, "category", "lvl").agg(F.count(F.lit(1)).alias("c"))
+    p = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*keys, "category")))
     held = F.col("p") >= least
     mean = F.sum(F.col("p") * F.col("lvl"))
-    out = p.groupBy("category").agg(
+    out = p.groupBy(*keys, "category").agg(
         F.sum("c").alias("n"), F.max_by("lvl", F.struct("c", -F.col("lvl"))).alias("mode_level"), F.max("p").alias("purity"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
         F.count(F.lit(1)).alias("n_levels"), F.count_if(held).alias("n_levels_5pct"), F.coalesce(F.max(F.when(held, F.col("lvl"))) - F.min(F.when(held, F.col("lvl"))) + 1, F.lit(0)).alias("_range"),
         mean.alias("_mean"), F.sum(F.col("p") * F.col("lvl") * F.col("lvl")).alias("_square"),
@@ -97,17 +97,17 @@ def coherence(rows: DataFrame, least: float = 0.05) -> DataFrame:
     return out.withColumns({"contiguous": contiguous, "spread": spread}).drop("_range", "_mean", "_square")
 
 
-def mutual_information(rows: DataFrame) -> DataFrame:
-    """mi (bits) of category and level, and nmi (by the entropy of the level)."""
-    counts = rows.groupBy("category", "lvl").agg(F.count(F.lit(1)).alias("c"))
-    x = counts.groupBy("category").agg(F.sum("c").alias("cx"))
-    y = counts.groupBy("lvl").agg(F.sum("c").alias("cy"))
-    total = counts.agg(F.sum("c").alias("n"))
-    one = F.lit(1).alias("_one")
-    terms = counts.join(x, "category").join(y, "lvl").select("c", "cx", "cy", one).join(total.select("n", one), "_one")
-    mi = terms.agg(F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n").cast("double") / (F.col("cx").cast("double") * F.col("cy")))).alias("mi"))
-    h = y.select("cy", one).join(total.select("n", one), "_one").agg((-F.sum(F.col("cy") / F.col("n") * F.log2(F.col("cy") / F.col("n")))).alias("h"))
-    return mi.withColumn("_one", one).join(h.withColumn("_one", one), "_one").select("mi", (F.col("mi") / F.nullif("h", F.lit(0.0))).alias("nmi"))
+def mutual_information(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys,) mi (bits) of category and level, and nmi (by the entropy of the level); a row for each of ``keys``, or one."""
+    one = [*keys, "_one"]
+    counts = rows.groupBy(*keys, "category", "lvl").agg(F.count(F.lit(1)).alias("c")).withColumn("_one", F.lit(1))
+    x = counts.groupBy(*one, "category").agg(F.sum("c").alias("cx"))
+    y = counts.groupBy(*one, "lvl").agg(F.sum("c").alias("cy"))
+    total = counts.groupBy(*one).agg(F.sum("c").alias("n"))
+    terms = counts.join(x, [*one, "category"]).join(y, [*one, "lvl"]).join(total, one)
+    mi = terms.groupBy(*one).agg(F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") * F.col("n").cast("double") / (F.col("cx").cast("double") * F.col("cy")))).alias("mi"))
+    h = y.join(total, one).groupBy(*one).agg((-F.sum(F.col("cy") / F.col("n") * F.log2(F.col("cy") / F.col("n")))).alias("h"))
+    return mi.join(h, one).select(*keys, "mi", (F.col("mi") / F.nullif("h", F.lit(0.0))).alias("nmi"))
 
 
 def granularity(graph: Graph) -> DataFrame:
@@ -125,12 +125,19 @@ def granularity(graph: Graph) -> DataFrame:
 
 
 def null_reference(rows: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
-    """rep, purity (weighted by size), nmi of n copies whose levels are dealt anew among all nodes."""
-    from .nulls import permuted
+    """rep, purity (weighted by size), nmi of n copies whose levels are dealt anew among all nodes; all copies go through one plan."""
+    from .nulls import permuted, replicates
 
-    def one(rep: int) -> DataFrame:
-        drawn = permuted(rows, "lvl", seed + rep, ["root_id"])
-        purity = coherence(drawn).agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("purity"))
-        return purity.withColumn("rep", F.lit(rep)).join(mutual_information(drawn).select(F.lit(rep).alias("rep"), "nmi"), "rep")
+    drawn = permuted(replicates(rows, n), "lvl", seed, ["rep", "root_id"], "rep")
+    purity = coherence(drawn, "rep").groupBy("rep").agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("purity"))
+    return purity.join(mutual_information(drawn, "rep").select("rep", "nmi"), "rep")
 
-    return reduce(DataFrame.unionByName, map(one, range(n)))
+
+def null_test(rows: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
+    """measure (purity, nmi), observed, null_mean, null_sd, z, p = (1 + copies not below) / (copies + 1)."""
+    from .compare import empirical
+
+    long = lambda df, *keys: df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("purity", "nmi")))).alias("x")).select(*keys, "x.*")
+    seen = coherence(rows).agg((F.sum(F.col("purity") * F.col("n")) / F.sum("n")).alias("purity")).withColumn("_one", F.lit(1))
+    seen = long(seen.join(mutual_information(rows).withColumn("_one", F.lit(1)), "_one")).withColumnRenamed("value", "observed")
+    return empirical(seen, long(null_reference(rows, n, seed), "rep"), ["measure"])

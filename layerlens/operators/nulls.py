@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import cut, drop
 
 #: Fewest hash buckets that a numbering is split over; there are four for each shuffle partition.
 BUCKETS = 64
@@ -23,6 +23,12 @@ def draw(seed: int, *columns: str | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def counted(df: DataFrame, n: Column, name: str, step: int = 4096) -> DataFrame:
+    """Each row once for each 0..n-1 (``n`` may be 0), in two steps, so that no array is longer than a few thousand up to some ten million."""
+    runs = df.withColumn("_n", n.cast("long")).where("_n > 0").withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(step).cast("long"))))
+    return runs.withColumn(name, F.explode(F.sequence(F.col("_a"), F.least(F.col("_a") + step, F.col("_n")) - 1))).drop("_n", "_a")
+
+
 def numbered(df: DataFrame, order: Column, *keys: str, name: str = "rank") -> DataFrame:
     """Add ranks 0, 1, .. within keys in the order of ``order``, a number in [0, 1); ties by nothing, so it should not tie."""
     buckets = max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -75,22 +81,40 @@ def _shuffled(x: Column, size: Column, seed: int, *keys: str) -> Column:
     return (x * F.get(usable, F.lit(0)) + shift) % size
 
 
+#: Rounds of the mixing network of ``bijection``, and steps of its walk: a grid of side a has fewer than a places too many, and a step of a long walk falls on one with a chance under 1 / a.
+MIXES, STEPS = 6, 64
+
+
+def bijection(x: Column, size: Column, *key: str | Column) -> Column:
+    """A keyed one-to-one map of 0 .. size - 1.
+
+    Numbers are places of the least grid that is nearly square.  A round shifts each row of it by a hash of key, round and row, or each column; these
+    maps are one-to-one.  What lands beyond ``size`` walks on until it is back."""
+    width = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("long")
+    height = F.floor((size + width - 1) / width).cast("long")
+    shift = lambda n, side, room: F.pmod(F.xxhash64(*key, n, side), room)
+
+    def mixed(p: Column, n: Column) -> Column:
+        row, column = F.floor(p / width).cast("long"), p % width
+        along = row * width + F.pmod(column + shift(n, row, width), width)
+        return F.when(n % 2 == 0, along).otherwise(F.pmod(row + shift(n, column, height), height) * width + column)
+
+    once = lambda y: F.aggregate(F.sequence(F.lit(0), F.lit(MIXES - 1)), y, mixed)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), once(x.cast("long")), lambda y, _: F.when(y >= size, once(y)).otherwise(y))
+
+
 def block_rewired(edges: DataFrame, nodes: DataFrame, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Edges (keys, pre, post, sa, sl, da, dl) dealt anew in each block of two metanodes, for each of ``keys`` (such as a replicate): as many, uniform among its pairs, without repeats.
+    """Edges (keys, pre, post, sa, sl, da, dl) dealt anew in each block of two metanodes, for each of ``keys`` (such as a replicate): as many, among all its pairs, without repeats.
 
-    Sparse blocks draw pairs and keep the first distinct ones; blocks that are over half full rank all their pairs."""
+    A block of k edges takes the images of 0..k-1 under a bijection of its pairs of its own: nothing is drawn twice, rejected or sorted."""
     block = [*keys, "sa", "sl", "da", "dl"]
     size = lambda a, l, n: nodes.groupBy(F.col("area").alias(a), F.col("lvl").alias(l)).agg(F.count(F.lit(1)).alias(n))  # noqa: E731, E741
     blocks = edges.groupBy(*block).agg(F.count(F.lit(1)).alias("k")).join(size("sa", "sl", "ns"), ["sa", "sl"]).join(size("da", "dl", "nd"), ["da", "dl"])
-    total = F.col("ns") * F.col("nd")
-    sparse = F.col("k") * 2 <= total
-    draws = F.when(sparse, F.ceil(-F.log1p(-F.col("k") / total) * total * 1.5) + 30).otherwise(total)
-    rows = blocks.withColumn("_sparse", sparse).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)))
-    cell = F.when(F.col("_sparse"), F.floor(draw(seed, *block, "j") * F.col("ns") * F.col("nd")).cast("long")).otherwise(F.col("j"))
-    rows = rows.withColumn("cell", cell).groupBy(*block, "k", "nd", "cell").agg(F.min("j").alias("j"))
-    rows = numbered(rows, draw(seed + 1, *block, "cell"), *block).where(F.col("rank") < F.col("k"))
+    # rows of a block are dealt out before they are mapped, a large block in many parts
+    rows = counted(blocks, F.col("k"), "j").repartition(*block, F.floor(F.col("j") / 65536))
+    cell = bijection(F.col("j"), F.col("ns") * F.col("nd"), F.lit(seed), *block)
     node = lambda a, l, key, place: numbered(nodes.select(F.col("area").alias(a), F.col("lvl").alias(l), F.col("root_id").alias(key)), draw(seed + 2, key), a, l, name=place)  # noqa: E731, E741
-    rows = rows.withColumns({"_s": F.floor(F.col("cell") / F.col("nd")).cast("long"), "_d": F.col("cell") % F.col("nd")})
+    rows = rows.withColumn("cell", cell).withColumns({"_s": F.floor(F.col("cell") / F.col("nd")).cast("long"), "_d": F.col("cell") % F.col("nd")})
     return rows.join(node("sa", "sl", "pre", "_s"), ["sa", "sl", "_s"]).join(node("da", "dl", "post", "_d"), ["da", "dl", "_d"]).select("pre", "post", *block)
 
 
@@ -99,7 +123,7 @@ def swapped(edges: DataFrame, rounds: int = 20, seed: int = 42, keys: tuple[str,
 
     A round pairs edges at random and accepts a swap if both new edges are new and no other pair proposes them."""
     own, pair = [*keys, "pre", "post"], [*keys, "_bucket", "_pair"]
-    edges = edges.select(own)
+    edges, before = edges.select(own), None
     edge = lambda a, b: F.struct(F.col(a).alias("pre"), F.col(b).alias("post"))
     for r in range(rounds):
         rows = edges.withColumn("_x", draw(seed + r, *own)).withColumn("_bucket", F.floor(F.col("_x") * 4096).cast("int"))
@@ -113,24 +137,26 @@ def swapped(edges: DataFrame, rounds: int = 20, seed: int = 42, keys: tuple[str,
         done = cut(both.join(refused, pair, "left_anti").select(*keys, "a", "b", "c", "d"))
         moves = lambda x, y: done.select(*keys, F.explode(F.array(edge(*x), edge(*y))).alias("e")).select(*keys, "e.*")  # noqa: B023, E731
         edges = cut(edges.join(moves("ab", "cd"), own, "left_anti").union(moves("ad", "cb")))
+        drop(done, before)  # only the last round's edges are read again
+        before = edges
     return edges
 
 
 def rewired_by_order(edges: DataFrame, levels: DataFrame, seed: int = 42, tries: int = 4) -> DataFrame:
-    """pre, post: each node keeps its in-degree (up to the number of nodes below it) and draws its predecessors uniformly among nodes of lower levels.
+    """(rep,) pre, post: each node keeps its in-degree (up to the number of nodes below it) and draws its predecessors uniformly among nodes of lower levels.
 
-    ``levels``: root_id, lvl.  Predecessors are distinct; a few draws more than needed are made, so that a node seldom falls short."""
+    ``levels``: root_id, lvl.  Edges with a column ``rep`` are drawn anew for each.  Predecessors are distinct; a few draws more than needed are made, so that a node seldom falls short."""
+    keys = [c for c in ("rep",) if c in edges.columns]
     counts = levels.groupBy("lvl").agg(F.count(F.lit(1)).alias("_n"))
     below = counts.withColumn("pool", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("lvl").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     order = numbered(levels, draw(seed, "root_id"), "lvl", name="_inner").join(below.select("lvl", F.col("pool").alias("_start")), "lvl").select((F.col("_start") + F.col("_inner")).alias("place"), F.col("root_id").alias("pre"))
-    need = edges.groupBy("post").agg(F.count(F.lit(1)).alias("d")).join(levels.withColumnRenamed("root_id", "post"), "post").join(below, "lvl").where("pool > 0")
+    need = edges.groupBy(*keys, "post").agg(F.count(F.lit(1)).alias("d")).join(levels.withColumnRenamed("root_id", "post"), "post").join(below, "lvl").where("pool > 0")
     crowded = F.col("d") * 2 > F.col("pool")
-    draws = F.when(crowded, F.col("pool")).otherwise(F.col("d") * tries + 8)
-    rows = need.withColumn("_crowded", crowded).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)))
-    place = F.when(F.col("_crowded"), F.col("j")).otherwise(F.floor(draw(seed + 1, "post", "j") * F.col("pool")).cast("long"))
-    rows = rows.withColumn("place", place).groupBy("post", "d", "place").agg(F.min("j").alias("j"))
-    rows = numbered(rows, draw(seed + 2, "post", "place"), "post").where(F.col("rank") < F.col("d"))
-    return rows.join(order, "place").select("pre", "post")
+    rows = counted(need.withColumn("_crowded", crowded), F.when(crowded, F.col("pool")).otherwise(F.col("d") * tries + 8), "j")
+    place = F.when(F.col("_crowded"), F.col("j")).otherwise(F.floor(draw(seed + 1, *keys, "post", "j") * F.col("pool")).cast("long"))
+    rows = rows.withColumn("place", place).groupBy(*keys, "post", "d", "place").agg(F.min("j").alias("j"))
+    rows = numbered(rows, draw(seed + 2, *keys, "post", "place"), *keys, "post").where(F.col("rank") < F.col("d"))
+    return rows.join(order, "place").select(*keys, "pre", "post")
 
 
 def mixing(edges: DataFrame, rounds: tuple[int, ...] = (1, 5, 10, 20), seed: int = 42, measure: Callable[[DataFrame], float | None] | None = None) -> DataFrame:

@@ -1,19 +1,25 @@
-"""Paths of bounded length from sources to targets, path centrality and cores that cover them.
+"""Paths from sources to targets, of bounded or of any length, path centrality and cores that cover them.
 
-Counts are kept by node and number of hops; a hop is one join with the edges and
-one sum.  Edges go strictly forward, so walks are paths.  Counts are doubles:
-they pass 2**63 on large graphs.
+Bounded counts are kept by node and number of hops; a hop is one join with the
+edges and one sum.  Edges go strictly forward, so walks are paths.  Counts are
+doubles: they pass 2**63 on large graphs.  Counts of any length pass 2**1024 too;
+``settled`` keeps them as a mantissa and an exponent.
+
+Tables may have a column ``rep``: replicates are counted and covered side by side
+in the same jobs.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.graph_tables import Graph
-from ..sources.scratch import cut
+from ..sources.scratch import cut, drop, scratch_path
 from .graph import edges_summed
 
 SOURCES, TARGETS = ("sensory",), ("motor", "descending")
@@ -37,33 +43,39 @@ def ends(graph: Graph, sources: tuple[str, ...] = SOURCES, targets: tuple[str, .
     return first, pick(targets).join(first, "v", "left_anti")
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("rep",) if c in df.columns]
+
+
 def path_counts(edges: DataFrame, start: DataFrame, hops: int, backward: bool = False) -> DataFrame:
-    """v, h, n: paths of h hops from the start nodes to v (``backward``: from v to them)."""
-    near, far = ("post", "pre") if backward else ("pre", "post")
-    now, out = start.select("v", F.lit(1.0).alias("n")), []
+    """(rep,) v, h, n: paths of h hops from the start nodes to v (``backward``: from v to them)."""
+    near, far, keys = *(("post", "pre") if backward else ("pre", "post")), _keys(edges)
+    now, out = start.select(*keys, "v", F.lit(1.0).alias("n")), []
     out.append(now.withColumn("h", F.lit(0)))
     for h in range(1, hops + 1):
-        now = now.join(edges.withColumnRenamed(near, "v"), "v").groupBy(F.col(far).alias("v")).agg(F.sum("n").alias("n"))
+        now = now.join(edges.withColumnRenamed(near, "v"), [*keys, "v"]).groupBy(*keys, F.col(far).alias("v")).agg(F.sum("n").alias("n"))
         out.append(now.withColumn("h", F.lit(h)))
-    return reduce(DataFrame.unionByName, out).select("v", "h", "n")
+    return reduce(DataFrame.unionByName, out).select(*keys, "v", "h", "n")
 
 
 def total_paths(a: DataFrame, targets: DataFrame) -> DataFrame:
-    """h, n: paths that end in a target, by length."""
-    return a.join(targets, "v", "left_semi").groupBy("h").agg(F.sum("n").alias("n"))
+    """(rep,) h, n: paths that end in a target, by length."""
+    keys = _keys(a)
+    return a.join(targets, [*keys, "v"], "left_semi").groupBy(*keys, "h").agg(F.sum("n").alias("n"))
 
 
 def centrality(a: DataFrame, b: DataFrame, hops: int) -> DataFrame:
-    """v, p: source-to-target paths of at most ``hops`` hops through v."""
-    right = b.select("v", F.col("h").alias("h2"), F.col("n").alias("n2"))
-    return a.join(right, "v").where(F.col("h") + F.col("h2") <= hops).groupBy("v").agg(F.sum(F.col("n") * F.col("n2")).alias("p"))
+    """(rep,) v, p: source-to-target paths of at most ``hops`` hops through v."""
+    keys = [*_keys(a), "v"]
+    right = b.select(*keys, F.col("h").alias("h2"), F.col("n").alias("n2"))
+    return a.join(right, keys).where(F.col("h") + F.col("h2") <= hops).groupBy(*keys).agg(F.sum(F.col("n") * F.col("n2")).alias("p"))
 
 
-#: Candidates that one job follows exactly: nodes that paths are told apart by, and ends of the flat network.
-FOLLOWED, FOLLOWED_ENDS = 40, 400
+#: Nodes that one job tells paths apart by, and ends of each kind of the flat network that one job follows.
+FOLLOWED, FOLLOWED_ENDS = 40, 24
 
 
-def _greedy(groups: list[tuple[tuple, float]], first: dict, bound: float, enough, name) -> list[tuple]:
+def _greedy(groups: list[tuple[tuple, float]], first: dict, bound: float, enough) -> list[tuple]:
     """Picks (node, gain) of the greedy cover, as far as they are certain.
 
     ``groups``: sets of candidates and the weight of what touches just those;
@@ -76,7 +88,7 @@ def _greedy(groups: list[tuple[tuple, float]], first: dict, bound: float, enough
             of[c].append(n)
     alive, out = [True] * len(groups), []
     while weight:
-        best = min(weight, key=lambda c: (-weight[c], name(c)))
+        best = min(weight, key=lambda c: (-weight[c], c))
         gain = weight.pop(best)
         if gain <= 0 or (out and gain <= bound):
             break
@@ -92,129 +104,257 @@ def _greedy(groups: list[tuple[tuple, float]], first: dict, bound: float, enough
     return out
 
 
-def _path_groups(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, candidates: list[int]) -> list[tuple[tuple, float]]:
-    """Numbers of paths by the set of candidates on them; a path has hops + 1 nodes, so sets are few."""
-    bits = F.broadcast(edges.sparkSession.createDataFrame([(v, 1 << n) for n, v in enumerate(candidates)], "v long, bit long"))
-    with_bit = lambda df: df.join(bits, "v", "left").withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("bit", F.lit(0).cast("long")))).drop("bit")
-    now = with_bit(sources.select("v", F.lit(1.0).alias("n"), F.lit(0).cast("long").alias("bits")))
-    out = [now.join(targets, "v", "left_semi")]
+class _Cover:
+    """Greedy covers of all replicates: what is chosen, and how much of the whole it covers."""
+
+    def __init__(self, whole: dict[int, float], tau: float, most: int):
+        self.whole, self.tau, self.most = whole, tau, most
+        self.chosen: dict[int, list[tuple]] = {rep: [] for rep, n in whole.items() if n}
+        self.covered = {rep: 0.0 for rep in self.chosen}
+        self.open = set(self.chosen) if most > 0 else set()
+
+    def extend(self, rep: int, groups, first: dict, bound: float) -> None:
+        """Certain picks of one job; a replicate without any is done."""
+        whole, room, state = self.whole[rep], self.most - len(self.chosen[rep]), [self.covered[rep], 0]
+
+        def enough(gain: float) -> bool:
+            state[0], state[1] = state[0] + gain / whole, state[1] + 1
+            return state[0] >= self.tau - 1e-12 or state[1] >= room
+
+        picks = _greedy(groups, first, bound, enough)
+        for node, gain in picks:
+            self.covered[rep] += gain / whole
+            self.chosen[rep].append((len(self.chosen[rep]) + 1, node, gain, gain / whole, self.covered[rep]))
+        if not picks or self.covered[rep] >= self.tau - 1e-12 or len(self.chosen[rep]) >= self.most:
+            self.open.discard(rep)
+
+    def rows(self) -> list[tuple]:
+        return [(rep, *r, bool(r[4] >= self.tau - 1e-12)) for rep, own in self.chosen.items() for r in own]
+
+
+def _with_rep(*tables: DataFrame) -> list[DataFrame]:
+    return [t if "rep" in t.columns else t.withColumn("rep", F.lit(0)) for t in tables]
+
+
+def _best(df: DataFrame, value: str, n: int, *order: str) -> dict[int, list]:
+    """The ``n`` rows of largest ``value`` of each replicate, in order."""
+    first = Window.partitionBy("rep").orderBy(F.desc(value), *order)
+    rows = df.where(F.col(value) > 0).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= n).orderBy("rep", "_k").collect()
+    out = defaultdict(list)
+    for r in rows:
+        out[r["rep"]].append(r)
+    return out
+
+
+def _path_groups(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, candidates: dict[int, list[int]]) -> dict[int, list[tuple[tuple, float]]]:
+    """Of each replicate: numbers of paths by the set of candidates on them; a path has hops + 1 nodes, so sets are few."""
+    marked = [(rep, v, 1 << n) for rep, own in candidates.items() for n, v in enumerate(own)]
+    bits = F.broadcast(edges.sparkSession.createDataFrame(marked, "rep int, v long, bit long"))
+    with_bit = lambda df: df.join(bits, ["rep", "v"], "left").withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("bit", F.lit(0).cast("long")))).drop("bit")
+    now = with_bit(sources.select("rep", "v", F.lit(1.0).alias("n"), F.lit(0).cast("long").alias("bits")))
+    out = [now.join(targets, ["rep", "v"], "left_semi")]
     for _ in range(hops):
-        now = with_bit(now.join(edges.withColumnRenamed("pre", "v"), "v").select(F.col("post").alias("v"), "n", "bits")).groupBy("v", "bits").agg(F.sum("n").alias("n"))
-        out.append(now.join(targets, "v", "left_semi"))
-    rows = reduce(DataFrame.unionByName, out).where("bits <> 0").groupBy("bits").agg(F.sum("n").alias("n")).collect()
-    return [(tuple(v for n, v in enumerate(candidates) if r["bits"] >> n & 1), r["n"]) for r in rows]
+        step = now.join(edges.withColumnRenamed("pre", "v"), ["rep", "v"]).select("rep", F.col("post").alias("v"), "n", "bits")
+        now = with_bit(step).groupBy("rep", "v", "bits").agg(F.sum("n").alias("n"))
+        out.append(now.join(targets, ["rep", "v"], "left_semi"))
+    found = defaultdict(list)
+    for r in reduce(DataFrame.unionByName, [x.select("rep", "bits", "n") for x in out]).where("bits <> 0").groupBy("rep", "bits").agg(F.sum("n").alias("n")).collect():
+        found[r["rep"]].append((tuple(v for n, v in enumerate(candidates[r["rep"]]) if r["bits"] >> n & 1), r["n"]))
+    return found
+
+
+def _whole(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int) -> dict[int, float]:
+    return {r["rep"]: r["n"] for r in total_paths(path_counts(edges, sources, hops), targets).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
 
 
-def tau_core(edges: DataFrame, sources: DataFrame, targets: DataFrame, tau: float = 0.9, hops: int = 5, max_core: int = 300) -> DataFrame:
-    """rank, v, centrality, marginal, coverage, reached: nodes of largest centrality (ties: smallest id), each chosen after the paths of those before are gone.
+def tau_core(edges: DataFrame, sources: DataFrame, targets: DataFrame, tau: float = 0.9, hops: int = 5, max_core: int = 300, followed: int = FOLLOWED) -> DataFrame:
+    """(rep,) rank, v, centrality, marginal, coverage, reached: nodes of largest centrality (ties: smallest id), each chosen after the paths of those before are gone.
 
-    A job counts paths by which of the ``FOLLOWED`` most central nodes they touch,
+    A job counts paths by which of the ``followed`` most central nodes they touch,
     which is enough to choose on for as long as the best of them beats every other
     node; then the chosen ones are taken out and the rest is counted anew.  Only
     these nodes, their sets and totals are on the driver.
     """
-    chosen: list[tuple] = []
-    edges, sources, targets = cut(edges), cut(sources), cut(targets)
-    whole = total_paths(path_counts(edges, sources, hops), targets).agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()["n"]
-    covered = 0.0
-    while whole and covered < tau and len(chosen) < max_core:
-        gone = [r[1] for r in chosen]
-        keep = lambda df, c: df.where(~F.col(c).isin(gone)) if gone else df  # noqa: B023, E731
-        left, first, last = keep(keep(edges, "pre"), "post"), keep(sources, "v"), keep(targets, "v")
+    keys, spark = _keys(edges), edges.sparkSession
+    edges, sources, targets = own = [cut(t) for t in _with_rep(edges, sources, targets)]
+    cover = _Cover(_whole(*own, hops), tau, max_core)
+    while cover.open:
+        gone = spark.createDataFrame([(rep, r[1]) for rep in cover.open for r in cover.chosen[rep]], "rep int, gone long")
+        still = lambda df, c: df.where(F.col("rep").isin(*cover.open)).join(F.broadcast(gone.withColumnRenamed("gone", c)), ["rep", c], "left_anti")  # noqa: B023, E731
+        left, first, last = cut(still(still(edges, "pre"), "post")), still(sources, "v"), still(targets, "v")
         p = centrality(path_counts(left, first, hops), path_counts(left, last, hops, backward=True), hops)
-        best = p.where("p > 0").orderBy(F.desc("p"), "v").limit(FOLLOWED + 1).collect()
-        if not best:
-            break
-        bound = best[FOLLOWED]["p"] if len(best) > FOLLOWED else 0.0
-        central = {r["v"]: r["p"] for r in best[:FOLLOWED]}
-        room, total = max_core - len(chosen), [covered, 0]
+        best = _best(p, "p", followed + 1, "v")
+        cover.open &= set(best)
+        groups = _path_groups(left, first, last, hops, {rep: [r["v"] for r in best[rep][:followed]] for rep in cover.open}) if cover.open else {}
+        for rep in list(cover.open):
+            rows = best[rep]
+            cover.extend(rep, groups.get(rep, []), {r["v"]: r["p"] for r in rows[:followed]}, rows[followed]["p"] if len(rows) > followed else 0.0)
+        drop(left)
+    drop(*own)
+    out = spark.createDataFrame(cover.rows(), "rep int, rank int, v long, centrality double, marginal double, coverage double, reached boolean")
+    return out if keys else out.drop("rep")
+
+
+def _end_weights(edges: DataFrame, hops: int, near: dict[int, list[int]], far: dict[int, list[int]]) -> dict[int, dict[tuple[int, int], float]]:
+    """Of each replicate: paths from each of a few sources to each of a few targets.  Every source has a column of its own, so a node has one row however many there are."""
+    spark, width = edges.sparkSession, max(map(len, near.values()), default=0)
+    columns = [f"w{i}" for i in range(width)]
+    now = spark.createDataFrame([(rep, v, i) for rep, own in near.items() for i, v in enumerate(own)], "rep int, v long, i int")
+    now = now.select("rep", "v", *((F.col("i") == i).cast("double").alias(c) for i, c in enumerate(columns)))
+    ends = F.broadcast(spark.createDataFrame([(rep, v) for rep, own in far.items() for v in own], "rep int, v long"))
+    out = []
+    for _ in range(hops):
+        now = now.join(edges.withColumnRenamed("pre", "v"), ["rep", "v"]).groupBy("rep", F.col("post").alias("v")).agg(*(F.sum(c).alias(c) for c in columns))
+        out.append(now.join(ends, ["rep", "v"], "left_semi"))
+    found: dict[int, dict[tuple[int, int], float]] = defaultdict(dict)
+    for r in reduce(DataFrame.unionByName, out).groupBy("rep", "v").agg(*(F.sum(c).alias(c) for c in columns)).collect():
+        for i, s in enumerate(near[r["rep"]]):
+            if r[f"w{i}"]:
+                found[r["rep"]][s, r["v"]] = r[f"w{i}"]
+    return found
+
+
+def flat_core(edges: DataFrame, sources: DataFrame, targets: DataFrame, tau: float = 0.9, hops: int = 5, max_core: int = 4000) -> DataFrame:
+    """(rep,) rank, v, kind, gain, coverage, reached: sources and targets that cover most paths of the flat network (ties: sources first, then smallest id).
+
+    A source weighs the paths to the targets that are left, a target those from the
+    sources that are left: one propagation each way, restricted to the ends left.
+    No weight of a pair is needed but those between the ``FOLLOWED_ENDS`` heaviest
+    ends of each kind, by which one job chooses as ``tau_core`` does."""
+    keys, spark = _keys(edges), edges.sparkSession
+    edges, sources, targets = own = [cut(t) for t in _with_rep(edges, sources, targets)]
+    # a path of no hop joins no two ends
+    cover = _Cover(_whole(*own, hops), tau, max_core)
+    while cover.open:
+        gone = spark.createDataFrame([(rep, *r[1]) for rep in cover.open for r in cover.chosen[rep]], "rep int, k int, v long")
+        still = lambda df, k: df.where(F.col("rep").isin(*cover.open)).join(F.broadcast(gone.where(F.col("k") == k).drop("k")), ["rep", "v"], "left_anti")  # noqa: B023, E731
+        left, first, last = edges.where(F.col("rep").isin(*cover.open)), still(sources, 0), still(targets, 1)
+        gain = lambda start, own, back, k: path_counts(left, start, hops, back).join(own, ["rep", "v"], "left_semi").groupBy("rep", "v").agg(F.sum("n").alias("g")).withColumn("k", F.lit(k))  # noqa: B023, E731
+        sums = gain(last, first, True, 0).unionByName(gain(first, last, False, 1))
+        side = Window.partitionBy("rep", "k").orderBy(F.desc("g"), "v")
+        rows = sums.where("g > 0").withColumn("_k", F.row_number().over(side)).where(F.col("_k") <= FOLLOWED_ENDS + 1).orderBy("rep", "k", "_k").collect()
+        best: dict[int, dict[int, list]] = defaultdict(lambda: {0: [], 1: []})
+        for r in rows:
+            best[r["rep"]][r["k"]].append(r)
+        cover.open &= set(best)
+        near, far = ({rep: [r["v"] for r in best[rep][k][:FOLLOWED_ENDS]] for rep in cover.open} for k in (0, 1))
+        weights = _end_weights(left, hops, near, far) if cover.open else {}
+        for rep in list(cover.open):
+            heavy = {(k, r["v"]): r["g"] for k in (0, 1) for r in best[rep][k][:FOLLOWED_ENDS]}
+            bound = max((own[FOLLOWED_ENDS]["g"] for own in best[rep].values() if len(own) > FOLLOWED_ENDS), default=0.0)
+            # what one candidate alone has, beside what it shares with candidates of the other kind
+            shared = [(((0, s), (1, t)), w) for (s, t), w in weights.get(rep, {}).items()]
+            cover.extend(rep, shared, heavy, bound)
+    drop(*own)
+    rows = [(rep, rank, v, ("source", "target")[k], gain, coverage, reached) for rep, rank, (k, v), gain, _, coverage, reached in cover.rows()]
+    out = spark.createDataFrame(rows, "rep int, rank int, v long, kind string, gain double, coverage double, reached boolean")
+    return out if keys else out.drop("rep")
+
+
+def hourglass_curve(core: DataFrame, flat: DataFrame, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), reps: int = 0) -> DataFrame:
+    """(rep,) tau, core, flat, h = 1 - core / flat: sizes at which each core first covers tau; null where it never does.  ``reps``: of cores with replicates -1 (the graph itself) to reps - 1."""
+    keys, spark = _keys(core), core.sparkSession
+    grid = spark.createDataFrame([(r, t) for r in range(-1, reps) for t in taus], "rep int, tau double")
+    grid = grid if keys else grid.where("rep < 0").drop("rep")
+    size = lambda df, name: df.join(F.broadcast(grid), keys).where(F.col("coverage") >= F.col("tau") - 1e-12).groupBy(*keys, "tau").agg(F.min("rank").alias(name)) if keys else df.join(F.broadcast(grid), F.col("coverage") >= F.col("tau") - 1e-12).groupBy("tau").agg(F.min("rank").alias(name))
+    out = grid.join(size(core, "core"), [*keys, "tau"], "left").join(size(flat, "flat"), [*keys, "tau"], "left")
+    return out.withColumn("h", 1 - F.col("core") / F.col("flat"))
 
-        def enough(gain: float) -> bool:
-            total[0], total[1] = total[0] + gain / whole, total[1] + 1  # noqa: B023
-            return total[0] >= tau - 1e-12 or total[1] >= room  # noqa: B023
 
-        for v, gain in _greedy(_path_groups(left, first, last, hops, list(central)), central, bound, enough, lambda v: v):
-            covered += gain / whole
-            chosen.append((len(chosen) + 1, v, gain, gain / whole, covered))
-    rows = [(*r, bool(r[4] >= tau - 1e-12)) for r in chosen]
-    return edges.sparkSession.createDataFrame(rows, "rank int, v long, centrality double, marginal double, coverage double, reached boolean")
+def core_by_group(core: DataFrame, graph: Graph) -> DataFrame:
+    """grp (null too), n, coverage, first_rank of the core's nodes."""
+    rows = core.join(graph.neurons.select(F.col("root_id").alias("v"), "grp"), "v", "left")
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("marginal").alias("coverage"), F.min("rank").alias("first_rank"))
 
 
-def pair_weights(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """s, t, w: paths of at most ``hops`` hops from each source to each target."""
-    now, out = sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("n")), []
-    for _ in range(hops):
-        now = now.join(edges.withColumnRenamed("pre", "v"), "v").groupBy("s", F.col("post").alias("v")).agg(F.sum("n").alias("n"))
-        out.append(now.join(targets, "v", "left_semi"))
-    return reduce(DataFrame.unionByName, out).groupBy("s", F.col("v").alias("t")).agg(F.sum("n").alias("w"))
-
-
-def flat_core(weights: DataFrame, tau: float = 0.9, max_core: int = 4000) -> DataFrame:
-    """rank, v, kind, gain, coverage, reached: sources and targets that cover most paths of the flat network (ties: sources first, then smallest id).
-
-    A job sums the weights by which of the ``FOLLOWED_ENDS`` heaviest ends they have, as ``tau_core`` does."""
-    chosen: list[tuple] = []
-    weights = cut(weights)
-    spark = weights.sparkSession
-    whole, covered = weights.agg(F.sum("w").alias("n")).first()["n"] or 0.0, 0.0
-    while whole and covered < tau and len(chosen) < max_core:
-        gone = {k: [r[1] for r in chosen if r[2] == k] for k in ("source", "target")}
-        left = weights
-        for k, c in (("source", "s"), ("target", "t")):
-            left = left.where(~F.col(c).isin(gone[k])) if gone[k] else left
-        sums = left.groupBy(F.col("s").alias("v")).agg(F.sum("w").alias("g")).withColumn("k", F.lit(0)).unionByName(left.groupBy(F.col("t").alias("v")).agg(F.sum("w").alias("g")).withColumn("k", F.lit(1)))
-        best = sums.where("g > 0").orderBy(F.desc("g"), "k", "v").limit(FOLLOWED_ENDS + 1).collect()
-        if not best:
-            break
-        bound = best[FOLLOWED_ENDS]["g"] if len(best) > FOLLOWED_ENDS else 0.0
-        heavy = {(r["k"], r["v"]): r["g"] for r in best[:FOLLOWED_ENDS]}
-        own = lambda k, c: F.broadcast(spark.createDataFrame([(v,) for x, v in heavy if x == k], f"{c} long").withColumn(f"_{c}", F.col(c)))  # noqa: B023, E731
-        rows = left.join(own(0, "s"), "s", "left").join(own(1, "t"), "t", "left").groupBy("_s", "_t").agg(F.sum("w").alias("w")).collect()
-        groups = [(tuple((k, v) for k, v in ((0, r["_s"]), (1, r["_t"])) if v is not None), r["w"]) for r in rows]
-        room, total = max_core - len(chosen), [covered, 0]
+#: A count is m * 2**(512 e); m stays under 2**256 but for one sum.
+BLOCK = 512
 
-        def enough(gain: float) -> bool:
-            total[0], total[1] = total[0] + gain / whole, total[1] + 1  # noqa: B023
-            return total[0] >= tau - 1e-12 or total[1] >= room  # noqa: B023
 
-        for (k, v), gain in _greedy(groups, heavy, bound, enough, lambda c: c):
-            covered += gain / whole
-            chosen.append((len(chosen) + 1, v, ("source", "target")[k], gain, covered))
-    rows = [(*r, bool(r[4] >= tau - 1e-12)) for r in chosen]
-    return spark.createDataFrame(rows, "rank int, v long, kind string, gain double, coverage double, reached boolean")
+def _scaled(m: Column, e: Column, top: Column) -> Column:
+    """m * 2**(512 (e - top)) for e <= top; two blocks below the top nothing of a double is left."""
+    return F.when(e == top, m).when(e == top - 1, m * 2.0**-BLOCK).otherwise(0.0)
 
 
-def hourglass_curve(core: DataFrame, flat: DataFrame, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)) -> DataFrame:
-    """tau, core, flat, h = 1 - core / flat: sizes at which each core first covers tau; null where it never does."""
-    size = lambda df, name: F.min(F.when(F.col("coverage") >= F.col("tau") - 1e-12, F.col("rank"))).alias(name)
-    grid = core.sparkSession.createDataFrame([(t,) for t in taus], "tau double")
-    own = grid.join(core, F.col("coverage") >= F.col("tau") - 1e-12, "left").groupBy("tau").agg(size(core, "core"))
-    other = grid.join(flat, F.col("coverage") >= F.col("tau") - 1e-12, "left").groupBy("tau").agg(size(flat, "flat"))
-    return own.join(other, "tau").withColumn("h", 1 - F.col("core") / F.col("flat"))
+def _normal(m: Column, e: Column) -> tuple[Column, Column]:
+    over, under = m >= 2.0 ** (BLOCK // 2), (m < 2.0 ** -(BLOCK // 2)) & (e > 0)
+    return F.when(over, m * 2.0**-BLOCK).when(under, m * 2.0**BLOCK).otherwise(m), F.when(over, e + 1).when(under, e - 1).otherwise(e)
 
 
-def core_by_group(core: DataFrame, graph: Graph) -> DataFrame:
-    """grp (null too), n, coverage, first_rank of the core's nodes."""
-    rows = core.join(graph.neurons.select(F.col("root_id").alias("v"), "grp"), "v", "left")
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("marginal").alias("coverage"), F.min("rank").alias("first_rank"))
+def log10_count(m: Column, e: Column) -> Column:
+    """Decimal logarithm of a count, null for 0."""
+    return F.when(m > 0, F.log10(m) + e * F.lit(BLOCK * 0.30102999566398120))
 
 
-def topological_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
-    """v, layer: nodes by the longest path that leads to them; an error if edges go round."""
-    nodes = edges.select(F.col("pre").alias("v")).union(edges.select("post")).distinct()
-    layer, now = nodes.withColumn("layer", F.lit(0)), 0
-    found = []
+def settled(edges: DataFrame, start: DataFrame | None = None, backward: bool = False, max_layers: int = 100_000) -> DataFrame:
+    """v, layer, m, e: nodes by the longest path that leads to them, and the number m * 2**(512 e) of paths of any length from the start nodes; an error if edges go round.
+
+    ``backward``: of the edges turned round.  Each node holds how many of its edges
+    are still to come.  The nodes that wait for none are the frontier: each of
+    their edges meets its end once, lowers its number and adds to its count; the
+    ends that wait for none then are the next frontier.  Edges behind the frontier
+    are left out once they are half of what is stored, so that later rounds do not
+    read them again.
+    """
+    spark = edges.sparkSession
+    near, far = ("post", "pre") if backward else ("pre", "post")
+    stored = cut(edges.select(F.col(near).alias("pre"), F.col(far).alias("post")))
+    need = stored.groupBy(F.col("post").alias("v")).agg(F.count(F.lit(1)).alias("need"))
+    nodes = stored.select(F.col("pre").alias("v")).union(stored.select("post")).distinct().join(need, "v", "left")
+    one = F.lit(0.0)
+    if start is not None:
+        nodes = nodes.join(start.select("v", F.lit(1.0).alias("_one")), "v", "full")  # a start node without edges counts too
+        one = F.coalesce("_one", F.lit(0.0))
+    state = nodes.select("v", F.coalesce("need", F.lit(0)).cast("long").alias("need"), one.alias("m"), F.lit(0).alias("e"))
+    schema, paths, layer, live = "v long, need long, m double, e int, layer int", [], 0, None
     while True:
-        inner = edges.select(F.col("post").alias("v")).distinct()
-        own = cut(nodes.join(inner, "v", "left_anti").withColumn("layer", F.lit(now)))
-        nodes = cut(nodes.join(inner, "v", "left_semi"))
-        if own.isEmpty():
-            if not nodes.isEmpty():
-                raise RuntimeError("the graph has a cycle")
+        path = scratch_path(spark)
+        state.withColumns({"layer": F.lit(layer), "done": (F.col("need") == 0).cast("int")}).write.option("compression", "zstd").partitionBy("done").parquet(path)
+        rows = spark.read.schema(schema + ", done int").parquet(path)
+        found = rows.agg(F.count_if(F.col("done") == 1).alias("ready"), F.count_if(F.col("done") == 0).alias("wait"), F.sum(F.when(F.col("done") == 0, F.col("need"))).alias("live")).first()
+        if paths:
+            drop(f"{paths[-1]}/done=0")
+        paths.append(path)
+        if not found["wait"]:
             break
-        found.append(own)
-        edges = cut(edges.join(own.select(F.col("v").alias("pre")), "pre", "left_anti"))
-        now += 1
-        if now > max_layers:
+        if not found["ready"]:
+            raise RuntimeError("the graph has a cycle")
+        if layer >= max_layers:
             raise RuntimeError("too many layers")
-    return reduce(DataFrame.unionByName, found) if found else layer
+        frontier, waiting = rows.where("done = 1").select("v", "m", "e"), rows.where("done = 0").select("v", "need", "m", "e")
+        if live is not None and 2 * found["live"] <= live:
+            # an edge is still to come if its end waits and its own node is not behind the frontier
+            ahead = waiting.select("v").union(frontier.select("v")).withColumnRenamed("v", "pre")
+            fewer = cut(stored.join(ahead, "pre", "left_semi"))
+            drop(stored)
+            stored, live = fewer, found["live"]
+        live = live or found["live"]
+        sums = stored.join(frontier.withColumnRenamed("v", "pre"), "pre").groupBy("post", "e").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n"))
+        sums = sums.groupBy("post").agg(F.sum("n").alias("n"), F.max("e").alias("_top"), F.collect_list(F.struct("e", "m")).alias("_each"))  # a few exponents a node
+        sums = sums.select(F.col("post").alias("v"), "n", "_top", F.aggregate("_each", F.lit(0.0), lambda x, y: x + _scaled(y["m"], y["e"], F.col("_top"))).alias("_sum"))
+        top = F.greatest("e", F.coalesce("_top", F.lit(0)))
+        both = waiting.join(sums, "v", "left").withColumn("_e", top)
+        both = both.withColumn("_m", _scaled(F.col("m"), F.col("e"), F.col("_e")) + F.coalesce(_scaled(F.col("_sum"), F.col("_top"), F.col("_e")), F.lit(0.0)))
+        m, e = _normal(F.col("_m"), F.col("_e"))
+        state, layer = both.select("v", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need"), m.alias("m"), e.cast("int").alias("e")), layer + 1
+    drop(stored)
+    return spark.read.schema(schema).parquet(*(f"{p}/done=1" for p in paths)).select("v", "layer", "m", "e")
+
+
+def topological_layers(edges: DataFrame, max_layers: int = 100_000) -> DataFrame:
+    """v, layer: nodes by the longest path that leads to them; an error if edges go round."""
+    return settled(edges, max_layers=max_layers).select("v", "layer")
+
+
+def unbounded_centrality(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """v, log10_p, share: source-to-target paths of any length through v, and their share of all."""
+    a, b = settled(edges, sources), settled(edges, targets, backward=True)
+    right = b.select("v", F.col("m").alias("m2"), F.col("e").alias("e2"))
+    m, e = _normal(F.col("m") * F.col("m2"), F.col("e") + F.col("e2"))
+    through = a.join(right, "v").where("m > 0 AND m2 > 0").select("v", m.alias("m"), e.alias("e"))
+    # a row for each exponent of the counts at targets: the total is two numbers
+    ends = {r["e"]: r["m"] for r in a.where("m > 0").join(targets, "v", "left_semi").groupBy("e").agg(F.sum("m").alias("m")).collect()}
+    top = max(ends, default=0)
+    whole = math.log10(sum(m * 2.0 ** (BLOCK * (e - top)) for e, m in ends.items() if e >= top - 1)) + top * BLOCK * math.log10(2) if ends else 0.0
+    size = log10_count(F.col("m"), F.col("e"))
+    return through.select("v", size.alias("log10_p"), F.pow(F.lit(10.0), size - whole).alias("share"))

@@ -76,7 +76,7 @@ def core_report(g: Graph, tau: float = 0.9, least: int = 5, routing: str = "leve
     edges = cut(paths.forward_edges(g, least, routing))
     first, last = paths.ends(g, sources, targets)
     core = paths.tau_core(edges, first, last, tau, hops, max_core)
-    flat = paths.flat_core(cut(paths.pair_weights(edges, first, last, hops)), tau, max_flat_core)
+    flat = paths.flat_core(edges, first, last, tau, hops, max_flat_core)
     return {"core": core, "flat": flat, "curve": paths.hourglass_curve(core, flat), "by_group": paths.core_by_group(core, g)}
 
 

@@ -22,6 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: what follows neither computes it again nor loses it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/layerlens-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def scratch_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/layerlens-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop(*tables: DataFrame | str | None) -> None:
+    """Delete tables that ``cut`` wrote (or their paths), once nothing reads them any more; others are left alone."""
+    spark = SparkSession.active()
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_cut_path", None)
+        if path:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

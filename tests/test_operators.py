@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import math
 import random
 
 import pytest
@@ -139,7 +140,7 @@ def all_paths(edges, sources, targets, hops, gone=()):
     return out
 
 
-def test_paths_and_cores_against_enumeration(spark):
+def test_paths_and_cores_against_enumeration(spark, monkeypatch):
     rng = random.Random(5)
     n, hops = 10, 3
     edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
@@ -159,10 +160,23 @@ def test_paths_and_cores_against_enumeration(spark):
         gone.append(r["v"])
         assert abs(r["coverage"] - (1 - len(all_paths(edges, sources, targets, hops, gone)) / len(every))) < 1e-12
     assert core[-1]["reached"]
-    weights = paths.pair_weights(df, s, t, hops)
-    assert {(r["s"], r["t"]): r["w"] for r in weights.collect()} == {(x, y): sum(p[0] == x and p[-1] == y for p in every) for x in sources for y in targets if any(p[0] == x and p[-1] == y for p in every)}
-    flat = paths.flat_core(weights, tau=0.8).collect()
-    assert flat[-1]["reached"] and abs(sum(r["gain"] for r in flat) / len(every) - flat[-1]["coverage"]) < 1e-12
+    pairs = {(x, y): sum(p[0] == x and p[-1] == y for p in every) for x in sources for y in targets}
+    for followed in (24, 2):
+        monkeypatch.setattr(paths, "FOLLOWED_ENDS", followed)
+        flat, left, covered = paths.flat_core(df, s, t, tau=0.8, hops=hops).collect(), dict(pairs), 0
+        for r in flat:
+            ends = {(0, v): sum(w for (x, _), w in left.items() if x == v) for v in sources} | {(1, v): sum(w for (_, y), w in left.items() if y == v) for v in targets}
+            k, v = min(ends, key=lambda e: (-ends[e], e))
+            assert (r["v"], r["kind"], r["gain"]) == (v, ("source", "target")[k], ends[k, v])
+            left, covered = {p: w for p, w in left.items() if p[k] != v}, covered + ends[k, v]
+            assert abs(r["coverage"] - covered / len(every)) < 1e-12
+        assert flat[-1]["reached"]
+    both = nulls.replicates(df, 2).where("rep = 0 OR pre <> 0"), *(nulls.replicates(x, 2) for x in (s, t))
+    for core_of, want in ((paths.tau_core, core), (paths.flat_core, flat)):
+        got = core_of(*both, tau=0.8, hops=hops).orderBy("rep", "rank").collect()
+        assert [r["v"] for r in got if r["rep"] == 0][: len(want)] == [r["v"] for r in want]
+        alone = core_of(df.where("pre <> 0"), s, t, tau=0.8, hops=hops).orderBy("rank").collect()
+        assert [r["v"] for r in got if r["rep"] == 1] == [r["v"] for r in alone]
     curve = {r["tau"]: r for r in paths.hourglass_curve(spark.createDataFrame(core), spark.createDataFrame(flat), (0.5, 0.999)).collect()}
     assert curve[0.5]["core"] == min(r["rank"] for r in core if r["coverage"] >= 0.5)
     layers = {r["v"]: r["layer"] for r in paths.topological_layers(df).collect()}
@@ -171,6 +185,46 @@ def test_paths_and_cores_against_enumeration(spark):
         paths.topological_layers(spark.createDataFrame([(1, 2), (2, 1)], "pre long, post long"))
 
 
+def test_paths_of_any_length(spark):
+    rng = random.Random(8)
+    n, sources, targets = 14, [0, 1, 99], [11, 12, 13]
+    edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
+    df, (s, t) = spark.createDataFrame(edges, "pre long, post long"), (spark.createDataFrame([(x,) for x in side], "v long") for side in (sources, targets))
+    every = all_paths(edges, sources, targets, n)
+    ends = {v: sum(p[-1] == v for p in every) for v in targets}
+    got = {r["v"]: r for r in paths.settled(df, s).collect()}
+    assert {v: got[v]["m"] for v in targets} == ends and got[99]["m"] == 1 and all(r["e"] == 0 for r in got.values())
+    through = {v: sum(v in p for p in every) for v in range(n)}
+    found = {r["v"]: r for r in paths.unbounded_centrality(df, s, t).collect()}
+    assert {v: round(10 ** r["log10_p"]) for v, r in found.items()} == {v: k for v, k in through.items() if k}
+    assert all(abs(r["share"] - through[v] / len(every)) < 1e-9 for v, r in found.items())
+    depth = {v: max((len(p) - 1 for x in range(n) for p in all_paths(edges, [x], [v], n)), default=0) for v in range(n)}
+    assert {r["v"]: r["layer"] for r in paths.topological_layers(df).collect()} == {v: depth[v] for e in edges for v in e}
+
+
+def test_counts_past_doubles(spark):
+    """Few layers, many paths: counts of 2**600 come in at once, and meet small ones."""
+    rows = spark.createDataFrame([(1, 2.0**200, 2), (1, 2.0**200, 1), (1, 1.0, 0)], "v long, m double, e int")
+    top = F.lit(2)
+    m, e = paths._normal(rows.select(F.sum(paths._scaled(F.col("m"), F.col("e"), top))).first()[0] * F.lit(1.0), top)
+    got = spark.range(1).select(m.alias("m"), e.alias("e"), paths.log10_count(m, e).alias("l")).first()
+    assert got["e"] == 2 and abs(got["l"] - (1024 + 200) * 0.3010299956639812) < 1e-9
+    wide = 60  # layers of 2**60 - fold fans: edges stand for many by repetition
+    edges = spark.range(wide - 1).select(F.col("id").alias("pre"), (F.col("id") + 1).alias("post")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(2**6)))).drop("_k")
+    out = {r["v"]: r for r in paths.settled(edges, spark.range(1).select(F.col("id").alias("v"))).collect()}
+    assert out[wide - 1]["layer"] == wide - 1 and abs(math.log2(out[wide - 1]["m"]) + 512 * out[wide - 1]["e"] - 6 * (wide - 1)) < 1e-9
+
+
+def test_bijection(spark):
+    """One-to-one for every size, and the first k images are any k as often."""
+    sizes = [*range(1, 40), 997, 4097]
+    df = spark.createDataFrame([(n, k) for n in sizes for k in (1, 2)], "n long, k int")
+    got = nulls.counted(df, F.col("n"), "j").select("n", "k", nulls.bijection(F.col("j"), F.col("n"), "k").alias("y")).groupBy("n", "k").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count_distinct("y").alias("d")).collect()
+    assert len(got) == 2 * len(sizes) and all((r["a"], r["b"], r["d"]) == (0, r["n"] - 1, r["n"]) for r in got)
+    pairs = spark.range(6000).select("id", *(nulls.bijection(F.lit(j), F.lit(7).cast("long"), F.col("id")).alias(f"y{j}") for j in (0, 1))).groupBy("y0", "y1").count().collect()
+    assert len(pairs) == 42 and sum((r["count"] - 6000 / 42) ** 2 / (6000 / 42) for r in pairs) < 110
+
+
 def test_patterns(spark):
     shapes = [(k, patterns.shape(e, k)) for k in (3, 4) for e in patterns.all_patterns(k)]
     count = lambda k, *names: sum(x == k and s in names for x, s in shapes)
@@ -245,6 +299,8 @@ def test_null_levels_and_mixing(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2], i % 2 + 1) for i in range(200)], "root_id long, category string, lvl int")
     got = levels.null_reference(rows, 2).collect()
     assert all(0.5 <= r["purity"] < 0.65 and 0 <= r["nmi"] < 0.1 for r in got) and len(got) == 2
+    test = {r["measure"]: r for r in levels.null_test(rows, 4).collect()}
+    assert test["nmi"]["observed"] == test["purity"]["observed"] == 1.0 and {r["p"] for r in test.values()} == {0.2}
     assert levels.mutual_information(rows).first()["nmi"] == 1.0 and {r["purity"] for r in levels.coherence(rows).collect()} == {1.0}
     rng = random.Random(1)
     df = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b and rng.random() < 0.2], "pre long, post long")
