@@ -20,8 +20,8 @@ import pyarrow as pa
 CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
 #: Odd chunks that the library encodes in one call; words in one text.
 CALL, RUN = 20_000, 256
-#: Chunks that a worker remembers.
-KEPT = 600_000
+#: Chunks in a generation of those that a worker remembers, about 200 bytes each.
+KEPT = 400_000
 
 
 def split_chunks(text: str) -> list[str]:
@@ -83,16 +83,24 @@ def _byte_lengths(path: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _known(path: str, plain: bool) -> dict[str, bytes]:
-    """Ids of chunks that this worker met since it last forgot them, ``KEPT`` at most."""
-    return {}
+def _known(path: str, plain: bool) -> list[dict[str, bytes]]:
+    """Ids of chunks that this worker met lately: two generations of ``KEPT`` chunks at most, the younger one first."""
+    return [{}, {}]
 
 
 def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all (distinct) chunks, one after another, and their number by chunk."""
     known = _known(path, plain)
-    values = list(map(known.get, names))
-    new = [i for i, v in enumerate(values) if v is None]
+    if len(known[0]) > KEPT:
+        known[:] = {}, known[0]
+    young, old = known
+    values, new = list(map(young.get, names)), []
+    for i in [i for i, v in enumerate(values) if v is None]:
+        found = old.get(names[i])
+        if found is None:
+            new.append(i)
+        else:
+            values[i] = young[names[i]] = found
     if new:
         own = [names[i] for i in new]
         flat, counts = _encoded(path, own, plain)
@@ -100,10 +108,8 @@ def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndar
         found = [raw[a:b] for a, b in zip([0, *ends], ends)]
         for i, v in zip(new, found):
             values[i] = v
-        if len(known) + len(own) > KEPT:
-            known.clear()
         if len(own) <= KEPT and max(map(len, own)) <= 1 << 12:
-            known.update(zip(own, found))
+            young.update(zip(own, found))
     counts = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
     return np.frombuffer(b"".join(values), dtype="<i4").astype(np.int64), counts
 

@@ -34,12 +34,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytechunks import blocks, chunk_ids, encodes_chunks, gather, split_chunks, sums, tokenizer
-from .bytewords import release
+from .bytewords import release, slices, text_buffer
 from .storage import materialise
 
 #: Characters in a block, a single longer text aside; bytes of ids in a batch of rows.
@@ -69,11 +70,11 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, key: str, text
             before = full_before + np.cumsum(full) - full
             full_before += int(full.sum())
             cuts = np.concatenate([[0], np.cumsum(tokens)])
-            raw, width = whole.tobytes(), whole.itemsize
+            width = whole.itemsize
             group = (cuts[:-1] * width) // BATCH
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(keys)]
             for a, b in zip(edges, edges[1:]):
-                values = pa.array([raw[x * width : y * width] for x, y in zip(cuts[a:b].tolist(), cuts[a + 1 : b + 1].tolist())], pa.binary())
+                values = binary(whole[cuts[a] : cuts[b]], (cuts[a : b + 1] - cuts[a]) * width)
                 own = np.arange(row + a, row + b, dtype=np.int64) + (part << 36)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(b - a, part, np.int32)), pa.array(keys[a:b], pa.int64()), pa.array(tokens[a:b]), pa.array(rem[a:b]), pa.array(local[a:b]), pa.array(before[a:b]), values], columns)
             row += len(keys)
@@ -83,6 +84,11 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, key: str, text
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "row long, part int, key long, tokens long, rem long, local long, before long, ids binary")
 
 
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of the bytes of ``data``, parted at ``ends`` (the first is 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
 def id_kind(path: str, end_id: int) -> str:
     return "<u2" if max(tokenizer(path).get_vocab_size(), end_id) < 1 << 16 else "<u4"
 
@@ -317,21 +323,19 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, key: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        for batch in batches:
-            found, held = [], 0
-            for c in range(batch.num_rows):
-                r = {n: batch.column(n)[c].as_py() for n in batch.schema.names}
-                ids = np.frombuffer(r["ids"], dtype=kind).astype("<u4").tobytes()
-                at, n = 0, r["tokens"] // size
-                own = [(size, r["first"] + i, 0) for i in range(n)] + list(zip(r["lengths"] or (), r["sequences"] or (), r["offsets"] or ()))
-                for length, sequence, offset in own:
-                    found.append((r["key"], at, length, r["tokens"], sequence, offset, ids[4 * at : 4 * (at + length)]))
-                    at += length
-                held += len(ids)
-                if held >= BATCH or c + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names)
-                    found, held = [], 0
-        release()
+        for batch in slices(batches, "ids", BATCH):
+            tokens, first = (batch.column(c).to_numpy() for c in ("tokens", "first"))
+            full, many = tokens // size, pc.list_value_length(batch.column("lengths")).to_numpy()
+            doc = np.repeat(np.arange(len(tokens)), full + many)
+            at = np.cumsum(full + many) - full - many
+            n = np.arange(len(doc)) - at[doc]
+            cut = n >= full[doc]  # remainders follow a row's full sequences, in the order of their lists
+            length, sequence, offset = np.full(len(doc), size), first[doc] + n, np.zeros(len(doc), np.int64)
+            for x, c in ((length, "lengths"), (sequence, "sequences"), (offset, "offsets")):
+                x[cut] = batch.column(c).flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(length)])
+            start = ends[:-1] - (np.cumsum(tokens) - tokens)[doc]
+            ids = text_buffer(batch.column("ids"))[0].view(kind).astype("<u4")
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), *map(pa.array, (start, length, tokens[doc], sequence, offset)), binary(ids, 4 * ends)], names)
 
     return out.mapInArrow(pieces, f"`{key}` long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
