@@ -48,9 +48,9 @@ def permuted(df: DataFrame, value: str, seed: int, ids: list[str], *keys: str) -
     return to.join(of.select(*keys, "rank", value), [*keys, "rank"]).select(df.columns)
 
 
-def replicates(df: DataFrame, n: int) -> DataFrame:
-    """``df`` once for each rep of 0..n-1."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def replicates(df: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """``df`` once for each rep of ``first``..n-1."""
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(n - 1))))
 
 
 def permuted_levels(members: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -66,8 +66,8 @@ mot AS (SELECT c AS motif_count, CASE WHEN len(list_distinct(dirs)) = 1 THEN 'pu
   FROM signed JOIN sizes sb ON sb.area = ba AND sb.lvl = bl{joins})"""
 
 
-def q(ctes: str, body: str) -> str:
-    return f"WITH {ctes.strip()}\n{body.strip()}"
+def q(ctes: str, body: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{body.strip()}"
 
 
 def motif(body: str, **kw) -> str:
@@ -100,17 +100,35 @@ sigs AS (SELECT x.b || '->' || y.b AS signature FROM (VALUES ('FWD'),('LAT'),('B
 prof AS (SELECT a.area, s.signature, CAST(COUNT(w.i) AS DOUBLE) AS n FROM areas a CROSS JOIN sigs s LEFT JOIN w ON w.area = a.area AND w.signature = s.signature GROUP BY ALL),
 shares AS (SELECT area, signature, n, n / nullif(SUM(n) OVER (PARTITION BY area), 0) AS share FROM prof)"""
 
-PATHS = """,
-fe AS (SELECT g.pre, g.post FROM esyn g JOIN levels a ON a.root_id = g.pre JOIN levels b ON b.root_id = g.post WHERE g.syn >= 5 AND a.y_level < b.y_level),
+HOPS = 5
+
+
+def paths(routing: str = "levels") -> str:
+    """CTEs for paths of at most ``HOPS`` hops: fe (edges), src, tgt, a and b (counts from sources and to targets), cen (centrality)."""
+    forward = {"levels": "a.y_level < b.y_level", "score": "a.score > b.score"}[routing]
+    steps = range(1, HOPS + 1)
+    return f""",
+fe AS (SELECT g.pre, g.post FROM esyn g JOIN levels a ON a.root_id = g.pre JOIN levels b ON b.root_id = g.post WHERE g.syn >= 5 AND {forward}),
 src AS (SELECT root_id AS v FROM classification WHERE super_class = 'sensory'),
 tgt AS (SELECT root_id AS v FROM classification WHERE super_class IN ('motor', 'descending')),
 a0 AS (SELECT v, CAST(1 AS DOUBLE) AS n FROM src),
-""" + ",\n".join(f"a{h} AS (SELECT post AS v, SUM(n) AS n FROM a{h - 1} JOIN fe ON pre = v GROUP BY post)" for h in (1, 2, 3)) + """,
+""" + ",\n".join(f"a{h} AS (SELECT post AS v, SUM(n) AS n FROM a{h - 1} JOIN fe ON pre = v GROUP BY post)" for h in steps) + """,
 b0 AS (SELECT v, CAST(1 AS DOUBLE) AS n FROM tgt),
-""" + ",\n".join(f"b{h} AS (SELECT pre AS v, SUM(n) AS n FROM b{h - 1} JOIN fe ON post = v GROUP BY pre)" for h in (1, 2, 3)) + """,
-a AS (""" + " UNION ALL ".join(f"SELECT v, {h} AS h, n FROM a{h}" for h in range(4)) + """),
-b AS (""" + " UNION ALL ".join(f"SELECT v, {h} AS h, n FROM b{h}" for h in range(4)) + """),
-cen AS (SELECT a.v, SUM(a.n * b.n) AS p FROM a JOIN b ON a.v = b.v AND a.h + b.h <= 3 GROUP BY a.v)"""
+""" + ",\n".join(f"b{h} AS (SELECT pre AS v, SUM(n) AS n FROM b{h - 1} JOIN fe ON post = v GROUP BY pre)" for h in steps) + """,
+a AS (""" + " UNION ALL ".join(f"SELECT v, {h} AS h, n FROM a{h}" for h in range(HOPS + 1)) + """),
+b AS (""" + " UNION ALL ".join(f"SELECT v, {h} AS h, n FROM b{h}" for h in range(HOPS + 1)) + f"""),
+cen AS (SELECT a.v, SUM(a.n * b.n) AS p FROM a JOIN b ON a.v = b.v AND a.h + b.h <= {HOPS} GROUP BY a.v)"""
+
+
+PATHS = paths()
+
+#: Longest paths and counts of paths of any length, hop by hop until none goes on.
+UNBOUNDED = """,
+deep AS (SELECT v, 0 AS h FROM (SELECT pre AS v FROM fe UNION SELECT post FROM fe) UNION SELECT post, h + 1 FROM deep JOIN fe ON pre = v),
+fro AS (SELECT v, 0 AS h, CAST(1 AS DOUBLE) AS n FROM src UNION ALL SELECT post, h + 1, SUM(n) FROM fro JOIN fe ON pre = v GROUP BY post, h + 1),
+bac AS (SELECT v, 0 AS h, CAST(1 AS DOUBLE) AS n FROM tgt UNION ALL SELECT pre, h + 1, SUM(n) FROM bac JOIN fe ON post = v GROUP BY pre, h + 1),
+fros AS (SELECT v, SUM(n) AS n FROM fro GROUP BY v),
+bacs AS (SELECT v, SUM(n) AS n FROM bac GROUP BY v)"""
 
 BOTH = """,
 micro AS (SELECT bottleneck_area AS area, bottleneck_level AS lvl, CAST(SUM(motif_count) AS BIGINT) AS micro FROM mot GROUP BY ALL),

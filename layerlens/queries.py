@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -17,7 +18,7 @@ from .sources.artefacts import load_table, write_summary, write_table
 from .sources.graph_tables import Graph, order_graph, read_csv_table
 from .sources.scratch import cut, shared_folder
 
-WINDOW, DEEP, HOPS = "1-2-3", "3-4-5", 3
+WINDOW, DEEP, HOPS = "1-2-3", "3-4-5", S.HOPS
 Query = Callable[[Graph], DataFrame]
 
 
@@ -47,15 +48,26 @@ class Run:
         return graph.metagraph_degree(graph.metagraph_edges(self.edges))
 
 
-def _paths(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (paths.forward_edges(g), *paths.ends(g))
+def _paths(g: Graph, routing: str = "levels") -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (paths.forward_edges(g, routing=routing), *paths.ends(g))
 
 
-def _central(g: Graph) -> DataFrame:
-    e, s, t = _paths(g)
+def _central(g: Graph, routing: str = "levels") -> DataFrame:
+    e, s, t = _paths(g, routing)
     return paths.centrality(paths.path_counts(e, s, HOPS), paths.path_counts(e, t, HOPS, backward=True), HOPS)
 
 
+def _totals(g: Graph, routing: str = "levels") -> DataFrame:
+    e, s, t = _paths(g, routing)
+    return paths.total_paths(paths.path_counts(e, s, HOPS), t)
+
+
+def _unbounded(g: Graph) -> DataFrame:
+    """v, layer, log10_n: paths of any length from the sources along falling scores."""
+    e, s, _ = _paths(g, "score")
+    return paths.settled(e, s).where("m > 0").select("v", "layer", paths.log10_count(F.col("m"), F.col("e")).alias("log10_n"))
+
+
 def _both(g: Graph) -> DataFrame:
     run = Run(g)
     micro = run.motifs().groupBy(F.col("bottleneck_area").alias("area"), F.col("bottleneck_level").alias("lvl")).agg(F.sum("motif_count").alias("micro"))
@@ -70,28 +82,26 @@ def _profiles(g: Graph) -> DataFrame:
     return within_area.profile(within_area.signature_counts(within_area.neighbour_counts(edges)))
 
 
-#: Replicates of every null, and rounds of swaps (a round proposes one swap for each two edges).
-REPLICATES, ROUNDS = 20, 20
+#: Replicates of every null, of the validation of motifs, and rounds of swaps (a round proposes one swap for each two edges).
+REPLICATES, VALIDATED, ROUNDS = 20, 100, 20
 
 
-def _core(g: Graph, edges: DataFrame | None = None, tau: float = 0.9) -> DataFrame:
-    e, s, t = _paths(g)
-    return paths.tau_core(e if edges is None else edges, s, t, tau=tau, hops=HOPS)
+def _core(g: Graph, tau: float = 0.9, routing: str = "levels", **kw) -> DataFrame:
+    return paths.tau_core(*_paths(g, routing), tau=tau, hops=HOPS, **kw)
 
 
-def _flat(g: Graph, edges: DataFrame | None = None, tau: float = 0.9) -> DataFrame:
-    e, s, t = _paths(g)
-    return paths.flat_core(paths.pair_weights(e if edges is None else edges, s, t, HOPS), tau=tau)
+def _flat(g: Graph, tau: float = 0.9, routing: str = "levels") -> DataFrame:
+    return paths.flat_core(*_paths(g, routing), tau=tau, hops=HOPS)
 
 
-def _curve_null(g: Graph, n: int = 3, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """tau, rep (-1: the graph itself), core, flat, h, p: the hourglass curve against graphs whose nodes keep their in-degrees and draw predecessors anew; p counts replicates with an h as large."""
-    edges, order = _paths(g)[0], g.levels.select("root_id", F.col("y_level").alias("lvl"))
-    out = []
-    for rep in range(-1, n):
-        own = cut(edges if rep < 0 else nulls.rewired_by_order(edges, order, seed=42 + rep))
-        out.append(paths.hourglass_curve(_core(g, own, max(taus)), _flat(g, own, max(taus)), taus).withColumn("rep", F.lit(rep)))
-    rows = cut(reduce(DataFrame.unionByName, out))
+def _curve_null(g: Graph, n: int = REPLICATES, taus: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """tau, rep (-1: the graph itself), core, flat, h, p: the hourglass curve against graphs whose nodes keep their in-degrees and draw predecessors anew; p counts replicates with an h as large.  All replicates go through the same jobs."""
+    e, s, t = _paths(g)
+    drawn = nulls.rewired_by_order(nulls.replicates(e, n), g.levels.select("root_id", F.col("y_level").alias("lvl")))
+    edges = cut(e.withColumn("rep", F.lit(-1)).unionByName(drawn))
+    first, last = (nulls.replicates(x, n, -1) for x in (s, t))
+    core, flat = (f(edges, first, last, tau=max(taus), hops=HOPS) for f in (paths.tau_core, paths.flat_core))
+    rows = cut(paths.hourglass_curve(core, flat, taus, n))
     seen = rows.where("rep < 0").select("tau", F.col("h").alias("_h"))
     null = rows.where("rep >= 0").join(seen, "tau").groupBy("tau").agg(((1 + F.count_if(F.col("h") >= F.col("_h"))) / (1 + F.count("h"))).alias("p"))
     return rows.join(null, "tau", "left")
@@ -130,10 +140,10 @@ def _pattern_counts(run: Run, top: DataFrame, flows: list[DataFrame]) -> DataFra
     return rows.groupBy("structure_str", "rep").agg(F.sum("p").alias("value"))
 
 
-def _null_counts(g: Graph, which: str, n: int = REPLICATES) -> DataFrame:
-    """Counts of the 3 largest motifs of each waist against a null of n replicates: A swaps, B blocks, C alignment."""
+def _null_counts(g: Graph, which: str, n: int = VALIDATED) -> DataFrame:
+    """Counts of the 20 largest motifs of each signature against a null of n replicates: A swaps, B blocks, C alignment."""
     run = Run(g)
-    top, edges = cut(run.top_patterns(3)), cut(run.edges)
+    top, edges = cut(distill.top(run.motifs(), 20, "signature")), cut(run.edges)
     if which == "C":
         flows = [nulls.aligned(f, run.nodes, n, seed) for f, seed in ((motifs.flow_in(edges), 1), (motifs.flow_out(edges), 2))]
     elif which == "A":
@@ -145,9 +155,9 @@ def _null_counts(g: Graph, which: str, n: int = REPLICATES) -> DataFrame:
 
 
 def _mixing(g: Graph) -> DataFrame:
-    """rounds, kept, ratio: how far swaps have mixed the graph: edges still there, and the median ratio of swapped to real counts of the 3 largest motifs of each waist."""
+    """rounds, kept, ratio: how far swaps have mixed the graph: edges still there, and the median ratio of swapped to real counts of the 20 largest motifs of each waist."""
     run = Run(g)
-    top, edges = nulls.replicates(cut(run.top_patterns(3)), 1), cut(run.edges)
+    top, edges = nulls.replicates(cut(run.top_patterns()), 1), cut(run.edges)
 
     def ratio(drawn: DataFrame) -> float | None:
         between = graph.between_metanodes(graph.with_ends(drawn, run.nodes)).withColumn("rep", F.lit(0))
@@ -210,8 +220,8 @@ for _name, _kw in {"bowtie_2x2": {}, "bowtie_2x1": {"k_out": 1}, "bowtie_1x2": {
     add(_name, lambda g, kw=_kw: Run(g).motifs(**kw), S.motif("SELECT * FROM mot", **_kw))
 for _name, _grouping in {"bowtie_superclass": "superclass", "bowtie_superregion": "superregion"}.items():
     add(_name, lambda g, grouping=_grouping: Run(g, grouping).motifs(min_count=2), S.motif("SELECT * FROM mot", grouping=_grouping, min_count=2))
-add("recount", lambda g: (lambda r: motifs.recount(r.edges, r.nodes, r.top_patterns(2)).select("structure_str", "motif_count", "recounted", "active"))(Run(g)),
-    S.motif("SELECT structure_str, motif_count, motif_count AS recounted, n_waist_active AS active FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 2"))
+add("recount", lambda g: (lambda r: motifs.recount(r.edges, r.nodes, r.top_patterns()).select("structure_str", "motif_count", "recounted", "active"))(Run(g)),
+    S.motif("SELECT structure_str, motif_count, motif_count AS recounted, n_waist_active AS active FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 20"))
 # signatures
 add("signature_summary", lambda g: rd(distill.share(distill.by_signature(Run(g).motifs()), "mass")).withColumn("meaning", signature.meaning(F.col("signature"))),
     S.motif("SELECT signature, COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, round(SUM(motif_count)::DOUBLE / SUM(SUM(motif_count)) OVER (), 6) AS share, CASE signature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in signature.MEANINGS.items()) + " ELSE '' END AS meaning FROM mot GROUP BY signature"))
@@ -246,8 +256,8 @@ add("compression_hist", lambda g: compression.histogram(_nominal(g)),
     S.motif(f"SELECT low, high, COUNT(c) AS n FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in zip(compression.EDGES, compression.EDGES[1:]))}) b(low, high) LEFT JOIN (SELECT compression AS c FROM ({_NOMINAL})) ON c >= low AND (c < high OR (high = 1000000000 AND c <= high)) GROUP BY ALL"))
 add("compression_top", lambda g: _nominal(g).withColumn("r", F.round("compression", 9)).transform(lambda d: distill.top(d.where("n_waist >= 3"), 5, "signature", value="r")).select("signature", "structure_str"),
     S.motif(f"SELECT signature, structure_str FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY round(compression, 9) DESC, structure_str) AS k FROM ({_NOMINAL}) WHERE n_waist >= 3) WHERE k <= 5"))
-_real = lambda g: (lambda r: compression.realised(r.edges, r.nodes, cut(r.top_patterns(3))))(Run(g))
-_REAL = """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 3),
+_real = lambda g: (lambda r: compression.realised(r.edges, r.nodes, cut(r.top_patterns())))(Run(g))
+_REAL = """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 20),
 act AS (SELECT t.*, w.root_id AS i, a.v * b.v * c.v * d.v AS p FROM top t JOIN work w ON w.area = bottleneck_area AND w.lvl = bottleneck_level
   JOIN fin a ON a.i = w.root_id AND a.area = fan_in_0_area AND a.lvl = fan_in_0_level JOIN fin b ON b.i = w.root_id AND b.area = fan_in_1_area AND b.lvl = fan_in_1_level
   JOIN fout c ON c.i = w.root_id AND c.area = fan_out_0_area AND c.lvl = fan_out_0_level JOIN fout d ON d.i = w.root_id AND d.area = fan_out_1_area AND d.lvl = fan_out_1_level),
@@ -325,14 +335,16 @@ def _pure(k: int, inward: bool) -> str:
     return f"{name} AS (WITH {S.side('fin', 'pi', ki, 'a', 'l')}, {S.side('fout', 'po', ko, 'd', 'm')} SELECT area, lvl, SUM(pi.p * po.p)::DOUBLE AS v FROM pi JOIN po USING (i) JOIN work w ON w.root_id = i WHERE {apart} GROUP BY ALL)"
 
 
-_PURE = ",\n".join(_pure(k, x) for k in (2, 3) for x in (True, False))
+_KS = (2, 3, 4, 5)
+_PURE = ",\n".join(_pure(k, x) for k in _KS for x in (True, False))
+_COLUMNS = [f"{x}_k{k}" for k in _KS for x in ("int", "bro")]
 _WAISTS = ", ws AS (SELECT DISTINCT w.area, w.lvl FROM work w JOIN fin ON fin.i = w.root_id JOIN fout ON fout.i = w.root_id), deg AS (SELECT area, lvl, SUM(x)::DOUBLE AS n_in, SUM(y)::DOUBLE AS n_out FROM (SELECT da AS area, dl AS lvl, 1 AS x, 0 AS y FROM meta UNION ALL SELECT sa, sl, 0, 1 FROM meta) GROUP BY ALL)"
-_SHAPES = "SELECT area, lvl, " + ", ".join(f"coalesce({n}.v, 0) AS {n}" for n in ("int_k2", "bro_k2", "int_k3", "bro_k3")) + " FROM ws" + "".join(f" LEFT JOIN {n} USING (area, lvl)" for n in ("int_k2", "bro_k2", "int_k3", "bro_k3"))
-add("sweep_pure_shapes", lambda g: rd(_shapes(g, 3)), S.q(S.work() + _WAISTS + ",\n" + _PURE, _SHAPES))
-_C = {2: "({0} * ({0} - 1) / 2)", 3: "({0} * ({0} - 1) * ({0} - 2) / 6)"}
-_NORM = " + ".join("coalesce(int_k{k} / nullif({c} * n_out, 0), 0)".format(k=k, c=_C[k].format("n_in")) for k in (2, 3)), " + ".join("coalesce(bro_k{k} / nullif({c} * n_in, 0), 0)".format(k=k, c=_C[k].format("n_out")) for k in (2, 3))
-_REGIMES = f"SELECT *, coalesce((ni - nb) / nullif(ni + nb, 0), 0) AS index_norm FROM (SELECT *, {_NORM[0]} AS ni, {_NORM[1]} AS nb, int_k2 + int_k3 + bro_k2 + bro_k3 AS total FROM ({_SHAPES}) JOIN deg USING (area, lvl))"
-_regimes = lambda g: sweep.regimes(_shapes(g, 3), Run(g).degree(), 3)
+_SHAPES = "SELECT area, lvl, " + ", ".join(f"coalesce({n}.v, 0) AS {n}" for n in _COLUMNS) + " FROM ws" + "".join(f" LEFT JOIN {n} USING (area, lvl)" for n in _COLUMNS)
+add("sweep_pure_shapes", lambda g: rd(_shapes(g, 5)), S.q(S.work() + _WAISTS + ",\n" + _PURE, _SHAPES))
+_C = {k: "(" + " * ".join(f"({{0}} - {i})" for i in range(k)) + f" / {math.factorial(k)})" for k in _KS}
+_NORM = " + ".join("coalesce(int_k{k} / nullif({c} * n_out, 0), 0)".format(k=k, c=_C[k].format("n_in")) for k in _KS), " + ".join("coalesce(bro_k{k} / nullif({c} * n_in, 0), 0)".format(k=k, c=_C[k].format("n_out")) for k in _KS)
+_REGIMES = f"SELECT *, coalesce((ni - nb) / nullif(ni + nb, 0), 0) AS index_norm FROM (SELECT *, {_NORM[0]} AS ni, {_NORM[1]} AS nb, {' + '.join(_COLUMNS)} AS total FROM ({_SHAPES}) JOIN deg USING (area, lvl))"
+_regimes = lambda g: sweep.regimes(_shapes(g, 5), Run(g).degree(), 5)
 add("sweep_regimes", lambda g: rd(_regimes(g).select("area", "lvl", "total", "index_norm", "regime")), S.q(S.work() + _WAISTS + ",\n" + _PURE, f"SELECT area, lvl, total, round(index_norm, 6) AS index_norm, CASE WHEN index_norm <= -0.33 THEN 'broadcast' WHEN index_norm <= 0.33 THEN 'mixed' ELSE 'integrative' END AS regime FROM ({_REGIMES})"))
 add("regime_per_area", lambda g: rd(sweep.by_area(_regimes(g))), S.q(S.work() + _WAISTS + ",\n" + _PURE, f"SELECT area, COUNT(*) AS n, round(SUM(index_norm * total) / nullif(SUM(total), 0), 6) AS index_norm FROM ({_REGIMES}) GROUP BY 1"))
 # within areas
@@ -346,10 +358,18 @@ add("within_area_characteristic", lambda g: rd(within_area.characteristic(within
 add("within_area_flat", lambda g: rd(within_area.flat_areas(within_area.enrichment(_profiles(g)))), S.q(S.VIEWS + S.WITHIN, f"SELECT area, round(MAX(abs(ln(enrichment))), 6) AS deviation FROM ({_ENRICHED}) WHERE share >= 0.01 AND enrichment > 0 GROUP BY 1 HAVING MAX(abs(ln(enrichment))) < 0.35"))
 add("within_area_census", lambda g: rd(within_area.census(g, 20)), S.q(S.VIEWS + S.WITHIN, "SELECT m.area, m.n AS n_nodes, k.n AS n_edges, t.n AS total, round(t.n / m.n, 6) AS per_node FROM (SELECT area, COUNT(*) AS n FROM mem GROUP BY 1) m JOIN (SELECT area, COUNT(*) AS n FROM ae GROUP BY 1) k USING (area) JOIN (SELECT area, SUM(n) AS n FROM prof GROUP BY 1) t USING (area) WHERE m.n >= 20"))
 # paths
-add("paths_levels", lambda g: (lambda p: paths.total_paths(paths.path_counts(p[0], p[1], HOPS), p[2]))(_paths(g)), S.q(S.VIEWS + S.PATHS, "SELECT h, SUM(n) AS n FROM a WHERE v IN (SELECT v FROM tgt) GROUP BY h"))
+_TOTALS = "SELECT h, SUM(n) AS n FROM a WHERE v IN (SELECT v FROM tgt) GROUP BY h"
+_SCORE = S.VIEWS + S.paths("score")
+add("paths_levels", _totals, S.q(S.VIEWS + S.PATHS, _TOTALS))
 add("path_centrality", _central, S.q(S.VIEWS + S.PATHS, "SELECT v, p FROM cen"))
+add("paths_score", lambda g: _totals(g, "score"), S.q(_SCORE, _TOTALS))
+add("path_centrality_score", lambda g: _central(g, "score"), S.q(_SCORE, "SELECT v, p FROM cen"))
+add("topological_layers", lambda g: paths.topological_layers(paths.forward_edges(g, routing="score")), S.q(_SCORE + S.UNBOUNDED, "SELECT v, MAX(h)::INT AS layer FROM deep GROUP BY v", recursive=True))
+add("paths_unbounded", lambda g: rd(_unbounded(g)), S.q(_SCORE + S.UNBOUNDED, "SELECT v, coalesce(layer, 0)::INT AS layer, round(log10(n), 6) AS log10_n FROM fros LEFT JOIN (SELECT v, MAX(h) AS layer FROM deep GROUP BY v) USING (v)", recursive=True))
+add("centrality_unbounded", lambda g: rd(paths.unbounded_centrality(*_paths(g, "score"))), S.q(_SCORE + S.UNBOUNDED, "SELECT v, round(log10(a.n * b.n), 6) AS log10_p, round(a.n * b.n / (SELECT SUM(n) FROM fros WHERE v IN (SELECT v FROM tgt)), 6) AS share FROM fros a JOIN bacs b USING (v)", recursive=True))
 add("tau_core", _core)
 add("flat_core", _flat)
+add("score_core", lambda g: _core(g, routing="score", followed=12))
 add("hscore_curve", lambda g: paths.hourglass_curve(_core(g, tau=0.95), _flat(g, tau=0.95)))
 add("hscore_random", _curve_null)
 add("core_by_group", lambda g: paths.core_by_group(_core(g), g))
@@ -379,9 +399,10 @@ add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession), S
 # nulls
 add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), ROUNDS))
 add("null_block", lambda g: nulls.block_rewired(Run(g).edges, Run(g).nodes))
-add("null_alignment", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, 2))
+add("null_alignment", lambda g: nulls.aligned(motifs.flow_in(Run(g).edges), Run(g).nodes, REPLICATES))
 add("null_label_perm", _label_null)
-add("null_levels", lambda g: levels.null_reference(levels.categories(g, "group"), 3))
+add("null_levels", lambda g: levels.null_reference(levels.categories(g, "group"), REPLICATES))
+add("null_levels_test", lambda g: levels.null_test(levels.categories(g, "group"), REPLICATES))
 add("null_mixing", _mixing)
 add("null_indegree", lambda g: nulls.rewired_by_order(paths.forward_edges(g), g.levels.select("root_id", F.col("y_level").alias("lvl"))))
 add("validation_blocks", lambda g: _validation(g, "B"))
