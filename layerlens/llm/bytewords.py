@@ -4,7 +4,8 @@ A word is a maximal run of bytes of a class.  ASCII letters are folded to lower
 case.  All separators are ASCII, so working on UTF-8 bytes gives the same words
 as working on code points.  Hashes are polynomial prefix sums over random byte
 values, so a whole batch costs a few passes over its bytes, whatever the number
-of words.
+of words.  Such sums collide for some made-up words of a thousand letters, so
+words of ``LONG`` bytes or more are hashed one by one with a hash that is not linear.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C1B
 _STEP = 1 << 20
+LONG = 256
 
 
 def release() -> None:
@@ -118,6 +121,8 @@ class Words:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUES[self.data] * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        for i in np.flatnonzero(self.end - self.start >= LONG).tolist():
+            self.hash[i] = xxhash.xxh3_64_intdigest(self.word(i))
         self.at = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:

@@ -16,6 +16,7 @@ their text; null ids come first.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytewords import _VALUES, _powers, mix, slices, text_buffer
+from .bytewords import _VALUES, LONG, _powers, mix, slices, text_buffer
 from .storage import lowest_hashes
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
@@ -45,6 +46,21 @@ CLASS[0x80:0xC0] = TRAIL
 CLASS[0xC3] = LEAD
 
 
+#: Fixed value: how the tokenizer whose words this module parts itself splits a text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=4)
+def parts_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits by ``SPLIT``, with no added tokens but ``<|..|>``; texts of others are encoded whole by the library."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = [s["type"] for s in (rules.get("normalizer") or {}).get("normalizers", [])]
+    parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(parts) == 2 and parts[0].get("pattern") == {"Regex": SPLIT} and parts[0].get("invert") and parts[1]["type"] == "ByteLevel" and not parts[1].get("use_regex", True) and not parts[1].get("add_prefix_space", True)
+    return steps == ["NFC", "Replace", "Lowercase"] and bool(split) and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -95,14 +111,16 @@ def plain_rows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.nd
 def encode_block(column: pa.Array, path: str, kind: str, end_id: int) -> list[bytes]:
     """Serialized ids of each text, with the end id; null counts as empty.
 
-    The tokenizer lower-cases, parts runs of letters, single digits and runs of
-    marks, drops white space and merges inside these only.  So a text's ids are
-    its words' ids in order, and each distinct word is encoded once.
+    A tokenizer of ``parts_words`` lower-cases, parts runs of letters, single
+    digits and runs of marks, drops white space and merges inside these only.  So
+    a text's ids are its words' ids in order, and each distinct word is encoded
+    once.  Texts with a word of ``LONG`` bytes or more are encoded whole, as the
+    hashes that name words are safe for shorter ones only.
     """
     data, offsets = text_buffer(column)
     n, cache, end = len(data), word_ids(path, kind), np.array([end_id], dtype=kind)
     classes = CLASS[data]
-    plain = plain_rows(data, offsets, classes)
+    plain = plain_rows(data, offsets, classes) & parts_words(path)
     trail = classes == TRAIL
     classes[trail | (classes == LEAD)] = LETTER
     first = classes != SPACE
@@ -114,6 +132,7 @@ def encode_block(column: pa.Array, path: str, kind: str, end_id: int) -> list[by
     # a word ends where the next begins or white space follows
     stops = np.flatnonzero((classes == SPACE) | first)
     stop = np.append(stops, n)[np.searchsorted(stops, start, side="right")] if len(start) else start
+    plain[np.searchsorted(offsets, start[stop - start >= LONG], side="right") - 1] = False
     low = data.copy()
     low[(data >= 0x41) & (data <= 0x5A)] += 32
     low[trail & (data <= 0x9E)] += 32

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -76,3 +77,30 @@ def test_words_are_parted_as_the_tokenizer_does():
     got = token_files.encode_texts(texts, WORDS, "<u2", 2)
     for text, raw in zip(texts, got):
         assert np.frombuffer(raw, dtype="<u2").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word of 2**n letters and its complement: polynomial sums modulo 2**64 are equal."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_made_up_words_and_other_tokenizers(spark):
+    from layerlens.llm.bytewords import SPACED, Words
+    from layerlens.llm.passages import row_hashes
+
+    words = [w for n in (7, 8, 10, 12) for w in thue_morse(n)]
+    tok = Tokenizer.from_file(WORDS)
+    assert token_files.encode_texts(words, WORDS, "<u2", 2) == [np.array([*tok.encode(w, add_special_tokens=False).ids, 2], dtype="<u2").tobytes() for w in words]
+    for size in (12, 14):
+        assert len(set(Words(pa.array(thue_morse(size)), SPACED).hash.tolist())) == 2
+    texts = [" ".join(w) for w in thue_morse(11)]
+    assert len(set(map(tuple, row_hashes(Words(pa.array(texts), SPACED)).tolist()))) == 2
+    assert token_files.parts_words(WORDS) and not token_files.parts_words(public_tokenizers.path("byte_bpe_50k.json"))
+    other, rows = public_tokenizers.path("byte_bpe_50k.json"), [(0, "Hello World's  A 12"), (1, None), (2, "a\nB")]
+    folder = scratch_path(spark, "other-tokenizer")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), folder, other, end_id=0)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], f"<u{r['id_bytes']}").tolist() for r in token_files.read_token_files(spark, folder).collect()}
+    assert got == {k: [*Tokenizer.from_file(other).encode(t or "").ids, 0] for k, t in rows}
