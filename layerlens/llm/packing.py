@@ -44,7 +44,7 @@ from .bytewords import release, slices, text_buffer
 from .storage import materialise
 
 #: Characters in a block, a single longer text aside; bytes of ids in a batch of rows.
-BLOCK, BATCH = 4 << 20, 4 << 20
+BLOCK, BATCH = 12 << 20, 4 << 20
 #: Pivots of the simplex method at most, pivots by columns of one knapsack, and the share of full sequences that is good enough.
 PIVOTS, ROUND, ENOUGH = 1000, 60, 0.9999
 
