@@ -1,12 +1,15 @@
-"""Small directed patterns: catalogue, shapes, and homomorphism counts by messages along trees."""
+"""Small directed patterns: catalogue, shapes, and homomorphism counts by messages along trees and by tables of bags."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 Edges = tuple[tuple[int, int], ...]
 
 
@@ -107,6 +110,72 @@ def diamond_count(graph: DataFrame) -> DataFrame:
     return ways.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)).alias("n"))
 
 
+def cover(edges: Edges, k: int) -> tuple[int, ...]:
+    """The least set of nodes that every edge touches: those outside it have no edge among them."""
+    return next(c for n in range(1, k) for c in combinations(range(k), n) if all(set(e) & set(c) for e in edges))
+
+
+def _relation(arcs: set[tuple[int, int]], a: int, b: int) -> int:
+    """0: a to b, 1: b to a, 2: both ways."""
+    return 2 if (a, b) in arcs and (b, a) in arcs else 0 if (a, b) in arcs else 1
+
+
+def pattern_counts(graph: DataFrame, patterns: list[tuple[Edges, int]]) -> DataFrame:
+    """pattern, nodes, n: homomorphisms of each pattern (connected, with a cover of three nodes at most) into the graph (pre, post).
+
+    Variables outside the cover are eliminated first: those that touch one node of
+    it become a degree of that node, those that touch two a number of common
+    neighbours of the pair, by direction.  These tables of bags are made once for
+    all patterns: a row a node, a row a pair with a common neighbour.  A pattern is
+    then one sum over the nodes, the adjacent pairs or the pairs, with the product
+    of its bags.  Only complete patterns have a cover of three; they are summed
+    over triangles with what closes them, so no row is made that an edge rules out.
+    """
+    arc = lambda u, v, o, i: graph.select(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    near = arc("pre", "post", 1.0, 0.0).unionByName(arc("post", "pre", 0.0, 1.0)).groupBy("u", "v").agg(F.max("o").alias("r0"), F.max("i").alias("r1"))
+    near = cut(near.withColumn("r2", F.col("r0") * F.col("r1")))
+    degree = cut(near.groupBy("u").agg(*(F.sum(f"r{r}").alias(f"d{r}") for r in range(3))))
+    side = lambda v, c: near.select(F.col("u").alias(v), F.col("v").alias("x"), *(F.col(f"r{r}").alias(f"{c}{r}") for r in range(3)))
+    common = side("u", "a").join(side("v", "b"), "x").groupBy("u", "v").agg(*(F.sum(F.col(f"a{r}") * F.col(f"b{s}")).alias(f"c{r}{s}") for r in range(3) for s in range(3)))
+    common = cut(common)
+    sums: dict[str, list[tuple[str, int, Column]]] = {"node": [], "adjacent": [], "pair": [], "triangle": []}
+    for edges, k in patterns:
+        arcs, core = set(edges), cover(edges, k)
+        touches = lambda x, y: (x, y) in arcs or (y, x) in arcs  # noqa: B023, E731
+        factors = []
+        if len(core) == 3:
+            (u, v, w), others = core, [x for x in range(k) if x not in core]
+            if k != 4 or not all(touches(a, b) for a, b in combinations(range(k), 2)):
+                raise ValueError("only the complete patterns of four nodes have a cover of three")
+            factors = [F.col(f"{c}{_relation(arcs, a, b)}") for c, a, b in (("uv", u, v), ("uw", u, w), ("vw", v, w), ("ux", u, others[0]), ("vx", v, others[0]), ("wx", w, others[0]))]
+            kind = "triangle"
+        else:
+            for x in (x for x in range(k) if x not in core):
+                ends = [n for n, c in enumerate(core) if touches(c, x)]
+                own = [_relation(arcs, core[n], x) for n in ends]
+                factors.append(F.col(f"c{own[0]}{own[1]}") if len(ends) == 2 else F.col(f"{'uv'[ends[0]]}_d{own[0]}"))
+            joined = len(core) == 2 and touches(*core)
+            if joined:
+                factors.append(F.col(f"r{_relation(arcs, *core)}"))
+            kind = "node" if len(core) == 1 else "adjacent" if joined else "pair"
+        sums[kind].append((";".join(f"{a}>{b}" for a, b in edges), k, reduce(lambda a, b: a * b, factors)))
+    ends = lambda v: degree.select(F.col("u").alias(v), *(F.col(f"d{r}").alias(f"{v}_d{r}") for r in range(3)))
+    named = lambda a, b: near.select(F.col("u").alias(a), F.col("v").alias(b), *(F.col(f"r{r}").alias(f"{a}{b}{r}") for r in range(3)))
+    tables = {
+        "node": lambda: ends("u"),
+        "adjacent": lambda: near.join(common, ["u", "v"], "left").na.fill(0.0).join(ends("u"), "u").join(ends("v"), "v"),
+        "pair": lambda: common.join(ends("u"), "u").join(ends("v"), "v"),
+        "triangle": lambda: named("u", "v").join(named("u", "w"), "u").join(named("v", "w"), ["v", "w"]).join(named("u", "x"), "u").join(named("v", "x"), ["v", "x"]).join(named("w", "x"), ["w", "x"]),
+    }
+    out = []
+    for kind, own in sums.items():
+        for a in range(0, len(own), 40):  # sums of one aggregation
+            row = tables[kind]().agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(f"n{i}") for i, (_, _, n) in enumerate(own[a : a + 40])))
+            rows = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(k).alias("nodes"), F.col(f"n{i}").alias("n")) for i, (p, k, _) in enumerate(own[a : a + 40])))
+            out.append(row.select(F.explode(rows).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def brute_count(graph: DataFrame, edges: Edges, k: int) -> DataFrame:
     """n: homomorphisms by joining the edge list once for each edge, in an order that keeps the pattern connected."""
     todo, out, known = list(edges), None, set()

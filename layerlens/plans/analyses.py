@@ -69,7 +69,7 @@ def transmitter_report(g: Graph, least_score: float = 0.5, glut_excitatory: bool
     ratio, paired = transmitters.ratio_by_direction(edges), transmitters.stratified(edges, strat_min)
     tables = {"by_direction": transmitters.by_direction(edges), "ratio": ratio, "stratified": paired, "kitagawa": transmitters.kitagawa(edges), "by_group": transmitters.by_group(g, least_score)}
     w = statistics.wilcoxon(paired, "fracE_FWD", "fracE_BWD").first()
-    return tables, {**transmitters.direction_tests(ratio), "n_groups": w["n"], "wilcoxon": w["statistic"], "p_wilcoxon": statistics.two_sided(w["z"])}
+    return tables, {**transmitters.direction_tests(ratio), "n_groups": w["n"], "wilcoxon": w["statistic"], "p_wilcoxon": w["p"]}
 
 
 def core_report(g: Graph, tau: float = 0.9, least: int = 5, routing: str = "levels", hops: int = 5, sources: tuple[str, ...] = paths.SOURCES, targets: tuple[str, ...] = paths.TARGETS, max_core: int = 300, max_flat_core: int = 4000) -> dict[str, DataFrame]:

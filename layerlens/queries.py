@@ -307,8 +307,10 @@ add("nt_within_waist", lambda g: rd(transmitters.within_waist(Run(g).parts())),
 _PARTS = S.work() + ",\n" + S.side("fout", "pout", 2, "d", "m") + S.DECOMPOSED + f", t AS (SELECT area, lvl, signature, SUM(((nt0 = 'E')::INT + (nt1 = 'E')::INT) / 2.0::DOUBLE * motif_count) / SUM(motif_count) AS e, SUM(motif_count) AS mass FROM {_SIGNED} GROUP BY ALL)"
 _RANKED = """SELECT {keys}, COUNT(*)::DOUBLE AS n, least(coalesce(SUM(r) FILTER (d > 0), 0), coalesce(SUM(r) FILTER (d < 0), 0)) AS statistic, COUNT(*) AS m, SUM(t * t - 1) AS ties
   FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (COUNT(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS r, COUNT(*) OVER (PARTITION BY {keys}, abs(d))::DOUBLE AS t FROM ({pairs}) WHERE d <> 0) GROUP BY ALL"""
-_RANKS = "SELECT {keys}, n, statistic, round((statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM (" + _RANKED + ")"
-add("nt_paired_tests", lambda g: rd(transmitters.paired_tests(Run(g).parts())), S.q(_PARTS, _RANKS.format(keys="type_a, type_b", pairs="SELECT a.signature AS type_a, b.signature AS type_b, a.e - b.e AS d FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature < b.signature")))
+_LAW = "law(n, w, ways) AS (SELECT 0, 0, 1::DOUBLE UNION ALL SELECT n + 1, x, SUM(ways) FROM (SELECT n, w + i * (n + 1) AS x, ways FROM law, range(2) t(i) WHERE n < 50) GROUP BY n + 1, x), tails AS (SELECT n, w, least(1, 2 * SUM(ways) OVER (PARTITION BY n ORDER BY w) / pow(2, n)) AS p FROM law)"
+_NORMAL = "(1 - 2 * least(abs(z), 40) / 6000 / sqrt(2 * pi()) * (SELECT SUM(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(least(abs(z), 40) * i / 2000, 2) / 2)) FROM range(2001) s(i)))"
+_RANKS = "SELECT {keys}, n, statistic, round(z, 6) AS z, round(CASE WHEN ties = 0 AND n <= 50 THEN (SELECT p FROM tails WHERE tails.n = t.n AND tails.w = t.statistic) ELSE " + _NORMAL + " END, 6) AS p FROM (SELECT *, (statistic - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM (" + _RANKED + ")) t"
+add("nt_paired_tests", lambda g: rd(transmitters.paired_tests(Run(g).parts())), S.q(_PARTS + ",\n" + _LAW, recursive=True, body=_RANKS.format(keys="type_a, type_b", pairs="SELECT a.signature AS type_a, b.signature AS type_b, a.e - b.e AS d FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature < b.signature")))
 _GAPS = ("1-2-3", "2-3-4", "3-4-5")
 add("nt_gap_by_window", lambda g: rd(reduce(DataFrame.unionByName, (transmitters.excitation_gap(Run(g, window=w).parts()).withColumn("window", F.lit(w)) for w in _GAPS))),
     " UNION ALL ".join("SELECT * FROM (" + S.q(S.work(window=f"({w.replace('-', ',')})") + _PARTS[len(S.work()):], f"SELECT round((SELECT SUM(e * mass) / SUM(mass) FROM t WHERE signature = 'FWD->FWD') - (SELECT SUM(e * mass) / SUM(mass) FROM t WHERE signature = 'BWD->BWD'), 6) AS raw, COUNT(*) AS n, round(AVG(b.e - a.e), 6) AS parity, '{w}' AS \"window\" FROM t a JOIN t b ON a.area = b.area AND a.lvl = b.lvl AND a.signature = 'BWD->BWD' AND b.signature = 'FWD->FWD'") + ")" for w in _GAPS))
@@ -322,7 +324,7 @@ xs AS (SELECT f.*, unnest(range(greatest(0, a - d)::BIGINT, least(a + b, a + c):
 h AS (SELECT a, x, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM xs)""",
         "SELECT round(chi2, 6) AS chi2, freedom, round(exp(-chi2 / 2), 6) AS p_chi2, round(a * d / (b * c), 6) AS odds, round(least(1, (SELECT SUM(p) FROM h WHERE p <= (SELECT p FROM h WHERE x = a) * (1 + 1e-7))), 6) AS p_fisher FROM c, f"))
 add("nt_group_test", lambda g: rd(statistics.wilcoxon(transmitters.stratified(_edges(g), 20), "fracE_FWD", "fracE_BWD")),
-    S.q(S.VIEWS + S.NT, "SELECT n, statistic, z FROM (" + _RANKS.format(keys="one", pairs="SELECT 1 AS one, fe / f - be / b AS d FROM (SELECT grp, COUNT(*) FILTER (direction = 'FWD') AS f, COUNT(*) FILTER (direction = 'BWD') AS b, COUNT(*) FILTER (direction = 'FWD' AND nt = 'E') AS fe, COUNT(*) FILTER (direction = 'BWD' AND nt = 'E') AS be FROM dg GROUP BY 1) WHERE f >= 20 AND b >= 20") + ")"))
+    S.q(S.VIEWS + S.NT + ",\n" + _LAW, recursive=True, body="SELECT n, statistic, z, p FROM (" + _RANKS.format(keys="one", pairs="SELECT 1 AS one, fe / f - be / b AS d FROM (SELECT grp, COUNT(*) FILTER (direction = 'FWD') AS f, COUNT(*) FILTER (direction = 'BWD') AS b, COUNT(*) FILTER (direction = 'FWD' AND nt = 'E') AS fe, COUNT(*) FILTER (direction = 'BWD' AND nt = 'E') AS be FROM dg GROUP BY 1) WHERE f >= 20 AND b >= 20") + ")"))
 # sweep
 _shapes = lambda g, k: (lambda r: sweep.pure_shapes(r.edges, r.nodes, k))(Run(g))
 
@@ -395,6 +397,23 @@ add("hom_bowtie", _tree(((0, 2), (1, 2), (2, 3), (2, 4)), 5), S.q(S.VIEWS, "SELE
 add("hom_reciprocal", _tree(((0, 1), (1, 0), (1, 2)), 3), S.q(S.VIEWS, "SELECT COUNT(*)::DOUBLE AS n FROM ebin a JOIN ebin b ON a.pre = b.post AND a.post = b.pre JOIN ebin c ON c.pre = a.post"))
 add("hom_diamond", lambda g: patterns.diamond_count(graph.edges_binary(g)), S.q(S.VIEWS, "SELECT SUM(n::DOUBLE * n) AS n FROM (SELECT a.pre, b.post, COUNT(*) AS n FROM ebin a JOIN ebin b ON a.post = b.pre GROUP BY ALL)"))
 add("hom_triangle_brute", lambda g: patterns.brute_count(graph.edges_binary(g), ((0, 1), (1, 2), (2, 0)), 3), S.q(S.VIEWS, "SELECT COUNT(*)::DOUBLE AS n FROM ebin a JOIN ebin b ON a.post = b.pre JOIN ebin c ON b.post = c.pre AND c.post = a.pre"))
+_CATALOGUE = [(e, k) for k in (3, 4) for e in patterns.all_patterns(k)]
+
+
+def _brute_sql(edges: patterns.Edges, k: int) -> str:
+    """Homomorphisms by a join for each arc, in an order that keeps the pattern connected."""
+    todo, seen, tables = list(edges), {}, []
+    while todo:
+        a, b = next(e for e in todo if not seen or set(e) & set(seen))
+        todo.remove((a, b))
+        t = f"e{len(tables)}"
+        met = [f"{t}.{c} = {seen[x]}" for x, c in ((a, "pre"), (b, "post")) if x in seen]
+        tables.append(f"ebin {t}" + (" ON " + " AND ".join(met) if met else ""))
+        seen = {a: f"{t}.pre", b: f"{t}.post"} | seen
+    return f"SELECT '{';'.join(f'{a}>{b}' for a, b in edges)}' AS pattern, {k} AS nodes, COUNT(*)::DOUBLE AS n FROM {' JOIN '.join(tables)}"
+
+
+add("pattern_counts", lambda g: patterns.pattern_counts(graph.edges_binary(g), _CATALOGUE), S.q(S.VIEWS.replace("ebin AS (", "ebin AS MATERIALIZED ("), " UNION ALL ".join(_brute_sql(e, k) for e, k in _CATALOGUE)))
 add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession), S.CATALOGUE)
 # nulls
 add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), ROUNDS))
