@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,26 @@ def place_counts(neurons: DataFrame) -> DataFrame:
     return parts.select(F.explode("t").alias("place"), (F.col("c") / F.size("t")).alias("w")).groupBy("place").agg(F.sum("w").alias("n"))
 
 
-def place_table(spark: SparkSession) -> DataFrame:
-    """place, region, name of all known places."""
-    return spark.createDataFrame([(p, r, NAMES[r]) for r, places in PLACES.items() for p in places], "place string, region string, name string")
+def place_table(neurons: DataFrame) -> DataFrame:
+    """place, region, name, n: all known places with the neurons there."""
+    return _known(neurons.sparkSession).join(place_counts(neurons), "place", "left").select("place", "region", "name", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(p, r, NAMES[r]) for r, places in PLACES.items() for p in places], "place string, region string, name string"))
+
+
+def place_check(neurons: DataFrame, connections: DataFrame) -> DataFrame:
+    """source, place, side: places that only the data or only the table has, by the connections' places (without their side of the brain) and the neurons' groups."""
+    known = _known(neurons.sparkSession).select("place")
+    used = {
+        "connections": connections.select(F.regexp_replace("neuropil", "_(L|R)$", "").alias("place")).where("place IS NOT NULL").distinct(),
+        "neurons": place_counts(neurons).select("place"),
+    }
+    rows = [x.select(F.lit(source).alias("source"), "place", F.lit(side).alias("side")) for source, own in used.items() for x, side in ((own.join(known, "place", "left_anti"), "data"), (known.join(own, "place", "left_anti"), "table"))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def places_known(checked: DataFrame) -> DataFrame:
+    """source, known: whether every place of the data is in the table, from ``place_check``."""
+    return checked.groupBy("source").agg((F.count_if(F.col("side") == "data") == 0).alias("known"))

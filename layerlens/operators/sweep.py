@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .motifs import flow_in, flow_out
@@ -70,3 +70,16 @@ def regimes(shapes: DataFrame, degree: DataFrame, kmax: int = 5, least: float =
 def by_area(found: DataFrame) -> DataFrame:
     """area, n, index_norm weighted by total."""
     return found.groupBy("area").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("index_norm") * F.col("total")) / F.nullif(F.sum("total"), F.lit(0.0))).alias("index_norm"))
+
+
+def extremes(found: DataFrame, n: int = 12) -> DataFrame:
+    """side (integrative, broadcast), rank, area, lvl, index_norm: the n nodes of largest and of smallest index (ties by area and level)."""
+    end = lambda order, side: found.orderBy(order, "area", "lvl").limit(n).select(F.lit(side).alias("side"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, "area", "lvl")).alias("rank"), "area", "lvl", "index_norm")  # noqa: E731  n rows
+    return end(F.desc("index_norm"), "integrative").unionByName(end(F.asc("index_norm"), "broadcast"))
+
+
+def area_ends(areas: DataFrame, head: int = 10, tail: int = 8, least: int = 2) -> DataFrame:
+    """end (head, tail), area, n, index_norm: of areas with ``least`` nodes or more in falling order of index (ties by area), the first and the last."""
+    own = areas.where(F.col("n") >= least)
+    part = lambda name, n, *order: own.orderBy(*order).limit(n).select(F.lit(name).alias("end"), "area", "n", "index_norm")
+    return part("head", head, F.desc("index_norm"), "area").unionByName(part("tail", tail, "index_norm", F.desc("area")))

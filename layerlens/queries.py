@@ -204,8 +204,13 @@ add("edges_sum_min_syn", lambda g: graph.edges_summed(g, 5), S.q(S.VIEWS, "SELEC
 add("edges_syn_all", graph.edges_summed, S.q(S.VIEWS, "SELECT * FROM esyn"))
 add("superregion_map", lambda g: g.neurons.where("grp IS NOT NULL AND grp <> 'NO_CONS'").select("grp").distinct().select("grp", taxonomy.super_region(F.col("grp")).alias("region"), taxonomy.super_region_label(taxonomy.super_region(F.col("grp"))).alias("label"), taxonomy.macro_area(F.col("grp")).alias("macro")),
     S.q(S.VIEWS, "SELECT DISTINCT grp, array_to_string(r, '.') AS region, array_to_string(list_transform(r, lambda x: CASE x WHEN 'OL' THEN 'Optic Lobe' WHEN 'AL' THEN 'Antennal Lobe' WHEN 'MB' THEN 'Mushroom Body' ELSE 'Lateral Horn' END), ' + ') AS label, substring(regexp_extract(grp, '^[^._]+'), 1, 3) AS macro FROM region"))
-add("place_table", lambda g: taxonomy.place_table(g.neurons.sparkSession),
-    "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', '{taxonomy.NAMES[r]}')" for r, places in taxonomy.PLACES.items() for p in places) + ") t(place, region, name)")
+_PLACES = "known(place, region, name) AS (VALUES " + ", ".join(f"('{p}', '{r}', '{taxonomy.NAMES[r]}')" for r, places in taxonomy.PLACES.items() for p in places) + ")"
+_USED = "used AS (SELECT unnest(string_split(grp, '.')) AS place, 1.0::DOUBLE / len(string_split(grp, '.')) AS w FROM region)"
+add("place_table", lambda g: rd(taxonomy.place_table(g.neurons)), S.q(f"{S.VIEWS}, {_PLACES}, {_USED}", "SELECT place, region, name, round(coalesce(SUM(w), 0), 6) AS n FROM known LEFT JOIN used USING (place) GROUP BY ALL"))
+_CHECKED = f"""{S.VIEWS}, {_PLACES}, {_USED}, data AS (SELECT DISTINCT 'connections' AS source, regexp_replace(neuropil, '_(L|R)$', '') AS place FROM connections WHERE neuropil IS NOT NULL UNION SELECT 'neurons', place FROM used),
+apart AS (SELECT source, place, 'data' AS side FROM data WHERE place NOT IN (SELECT place FROM known) UNION ALL SELECT s.source, k.place, 'table' FROM (SELECT DISTINCT source FROM data) s, known k WHERE (s.source, k.place) NOT IN (SELECT (source, place) FROM data))"""
+add("place_check", lambda g: taxonomy.place_check(g.neurons, g.connections), S.q(_CHECKED, "SELECT source, place, side FROM apart"))
+add("places_known", lambda g: taxonomy.places_known(taxonomy.place_check(g.neurons, g.connections)), S.q(_CHECKED, "SELECT source, COUNT(*) FILTER (side = 'data') = 0 AS known FROM apart GROUP BY source"))
 add("neuropil_counts", lambda g: rd(taxonomy.place_counts(g.neurons)), S.q(S.VIEWS, "SELECT place, round(SUM(w), 6) AS n FROM (SELECT unnest(string_split(grp, '.')) AS place, 1.0::DOUBLE / len(string_split(grp, '.')) AS w FROM region) GROUP BY place"))
 # metagraph and flows
 add("metanodes", lambda g: Run(g).sizes, S.q(S.work(), "SELECT area, lvl, n FROM sizes"))
@@ -222,6 +227,14 @@ for _name, _grouping in {"bowtie_superclass": "superclass", "bowtie_superregion"
     add(_name, lambda g, grouping=_grouping: Run(g, grouping).motifs(min_count=2), S.motif("SELECT * FROM mot", grouping=_grouping, min_count=2))
 add("recount", lambda g: (lambda r: motifs.recount(r.edges, r.nodes, r.top_patterns()).select("structure_str", "motif_count", "recounted", "active"))(Run(g)),
     S.motif("SELECT structure_str, motif_count, motif_count AS recounted, n_waist_active AS active FROM (SELECT *, row_number() OVER (PARTITION BY bottleneck_area, bottleneck_level ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= 20"))
+def _limited(g: Graph, n: int = 5) -> DataFrame:
+    """Motifs of the first n metanodes that can be a waist: only these metanodes' nodes are combined."""
+    run = Run(g)
+    chosen = graph.first_waists(run.degree(), 2, 2, n)
+    return motifs.motif_rows(motifs.bowtie_counts(run.edges, run.nodes.join(F.broadcast(chosen), ["area", "lvl"], "left_semi"), 2, 2, 1), run.sizes, 2, 2)
+
+
+add("bowtie_first_waists", _limited, S.motif("SELECT * FROM mot WHERE (bottleneck_area, bottleneck_level) IN (SELECT (area, lvl) FROM (SELECT i.area, i.lvl FROM (SELECT da AS area, dl AS lvl FROM meta GROUP BY ALL HAVING COUNT(*) >= 2) i JOIN (SELECT sa AS area, sl AS lvl FROM meta GROUP BY ALL HAVING COUNT(*) >= 2) o USING (area, lvl) ORDER BY 1, 2 LIMIT 5))"))
 # signatures
 add("signature_summary", lambda g: rd(distill.share(distill.by_signature(Run(g).motifs()), "mass")).withColumn("meaning", signature.meaning(F.col("signature"))),
     S.motif("SELECT signature, COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, round(SUM(motif_count)::DOUBLE / SUM(SUM(motif_count)) OVER (), 6) AS share, CASE signature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in signature.MEANINGS.items()) + " ELSE '' END AS meaning FROM mot GROUP BY signature"))
@@ -349,6 +362,10 @@ _REGIMES = f"SELECT *, coalesce((ni - nb) / nullif(ni + nb, 0), 0) AS index_norm
 _regimes = lambda g: sweep.regimes(_shapes(g, 5), Run(g).degree(), 5)
 add("sweep_regimes", lambda g: rd(_regimes(g).select("area", "lvl", "total", "index_norm", "regime")), S.q(S.work() + _WAISTS + ",\n" + _PURE, f"SELECT area, lvl, total, round(index_norm, 6) AS index_norm, CASE WHEN index_norm <= -0.33 THEN 'broadcast' WHEN index_norm <= 0.33 THEN 'mixed' ELSE 'integrative' END AS regime FROM ({_REGIMES})"))
 add("regime_per_area", lambda g: rd(sweep.by_area(_regimes(g))), S.q(S.work() + _WAISTS + ",\n" + _PURE, f"SELECT area, COUNT(*) AS n, round(SUM(index_norm * total) / nullif(SUM(total), 0), 6) AS index_norm FROM ({_REGIMES}) GROUP BY 1"))
+_ENDED = "SELECT area, lvl, round(index_norm, 9) AS index_norm FROM (" + _REGIMES + ")"
+add("regime_extremes", lambda g: rd(sweep.extremes(_regimes(g).withColumn("index_norm", F.round("index_norm", 9)))), S.q(S.work() + _WAISTS + ",\n" + _PURE + f", r AS ({_ENDED})", " UNION ALL ".join(f"SELECT '{side}' AS side, rank::INT AS rank, area, lvl, round(index_norm, 6) AS index_norm FROM (SELECT *, row_number() OVER (ORDER BY index_norm {order}, area, lvl) AS rank FROM r) WHERE rank <= 12" for side, order in (("integrative", "DESC"), ("broadcast", "ASC")))))
+_BY_AREA = f"SELECT area, COUNT(*) AS n, round(SUM(index_norm * total) / nullif(SUM(total), 0), 9) AS index_norm FROM ({_REGIMES}) GROUP BY 1 HAVING COUNT(*) >= 2"
+add("regime_area_ends", lambda g: rd(sweep.area_ends(sweep.by_area(_regimes(g)).withColumn("index_norm", F.round("index_norm", 9)))), S.q(S.work() + _WAISTS + ",\n" + _PURE + f", r AS ({_BY_AREA})", " UNION ALL ".join(f"(SELECT '{end}' AS \"end\", area, n, round(index_norm, 6) AS index_norm FROM r ORDER BY r.index_norm {order} LIMIT {n})" for end, order, n in (("head", "DESC, area", 10), ("tail", "ASC, area DESC", 8)))))
 # within areas
 add("area_membership", within_area.membership, S.q(S.VIEWS + S.AREA, "SELECT root_id, area, lvl FROM mem"))
 add("reciprocal_edges", lambda g: within_area.reciprocal(graph.edges_binary(g)), S.q(S.VIEWS, "SELECT x.pre, x.post FROM ebin x JOIN ebin y ON x.pre = y.post AND x.post = y.pre"))
@@ -414,7 +431,8 @@ def _brute_sql(edges: patterns.Edges, k: int) -> str:
 
 
 add("pattern_counts", lambda g: patterns.pattern_counts(graph.edges_binary(g), _CATALOGUE), S.q(S.VIEWS.replace("ebin AS (", "ebin AS MATERIALIZED ("), " UNION ALL ".join(_brute_sql(e, k) for e, k in _CATALOGUE)))
-add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession), S.CATALOGUE)
+_COUNTED = REGISTRY["pattern_counts"]
+add("pattern_catalogue", lambda g: patterns.catalogue(g.neurons.sparkSession).join(_COUNTED[0](g), ["pattern", "nodes"]), f"SELECT c.*, p.n FROM ({S.CATALOGUE}) c JOIN ({_COUNTED[1]}) p USING (pattern, nodes)")
 # nulls
 add("null_edge_swap", lambda g: nulls.swapped(graph.edges_binary(g), ROUNDS))
 add("null_block", lambda g: nulls.block_rewired(Run(g).edges, Run(g).nodes))
