@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signature import sign, structure
+from ..sources.scratch import cut
 
 
 def flow_in(edges: DataFrame) -> DataFrame:
@@ -39,28 +40,53 @@ def branch_combinations(flow: DataFrame, k: int, area: str, level: str) -> DataF
     return out
 
 
-def bowtie_counts(edges: DataFrame, nodes: DataFrame, k_in: int = 2, k_out: int = 2, min_count: int = 10) -> DataFrame:
-    """area, lvl (the waist), a*, l*, d*, m*, motif_count, n_waist_active, ssq of all combinations of ``min_count`` or more."""
+def metanode_numbers(nodes: DataFrame) -> DataFrame:
+    """area, lvl, n (its nodes), mid: metanodes numbered in their order; a row a metanode, written once."""
+    found = nodes.groupBy("area", "lvl").agg(F.count(F.lit(1)).alias("n"))
+    return cut(found.withColumn("mid", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("area", "lvl"))))
+
+
+def _combinations(flow: DataFrame, k: int, name: str) -> DataFrame:
+    """i, name0.. (ascending metanode numbers), p and what else ``flow`` (i, mid, v) has: product of the flows of each k metanodes of a node."""
+    out = flow.withColumnsRenamed({"mid": f"{name}0", "v": "p"})
+    for n in range(1, k):
+        right = flow.select("i", F.col("mid").alias(f"{name}{n}"), "v")
+        out = out.join(right, "i").where(F.col(f"{name}{n - 1}") < F.col(f"{name}{n}")).withColumn("p", F.col("p") * F.col("v")).drop("v")
+    return out
+
+
+def bowtie_counts(edges: DataFrame, nodes: DataFrame, k_in: int = 2, k_out: int = 2, min_count: int = 10, waists: DataFrame | None = None) -> DataFrame:
+    """area, lvl (the waist), a*, l*, d*, m*, motif_count, n_waist_active, ssq and the sizes of all metanodes (_n_*) of all combinations of ``min_count`` or more; ``waists`` (area, lvl): of these alone.
+
+    Metanodes are numbered, so that what is combined, joined and summed are whole numbers; names come back at the end.  The ends of ``edges`` are in ``nodes``."""
     if min(k_in, k_out, min_count) < 1:
         raise ValueError("k_in, k_out and min_count are at least 1")
-    into = branch_combinations(flow_in(edges).repartition("i"), k_in, "a", "l").withColumnRenamed("p", "p_in")
-    out = branch_combinations(flow_out(edges).repartition("i"), k_out, "d", "m").withColumnRenamed("p", "p_out")
-    apart = reduce(lambda x, y: x & y, (~((F.col(f"a{n}") == F.col(f"d{m}")) & (F.col(f"l{n}") == F.col(f"m{m}"))) for n in range(k_in) for m in range(k_out)))
-    joined = into.join(out, "i").where(apart).join(nodes.select(F.col("root_id").alias("i"), "area", "lvl"), "i")
-    keys = ["area", "lvl", *(f"{c}{n}" for n in range(k_in) for c in "al"), *(f"{c}{m}" for m in range(k_out) for c in "dm")]
+    ids = metanode_numbers(nodes)
+    waist = nodes.join(ids if waists is None else ids.join(waists, ["area", "lvl"], "left_semi"), ["area", "lvl"]).select(F.col("root_id").alias("i"), F.col("mid").alias("b"))
+    # partial sums first: a node of many edges has a row for each metanode
+    flow = lambda i, a, l: edges.select(F.col(i).alias("i"), F.col(a).alias("area"), F.col(l).alias("lvl")).join(ids, ["area", "lvl"]).groupBy("i", "mid").agg(F.count(F.lit(1)).alias("v"))  # noqa: E731, E741
+    into = _combinations(flow("post", "sa", "sl").join(waist, "i"), k_in, "a").withColumnRenamed("p", "p_in")
+    out = _combinations(flow("pre", "da", "dl").repartition("i"), k_out, "d").withColumnRenamed("p", "p_out")
+    apart = reduce(lambda x, y: x & y, (F.col(f"a{n}") != F.col(f"d{m}") for n in range(k_in) for m in range(k_out)))
+    keys = ["b", *(f"a{n}" for n in range(k_in)), *(f"d{m}" for m in range(k_out))]
     p = F.col("p_in") * F.col("p_out")
-    found = joined.groupBy(keys).agg(F.sum(p).alias("motif_count"), F.count(F.lit(1)).alias("n_waist_active"), F.sum(p.cast("double") * p.cast("double")).alias("ssq"))
-    return found.where(F.col("motif_count") >= min_count)
+    found = into.join(out, "i").where(apart).groupBy(keys).agg(F.sum(p).alias("motif_count"), F.count(F.lit(1)).alias("n_waist_active"), F.sum(p.cast("double") * p.cast("double")).alias("ssq"))
+    found = found.where(F.col("motif_count") >= min_count)
+    names = [("b", "area", "lvl", "bottleneck"), *((f"a{n}", f"a{n}", f"l{n}", f"fan_in_{n}") for n in range(k_in)), *((f"d{m}", f"d{m}", f"m{m}", f"fan_out_{m}") for m in range(k_out))]
+    for key, area, level, end in names:
+        own = ids.select(F.col("mid").alias("_key"), F.col("area").alias(area), F.col("lvl").alias(level), F.col("n").alias(f"_n_{end}"))
+        found = found.withColumnRenamed(key, "_key").join(own, "_key").drop("_key")
+    return found.select(*(c for _, area, level, _ in names for c in (area, level)), "motif_count", "n_waist_active", "ssq", *(f"_n_{end}" for *_, end in names))
 
 
 def motif_rows(counts: DataFrame, sizes: DataFrame, k_in: int = 2, k_out: int = 2) -> DataFrame:
-    """Full motif rows: names, signature, sizes and compression.  ``sizes``: area, lvl, n of every metanode."""
+    """Full motif rows: names, signature, sizes and compression.  ``sizes``: area, lvl, n of every metanode, for counts that do not have them."""
     names = {"area": "bottleneck_area", "lvl": "bottleneck_level"}
     names |= {f"{a}{n}": f"fan_{side}_{n}_{c}" for side, k, cols in (("in", k_in, "al"), ("out", k_out, "dm")) for n in range(k) for a, c in zip(cols, ("area", "level"))}
     rows = sign(counts.withColumnsRenamed(names), k_in, k_out)
     ends = [f"fan_in_{n}" for n in range(k_in)] + [f"fan_out_{n}" for n in range(k_out)]
     for e in ["bottleneck", *ends]:
-        rows = rows.join(sizes.select(F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), F.col("n").alias(f"_n_{e}")), [f"{e}_area", f"{e}_level"])
+        rows = rows if f"_n_{e}" in rows.columns else rows.join(sizes.select(F.col("area").alias(f"{e}_area"), F.col("lvl").alias(f"{e}_level"), F.col("n").alias(f"_n_{e}")), [f"{e}_area", f"{e}_level"])
     of = lambda e: F.col(f"_n_{e}")
     n_waist, periphery = of("bottleneck"), reduce(lambda a, b: a + b, map(of, ends))
     node = lambda name: (F.col(f"{name}_area"), F.col(f"{name}_level"))

@@ -231,7 +231,7 @@ def _limited(g: Graph, n: int = 5) -> DataFrame:
     """Motifs of the first n metanodes that can be a waist: only these metanodes' nodes are combined."""
     run = Run(g)
     chosen = graph.first_waists(run.degree(), 2, 2, n)
-    return motifs.motif_rows(motifs.bowtie_counts(run.edges, run.nodes.join(F.broadcast(chosen), ["area", "lvl"], "left_semi"), 2, 2, 1), run.sizes, 2, 2)
+    return motifs.motif_rows(motifs.bowtie_counts(run.edges, run.nodes, 2, 2, 1, chosen), run.sizes, 2, 2)
 
 
 add("bowtie_first_waists", _limited, S.motif("SELECT * FROM mot WHERE (bottleneck_area, bottleneck_level) IN (SELECT (area, lvl) FROM (SELECT i.area, i.lvl FROM (SELECT da AS area, dl AS lvl FROM meta GROUP BY ALL HAVING COUNT(*) >= 2) i JOIN (SELECT sa AS area, sl AS lvl FROM meta GROUP BY ALL HAVING COUNT(*) >= 2) o USING (area, lvl) ORDER BY 1, 2 LIMIT 5))"))
