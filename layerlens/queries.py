@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from . import oracles as S
 from .functions import signature, statistics, taxonomy
-from .operators import compare, compression, distill, graph, levels, motifs, nulls, paths, patterns, sweep, transmitters, within_area
+from .operators import compare, compression, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, transmitters, within_area
 from .sources.artefacts import load_table, write_summary, write_table
 from .sources.graph_tables import Graph, order_graph, read_csv_table
 from .sources.scratch import cut, shared_folder
@@ -261,6 +261,20 @@ add("top_filtered", lambda g: _short(distill.top_rows(Run(g).motifs(), 100, 3)),
 add("top_summary", lambda g: distill.top_summary(distill.top_rows(Run(g).motifs(), 100, 3)), S.motif("SELECT hourglass_type, COUNT(*) AS n, MIN(motif_count) AS least, MAX(motif_count) AS most, median(motif_count)::DOUBLE AS median FROM (SELECT * FROM mot WHERE motif_count >= 3 ORDER BY motif_count DESC, structure_str LIMIT 100) GROUP BY GROUPING SETS ((hourglass_type), ())"))
 add("summary", lambda g: distill.summary(Run(g).motifs(), WINDOW, k_in=2, k_out=2, max_jump=1, min_count=1),
     S.motif("SELECT COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level) AS n_waist, COUNT(DISTINCT signature) AS n_signatures, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level || '|' || signature) AS n_cells, '1-2-3' AS \"window\", 2 AS k_in, 2 AS k_out, 1 AS max_jump, 1 AS min_count FROM mot"))
+# states that add: two parts of the rows are distilled apart, stored and merged
+def _merged_state(g: Graph) -> DataFrame:
+    rows = cut(Run(g).motifs())
+    return states.merged(*(cut(states.state(rows.where(F.pmod(F.xxhash64("structure_str"), F.lit(2)) == n))) for n in (0, 1)))
+
+
+add("state_sums", lambda g: _merged_state(g).where("structure_str IS NULL").select("kind", "key", "n", "mass", "most"),
+    S.motif(" UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, COUNT(*) AS n, SUM(motif_count)::BIGINT AS mass, MAX(motif_count) AS most FROM {rows} GROUP BY 2" for kind, key, rows in (
+        ("signature", "signature", "mot"), ("waist", "bottleneck_area || 'L' || bottleneck_level", "mot"), ("cell", "bottleneck_area || 'L' || bottleneck_level || '|' || signature", "mot"), ("type", "signature || '|' || hourglass_type", "mot"),
+        ("chain", "i || '>' || bottleneck_level || '>' || o", "(SELECT *, unnest([fan_in_0_level, fan_in_1_level, fan_in_0_level, fan_in_1_level]) AS i, unnest([fan_out_0_level, fan_out_0_level, fan_out_1_level, fan_out_1_level]) AS o FROM mot)")))))
+add("state_tops", lambda g: _merged_state(g).where("structure_str IS NOT NULL").select("kind", "key", "structure_str", "motif_count"),
+    S.motif(" UNION ALL ".join(f"SELECT 'top_{kind}' AS kind, key, structure_str, motif_count FROM (SELECT *, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY motif_count DESC, structure_str) AS k FROM mot) WHERE k <= {states.TOPS[kind]}" for kind, key in (
+        ("signature", "signature"), ("waist", "bottleneck_area || 'L' || bottleneck_level"), ("cell", "bottleneck_area || 'L' || bottleneck_level || '|' || signature"), ("all", "''")))))
+add("state_summary", lambda g: states.tables(_merged_state(g))["summary"], S.motif("SELECT COUNT(*) AS n_pattern, SUM(motif_count)::BIGINT AS mass, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level) AS n_waist, COUNT(DISTINCT signature) AS n_signatures, COUNT(DISTINCT bottleneck_area || 'L' || bottleneck_level || '|' || signature) AS n_cells FROM mot"))
 # compression
 _NOMINAL = "SELECT structure_str, mot.n_waist, n_periphery, n_periphery::DOUBLE / n_waist AS compression, motif_count / (i0.n::DOUBLE * i1.n * o0.n * o1.n * n_waist) AS density, motif_count::DOUBLE / n_waist AS count_per_waist, signature FROM mot" + "".join(f" JOIN sizes {a}{n} ON {a}{n}.area = fan_{s}_{n}_area AND {a}{n}.lvl = fan_{s}_{n}_level" for a, s in (("i", "in"), ("o", "out")) for n in (0, 1))
 _nominal = lambda g: (lambda r: compression.nominal(r.motifs(), r.sizes))(Run(g))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerlens.functions import signature, statistics, taxonomy
-from layerlens.operators import compare, distill, graph, levels, motifs, nulls, paths, patterns, sweep, within_area
+from layerlens.operators import compare, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, within_area
 from layerlens.plans import analyses
 from layerlens.sources import artefacts
 from layerlens.sources.graph_tables import Graph, read_csv_graph
@@ -84,6 +84,47 @@ def test_sums_of_distilled_tables(spark, sf):
     assert distill.by_signature(rows).agg(F.sum("mass")).first()[0] == distill.by_waist(rows).agg(F.sum("mass")).first()[0] == total
 
 
+def test_states_add(spark, sf):
+    """Parts merged in any order give the tables of all rows; an empty part changes nothing."""
+    from layerlens.queries import Run
+    from layerlens.sources.graph_tables import order_graph
+    from layerlens.sources.scratch import cut
+
+    rows = cut(Run(order_graph(spark, sf)).motifs())
+    lengths = {"signature": 30, "all": 70}
+    parts = [cut(states.state(rows.where(F.col("motif_count") % 3 == n), tops=lengths)) for n in range(3)]
+    want = {"by_signature": distill.by_signature(rows), "by_waist": distill.by_waist(rows), "chains": distill.level_chains(rows), "top_per_signature": distill.top(rows, 30, "signature"), "top_per_waist": distill.top(rows, 20, "bottleneck_area", "bottleneck_level"), "top_global": distill.top(rows, 70)}
+    one = cut(states.merged(states.merged(parts[2], parts[0], tops=lengths), parts[1], states.state(rows.where("false"), tops=lengths), tops=lengths))
+    got = states.tables(one)
+    for name, df in want.items():
+        assert sorted(map(str, df.select(got[name].columns).collect())) == sorted(map(str, got[name].collect())), name
+
+
+def test_pattern_counts_against_enumeration(spark):
+    """All patterns of 3 and 4 nodes, on a graph with loops and mutual edges."""
+    rng = random.Random(3)
+    arcs = {(a, b) for a in range(6) for b in range(6) if rng.random() < 0.35}
+    df = spark.createDataFrame(sorted(arcs), "pre long, post long")
+    some = [(e, k) for k in (3, 4) for e in patterns.all_patterns(k)]
+    got = {r["pattern"]: r["n"] for r in patterns.pattern_counts(df, some).collect()}
+    for e, k in some:
+        want = sum(all((m[a], m[b]) in arcs for a, b in e) for m in itertools.product(range(6), repeat=k))
+        assert got[";".join(f"{a}>{b}" for a, b in e)] == want, e
+
+
+def test_exact_laws(spark):
+    """Signed ranks by all signs, and Fisher's p by all tables."""
+    rows = [(float(d), 0.0) for d in (1, -2, 3, 4, -5, 6, 7)]
+    r = statistics.wilcoxon(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()
+    less = sum(min(w, 28 - w) <= r["statistic"] for w in (sum(i + 1 for i in range(7) if m >> i & 1) for m in range(128)))
+    assert abs(r["p"] - min(1.0, less / 128)) < 1e-12
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b, c, d = (rng.randrange(rng.choice((2, 9, 60))) for _ in range(4))
+        n, ways = a + b + c + d, {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        assert abs(statistics.fisher(a, b, c, d)[1] - sum(w for w in ways.values() if w <= ways[a]) / math.comb(n, a + c)) < 1e-9
+
+
 def test_within_area_against_enumeration(spark):
     rng = random.Random(7)
     for _ in range(3):
@@ -209,7 +250,7 @@ def test_counts_past_doubles(spark):
     m, e = paths._normal(rows.select(F.sum(paths._scaled(F.col("m"), F.col("e"), top))).first()[0] * F.lit(1.0), top)
     got = spark.range(1).select(m.alias("m"), e.alias("e"), paths.log10_count(m, e).alias("l")).first()
     assert got["e"] == 2 and abs(got["l"] - (1024 + 200) * 0.3010299956639812) < 1e-9
-    wide = 60  # layers of 2**60 - fold fans: edges stand for many by repetition
+    wide = 46  # 2**6 edges a step, by repetition
     edges = spark.range(wide - 1).select(F.col("id").alias("pre"), (F.col("id") + 1).alias("post")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(2**6)))).drop("_k")
     out = {r["v"]: r for r in paths.settled(edges, spark.range(1).select(F.col("id").alias("v"))).collect()}
     assert out[wide - 1]["layer"] == wide - 1 and abs(math.log2(out[wide - 1]["m"]) + 512 * out[wide - 1]["e"] - 6 * (wide - 1)) < 1e-9
