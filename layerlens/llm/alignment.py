@@ -41,7 +41,7 @@ from .pieces import MARK, check_model, pack, planes, processor, unpack, unplanes
 from .storage import join_values, materialise
 
 #: Characters in a block, a single longer text aside; a pair in more than one in ``SHARE`` of all (block, pair) rows is hot, but none in ``ROOM`` blocks or less.
-BLOCK, SHARE, ROOM = 6 << 20, 1000, 256
+BLOCK, SHARE, ROOM = 4 << 20, 1000, 256
 
 
 @lru_cache(maxsize=2)
@@ -147,6 +147,8 @@ def align_blocks(docs: DataFrame, path: str, model: str, key: str = "doc_id", te
             nulls = np.array([k is None for k in keys], dtype=np.uint8)
             data = pack(np.array([k or 0 for k in keys], dtype=np.int64), nulls, np.array([len(x) for x in numbers], dtype=np.uint32), planes(flat), counts.astype(np.uint32), planes(at), pc.binary_length(groups).to_numpy().astype(np.uint32), "".join(groups.to_pylist()).encode())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own) + 1, block, np.int64)), pa.array([None, *own.tolist()], pa.int64()), pa.array(np.concatenate([[0], n])), pa.array([data] + [None] * len(own), pa.binary())], columns)
+            del groups, counts, pairs, flat, numbers, names, own, at, data
+            release()
         release()
 
     columns = ["block", "pair", "n", "data"]

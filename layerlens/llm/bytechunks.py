@@ -21,7 +21,7 @@ CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
 #: Odd chunks that the library encodes in one call; words in one text.
 CALL, RUN = 20_000, 256
 #: Chunks in a generation of those that a worker remembers, about 200 bytes each.
-KEPT = 400_000
+KEPT = 250_000
 
 
 def split_chunks(text: str) -> list[str]:
