@@ -40,6 +40,8 @@ from .bytewords import release
 from .pieces import MARK, check_model, pack, planes, processor, unpack, unplanes
 from .storage import join_values, materialise
 
+#: Chunks in a generation of those that a worker remembers: it holds the other tokenizer too.
+KEPT = 150_000
 #: Characters in a block, a single longer text aside; a pair in more than one in ``SHARE`` of all (block, pair) rows is hot, but none in ``ROOM`` blocks or less.
 BLOCK, SHARE, ROOM = 4 << 20, 1000, 256
 
@@ -103,7 +105,7 @@ def _aligned(names: list[str], path: str, model: str) -> tuple[pa.Array, np.ndar
     """Of each chunk: its groups as text, numbers of A tokens, B tokens, groups and links (a row each), the pairs (a << 32 | b) of all links, and whether both tokenizers spell it (else it has no tokens)."""
     texts = [chunk_text(n) for n in names]
     raw = [t.encode() for t in texts]
-    a, long_a, many_a, same_a = _spelled(*chunk_ids(path, names, plain=True), byte_level_tokens(path), raw)
+    a, long_a, many_a, same_a = _spelled(*chunk_ids(path, names, True, KEPT), byte_level_tokens(path), raw)
     # a chunk's first blank is the marker that the model puts before a text
     pieces = [x for n in range(0, len(texts), CALL) for x in processor(model).encode([t[1:] for t in texts[n : n + CALL]], num_threads=1)]
     flat = np.fromiter(chain.from_iterable(pieces), dtype=np.int64)

@@ -21,7 +21,7 @@ CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
 #: Odd chunks that the library encodes in one call; words in one text.
 CALL, RUN = 20_000, 256
 #: Chunks in a generation of those that a worker remembers, about 200 bytes each.
-KEPT = 250_000
+KEPT = 400_000
 
 
 def split_chunks(text: str) -> list[str]:
@@ -84,14 +84,14 @@ def _byte_lengths(path: str) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _known(path: str, plain: bool) -> list[dict[str, bytes]]:
-    """Ids of chunks that this worker met lately: two generations of ``KEPT`` chunks at most, the younger one first."""
+    """Ids of chunks that this worker met lately: two generations, the younger one first."""
     return [{}, {}]
 
 
-def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def chunk_ids(path: str, names: list[str], plain: bool = False, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all (distinct) chunks, one after another, and their number by chunk."""
     known = _known(path, plain)
-    if len(known[0]) > KEPT:
+    if len(known[0]) > kept:
         known[:] = {}, known[0]
     young, old = known
     values, new = list(map(young.get, names)), []
@@ -108,7 +108,7 @@ def chunk_ids(path: str, names: list[str], plain: bool = False) -> tuple[np.ndar
         found = [raw[a:b] for a, b in zip([0, *ends], ends)]
         for i, v in zip(new, found):
             values[i] = v
-        if len(own) <= KEPT and max(map(len, own)) <= 1 << 12:
+        if len(own) <= kept and max(map(len, own)) <= 1 << 12:
             young.update(zip(own, found))
     counts = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
     return np.frombuffer(b"".join(values), dtype="<i4").astype(np.int64), counts
