@@ -82,7 +82,7 @@ def _shuffled(x: Column, size: Column, seed: int, *keys: str) -> Column:
 
 
 #: Rounds of the mixing network of ``bijection``, and steps of its walk: a grid of side a has fewer than a places too many, and a step of a long walk falls on one with a chance under 1 / a.
-MIXES, STEPS = 6, 64
+MIXES, STEPS = 12, 64
 
 
 def bijection(x: Column, size: Column, *key: str | Column) -> Column:

@@ -263,7 +263,7 @@ def test_bijection(spark):
     got = nulls.counted(df, F.col("n"), "j").select("n", "k", nulls.bijection(F.col("j"), F.col("n"), "k").alias("y")).groupBy("n", "k").agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count_distinct("y").alias("d")).collect()
     assert len(got) == 2 * len(sizes) and all((r["a"], r["b"], r["d"]) == (0, r["n"] - 1, r["n"]) for r in got)
     pairs = spark.range(6000).select("id", *(nulls.bijection(F.lit(j), F.lit(7).cast("long"), F.col("id")).alias(f"y{j}") for j in (0, 1))).groupBy("y0", "y1").count().collect()
-    assert len(pairs) == 42 and sum((r["count"] - 6000 / 42) ** 2 / (6000 / 42) for r in pairs) < 110
+    assert len(pairs) == 42 and sum((r["count"] - 6000 / 42) ** 2 / (6000 / 42) for r in pairs) < 75  # 41 degrees of freedom: one in a thousand is higher
 
 
 def test_patterns(spark):
