@@ -256,7 +256,12 @@ def hourglass_curve(core: DataFrame, flat: DataFrame, taus: tuple[float, ...] =
     keys, spark = _keys(core), core.sparkSession
     grid = spark.createDataFrame([(r, t) for r in range(-1, reps) for t in taus], "rep int, tau double")
     grid = grid if keys else grid.where("rep < 0").drop("rep")
-    size = lambda df, name: df.join(F.broadcast(grid), keys).where(F.col("coverage") >= F.col("tau") - 1e-12).groupBy(*keys, "tau").agg(F.min("rank").alias(name)) if keys else df.join(F.broadcast(grid), F.col("coverage") >= F.col("tau") - 1e-12).groupBy("tau").agg(F.min("rank").alias(name))
+    covers = F.col("coverage") >= F.col("tau") - 1e-12
+
+    def size(df: DataFrame, name: str) -> DataFrame:
+        met = df.join(F.broadcast(grid), keys if keys else covers)  # a row for each replicate and tau
+        return met.where(covers).groupBy(*keys, "tau").agg(F.min("rank").alias(name))
+
     out = grid.join(size(core, "core"), [*keys, "tau"], "left").join(size(flat, "flat"), [*keys, "tau"], "left")
     return out.withColumn("h", 1 - F.col("core") / F.col("flat"))
 
