@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.signature import sign, structure
 from ..sources.scratch import cut
+from . import dense
+
+ENGINES = ("join", "matrix", "measured")
 
 
 def flow_in(edges: DataFrame) -> DataFrame:
@@ -55,22 +58,49 @@ def _combinations(flow: DataFrame, k: int, name: str) -> DataFrame:
     return out
 
 
-def bowtie_counts(edges: DataFrame, nodes: DataFrame, k_in: int = 2, k_out: int = 2, min_count: int = 10, waists: DataFrame | None = None) -> DataFrame:
-    """area, lvl (the waist), a*, l*, d*, m*, motif_count, n_waist_active, ssq and the sizes of all metanodes (_n_*) of all combinations of ``min_count`` or more; ``waists`` (area, lvl): of these alone.
-
-    Metanodes are numbered, so that what is combined, joined and summed are whole numbers; names come back at the end.  The ends of ``edges`` are in ``nodes``."""
-    if min(k_in, k_out, min_count) < 1:
-        raise ValueError("k_in, k_out and min_count are at least 1")
+def numbered_flows(edges: DataFrame, nodes: DataFrame, waists: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbers of metanodes, and flows by number: b (the waist), i, mid, v into nodes of waists, and i, mid, v out of nodes."""
     ids = metanode_numbers(nodes)
     waist = nodes.join(ids if waists is None else ids.join(waists, ["area", "lvl"], "left_semi"), ["area", "lvl"]).select(F.col("root_id").alias("i"), F.col("mid").alias("b"))
     # partial sums first: a node of many edges has a row for each metanode
     flow = lambda i, a, l: edges.select(F.col(i).alias("i"), F.col(a).alias("area"), F.col(l).alias("lvl")).join(ids, ["area", "lvl"]).groupBy("i", "mid").agg(F.count(F.lit(1)).alias("v"))  # noqa: E731, E741
-    into = _combinations(flow("post", "sa", "sl").join(waist, "i"), k_in, "a").withColumnRenamed("p", "p_in")
-    out = _combinations(flow("pre", "da", "dl").repartition("i"), k_out, "d").withColumnRenamed("p", "p_out")
+    return ids, flow("post", "sa", "sl").join(waist, "i"), flow("pre", "da", "dl")
+
+
+def _star_sums(into: DataFrame, out: DataFrame, k_in: int, k_out: int) -> DataFrame:
+    """b, a0.., d0.., motif_count, n_waist_active, ssq by joining combinations on their node."""
+    left = _combinations(into, k_in, "a").withColumnRenamed("p", "p_in")
+    right = _combinations(out.repartition("i"), k_out, "d").withColumnRenamed("p", "p_out")
     apart = reduce(lambda x, y: x & y, (F.col(f"a{n}") != F.col(f"d{m}") for n in range(k_in) for m in range(k_out)))
     keys = ["b", *(f"a{n}" for n in range(k_in)), *(f"d{m}" for m in range(k_out))]
     p = F.col("p_in") * F.col("p_out")
-    found = into.join(out, "i").where(apart).groupBy(keys).agg(F.sum(p).alias("motif_count"), F.count(F.lit(1)).alias("n_waist_active"), F.sum(p.cast("double") * p.cast("double")).alias("ssq"))
+    return left.join(right, "i").where(apart).groupBy(keys).agg(F.sum(p).alias("motif_count"), F.count(F.lit(1)).alias("n_waist_active"), F.sum(p.cast("double") * p.cast("double")).alias("ssq"))
+
+
+def waist_density(edges: DataFrame, nodes: DataFrame, k_in: int = 2, k_out: int = 2) -> DataFrame:
+    """area, lvl, n_nodes, star_rows, cells, density and dense of every waist (see ``dense.density``)."""
+    ids, into, out = numbered_flows(edges, nodes)
+    return ids.select("area", "lvl", F.col("mid").alias("b")).join(dense.density(into, out, k_in, k_out), "b").drop("b")
+
+
+def bowtie_counts(edges: DataFrame, nodes: DataFrame, k_in: int = 2, k_out: int = 2, min_count: int = 10, waists: DataFrame | None = None, engine: str = "join") -> DataFrame:
+    """area, lvl (the waist), a*, l*, d*, m*, motif_count, n_waist_active, ssq and the sizes of all metanodes (_n_*) of all combinations of ``min_count`` or more; ``waists`` (area, lvl): of these alone.
+
+    Metanodes are numbered, so that what is combined, joined and summed are whole numbers; names come back at the end.  The ends of ``edges`` are in ``nodes``.
+    ``engine``: ``join`` combines flows by joins, ``matrix`` by products of matrices, ``measured`` takes matrices for the waists that are dense enough and joins for all others."""
+    if min(k_in, k_out, min_count) < 1:
+        raise ValueError("k_in, k_out and min_count are at least 1")
+    if engine not in ENGINES:
+        raise ValueError(f"engine is one of {ENGINES}")
+    ids, into, out = numbered_flows(edges, nodes, waists)
+    sizes = ids.select(F.col("mid").alias("b"), "n")
+    if engine == "measured":
+        into, out = cut(into), cut(out)
+        chosen = cut(dense.density(into, out, k_in, k_out).where("dense").select("b"))
+        some, rest = into.join(chosen, "b", "left_semi"), into.join(chosen, "b", "left_anti")
+        found = _star_sums(rest, out, k_in, k_out).unionByName(dense.star_sums(some, out, sizes, k_in, k_out))
+    else:
+        found = dense.star_sums(into, out, sizes, k_in, k_out) if engine == "matrix" else _star_sums(into, out, k_in, k_out)
     found = found.where(F.col("motif_count") >= min_count)
     names = [("b", "area", "lvl", "bottleneck"), *((f"a{n}", f"a{n}", f"l{n}", f"fan_in_{n}") for n in range(k_in)), *((f"d{m}", f"d{m}", f"m{m}", f"fan_out_{m}") for m in range(k_out))]
     for key, area, level, end in names:

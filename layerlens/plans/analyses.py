@@ -12,12 +12,12 @@ from ..sources.graph_tables import Graph
 from ..sources.scratch import cut
 
 
-def search(g: Graph, window: str = "1-2-3", grouping: str = "group", k_in: int = 2, k_out: int = 2, max_jump: int = 1, min_count: int = 10, limit: int | None = None) -> DataFrame:
-    """All motif rows; ``limit``: only the first waists that have enough neighbours."""
+def search(g: Graph, window: str = "1-2-3", grouping: str = "group", k_in: int = 2, k_out: int = 2, max_jump: int = 1, min_count: int = 10, limit: int | None = None, engine: str = "join") -> DataFrame:
+    """All motif rows; ``limit``: only the first waists that have enough neighbours; ``engine``: see ``motifs.bowtie_counts``."""
     nodes = graph.working_set(g, window, grouping)
     edges = graph.between_metanodes(graph.with_ends(graph.edges_binary(g), nodes), max_jump)
     waists = graph.first_waists(graph.metagraph_degree(graph.metagraph_edges(edges)), k_in, k_out, limit) if limit else None
-    return motifs.motif_rows(motifs.bowtie_counts(edges, nodes, k_in, k_out, min_count, waists), graph.metanodes(nodes), k_in, k_out)
+    return motifs.motif_rows(motifs.bowtie_counts(edges, nodes, k_in, k_out, min_count, waists, engine), graph.metanodes(nodes), k_in, k_out)
 
 
 def distilled(found: DataFrame, window: str, k_in: int = 2, k_out: int = 2, top_signature: int = distill.TOP_SIGNATURE, top_waist: int = distill.TOP_WAIST, top_global: int = distill.TOP_GLOBAL, top_waist_signature: int = distill.TOP_WAIST_SIGNATURE, **parameters: int) -> dict[str, DataFrame]:

@@ -35,8 +35,8 @@ class Run:
         self.edges = graph.between_metanodes(graph.with_ends(graph.edges_binary(g), self.nodes))
         self.sizes = graph.metanodes(self.nodes)
 
-    def motifs(self, k_in: int = 2, k_out: int = 2, min_count: int = 1) -> DataFrame:
-        return motifs.motif_rows(motifs.bowtie_counts(self.edges, self.nodes, k_in, k_out, min_count), self.sizes, k_in, k_out)
+    def motifs(self, k_in: int = 2, k_out: int = 2, min_count: int = 1, engine: str = "join") -> DataFrame:
+        return motifs.motif_rows(motifs.bowtie_counts(self.edges, self.nodes, k_in, k_out, min_count, engine=engine), self.sizes, k_in, k_out)
 
     def top_patterns(self, n: int = 20) -> DataFrame:
         return distill.top(distill.with_waist(self.motifs()), n, "waist").drop("waist")
@@ -223,6 +223,14 @@ add("flow_out", lambda g: motifs.flow_out(Run(g).edges), S.q(S.work(), "SELECT *
 # motifs
 for _name, _kw in {"bowtie_2x2": {}, "bowtie_2x1": {"k_out": 1}, "bowtie_1x2": {"k_in": 1}, "bowtie_3x1": {"k_in": 3, "k_out": 1}, "bowtie_2x2_min_count": {"min_count": 10}}.items():
     add(_name, lambda g, kw=_kw: Run(g).motifs(**kw), S.motif("SELECT * FROM mot", **_kw))
+for _name, _engine, _kw in (("bowtie_dense", "matrix", {}), ("bowtie_dense_3x1", "matrix", {"k_in": 3, "k_out": 1}), ("bowtie_measured", "measured", {})):
+    add(_name, lambda g, engine=_engine, kw=_kw: Run(g).motifs(engine=engine, **kw), S.motif("SELECT * FROM mot", **_kw))
+add("waist_density", lambda g: rd((lambda r: motifs.waist_density(r.edges, r.nodes))(Run(g)), 9), S.q(S.work() + """,
+wide AS (SELECT w.area, w.lvl, w.root_id AS i, x.n AS x, y.n AS y FROM work w JOIN (SELECT i, COUNT(*) AS n FROM fin GROUP BY i) x ON x.i = w.root_id JOIN (SELECT i, COUNT(*) AS n FROM fout GROUP BY i) y ON y.i = w.root_id WHERE x.n >= 2 AND y.n >= 2),
+met_in AS (SELECT d.area, d.lvl, COUNT(DISTINCT (f.area, f.lvl)) AS n FROM wide d JOIN fin f USING (i) GROUP BY d.area, d.lvl),
+met_out AS (SELECT d.area, d.lvl, COUNT(DISTINCT (f.area, f.lvl)) AS n FROM wide d JOIN fout f USING (i) GROUP BY d.area, d.lvl),
+measured AS (SELECT area, lvl, COUNT(*) AS n_nodes, CAST(SUM(x * (x - 1) / 2 * y * (y - 1) / 2) AS DOUBLE) AS star_rows, any_value(CAST(a.n * (a.n - 1) / 2 * b.n * (b.n - 1) / 2 AS DOUBLE)) AS cells FROM wide JOIN met_in a USING (area, lvl) JOIN met_out b USING (area, lvl) GROUP BY area, lvl)""",
+    "SELECT *, round(star_rows / (n_nodes * cells), 9) AS density, star_rows / (n_nodes * cells) >= 0.02 AND star_rows >= 4 * cells AS dense FROM measured"))
 for _name, _grouping in {"bowtie_superclass": "superclass", "bowtie_superregion": "superregion"}.items():
     add(_name, lambda g, grouping=_grouping: Run(g, grouping).motifs(min_count=2), S.motif("SELECT * FROM mot", grouping=_grouping, min_count=2))
 add("recount", lambda g: (lambda r: motifs.recount(r.edges, r.nodes, r.top_patterns()).select("structure_str", "motif_count", "recounted", "active"))(Run(g)),

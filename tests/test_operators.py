@@ -2,14 +2,14 @@
 
 import itertools
 import math
-import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from layerlens.functions import signature, statistics, taxonomy
-from layerlens.operators import compare, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, within_area
+from layerlens.operators import compare, dense, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, within_area
 from layerlens.plans import analyses
 from layerlens.sources import artefacts
 from layerlens.sources.graph_tables import Graph, read_csv_graph
@@ -26,8 +26,8 @@ def make(spark, nodes, edges):
     )
 
 
-def bowties(spark, nodes, edges, k_in=2, k_out=2, min_count=1):
-    found = analyses.search(make(spark, nodes, edges), "1-2-3", k_in=k_in, k_out=k_out, min_count=min_count)
+def bowties(spark, nodes, edges, k_in=2, k_out=2, min_count=1, engine="join"):
+    found = analyses.search(make(spark, nodes, edges), "1-2-3", k_in=k_in, k_out=k_out, min_count=min_count, engine=engine)
     return {r["structure_str"]: (r["motif_count"], r["n_waist_active"], r["n_waist_eff"]) for r in found.collect()}
 
 
@@ -71,7 +71,41 @@ def test_bowties_against_enumeration(spark):
                         show = lambda some: "[" + ", ".join(f"{a}L{v}" for a, v in some) + "]"
                         key = f"{show(fi)} -> {nodes[w][0]}L{nodes[w][1]} -> {show(fo)}"
                         want[key] = want.get(key, 0) + 1
-        assert {k: v[0] for k, v in bowties(spark, nodes, edges, k_in, k_out).items()} == want
+        for engine in ("join", "matrix") if k_in == 3 else ("join",):
+            assert {k: v[0] for k, v in bowties(spark, nodes, edges, k_in, k_out, engine=engine).items()} == want
+
+
+@pytest.mark.parametrize("block, tile", [(1024, 512), (3, 2)])
+def test_matrices(spark, monkeypatch, block, tile):
+    """Counts, active nodes and squares of matrices are those of joins, however blocks and tiles are cut; the measured choice is the threshold's."""
+    rng = random.Random(5)
+    nodes = {i: ("W", 2) for i in range(12)} | {i: (rng.choice("ABCDE"), rng.choice((1, 3))) for i in range(100, 160)}
+    nodes |= {i: ("V", 2) for i in range(20, 24)}
+    edges = [(a, w) for a in range(100, 130) for w in range(12) if rng.random() < 0.9] + [(w, d) for d in range(130, 160) for w in range(12) if rng.random() < 0.9]
+    edges += [(a, w) for w in range(20, 24) for a in rng.sample(range(100, 160), 3)] + [(w, a) for w in range(20, 24) for a in rng.sample(range(100, 160), 3)]
+    monkeypatch.setattr(dense, "BLOCK", block)
+    monkeypatch.setattr(dense, "TILE", tile)
+    want = bowties(spark, nodes, edges)
+    assert want and bowties(spark, nodes, edges, engine="matrix") == want
+    monkeypatch.setattr(dense, "LEAST_DENSITY", 0.5)
+    assert bowties(spark, nodes, edges, engine="measured") == want
+    g = make(spark, nodes, edges)
+    working = graph.working_set(g, "1-2-3")
+    between = graph.between_metanodes(graph.with_ends(graph.edges_binary(g), working))
+    assert {r["area"]: r["dense"] for r in motifs.waist_density(between, working).collect() if r["area"] in "WV"} == {"W": True, "V": False}
+    assert bowties(spark, {}, [], engine="matrix") == bowties(spark, nodes, [], engine="measured") == {}
+    with pytest.raises(ValueError):
+        bowties(spark, nodes, edges, engine="other")
+
+
+def test_matrices_of_large_counts():
+    """Past 2**53 counts stay exact, past 2**63 they are an error."""
+    one = lambda *v: (np.array([0, len(v)]), np.arange(len(v)), np.array(v))
+    far = lambda *v: (np.array([0, len(v)]), np.arange(len(v)) + 10, np.array(v))
+    n = 2**29 + 1
+    assert [x[2].tolist() for x in dense.block_counts(one(n, n), far(3, 1), 2, 2)] == [[3 * n * n]]
+    with pytest.raises(OverflowError):
+        list(dense.block_counts(one(2**20, 2**20), far(2**20, 2**20), 2, 2))
 
 
 def test_sums_of_distilled_tables(spark, sf):
