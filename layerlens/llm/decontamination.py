@@ -11,19 +11,22 @@ leave the document (length bound) and verifies the run word by word.
 
 Both passes are narrow: documents are never shuffled.  Only benchmark windows
 are broadcast, in blocks of about ``MAX_WINDOWS`` by the hash of item and words,
-so a long item spreads over them too; a larger benchmark takes more passes, each
-adding to the hits of the one before.  A block reaches the driver as Arrow
+so a long item spreads over them too; a larger benchmark takes more passes, one
+after another (see ``contamination``).  A block reaches the driver as Arrow
 columns and stays in arrays.
 
 Words are compared by 64-bit hashes, all words of a window one by one.  Null
 texts have no words; items without words are skipped; items with equal ids
-count once, with the windows of all their texts.
+count once, with the windows of all their texts.  Empty tables give empty
+results or rows without hits; rows that repeat get equal results; very long
+texts are one row of word hashes, never cut.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, gram_hash, slices
+from .storage import discarding, materialise
 
 #: Windows of ten words that one block holds; other windows count by their words.
 MAX_WINDOWS = 1_000_000
@@ -120,6 +124,7 @@ def _shingle_frequency(docs: DataFrame, text: str, known: dict[int, np.ndarray])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(known[k][some].view(np.int64)), pa.array(n[some])], ["k", "h", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     size, h, n = (found.column(c).to_numpy() for c in ("k", "h", "n"))
     out = {k: np.zeros(len(v), dtype=np.int64) for k, v in known.items()}
     for k, keys in known.items():
@@ -135,24 +140,59 @@ def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
+def _hold(windows: DataFrame, docs: DataFrame, text: str) -> Windows:
+    """Windows (item, words) in arrays, each with its rarest shingle among the documents."""
+    held = Windows(windows.groupBy("words").agg(F.collect_set("item").alias("owners")).toArrow())
+    held.rank(_shingle_frequency(docs, text, held.known))
+    return held
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
-    """Add n_words, n_hit, items (array, ascending), n_items and contaminated to ``docs``; columns of these names are replaced."""
+    """Add n_words, n_hit, items (array, ascending), n_items and contaminated to ``docs``; columns of these names are replaced.
+
+    One block of windows is probed as the result is read.  A benchmark of more blocks is probed here, one at a time: a block's hits are written
+    and its broadcast is destroyed before the next is built, so neither the plan nor what executors hold grows with the benchmark."""
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, window)
     total = windows.agg(F.sum("size").alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // (10 * MAX_WINDOWS)))
-    rows = docs.drop("n_words", "n_hit", "hit_words", "items", "n_items", "contaminated")
-    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_words": F.lit(b""), "items": F.array().cast("array<long>")})
+    rows = docs.drop("n_words", "_hit_places", "items", "n_hit", "n_items", "contaminated")
+    if blocks == 1:
+        found = _probed(rows, text, spark.sparkContext.broadcast(_hold(windows, docs, text)))
+    else:
+        with discarding():
+            found = materialise(_in_blocks(rows, text, windows, blocks), "contamination", keep=True)
+    return found.withColumns({"n_hit": F.size("_hit_places").cast("long"), "n_items": F.size("items").cast("long"), "contaminated": F.size("_hit_places") > 0}).drop("_hit_places")
+
+
+def _in_blocks(rows: DataFrame, text: str, windows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with n_words, _hit_places and items of all blocks, whose hits meet by a number of the written rows."""
+    spark, row = rows.sparkSession, "_row"
+    while row in {c.lower() for c in rows.columns}:
+        row += "_"
+    windows = materialise(windows, "windows")
+    nothing = spark.sparkContext.broadcast(Windows(pa.table({"words": pa.array([], pa.binary()), "owners": pa.array([], pa.list_(pa.int64()))})))
+    rows = materialise(_probed(rows, text, nothing).drop("_hit_places", "items").withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = []
     for block in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
-        held = Windows(own.groupBy("words").agg(F.collect_set("item").alias("owners")).toArrow())
-        held.rank(_shingle_frequency(docs, text, held.known))
-        rows = rows.mapInArrow(_probe(text, spark.sparkContext.broadcast(held)), rows.schema)
-    return rows.drop("hit_words").withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
+        held = _hold(windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block), rows, text)
+        shared = spark.sparkContext.broadcast(held)
+        found.append(materialise(_probed(rows.select(row, text), text, shared).where(F.size("_hit_places") > 0).select(row, "_hit_places", "items"), "hits"))
+        shared.destroy()
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(merged("_hit_places"), merged("items"))
+    none = {"_hit_places": F.coalesce("_hit_places", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<long>"))}
+    return rows.join(every, row, "left").drop(row).withColumns(none)
+
+
+def _probed(rows: DataFrame, text: str, shared) -> DataFrame:
+    """``rows`` with n_words, _hit_places (places of words inside a window, ascending) and items (ascending) for one broadcast block of windows."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "n_words long, _hit_places array<int>, items array<long>"])
+    return rows.mapInArrow(_probe(text, shared), schema)
 
 
 def _probe(text: str, shared):
-    """Second pass for one block of windows: rows with the block's hits added to ``hit_words`` (a bit a word) and ``items``."""
+    """Second pass for one block of windows."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Windows = shared.value
@@ -185,13 +225,11 @@ def _probe(text: str, shared):
             pairs = np.unique(np.repeat(doc, many) * (len(held.items) + 1) + owner) if len(owner) else owner
             at = np.searchsorted(pairs // (len(held.items) + 1), np.arange(batch.num_rows + 1))
             ids = held.items[pairs % (len(held.items) + 1)] if len(pairs) else pairs
-            bits, lists, hits = (batch.column(c).to_pylist() for c in ("hit_words", "items", "n_hit"))
-            for r in np.unique(doc).tolist():
-                own = np.packbits(hit[words.at[r] : words.at[r + 1]])
-                own = own | np.frombuffer(bits[r], dtype=np.uint8) if bits[r] else own
-                bits[r], hits[r] = own.tobytes(), int(np.unpackbits(own).sum())
-                lists[r] = sorted({*lists[r], *ids[at[r] : at[r + 1]].tolist()})
-            new = {"n_words": pa.array(np.diff(words.at), pa.int64()), "n_hit": pa.array(hits, pa.int64()), "hit_words": pa.array(bits, pa.binary()), "items": pa.array(lists, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int64()))
+            places = np.flatnonzero(hit)
+            cuts = np.searchsorted(places, words.at)
+            own = places - np.repeat(words.at[:-1], np.diff(cuts))
+            hits = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(words.at), pa.int64()), hits, lists], [*batch.schema.names, "n_words", "_hit_places", "items"])
 
     return probe

@@ -52,6 +52,17 @@ def test_contamination(spark, sf, odd, monkeypatch, most):
     assert contaminated(docs, bench) == brute_contamination([(r[0], r[1]) for r in docs.collect()], items)
 
 
+def test_contamination_plan_of_many_blocks(spark, odd, monkeypatch):
+    """What reads the result probes at most one block, however many the benchmark has; a clash with the row number is told apart."""
+    monkeypatch.setattr(decontamination, "MAX_WINDOWS", 1)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "the same text")], "item_id long, text string")
+    docs = odd.withColumn("_row", F.lit(7)).withColumn("_ROW_", F.lit(8))
+    out = decontamination.contamination(docs, bench)
+    assert out._jdf.queryExecution().toString().count("MapInArrow") == 0
+    assert out.where("_row = 7 and _ROW_ = 8").count() == odd.count()
+    assert contaminated(docs, bench) == brute_contamination([(r["doc_id"], r["text"]) for r in odd.collect()], [tuple(r) for r in bench.collect()])
+
+
 def test_contamination_of_nothing(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(odd, bench) == brute_contamination([(r[0], r[1]) for r in odd.collect()], [])
