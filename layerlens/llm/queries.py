@@ -36,7 +36,7 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
     out = toxicity.score(docs.select("doc_id", "text"), model)
-    held = toxicity.fold(F.col("doc_id")) == 2
+    held = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))  # an id of null is in no fold
     return out.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"), "toxic_spans")
 
 

@@ -1,15 +1,19 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens.
 
-Documents carry labels, tokens do not, so token labels are derived: in a toxic
-training document, tokens with strong evidence are toxic, all tokens of clean
-documents are clean.  Evidence is a word's or word prefix's log-odds of toxic
+Documents carry labels, tokens do not, so the tags of training documents are
+hidden: a toxic document has at least one toxic token, a clean one has none,
+and the field takes the weights under which these labels are likeliest, summed
+over all taggings (multiple-instance learning).  Which tokens are toxic is left
+to the field: a word that clean documents use too is not tagged because one
+toxic document has it.  Evidence is a word's or word prefix's log-odds of toxic
 documents, at the low end of its confidence interval, counted on two of the
 three training folds; the CRF and the calibration are fitted on the third.
 
 Tokens without evidence share one potential, so a run of k of them is the k-th
 power of a 2 x 2 matrix: forward and backward passes only step over tokens with
 evidence, all documents of a batch at once.  The marginals give offending
-offsets, and their sum and maximum, with the number of words, the score.
+offsets; their sum and maximum, with the evidence and the number of words, the
+score.
 
 Training reads at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled
 rows (lowest hashes), weighted to the classes' shares among all of them; of their
@@ -41,6 +45,8 @@ MAX_TOXIC, MAX_CLEAN, FIT_TOXIC, FIT_CLEAN = 12_000, 36_000, 1_500, 4_500
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_EVIDENCE, RUN = 3, 0.7, 512
 Z = 1.64
+#: Probability that a document without a toxic token is labelled toxic all the same.
+LEAK = 0.02
 
 
 class NothingToLearn(ValueError):
@@ -192,28 +198,23 @@ def forward_backward(c: Chains, w: np.ndarray, marginals: bool = True) -> tuple[
     return log_z, out
 
 
-def _tag_score(c: Chains, tags: np.ndarray, w: np.ndarray) -> float:
-    """Sum over documents of the score of their tags; neutral tokens are clean, with potential 1."""
-    score = float((tags * np.clip(w[0] + w[1] * c.evidence + w[2] * np.minimum(c.evidence, 2), -30, 30)).sum())
-    before = np.concatenate([[0], tags[:-1]]) if len(tags) else tags
-    first = c.at[:-1][c.at[:-1] < c.at[1:]]
-    before[first] = 0
-    near = c.gap == 0
-    score += w[3] * float((tags * (1 - before * near)).sum())  # 0>1
-    score += w[5] * float((tags * before * near).sum())  # 1>1
-    score += w[4] * float((before * (1 - tags * near)).sum())  # 1>0, also into a gap
-    last = c.at[1:][c.at[:-1] < c.at[1:]] - 1
-    ends = c.tail[c.at[:-1] < c.at[1:]] > 0
-    return score + w[4] * float((tags[last] * ends).sum())
+def label_loss(c: Chains, toxic: np.ndarray, w: np.ndarray) -> float:
+    """Minus the log likelihood of the documents' labels, whatever their tokens' tags.
 
+    A text without a toxic token has one tagging, of weight 1, so it has a probability of 1 / Z.  A document is labelled toxic if it has a toxic token,
+    and with a probability of ``LEAK`` if it has none."""
+    log_z = forward_backward(c, w, marginals=False)[0]
+    clean = math.log1p(-LEAK) - log_z
+    return -float(np.where(toxic > 0, np.log1p(-np.exp(clean)), clean).sum())
 
-def fit_crf(c: Chains, tags: np.ndarray) -> np.ndarray:
-    """Weights of greatest penalised conditional likelihood, by quasi-Newton steps."""
+
+def fit_crf(c: Chains, toxic: np.ndarray) -> np.ndarray:
+    """Weights of greatest penalised likelihood of the labels of documents (1: toxic), summed over all taggings that give them, by quasi-Newton steps."""
     documents = max(1, len(c.tail))
     prior = np.array([-3.0, 1.0, 0.0, -2.0, 0.0, 0.0, -8.0])
 
     def loss(w: np.ndarray) -> float:
-        return (float(forward_backward(c, w, marginals=False)[0].sum()) - _tag_score(c, tags, w)) / documents + 1e-3 * float(((w - prior) ** 2).sum())
+        return label_loss(c, toxic, w) / documents + 1e-3 * float(((w - prior) ** 2).sum())
 
     def slope(w: np.ndarray) -> np.ndarray:
         eye = np.eye(len(w)) * 1e-4
@@ -238,14 +239,12 @@ def fit_crf(c: Chains, tags: np.ndarray) -> np.ndarray:
 
 
 def document_features(c: Chains, marginal: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """1, log sum of marginals, largest marginal, log words, evidence for their words."""
-    total = np.zeros(len(n_words))
-    most = np.zeros(len(n_words))
+    """1, log words, largest marginal, and the sums of the marginals and of the evidence, as logs, alone and for their words."""
     doc = np.repeat(np.arange(len(n_words)), np.diff(c.at))
-    np.add.at(total, doc, marginal)
+    most = np.zeros(len(n_words))
     np.maximum.at(most, doc, marginal)
-    size = np.log1p(n_words)
-    return np.stack([np.ones(len(n_words)), np.log1p(total), most, size, np.log1p(total * 500 / (n_words + 50))], axis=1)
+    sums = [np.bincount(doc, x, minlength=len(n_words)) for x in (marginal, c.evidence)]
+    return np.stack([np.ones(len(n_words)), np.log1p(n_words), most, *(np.log1p(y) for x in sums for y in (x, x * 500 / (n_words + 50)))], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -290,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         counts[np.searchsorted(keys, found.column("h").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
     bound = _lower_bound(p, d, n_toxic, n_clean)
     strong = bound >= LEAST_EVIDENCE
-    model = Model(keys[strong], bound[strong], np.zeros(7), np.zeros(5))
+    model = Model(keys[strong], bound[strong], np.zeros(7), np.zeros(7))
     shared = spark.sparkContext.broadcast(model)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     flat = np.array([a for r in found for a in r["at"]], dtype=np.int64)
     chain = Chains(np.array([g for r in found for g in np.diff([-1, *r["at"]]) - 1], dtype=np.int64), np.array([e for r in found for e in r["evidence"]], dtype=float), np.concatenate([[0], ends]).astype(np.int64),
                    np.array([r["words"] - 1 - (r["at"][-1] if r["at"] else -1) for r in found], dtype=np.int64))
-    tags = (np.repeat(y, np.diff(chain.at)) * (chain.evidence >= LEAST_EVIDENCE)) if len(flat) else np.zeros(0)
-    model.weights = fit_crf(chain, tags)
+    model.weights = fit_crf(chain, y)
     x = document_features(chain, forward_backward(chain, model.weights)[1], n_words)
     copies = docs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
     labelled = copies.join(marked.select(F.col(key).alias("_key"), "toxic"), "_key").groupBy("toxic").agg(F.sum("n").alias("n"))
