@@ -57,7 +57,7 @@ def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the end id."""
-    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), end_id=2)
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), end_id=2, decoded=False)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

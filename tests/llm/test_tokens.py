@@ -104,3 +104,17 @@ def test_made_up_words_and_other_tokenizers(spark):
     token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), folder, other, end_id=0)
     got = {r["doc_id"]: np.frombuffer(r["ids"], f"<u{r['id_bytes']}").tolist() for r in token_files.read_token_files(spark, folder).collect()}
     assert got == {k: [*Tokenizer.from_file(other).encode(t or "").ids, 0] for k, t in rows}
+
+
+def test_ids_without_texts_a_payload_at_a_time(spark, odd, monkeypatch):
+    """Documents of one block in several payloads; without decoded texts the ids are the same."""
+    monkeypatch.setattr(pieces, "PAYLOAD_BYTES", 60)
+    monkeypatch.setattr(pieces, "DECODED", 2)
+    docs = odd.select("doc_id", "text").unionByName(spark.range(1000, 1040).selectExpr("id AS doc_id", "concat('some  words ', id, ' again') AS text"))
+    full = {r["doc_id"]: r for r in pieces.encode(docs, PIECES, end_id=2).collect()}
+    bare = pieces.encode(docs, PIECES, end_id=2, decoded=False)
+    assert bare.columns == ["doc_id", "ids"] and {r["doc_id"]: r["ids"] for r in bare.collect()} == {k: r["ids"] for k, r in full.items()}
+    sp = pieces.processor(PIECES)
+    for r in docs.collect():
+        ids = sp.encode(r["text"] or "")
+        assert (full[r["doc_id"]]["ids"], full[r["doc_id"]]["decoded"]) == ([*ids, 2], sp.decode(ids))
