@@ -96,3 +96,17 @@ def test_chat_of_very_long_texts(spark):
         assert "not the turns before" in str(e)
     else:
         raise AssertionError("a wrong context was read")
+
+
+def test_written_examples_alone_hold_the_conversations(spark):
+    rows = [*TURNS, (5, 0, "user", "only <|im_end|>\n"), (6, 0, "assistant", "first"), (6, 1, "user", "after"), (6, 2, "user\n", "last")]
+    segments = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    written = chat.expanded(segments)
+    assert sorted(map(str, chat.read_expanded(written).collect())) == sorted(map(str, chat.read_back(segments, chat.examples(segments)).collect()))
+    cut = written.withColumn("text", F.when(F.col("conv_id") == 1, F.expr("replace(text, 'hi', concat('h', target_pos))")).otherwise(F.col("text")))
+    try:
+        chat.read_expanded(cut).collect()
+    except Exception as e:
+        assert "not the turns before" in str(e)
+    else:
+        raise AssertionError("a wrong context was read")
