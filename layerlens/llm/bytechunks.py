@@ -13,15 +13,19 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CUT, TIGHT = re.compile(r"(?<! ) (?=\S)"), re.compile(r" (?!\S)")
-#: Odd chunks that the library encodes in one call; words in one text.
+#: Chunks that the library encodes in one call; words in one text.
 CALL, RUN = 20_000, 256
 #: Chunks in a generation of those that a worker remembers, about 200 bytes each.
 KEPT = 400_000
+#: Chunks, and their characters, beyond which a worker numbers them anew.
+NUMBERED, SPELT = 1 << 20, 32 << 20
 
 
 def split_chunks(text: str) -> list[str]:
@@ -122,15 +126,16 @@ def _encoded(path: str, names: list[str], plain: bool) -> tuple[np.ndarray, np.n
     odd = [i for i, n in enumerate(names) if n[0] == " " or n[-1] == " "]
     apart = set(odd)
     words = [i for i in range(len(names)) if i not in apart] if apart else range(len(names))
-    ids, counts, order = [], np.zeros(len(names), dtype=np.int64), []
-    runs = [words[a : a + RUN] for a in range(0, len(words), RUN)]
-    for a in range(0, len(runs), 64):
-        for own, e in zip(runs[a : a + 64], t.encode_batch_fast([" " + " ".join([names[i] for i in x]) for x in runs[a : a + 64]], add_special_tokens=False)):
-            ids.append(np.array(e.ids, dtype=np.int64))
-            ends = np.cumsum([1 + len(names[i].encode()) for i in own])
-            upto = np.searchsorted(np.cumsum(_byte_lengths(path)[ids[-1]]), ends, side="left") + 1
-            counts[own if isinstance(own, list) else slice(own.start, own.stop)] = np.diff(upto, prepend=0)
-    order = [*words, *odd]
+    ids, counts, order = [], np.zeros(len(names), dtype=np.int64), [*words, *odd]
+    plain_names = [names[i] for i in words] if apart else names
+    place = np.array(order[: len(words)], dtype=np.int64)
+    sizes = pc.binary_length(pa.array(plain_names, pa.large_string())).to_numpy() + 1
+    for a in range(0, len(words), CALL):
+        runs = [" " + " ".join(plain_names[s : min(s + RUN, a + CALL)]) for s in range(a, min(a + CALL, len(words)), RUN)]
+        found = list(chain.from_iterable(e.ids for e in t.encode_batch_fast(runs, add_special_tokens=False)))
+        ids.append(np.array(found, dtype=np.int64))
+        upto = np.searchsorted(np.cumsum(_byte_lengths(path)[ids[-1]]), np.cumsum(sizes[a : a + CALL]), side="left") + 1
+        counts[place[a : a + CALL]] = np.diff(upto, prepend=0)
     for a in range(0, len(odd), CALL):
         own = odd[a : a + CALL]
         for i, e in zip(own, t.encode_batch_fast([chunk_text(names[i]) for i in own], add_special_tokens=False)):
@@ -167,6 +172,57 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int, split=split_chunks, pr
         yield keys, numbers, list(seen)
 
 
+class _Met(dict):
+    """Numbers of the chunks that this worker has met, with their ids and counts; ``fresh`` ones are not encoded yet."""
+
+    def __init__(self):
+        self.flat, self.counts, self.fresh, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), [], 0
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def encode(self, path: str, plain: bool) -> None:
+        if self.fresh:
+            flat, counts = _encoded(path, self.fresh, plain)
+            self.size += sum(map(len, self.fresh))
+            self.flat, self.counts, self.fresh = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.counts, counts]), []
+
+
+@lru_cache(maxsize=4)
+def _met(path: str, plain: bool) -> list[_Met]:
+    return [_Met()]
+
+
+def encoded_blocks(batches: Iterator[pa.RecordBatch], path: str, limit: int, split=split_chunks, plain: bool = False) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, counts of ids by row and all ids of runs of rows (key, text) with about ``limit`` characters, as ``blocks``; chunks keep their numbers, so each is looked up once where it occurs."""
+    held = _met(path, plain)
+    met, size, keys, numbers = held[0], 0, [], []
+
+    def close() -> tuple[list, np.ndarray, np.ndarray]:
+        met.encode(path, plain)
+        every, ends = np.concatenate(numbers), np.cumsum([len(x) for x in numbers])
+        upto = np.insert(np.cumsum(met.counts[every]), 0, 0)
+        out = keys, np.diff(upto[ends], prepend=0), gather(met.flat, met.counts, every)
+        if len(met) > NUMBERED or met.size > SPELT:
+            held[0] = _Met()
+        return out
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py() or ""
+            chunks = split(text) if text else []
+            keys.append(key)
+            numbers.append(np.fromiter(map(met.__getitem__, chunks), dtype=np.int64, count=len(chunks)))
+            size += len(text)
+            if size >= limit or len(keys) >= limit >> 6:
+                yield close()
+                met, size, keys, numbers = held[0], 0, [], []
+    if keys:
+        yield close()
+
+
 def gather(values: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """The runs of ``values`` (of ``counts`` each) that ``numbers`` names, one after another."""
     at = np.cumsum(counts) - counts

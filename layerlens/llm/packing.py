@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytechunks import blocks, chunk_ids, encodes_chunks, gather, split_chunks, sums, tokenizer
+from .bytechunks import encoded_blocks, encodes_chunks, split_chunks, tokenizer
 from .bytewords import release, slices, text_buffer
 from .storage import materialise
 
@@ -56,10 +56,9 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int, key: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, full_before, seen = TaskContext.get().partitionId(), 0, 0, np.zeros(size, np.int64)
-        for keys, numbers, names in blocks(batches, BLOCK, split):
-            flat, counts = chunk_ids(path, names)
-            tokens = sums(counts, numbers) + 1
-            whole = np.insert(gather(flat, counts, np.concatenate(numbers)), np.cumsum(tokens - 1), end_id).astype(kind)
+        for keys, counts, flat in encoded_blocks(batches, path, BLOCK, split):
+            tokens = counts + 1
+            whole = np.insert(flat.astype(kind), np.cumsum(counts), end_id)
             rem, full = tokens % size, tokens // size
             order = np.argsort(rem, kind="stable")
             first = np.searchsorted(rem[order], rem)

@@ -5,10 +5,11 @@ from itertools import groupby
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 
-from layerlens.llm import packing
+from layerlens.llm import bytechunks, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -115,3 +116,23 @@ def test_crc(spark, sf):
     ids = [*tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0][row["start"] : row["start"] + row["length"]]
     assert row["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
     assert dict(out.dtypes) == {"doc_id": "bigint", "start": "bigint", "length": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint", "ids_crc32": "bigint"}
+
+
+@pytest.mark.parametrize("numbered", [1 << 20, 40])
+def test_chunks_keep_their_numbers_over_blocks(monkeypatch, numbered):
+    """Ids are the library's over many blocks, and a chunk that has a number is neither looked up by name nor encoded again."""
+    bytechunks._met.cache_clear()
+    monkeypatch.setattr(bytechunks, "NUMBERED", numbered)
+    asked, encode = [], bytechunks._encoded
+    monkeypatch.setattr(bytechunks, "_encoded", lambda path, names, plain: asked.extend(names) or encode(path, names, plain))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["", "don't", "é", "日本", "<|endoftext|>", "x" * 300, *(f"w{i}" for i in range(60))]) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "  a\n b "]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    tok, at = tokenizers.Tokenizer.from_file(PATH), 0
+    for keys, counts, flat in bytechunks.encoded_blocks(iter([batch, batch]), PATH, 500):
+        want = [tok.encode(texts[k] or "", add_special_tokens=False).ids for k in keys]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+        at += len(keys)
+    assert at == 2 * len(texts)
+    assert (len(asked) == len(set(asked))) == (numbered > 40)
+    bytechunks._met.cache_clear()
