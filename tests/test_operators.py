@@ -260,6 +260,46 @@ def test_paths_and_cores_against_enumeration(spark, monkeypatch):
         paths.topological_layers(spark.createDataFrame([(1, 2), (2, 1)], "pre long, post long"))
 
 
+def chains(spark, n):
+    """n apart chains 100 + i > i > 200 + i: all nodes and ends weigh the same."""
+    edges = spark.createDataFrame([e for i in range(n) for e in ((100 + i, i), (i, 200 + i))], "pre long, post long")
+    return edges, *(spark.createDataFrame([(k + i,) for i in range(n)], "v long") for k in (100, 200))
+
+
+def counted_calls(monkeypatch, name):
+    calls, real = [], getattr(paths, name)
+    monkeypatch.setattr(paths, name, lambda *a, **k: calls.append(1) or real(*a, **k))
+    return calls
+
+
+def test_equal_ends_are_chosen_together(spark, monkeypatch):
+    monkeypatch.setattr(paths, "FOLLOWED_ENDS", 8)
+    calls = counted_calls(monkeypatch, "path_counts")
+    got = paths.flat_core(*chains(spark, 16), tau=1.0, hops=3).collect()
+    assert [(r["rank"], r["kind"], r["v"], r["gain"]) for r in got] == [(i + 1, "source", 100 + i, 1.0) for i in range(16)] and got[-1]["reached"]
+    assert len(calls) <= 1 + 2 * 2
+
+
+def test_equal_nodes_are_chosen_together(spark, monkeypatch):
+    calls = counted_calls(monkeypatch, "path_counts")
+    got = paths.tau_core(*chains(spark, 16), tau=1.0, hops=3, followed=8).collect()
+    assert [(r["rank"], r["v"], r["centrality"]) for r in got] == [(i + 1, i, 1.0) for i in range(16)] and got[-1]["reached"]
+    assert len(calls) <= 1 + 2 * 4
+
+
+def test_condensed_network_against_enumeration(spark):
+    rng = random.Random(11)
+    n, hops = 12, 4
+    edges = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.45]
+    sources, targets, gone = [0, 1, 2], [9, 10, 11], []
+    df, (s, t) = spark.createDataFrame(edges, "pre long, post long"), (spark.createDataFrame([(x,) for x in side], "v long") for side in (sources, targets))
+    for r in paths.tau_core(df, s, t, tau=1.0, hops=hops, followed=4).collect():
+        through = {v: sum(v in p for p in all_paths(edges, sources, targets, hops, gone)) for v in range(n)}
+        assert r["v"] == max(through, key=lambda v: (through[v], -v)) and r["centrality"] == through[r["v"]]
+        gone.append(r["v"])
+    assert not all_paths(edges, sources, targets, hops, gone)
+
+
 def test_paths_of_any_length(spark):
     rng = random.Random(8)
     n, sources, targets = 14, [0, 1, 99], [11, 12, 13]
