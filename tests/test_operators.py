@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from layerlens.functions import signature, statistics, taxonomy
-from layerlens.operators import compare, dense, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, within_area
+from layerlens.operators import compare, dense, distill, graph, levels, motifs, nulls, paths, patterns, states, sweep, validation, within_area
 from layerlens.plans import analyses
 from layerlens.sources import artefacts
 from layerlens.sources.graph_tables import Graph, read_csv_graph
@@ -391,6 +392,48 @@ def test_nulls_keep_what_they_should(spark):
     assert degree(got, 1) == degree([tuple(r) for r in up.collect()], 1) and all(nodes[a][1] < nodes[b][1] for a, b in got) and len(set(got)) == len(got)
 
 
+def test_swaps_of_several_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = sorted({(rng.randrange(200), rng.randrange(200)) for _ in range(2000)} - {(i, i) for i in range(200)})
+    monkeypatch.setattr(nulls, "PART", 256)
+    both = nulls.replicates(spark.createDataFrame(edges, "pre long, post long"), 2)
+    assert nulls.parts_of(both, "rep") > 4
+    got = nulls.swapped(both, 9, keys=("rep",)).collect()
+    for rep in (0, 1):
+        own = [(r["pre"], r["post"]) for r in got if r["rep"] == rep]
+        assert len(set(own)) == len(own) == len(edges) and all(a != b for a, b in own) and len(set(own) & set(edges)) < len(edges) / 5
+        assert all(Counter(e[i] for e in own) == Counter(e[i] for e in edges) for i in (0, 1))
+    assert {(r["pre"], r["post"]) for r in got if r["rep"] == 0} != {(r["pre"], r["post"]) for r in got if r["rep"] == 1}
+
+
+def test_validation_counts(spark, monkeypatch):
+    """Counts by flows alone equal counts of whole graphs, and their mean is what the null expects."""
+    rng = random.Random(3)
+    nodes = {i: ("ABC"[i % 3], i // 3 % 3 + 1) for i in range(45)}
+    edges = [(a, b) for a in nodes for b in nodes if a != b and rng.random() < 0.4]
+    g = make(spark, nodes, edges)
+    work = graph.working_set(g).localCheckpoint()
+    between = graph.between_metanodes(graph.with_ends(spark.createDataFrame(edges, "pre long, post long"), work)).localCheckpoint()
+    rows = motifs.motif_rows(motifs.bowtie_counts(between, work, 2, 2, 1), graph.metanodes(work), 2, 2).orderBy(F.desc("motif_count"), "structure_str").limit(4).localCheckpoint()
+    one = lambda df, n=1: {(r["structure_str"], r["rep"]): r["value"] for r in df.collect() if r["rep"] < n}
+    real = {(r["structure_str"], 0): r["motif_count"] for r in rows.collect()}
+    assert one(validation.swapped_counts(rows, between, work, 1, 0)) == real
+    monkeypatch.setattr(nulls, "PART", 64)
+    assert one(validation.swapped_counts(rows, between, work, 1, 0)) == real
+    flows, every = [motifs.flow_in(between), motifs.flow_out(between)], between.collect()
+    ends = [("fan_in_0", 0), ("fan_in_1", 0), ("fan_out_0", 1), ("fan_out_1", 1)]
+    for found in (validation.block_counts(rows, between, work, 200), validation.aligned_counts(rows, flows, work, 200)):
+        found = found.collect()
+        assert len(found) == 4 * 200
+        for r in rows.collect():
+            mean, expected = sum(x["value"] for x in found if x["structure_str"] == r["structure_str"]) / 200, 5.0
+            for e, side in ends:
+                ends_of = lambda x: ((x["sa"], x["sl"]), (x["da"], x["dl"]))
+                own = [x for x in every if (ends_of(x)[side], ends_of(x)[1 - side]) == ((r[f"{e}_area"], r[f"{e}_level"]), (r["bottleneck_area"], r["bottleneck_level"]))]
+                expected *= len(own) / 5
+            assert abs(mean / expected - 1) < 0.15
+
+
 def test_statistics(spark):
     assert abs(statistics.hypergeometric_tail(3, 660, 20, 20) - 0.0195) < 2e-4
     chi, freedom, p = statistics.chi_square([[10, 20], [20, 10]])
