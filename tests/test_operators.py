@@ -406,6 +406,27 @@ def test_swaps_of_several_parts(spark, monkeypatch):
     assert {(r["pre"], r["post"]) for r in got if r["rep"] == 0} != {(r["pre"], r["post"]) for r in got if r["rep"] == 1}
 
 
+def test_profiles_of_drawn_levels(spark):
+    """Each draw's profile is what its levels give edge by edge, the first that of the real levels; an edge is read once for all draws."""
+    rng = random.Random(6)
+    nodes = {i: (rng.choice(("ME", "ME.LO", "AL")), rng.randint(1, 5)) for i in range(40)}
+    g = make(spark, nodes, [(a, b) for a in nodes for b in nodes if rng.random() < 0.3])
+    members = within_area.membership(g)
+    drawn = nulls.permuted_levels(members, 2, seed=7).collect()
+    assert len({(r["rep"], r["area"], r["root_id"]) for r in drawn}) == len(drawn) == 2 * members.count()
+    got = {(r["area"], r["rep"], r["signature"]): (r["n"], r["share"]) for r in within_area.drawn_profiles(g, 2, seed=7).collect()}
+    assert len({tuple(v[0] for k, v in sorted(got.items()) if k[1] == rep) for rep in (-1, 0, 1)}) == 3
+    for rep in (-1, 0, 1):
+        own = members if rep < 0 else spark.createDataFrame([(r["area"], r["root_id"], r["lvl"]) for r in drawn if r["rep"] == rep], "area string, root_id long, lvl int")
+        want = within_area.profile(within_area.signature_counts(within_area.neighbour_counts(within_area.area_edges(g, own)))).collect()
+        assert {(r["area"], rep, r["signature"]): (r["n"], r["share"]) for r in want} == {k: v for k, v in got.items() if k[1] == rep}
+
+
+def test_images_are_one_to_one():
+    for size in (1, 2, 7, 100, 1237):
+        assert sorted(nulls.images(np.arange(size), size, np.random.default_rng(size))) == list(range(size))
+
+
 def test_validation_counts(spark, monkeypatch):
     """Counts by flows alone equal counts of whole graphs, and their mean is what the null expects."""
     rng = random.Random(3)
