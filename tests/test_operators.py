@@ -427,6 +427,23 @@ def test_images_are_one_to_one():
         assert sorted(nulls.images(np.arange(size), size, np.random.default_rng(size))) == list(range(size))
 
 
+def test_pattern_counts_of_several_blocks(spark, monkeypatch):
+    """Small blocks and steps give the counts of one block, and no table of pairs is written."""
+    rng = random.Random(12)
+    edges = [(10 * a, 10 * b) for a in range(14) for b in range(14) if a != b and rng.random() < 0.5]
+    df = spark.createDataFrame(edges, "pre long, post long")
+    some = [(e, 4) for e in patterns.all_patterns(4)][::9] + [(patterns.all_patterns(4)[-1], 4), (((0, 1), (1, 2), (2, 0)), 3)]
+    widest, real = [], patterns.cut
+    monkeypatch.setattr(patterns, "cut", lambda t: widest.append(len(t.columns)) or real(t))
+    want = {r["pattern"]: r["n"] for r in patterns.pattern_counts(df, some).collect()}
+    assert widest == [3]
+    monkeypatch.setattr(patterns, "BLOCK", 40)
+    monkeypatch.setattr(patterns, "CHUNK", 30)
+    assert {r["pattern"]: r["n"] for r in patterns.pattern_counts(df, some).collect()} == want
+    for e, k in some[-3:]:
+        assert want[";".join(f"{a}>{b}" for a, b in e)] == patterns.brute_count(df, e, k).first()["n"]
+
+
 def test_validation_counts(spark, monkeypatch):
     """Counts by flows alone equal counts of whole graphs, and their mean is what the null expects."""
     rng = random.Random(3)
